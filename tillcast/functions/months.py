@@ -56,7 +56,7 @@ def shift_bucket(bucket_col: str, months: int) -> Column:
 def epoch_seconds(ts: str) -> Column:
     """Whole seconds since 1970 of a naive time, whatever the session zone."""
     days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return (days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("double")
+    return (days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("bigint")
 
 
 def whole_months(ts: str | Column, until: str) -> Column:

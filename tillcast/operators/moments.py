@@ -32,7 +32,7 @@ def periods(year_months: Sequence[str]) -> Column:
     return out
 
 
-def _sum_type(lines: DataFrame, measures: Sequence[str]) -> str:
+def sum_type(lines: DataFrame, measures: Sequence[str]) -> str:
     """One type that holds the sums of all measures, exactly where they are exact."""
     kinds = [lines.schema[m].dataType for m in measures]
     if any(isinstance(k, (DoubleType, FloatType)) for k in kinds):
@@ -52,7 +52,7 @@ def history(
     An entry has the period ``p``, the line count ``rows``, the total ``spend``,
     the ``first_date``, and in ``of`` the moments of each measure in turn.
     """
-    kind = _sum_type(lines, measures)
+    kind = sum_type(lines, measures)
     aggs, moments = [], []
     for i, m in enumerate(measures):
         x = f"cast(`{m}` as double)"
@@ -76,7 +76,7 @@ def history(
         .groupBy(key, "p")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum("total"), F.lit(0)).alias("spend"),
+            F.coalesce(F.sum("total"), F.lit(0)).cast(sum_type(lines, ["total"])).alias("spend"),
             F.min("order_date").alias("first_date"),
             *map(F.expr, aggs),
         )

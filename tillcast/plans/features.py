@@ -338,9 +338,11 @@ def full(
         rows, {"": "true"}, ["order_ts", *row_columns], ["min", "max", *FULL_SET_STATS]
     )
     # A value that is constant per customer has closed-form statistics.
+    money = moments.sum_type(lines, ["total"])
+    add = f"(acc, e) -> cast(acc + e.spend as {money})"
     wide = wide.selectExpr(
         "*",
-        "aggregate(past, 0D, (acc, e) -> acc + cast(e.spend as double)) as _spent",
+        f"cast(aggregate(past, cast(0 as {money}), {add}) as double) as _spent",
         "cast(aggregate(past, 0L, (acc, e) -> acc + e.rows) as double) as _rows",
         "array_min(transform(past, e -> e.first_date)) as _first",
     ).withColumn("_mean", _monthly("_spent", "_first", until))
