@@ -45,6 +45,10 @@ DIFFS = {
 }
 
 
+def _order(lines: DataFrame, order: Sequence[str] | None) -> list[str]:
+    return list(order or [c for c in LOG_ORDER if c in lines.columns])
+
+
 def _until(lines: DataFrame, year_months: Sequence[str]) -> DataFrame:
     """Lines up to the end of the last month, whose spend gives its label."""
     return lines.where(months.before("order_date", months.shift(max(year_months), 1)))
@@ -85,7 +89,7 @@ def base(
 
 def with_running_sums(
     lines: DataFrame,
-    order: Sequence[str] = LOG_ORDER,
+    order: Sequence[str] | None = None,
     large: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """Add the running sums of total, quantity and price by customer, product and order.
@@ -97,27 +101,33 @@ def with_running_sums(
     if large is None:
         large = frequent_keys(lines, list(RUNNING_KEYS))
     for key in ("order_id", "product_id", "customer_id"):
-        lines = running(lines, key, order, sums=CUMSUMS[key], large=large.get(key, {}))
+        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], large=large.get(key, {}))
     return lines
 
 
 def with_differences(
     lines: DataFrame,
-    order: Sequence[str] = LOG_ORDER,
+    order: Sequence[str] | None = None,
     large: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """Add the difference to the customer's previous line, for time and measures."""
     if large is None:
         large = frequent_keys(lines, ["customer_id"])
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
-    return running(lines, "customer_id", order, diffs=DIFFS, large=large.get("customer_id", {}))
+    return running(
+        lines,
+        "customer_id",
+        _order(lines, order),
+        diffs=DIFFS,
+        large=large.get("customer_id", {}),
+    )
 
 
 def cumsum(
     lines: DataFrame,
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
-    order: Sequence[str] = LOG_ORDER,
+    order: Sequence[str] | None = None,
     large: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """Seven statistics of nine running sums (63 features)."""
@@ -192,7 +202,7 @@ def diff(
     lines: DataFrame,
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
-    order: Sequence[str] = LOG_ORDER,
+    order: Sequence[str] | None = None,
     large: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """First and last purchase time and seven statistics of four differences (30 features)."""
@@ -303,7 +313,7 @@ def full(
     lines: DataFrame,
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
-    order: Sequence[str] = LOG_ORDER,
+    order: Sequence[str] | None = None,
     large: Mapping[str, Mapping] | None = None,
     chain: str = "right",
     tenure_until: str | None = None,
@@ -321,11 +331,11 @@ def full(
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
     recent = lines
     for key in ("order_id", "product_id"):
-        lines = running(lines, key, order, sums=CUMSUMS[key], large=large.get(key, {}))
+        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], large=large.get(key, {}))
     lines = running(
         lines,
         "customer_id",
-        order,
+        _order(lines, order),
         sums=CUMSUMS["customer_id"],
         diffs=DIFFS,
         large=large.get("customer_id", {}),
