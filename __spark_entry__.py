@@ -54,22 +54,22 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
 
 def feature_set(name: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = transactions(spark, sf_dir)
+        lines = transactions(spark, sf_dir, price=name not in ("nunique", "mode"))
         return tidy(sets.build(name, lines, MONTHS, threshold=THRESHOLD, **options))
 
     return run
 
 
 def q_generate_label(spark, sf_dir):
-    return generate_label(transactions(spark, sf_dir), TARGET, THRESHOLD)
+    return generate_label(transactions(spark, sf_dir, price=False), TARGET, THRESHOLD)
 
 
 def q_label_balance(spark, sf_dir):
-    return label_balance(generate_label(transactions(spark, sf_dir), TARGET, THRESHOLD))
+    return label_balance(generate_label(transactions(spark, sf_dir, price=False), TARGET, THRESHOLD))
 
 
 def q_month_bucket(spark, sf_dir):
-    return transactions(spark, sf_dir).select(
+    return transactions(spark, sf_dir, price=False).select(
         *LINE_KEYS,
         months.bucket("order_date").alias("year_month"),
         F.month("order_date").alias("month"),
@@ -87,7 +87,7 @@ def q_tenure_months(spark, sf_dir):
 
 
 def q_split_train_test(spark, sf_dir):
-    lines = transactions(spark, sf_dir)
+    lines = transactions(spark, sf_dir, price=False)
     sides = [
         lines.where(months.before("order_date", m)).withColumn("year_month", F.lit(m))
         for m in MONTHS
@@ -101,12 +101,12 @@ def q_split_train_test(spark, sf_dir):
 
 
 def q_latest_month_lines(spark, sf_dir):
-    lines = transactions(spark, sf_dir).where(months.within("order_date", TARGET, TARGET))
+    lines = transactions(spark, sf_dir, price=False).where(months.within("order_date", TARGET, TARGET))
     return doubles(lines.select(*LINE_KEYS, "customer_id", "total"), "total")
 
 
 def q_month_range_lines(spark, sf_dir):
-    lines = transactions(spark, sf_dir).where(months.within("order_date", "2000-11", "2001-01"))
+    lines = transactions(spark, sf_dir, price=False).where(months.within("order_date", "2000-11", "2001-01"))
     return doubles(lines.select(*LINE_KEYS, "customer_id", "total"), "total")
 
 
@@ -125,13 +125,13 @@ def q_order_diff(spark, sf_dir):
 
 
 def q_rolling_3_month(spark, sf_dir):
-    series = explore.dense_series(transactions(spark, sf_dir), measures=["total"])
+    series = explore.dense_series(transactions(spark, sf_dir, price=False), measures=["total"])
     smooth = rolling_mean(series, ["customer_id"], "period", "total", "smooth")
     return smooth.select("customer_id", "period", F.round("smooth", 4).alias("smooth"))
 
 
 def q_mean_monthly_spend(spark, sf_dir):
-    lines = transactions(spark, sf_dir).where(months.before("order_date", TARGET))
+    lines = transactions(spark, sf_dir, price=False).where(months.before("order_date", TARGET))
     return sets.mean_monthly_spend(lines, TARGET)
 
 
@@ -149,7 +149,7 @@ def q_season_independent(spark, sf_dir):
 
 def q_group_statistics(spark, sf_dir):
     stats = agg_dict(
-        transactions(spark, sf_dir),
+        transactions(spark, sf_dir, price=False),
         ["product_id"],
         {
             "quantity": ["mean", "max", "sum", "mode", "first", "last"],
@@ -162,7 +162,9 @@ def q_group_statistics(spark, sf_dir):
 
 
 def q_label_encode(spark, sf_dir):
-    modes = sets.mode_months(transactions(spark, sf_dir), MONTHS, THRESHOLD)
+    modes = materialise(
+        sets.mode_months(transactions(spark, sf_dir, price=False), MONTHS, THRESHOLD)
+    )
     train, test = sets.split(modes, TARGET)
     train, test = prepare.label_encode(train, test, ["year_month-mode"])
     return train.unionByName(test)
@@ -179,7 +181,7 @@ def q_median_impute(spark, sf_dir):
 
 
 def q_high_corr_cols(spark, sf_dir):
-    base = sets.base(transactions(spark, sf_dir), [TARGET], THRESHOLD)
+    base = materialise(sets.base(transactions(spark, sf_dir), [TARGET], THRESHOLD))
     return prepare.high_correlation(base, 0.9, sets.feature_names(base))
 
 
@@ -195,14 +197,14 @@ def q_densified_series(spark, sf_dir):
 
 
 def q_top5_customers_series(spark, sf_dir):
-    lines = transactions(spark, sf_dir)
+    lines = transactions(spark, sf_dir, price=False)
     first = explore.first_keys(lines, "customer_id", 5)
     series = explore.dense_series(lines, measures=["total"], customers=first)
     return series.withColumnRenamed("period", "per_month")
 
 
 def q_first_customer_lines(spark, sf_dir):
-    lines = explore.lines_of_first_customer(transactions(spark, sf_dir))
+    lines = explore.lines_of_first_customer(transactions(spark, sf_dir, price=False))
     return doubles(lines.select(*LINE_KEYS, "customer_id", "total"), "total")
 
 
@@ -230,7 +232,8 @@ PROFILE_COLUMNS = ["order_id", "product_id", "quantity", "price", "customer_id",
 
 
 def q_profile(spark, sf_dir):
-    table = explore.profile(transactions(spark, sf_dir).select(*PROFILE_COLUMNS))
+    # Written once: the profile passes over it several times.
+    table = explore.profile(materialise(transactions(spark, sf_dir).select(*PROFILE_COLUMNS)))
     rounded = {"mean": 4, "std": 2, "p25": 6, "p50": 6, "p75": 6}
     return table.select(
         *[F.round(c, rounded[c]).alias(c) if c in rounded else c for c in table.columns]
@@ -238,20 +241,20 @@ def q_profile(spark, sf_dir):
 
 
 def q_histogram(spark, sf_dir):
-    return explore.histogram(transactions(spark, sf_dir), "quantity", 10)
+    return explore.histogram(transactions(spark, sf_dir, price=False), "quantity", 10)
 
 
 def q_id_pattern_split(spark, sf_dir):
-    return explore.id_pattern_split(transactions(spark, sf_dir))
+    return explore.id_pattern_split(transactions(spark, sf_dir, price=False))
 
 
 def q_ids_per_pattern(spark, sf_dir):
-    return explore.ids_per_pattern(transactions(spark, sf_dir))
+    return explore.ids_per_pattern(transactions(spark, sf_dir, price=False))
 
 
 def scored(spark, sf_dir) -> DataFrame:
     """Two scores with ties, made of the customers' history, next to label and fold."""
-    lines = transactions(spark, sf_dir)
+    lines = transactions(spark, sf_dir, price=False)
     folded = stratified_folds(generate_label(lines, TARGET, THRESHOLD))
     hist = lines.where(months.before("order_date", TARGET)).groupBy("customer_id").agg(
         F.sum("total").cast("double").alias("t"), F.sum("quantity").cast("double").alias("n")
@@ -267,7 +270,7 @@ def scored(spark, sf_dir) -> DataFrame:
 
 
 def q_stratified_folds(spark, sf_dir):
-    labels = generate_label(transactions(spark, sf_dir), TARGET, THRESHOLD)
+    labels = generate_label(transactions(spark, sf_dir, price=False), TARGET, THRESHOLD)
     return stratified_folds(labels).select("customer_id", "label", "fold")
 
 
@@ -305,7 +308,7 @@ def q_importance_table(spark, sf_dir):
         F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("feature")
     )
     per_fold = (
-        transactions(spark, sf_dir)
+        transactions(spark, sf_dir, price=False)
         .join(part, "product_id")
         .groupBy("feature", (F.col("customer_id") % 5).cast("int").alias("fold"))
         .agg(F.sum("quantity").cast("double").alias("importance"))
@@ -346,7 +349,7 @@ def q_select_top_features(spark, sf_dir):
 
 def q_score_month(spark, sf_dir):
     return jobs.score_month(
-        transactions(spark, sf_dir), TARGET, "nunique", folds=FOLDS, threshold=THRESHOLD,
+        transactions(spark, sf_dir, price=False), TARGET, "nunique", folds=FOLDS, threshold=THRESHOLD,
         learners={"forest": (random_forest(5, 4), 0.4), "trees": (boosted_trees(5, 3), 0.6)},
     )
 

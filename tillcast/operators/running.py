@@ -19,34 +19,44 @@ from tillcast.session import materialise
 
 # Rows of one key that a single task may sort.
 ROWS_PER_TASK = 4_000_000
-# Size of the frequent-item sketch. It bounds the key list that is broadcast.
-TOP_KEYS = 10_000
-SKETCH_ITEMS = 50_000
+# Rows of the sample that tell a key of that size.
+SAMPLED_ROWS = 2_000
+# Keys that are split at most. The next frequent one after n keys holds less than
+# one n-th of the table, which a window can sort; the list stays small enough to
+# broadcast whatever the size of the table.
+LISTED_KEYS = 20_000
+# Range boundaries come from a sample on the driver, a hundred rows for each piece.
+MAX_PIECES = 10_000
 
 
 def frequent_keys(
     df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK
 ) -> dict[str, dict]:
-    """Keys of more than ``min_rows`` rows, with estimated row counts.
+    """Keys of more than about ``min_rows`` rows, with estimated row counts.
 
-    One pass over the key columns, whatever their number. A miss costs time
-    only: the results do not depend on which keys are listed here.
+    One pass over the key columns for all of them; a small sample is grouped. A
+    miss costs time only: the results do not depend on which keys are listed.
     """
-    found = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[
-            F.expr(f"approx_top_k(`{k}`, {TOP_KEYS}, {SKETCH_ITEMS})").alias(f"top_{k}")
-            for k in keys
-        ],
-    ).first()
-    return {
-        k: {
-            item["item"]: item["count"]
-            for item in (found[f"top_{k}"] or [])
-            if item["item"] is not None and item["count"] > min_rows
-        }
-        for k in keys
-    }
+    share = min(1.0, SAMPLED_ROWS / min_rows)
+    sample = df.select(*keys)
+    if share < 1.0:
+        sample = sample.sample(share, seed=0)
+    counts = (
+        sample.groupingSets([[k] for k in keys], *keys)
+        .agg(
+            F.coalesce(*[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]).alias("of"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .where(F.col("rows") > min_rows * share)
+        .orderBy(F.desc("rows"))
+        .limit(LISTED_KEYS)
+        .collect()
+    )
+    found: dict[str, dict] = {k: {} for k in keys}
+    for row in counts:
+        if row[row["of"]] is not None:
+            found[row["of"]][row[row["of"]]] = int(row["rows"] / share)
+    return found
 
 
 def _local(
@@ -182,10 +192,10 @@ def running(
 
     spark = df.sparkSession
     one_key = T.StructType([T.StructField(key, df.schema[key].dataType)])
-    # At most TOP_KEYS rows.
+    # At most LISTED_KEYS rows.
     listed = F.broadcast(spark.createDataFrame([(v,) for v in large], one_key))
     small_part = _local(df.join(listed, key, "left_anti").select(*df.columns), [key], order, sums, diffs)
-    pieces = max(2, sum(large.values()) // rows_per_task + 1)
+    pieces = min(MAX_PIECES, sum(large.values()) // rows_per_task + 2)
     large_part = _ranges(
         df.join(listed, key, "left_semi").select(*df.columns),
         key, order, sums, diffs, pieces, rows_per_task,

@@ -22,20 +22,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def transactions(
-    spark: SparkSession, folder: str, description: bool = False, country: bool = False
+    spark: SparkSession,
+    folder: str,
+    price: bool = True,
+    description: bool = False,
+    country: bool = False,
 ) -> DataFrame:
     """Order lines as a transaction log, with the columns of ``ORDER`` kept.
 
     Ids keep their integer type, so that a window by order reuses the
-    partitioning of the join by order. Dimension tables are joined on demand and
+    partitioning of the join by order. The other tables are joined on demand and
     without a hint: Spark broadcasts one only while it is small.
     """
     line = read_table(spark, folder, "lineitem")
     head = read_table(spark, folder, "orders")
-    part = read_table(spark, folder, "part")
-    log = line.join(part, line.l_partkey == part.p_partkey).join(
-        head, line.l_orderkey == head.o_orderkey
-    )
+    log = line.join(head, line.l_orderkey == head.o_orderkey)
+    if price or description:
+        part = read_table(spark, folder, "part")
+        log = log.join(part, line.l_partkey == part.p_partkey)
     if country:
         customer = read_table(spark, folder, "customer")
         nation = read_table(spark, folder, "nation")
@@ -48,7 +52,6 @@ def transactions(
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         F.col("o_orderdate").alias("order_date"),
-        F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
         F.col("o_custkey").alias("customer_id"),
         (F.col("l_extendedprice").cast("decimal(12,2)") * discount)
         .cast("decimal(18,4)")
@@ -57,6 +60,8 @@ def transactions(
         F.col("l_suppkey").alias("supplier_id"),
         F.col("l_extendedprice").alias("line_gross"),
     ]
+    if price:
+        columns.append(F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
     if description:
         columns.append(F.col("p_name").alias("description"))
     if country:
