@@ -110,7 +110,7 @@ def test_merged_moments_equal_pandas(spark, data):
     lines = log_of(spark, [(1, f"2011-0{m + 1}-05", v) for m, v in data])
     hist = moments.history(lines, ["total"], months.index_of("order_date"))
     rows = moments.at_months(hist, ["2012-01"])
-    got = moments.merged(rows, {"": "true"}, ["total"], FULL_STATS).first()
+    got = moments.merged(rows, {"": "true"}, ["total"], FULL_STATS, 4).first()
     x = pd.Series([v for _, v in data], dtype="float64")
     want = {"mean": x.mean(), "max": x.max(), "min": x.min(), "sum": x.sum(),
             "count": x.count(), "std": x.std(), "skew": x.skew()}

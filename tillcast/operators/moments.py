@@ -32,13 +32,20 @@ def periods(year_months: Sequence[str]) -> Column:
     return out
 
 
-def sum_type(lines: DataFrame, measures: Sequence[str]) -> str:
-    """One type that holds the sums of all measures, exactly where they are exact."""
+def sum_scale(lines: DataFrame, measures: Sequence[str]) -> int | None:
+    """Decimal places of the measures' sums; none where a measure is a double.
+
+    A sum of doubles that is rounded to these places is the double next to the
+    exact sum, whatever the order of addition.
+    """
     kinds = [lines.schema[m].dataType for m in measures]
     if any(isinstance(k, (DoubleType, FloatType)) for k in kinds):
-        return "double"
-    scale = max([k.scale for k in kinds if isinstance(k, DecimalType)], default=0)
-    return f"decimal(38,{scale})"
+        return None
+    return max([k.scale for k in kinds if isinstance(k, DecimalType)], default=0)
+
+
+def rounded(expression: str, scale: int | None) -> str:
+    return expression if scale is None else f"round({expression}, {scale})"
 
 
 def history(
@@ -50,38 +57,39 @@ def history(
     """One row per customer with the array ``hist`` of period entries.
 
     An entry has the period ``p``, the line count ``rows``, the total ``spend``,
-    the ``first_date``, and in ``of`` the moments of each measure in turn.
+    the ``first_date`` and ``last_date``, and in ``of`` the moments of each measure in turn.
     """
-    kind = sum_type(lines, measures)
     aggs, moments = [], []
     for i, m in enumerate(measures):
-        x = f"cast(`{m}` as double)"
         aggs += [
             f"count(`{m}`) as n{i}",
             f"sum(`{m}`) as s{i}",
-            f"min({x}) as lo{i}",
-            f"max({x}) as hi{i}",
-            f"var_pop({x}) as v{i}",
-            f"skewness({x}) as g{i}",
+            f"min(_x{i}) as lo{i}",
+            f"max(_x{i}) as hi{i}",
+            f"var_pop(_x{i}) as v{i}",
+            f"skewness(_x{i}) as g{i}",
         ]
         moments.append(
             f"""named_struct(
-                'n', n{i}, 's', cast(coalesce(s{i}, 0) as {kind}), 'lo', lo{i}, 'hi', hi{i},
+                'n', n{i}, 's', coalesce(cast(s{i} as double), 0D), 'lo', lo{i}, 'hi', hi{i},
                 'mu', try_divide(cast(s{i} as double), n{i}),
                 'm2', coalesce(v{i} * n{i}, 0D),
                 'm3', coalesce(g{i} * v{i} * sqrt(v{i}) * n{i}, 0D))"""
         )
+    values = [F.col(m).cast("double").alias(f"_x{i}") for i, m in enumerate(measures)]
+    extra = [m for m in measures if m != "total"]
     by_period = (
-        lines.withColumn("p", period)
+        lines.select(key, period.alias("p"), "order_date", "total", *extra, *values)
         .groupBy(key, "p")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum("total"), F.lit(0)).cast(sum_type(lines, ["total"])).alias("spend"),
+            F.coalesce(F.sum("total").cast("double"), F.lit(0.0)).alias("spend"),
             F.min("order_date").alias("first_date"),
+            F.max("order_date").alias("last_date"),
             *map(F.expr, aggs),
         )
     )
-    entry = ["p", "rows", "spend", "first_date"]
+    entry = ["p", "rows", "spend", "first_date", "last_date"]
     if measures:
         entry.append(F.expr(f"array({', '.join(moments)}) as of"))
     # Bounded by the number of periods, however many lines a customer has.
@@ -100,7 +108,7 @@ def at_months(hist: DataFrame, year_months: Sequence[str], key: str = "customer_
             key,
             "ref",
             "filter(hist, e -> e.p < ref) as past",
-            "coalesce(cast(get(filter(hist, e -> e.p = ref), 0).spend as double), 0D) as spend",
+            "coalesce(get(filter(hist, e -> e.p = ref), 0).spend, 0D) as spend",
         )
         .where("size(past) > 0")
     )
@@ -111,14 +119,15 @@ def at_months(hist: DataFrame, year_months: Sequence[str], key: str = "customer_
 # third also needs the second: sum((x - mu)^3) = m3 + 3 d m2 + n d^3, d = mean - mu.
 _PLAIN = """named_struct(
     'n', aggregate(x, 0L, (acc, e) -> acc + e.n),
-    's', cast(aggregate(x, cast(0 as {kind}), (acc, e) -> cast(acc + e.s as {kind})) as double),
+    's', {sum},
     'lo', array_min(transform(x, e -> e.lo)),
     'hi', array_max(transform(x, e -> e.hi)))"""
+_SUM = "aggregate(x, 0D, (acc, e) -> acc + e.s)"
 _CENTRED = """named_struct('a', a,
     'm2', aggregate(x, 0D, (acc, e) -> acc + if(e.n > 0,
-        e.m2 + e.n * pow(e.mu - a.s / a.n, 2), 0D)),
+        e.m2 + e.n * (e.mu - mu) * (e.mu - mu), 0D)),
     'm3', aggregate(x, 0D, (acc, e) -> acc + if(e.n > 0,
-        e.m3 + (e.mu - a.s / a.n) * (3 * e.m2 + e.n * pow(e.mu - a.s / a.n, 2)), 0D)))"""
+        e.m3 + (e.mu - mu) * (3 * e.m2 + e.n * (e.mu - mu) * (e.mu - mu)), 0D)))"""
 _RESULT = {
     "mean": "try_divide(c.a.s, c.a.n)",
     "max": "c.a.hi",
@@ -142,19 +151,20 @@ def merged(
     windows: dict[str, str],
     measures: Sequence[str],
     stats: Sequence[str],
+    scale: int | None,
     chained: bool = False,
 ) -> DataFrame:
     """Add ``<measure>-<stat><suffix>`` for every window.
 
     ``windows`` maps a suffix to a condition on an entry ``e``. A window without
     entries yields nulls; with ``chained``, so does one that any later window
-    without entries follows. The formulas are written once, as a function of
+    without entries follows. ``scale`` is that of ``sum_scale``. The formulas are written once, as a function of
     window and measure, which keeps the plan small however many columns result.
     """
-    kind = rows.selectExpr("past[0].of[0].s as s").schema["s"].dataType.simpleString()
     result = ", ".join(f"'{s}', {_RESULT[s]}" for s in stats)
     cell = _let("c", _CENTRED, f"named_struct({result})")
-    cell = _let("a", _PLAIN.format(kind=kind), cell)
+    cell = _let("mu", "try_divide(a.s, a.n)", cell)
+    cell = _let("a", _PLAIN.format(sum=rounded(_SUM, scale)), cell)
     cell = _let("x", "transform(w, e -> get(e.of, j))", cell)
     by_measure = f"transform(sequence(0, {len(measures) - 1}), j -> {cell})"
     found = "forall(slice(_w, i + 1, size(_w)), v -> size(v) > 0)" if chained else "size(w) > 0"

@@ -75,7 +75,8 @@ def _whole_history(
 ) -> DataFrame:
     hist = moments.history(lines, measures, moments.periods(year_months))
     rows = moments.at_months(hist, year_months)
-    return moments.merged(rows, {"": "true"}, measures, stats)
+    scale = moments.sum_scale(lines, measures)
+    return moments.merged(rows, {"": "true"}, measures, stats, scale)
 
 
 def base(
@@ -207,17 +208,25 @@ def diff(
 ) -> DataFrame:
     """First and last purchase time and seven statistics of four differences (30 features)."""
     lines = with_differences(_until(lines, year_months), order, large)
-    measures = ["order_ts", *DIFFS]
-    rows = _whole_history(lines, year_months, measures, FULL_STATS)
+    rows = _whole_history(lines, year_months, list(DIFFS), FULL_STATS)
     names = [f"{c}-{s}" for c in DIFFS for s in FULL_STATS]
-    return _labelled(rows, threshold, [*_first_last(), *_quoted(names)])
+    return _labelled(_with_span(rows), threshold, [*_first_last(), *_quoted(names)])
+
+
+def _with_span(rows: DataFrame) -> DataFrame:
+    """Add the customer's first and last purchase time."""
+    return rows.selectExpr(
+        "*",
+        "array_min(transform(past, e -> e.first_date)) as _first",
+        "array_max(transform(past, e -> e.last_date)) as _last",
+    )
 
 
 def _first_last() -> list[Column]:
     """In date order the first and the last time are the extremes."""
     return [
-        F.col("`order_ts-min`").alias("order_ts-first"),
-        F.col("`order_ts-max`").alias("order_ts-last"),
+        months.epoch_seconds("_first").cast("double").alias("order_ts-first"),
+        months.epoch_seconds("_last").cast("double").alias("order_ts-last"),
     ]
 
 
@@ -275,7 +284,8 @@ def trend(lines: DataFrame, year_months: Sequence[str]) -> DataFrame:
     """
     rows = _recent_history(lines, year_months, max(TREND_MONTHS))
     rows = rows.where(f"exists(past, e -> {_back(max(TREND_MONTHS), 1)})")
-    out = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS)
+    scale = moments.sum_scale(lines, MEASURES)
+    out = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS, scale)
     return out.select("customer_id", _ref_month(), *_quoted(TREND_NAMES))
 
 
@@ -297,15 +307,21 @@ def season(lines: DataFrame, year_months: Sequence[str], chain: str = "right") -
     bands = list(SEASON_WINDOWS.values())
     needed = bands[-1:] if _chained(chain) else bands
     rows = rows.where(f"exists(past, e -> {' or '.join(needed)})")
-    out = moments.merged(rows, SEASON_WINDOWS, MEASURES, SEASON_STATS, _chained(chain))
+    scale = moments.sum_scale(lines, MEASURES)
+    out = moments.merged(
+        rows, SEASON_WINDOWS, MEASURES, SEASON_STATS, scale, _chained(chain)
+    )
     return out.select("customer_id", _ref_month(), *_quoted(SEASON_NAMES))
 
 
 def _trend_and_season(lines: DataFrame, year_months: Sequence[str], chain: str) -> DataFrame:
     """Both families from the same monthly entries."""
     rows = _recent_history(lines, year_months, max(TREND_MONTHS))
-    trends = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS)
-    both = moments.merged(trends, SEASON_WINDOWS, MEASURES, SEASON_STATS, _chained(chain))
+    scale = moments.sum_scale(lines, MEASURES)
+    trends = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS, scale)
+    both = moments.merged(
+        trends, SEASON_WINDOWS, MEASURES, SEASON_STATS, scale, _chained(chain)
+    )
     return both.select("customer_id", "ref", *_quoted(TREND_NAMES + SEASON_NAMES))
 
 
@@ -342,19 +358,15 @@ def full(
     )
 
     row_columns = [*DIFFS, *CUMSUM_COLUMNS]
-    hist = moments.history(lines, ["order_ts", *row_columns], moments.periods(year_months))
-    rows = moments.at_months(hist, year_months)
-    wide = moments.merged(
-        rows, {"": "true"}, ["order_ts", *row_columns], ["min", "max", *FULL_SET_STATS]
-    )
+    wide = _whole_history(lines, year_months, row_columns, FULL_SET_STATS)
     # A value that is constant per customer has closed-form statistics.
-    money = moments.sum_type(lines, ["total"])
-    add = f"(acc, e) -> cast(acc + e.spend as {money})"
-    wide = wide.selectExpr(
+    spent = moments.rounded(
+        "aggregate(past, 0D, (acc, e) -> acc + e.spend)", moments.sum_scale(lines, ["total"])
+    )
+    wide = _with_span(wide).selectExpr(
         "*",
-        f"cast(aggregate(past, cast(0 as {money}), {add}) as double) as _spent",
+        f"{spent} as _spent",
         "cast(aggregate(past, 0L, (acc, e) -> acc + e.rows) as double) as _rows",
-        "array_min(transform(past, e -> e.first_date)) as _first",
     ).withColumn("_mean", _monthly("_spent", "_first", until))
     own = [
         F.col("_mean").alias("mean-mean"),
