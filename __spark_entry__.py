@@ -52,9 +52,15 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in names else c for c in df.columns])
 
 
-def feature_set(name: str, **options):
+def large_keys(spark: SparkSession, sf_dir: str, keys: list[str]) -> dict[str, dict]:
+    """Keys to split, from the key columns alone."""
+    return frequent_keys(transactions(spark, sf_dir, price=False), keys)
+
+
+def feature_set(name: str, keys: list[str] | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = transactions(spark, sf_dir, price=name not in ("nunique", "mode"))
+        options = {"order": ORDER, "large": large_keys(spark, sf_dir, keys)} if keys else {}
         return tidy(sets.build(name, lines, MONTHS, threshold=THRESHOLD, **options))
 
     return run
@@ -113,17 +119,27 @@ def q_month_range_lines(spark, sf_dir):
 def running_by(key: str):
     def run(spark, sf_dir):
         names = sets.CUMSUMS[key]
-        lines = running(transactions(spark, sf_dir), key, ORDER, sums=names)
+        large = large_keys(spark, sf_dir, [key])[key]
+        lines = running(transactions(spark, sf_dir), key, ORDER, sums=names, large=large)
         return doubles(lines.select(*LINE_KEYS, *names), *names)
 
     return run
 
 
 def q_order_diff(spark, sf_dir):
-    lines = sets.with_differences(transactions(spark, sf_dir), ORDER)
+    large = large_keys(spark, sf_dir, ["customer_id"])
+    lines = sets.with_differences(transactions(spark, sf_dir), ORDER, large)
     return doubles(lines.select(*LINE_KEYS, *sets.DIFFS), *sets.DIFFS)
 
 
+def q_generated_columns(spark, sf_dir):
+    lines = transactions(spark, sf_dir).where(months.before("order_date", TARGET))
+    large = large_keys(spark, sf_dir, list(sets.RUNNING_KEYS))
+    out = sets.with_month_columns(sets.with_all_columns(lines, TARGET, ORDER, large))
+    numbers = [*sets.CUMSUM_COLUMNS, *sets.DIFFS, "mean"]
+    return doubles(out.select(*LINE_KEYS, "month", "year_month", *numbers), *numbers)
+
+
 def q_rolling_3_month(spark, sf_dir):
     series = explore.dense_series(transactions(spark, sf_dir, price=False), measures=["total"])
     smooth = rolling_mean(series, ["customer_id"], "period", "total", "smooth")
@@ -264,9 +280,11 @@ def scored(spark, sf_dir) -> DataFrame:
     def share(c: str):
         return F.floor(F.col(c) / best.select(c).scalar() * 100).cast("double") / 100
 
-    return folded.join(hist, "customer_id").select(
+    scores = folded.join(hist, "customer_id").select(
         "customer_id", "label", "fold", share("t").alias("probability"), share("n").alias("second")
     )
+    # Written once: the metrics pass over it more than once.
+    return materialise(scores)
 
 
 def q_stratified_folds(spark, sf_dir):
@@ -283,6 +301,10 @@ def q_auc_by_fold(spark, sf_dir):
     return per_fold.withColumn("auc", F.round("auc", 8))
 
 
+def q_score_histogram(spark, sf_dir):
+    return explore.histogram(scored(spark, sf_dir), "probability", 20, 0.0, 1.0)
+
+
 def q_mean_fold_auc(spark, sf_dir):
     found = metrics.mean_fold_auc(scored(spark, sf_dir))
     return found.select(*[F.round(c, 8).alias(c) for c in ("mean_auc", "oof_auc")])
@@ -373,16 +395,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cumsum_product": running_by("product_id"),
         "cumsum_order": running_by("order_id"),
         "order_diff": q_order_diff,
+        "generated_columns": q_generated_columns,
         "rolling_3_month": q_rolling_3_month,
-        "cumsum_features": feature_set("cumsum", order=ORDER),
+        "cumsum_features": feature_set("cumsum", list(sets.RUNNING_KEYS)),
         "nunique_features": feature_set("nunique"),
         "mode_features": feature_set("mode"),
-        "diff_features": feature_set("diff", order=ORDER),
+        "diff_features": feature_set("diff", ["customer_id"]),
         "mean_monthly_spend": q_mean_monthly_spend,
         "trend_features": q_trend,
         "season_features": q_season,
         "season_independent": q_season_independent,
-        "full_features": feature_set("full", order=ORDER),
+        "full_features": feature_set("full", list(sets.RUNNING_KEYS)),
         "group_statistics": q_group_statistics,
         "label_encode": q_label_encode,
         "median_impute": q_median_impute,
@@ -402,6 +425,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "auc_exact": q_auc_exact,
         "auc_by_fold": q_auc_by_fold,
         "mean_fold_auc": q_mean_fold_auc,
+        "score_histogram": q_score_histogram,
         "threshold_metrics": q_threshold_metrics,
         "blend_scores": q_blend_scores,
         "importance_table": q_importance_table,
@@ -464,6 +488,7 @@ def oracle_sql() -> dict[str, str]:
         "cumsum_product": sql.running_lines("product_id"),
         "cumsum_order": sql.running_lines("order_id"),
         "order_diff": sql.order_diff(),
+        "generated_columns": sql.generated_columns(),
         "rolling_3_month": (
             f"{sql.DENSE} SELECT customer_id, period, ROUND(CASE WHEN COUNT(*) OVER w = 3 "
             "THEN AVG(total) OVER w END, 4) AS smooth FROM dense WINDOW w AS "
@@ -533,6 +558,11 @@ def oracle_sql() -> dict[str, str]:
             f"{s}, a AS ({sql.auc()}), f AS ({sql.auc('fold')}) SELECT "
             "ROUND((SELECT AVG(auc) FROM f), 8) AS mean_auc, auc AS oof_auc FROM a"
         ),
+        "score_histogram": (
+            f"{s} SELECT bin, bin * (1.0::DOUBLE / 20) AS lower, (bin + 1) * (1.0::DOUBLE / 20) "
+            "AS upper, COUNT(*) AS rows FROM (SELECT CAST(LEAST(FLOOR(probability / "
+            "(1.0::DOUBLE / 20)), 19) AS BIGINT) AS bin FROM scored) GROUP BY bin"
+        ),
         "threshold_metrics": (
             f"{s}, c AS (SELECT SUM(CAST(label = 1 AND probability > 0.5 AS INT)) AS tp, "
             "SUM(CAST(label = 0 AND probability > 0.5 AS INT)) AS fp, "

@@ -313,6 +313,17 @@ def order_diff() -> str:
     return f"WITH {LOG} SELECT {LINE_KEYS}, {casts} FROM (SELECT *, {diff_columns()} FROM log)"
 
 
+def generated_columns() -> str:
+    names = [*CUMSUMS, *DIFFS]
+    casts = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+    keys = ", ".join(f"x.{k}" for k in LINE_KEYS.split(", "))
+    return (
+        f"WITH {LOG} SELECT {keys}, CAST(month(x.order_date) AS INT) AS month, x.ym AS year_month, "
+        f"{casts}, m.mean FROM {lines_until(TARGET, f'{diff_columns()}, {running_columns()}')} x "
+        f"LEFT JOIN ({mean_spend_of(before(TARGET))}) m USING (customer_id)"
+    )
+
+
 # Month calendar of the data, and the sums of every customer in every month of it.
 DENSE = f"""WITH {LOG},
   span AS (SELECT MIN(order_date) AS a, MAX(order_date) AS b FROM log),

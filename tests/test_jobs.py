@@ -41,6 +41,7 @@ def test_score_month_covers_the_keys(spark, lines):
 def test_search_and_selection(spark, data):
     search = jobs.random_search(data, trials=2, trees=2, folds=2)
     assert search.count() == 2 and "depth" in jobs.best_parameters(search)
+    assert len(jobs.select_univariate(data, n=1)) == 1
     names = jobs.select_features(data, n=1, learner=random_forest(2, 2), folds=2)
     assert len(names) == 1 and names[0] in data.features
 
@@ -51,6 +52,14 @@ def test_evaluate_matches_by_customer(spark):
     assert rows_of(jobs.evaluate(labels, scores)) == [(1.0, 1.0, 1.0, 1.0)]
 
 
+def test_evaluate_files(spark, tmp_path):
+    write_csv(spark.createDataFrame([(1, 1), (2, 0)], "customer_id int, label int"), str(tmp_path / "l"))
+    scores = spark.createDataFrame([(2, 0.1), (1, 0.8)], "customer_id int, probability double")
+    sinks.write_predictions(scores, str(tmp_path / "s"))
+    got = jobs.evaluate_files(spark, str(tmp_path / "l"), str(tmp_path / "s"))
+    assert rows_of(got, "auc") == [(1.0,)]
+
+
 def write_csv(df, path):
     df.write.option("header", True).csv(path)
 
@@ -79,7 +88,7 @@ def test_command_line(spark, lines, tmp_path):
     write_csv(text, str(tmp_path / "train.csv"))
     write_csv(lines.select("customer_id").distinct(), str(tmp_path / "keys.csv"))
     out = str(tmp_path / "out")
-    main(["--log", str(tmp_path / "train.csv"), "--out", out, "--ym", "2001-07", "--features", "base",
+    main(["score", "--log", str(tmp_path / "train.csv"), "--out", out, "--ym", "2001-07", "--features", "base",
           "--threshold", "200000", "--folds", "2", "--single", "--keys", str(tmp_path / "keys.csv")])
     assert os.path.isdir(out)
     assert log.read_scores(spark, out).count() == lines.select("customer_id").distinct().count()

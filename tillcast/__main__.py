@@ -1,42 +1,54 @@
-"""``python -m tillcast``: score a month of a transaction log."""
+"""``python -m tillcast``: jobs on a transaction log in CSV files."""
 
 from __future__ import annotations
 
 import argparse
 
 from tillcast.operators.labels import TOTAL_THRESHOLD
+from tillcast.plans import jobs
 from tillcast.plans.features import FEATURE_SETS
-from tillcast.plans.jobs import default_learners, score_month
 from tillcast.session import get_session
 from tillcast.sources.log import read_keys, read_transactions
 from tillcast.sources.sinks import write_predictions
 
 
-def main(argv: list[str] | None = None) -> None:
+def parser() -> argparse.ArgumentParser:
     args = argparse.ArgumentParser(prog="tillcast")
+    args.add_argument("job", choices=["score", "backtest", "search"])
     args.add_argument("--log", required=True, help="CSV files of order lines")
-    args.add_argument("--out", required=True, help="output folder")
-    args.add_argument("--keys", help="CSV file of the customers to score")
-    args.add_argument("--ym", default="2011-12", help="month to predict")
+    args.add_argument("--ym", default="2011-12", help="target month")
     args.add_argument("--features", default="full", choices=sorted(FEATURE_SETS))
     args.add_argument("--threshold", type=float, default=TOTAL_THRESHOLD)
     args.add_argument("--folds", type=int, default=10)
     args.add_argument("--seed", type=int, default=0)
     args.add_argument("--single", action="store_true", help="boosted trees only, no blend")
-    given = args.parse_args(argv)
+    args.add_argument("--out", help="score: output folder")
+    args.add_argument("--keys", help="score: CSV file of the customers to score")
+    args.add_argument("--trials", type=int, default=10, help="search: number of draws")
+    return args
+
 
+def main(argv: list[str] | None = None) -> None:
+    args = parser().parse_args(argv)
     spark = get_session()
-    scores = score_month(
-        read_transactions(spark, given.log),
-        given.ym,
-        given.features,
-        learners=default_learners(not given.single),
-        folds=given.folds,
-        seed=given.seed,
-        keys=read_keys(spark, given.keys) if given.keys else None,
-        threshold=given.threshold,
-    )
-    write_predictions(scores, given.out)
+    lines = read_transactions(spark, args.log)
+    learners = jobs.default_learners(not args.single)
+    common = {"folds": args.folds, "seed": args.seed}
+    if args.job == "score":
+        if not args.out:
+            parser().error("score needs --out")
+        keys = read_keys(spark, args.keys) if args.keys else None
+        scores = jobs.score_month(
+            lines, args.ym, args.features, learners, keys=keys, threshold=args.threshold, **common
+        )
+        write_predictions(scores, args.out)
+    elif args.job == "backtest":
+        jobs.backtest(
+            lines, args.ym, args.features, args.threshold, learners=learners, **common
+        ).show()
+    else:
+        data = jobs.prepare_month(lines, args.ym, args.features, threshold=args.threshold)
+        jobs.random_search(data, trials=args.trials, **common).show(args.trials, truncate=False)
 
 
 if __name__ == "__main__":

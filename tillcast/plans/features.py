@@ -124,6 +124,30 @@ def with_differences(
     )
 
 
+def with_month_columns(lines: DataFrame) -> DataFrame:
+    """Add the month of the year and the calendar month."""
+    return lines.withColumn("month", F.month("order_date")).withColumn(
+        "year_month", months.bucket("order_date")
+    )
+
+
+def with_all_columns(
+    lines: DataFrame,
+    year_month: str,
+    order: Sequence[str] | None = None,
+    large: Mapping[str, Mapping] | None = None,
+) -> DataFrame:
+    """Lines with running sums, differences and the customer's mean monthly spend.
+
+    The ``full`` set does not need the last: it is constant per customer there.
+    """
+    if large is None:
+        large = frequent_keys(lines, list(RUNNING_KEYS))
+    spend = mean_monthly_spend(lines, year_month)
+    out = with_differences(with_running_sums(lines, order, large), order, large)
+    return out.join(spend, "customer_id", "left")
+
+
 def cumsum(
     lines: DataFrame,
     year_months: Sequence[str],

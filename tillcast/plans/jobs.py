@@ -6,7 +6,8 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import UnivariateFeatureSelector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.operators.importance import mean_importance, ranked, top_features
@@ -24,6 +25,7 @@ from tillcast.plans.training import (
     random_forest,
 )
 from tillcast.session import materialise
+from tillcast.sources.log import read_labels, read_scores
 
 # Shares of the two members of the blend.
 BLEND_WEIGHTS = (0.4, 0.6)
@@ -102,12 +104,16 @@ def train_and_blend(
 
 def evaluate(labels: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """AUC, precision, recall and F1 of scores, matched to labels by customer."""
-    scored = labels.select("customer_id", "label").join(scores, "customer_id")
+    scored = materialise(labels.select("customer_id", "label").join(scores, "customer_id"))
     return threshold_metrics(scored, threshold=threshold).select(
         auc(scored).select("auc").scalar().alias("auc"), "precision", "recall", "f1"
     )
 
 
+def evaluate_files(spark: SparkSession, label_path: str, score_path: str) -> DataFrame:
+    return evaluate(read_labels(spark, label_path), read_scores(spark, score_path))
+
+
 def backtest(
     lines: DataFrame,
     year_month: str,
@@ -121,7 +127,7 @@ def backtest(
     """Score a month whose purchases are known and compare with its labels."""
     data = prepare_month(lines, year_month, feature_set, threshold=threshold, **options)
     scores, _ = train_and_blend(data, learners or default_learners(False), folds, seed)
-    return evaluate(generate_label(lines, year_month, threshold), materialise(scores))
+    return evaluate(generate_label(lines, year_month, threshold), scores)
 
 
 def draw_parameters(rng: random.Random) -> dict:
@@ -151,7 +157,7 @@ def random_search(
         result = out_of_fold(
             train, test, data.features, boosted_trees(trees=trees, **drawn), folds, seed
         )
-        score = auc(result.oof).first()["auc"]
+        score = auc(materialise(result.oof)).first()["auc"]
         rows.append((trial, *[str(drawn[k]) for k in sorted(drawn)], float(score)))
     names = sorted(draw_parameters(random.Random(0)))
     schema = "trial int, " + ", ".join(f"{n} string" for n in names) + ", auc double"
@@ -183,6 +189,16 @@ def select_features(
     return top_features(mean_importance(result.importance), n)
 
 
+def select_univariate(data: Prepared, n: int = 50) -> list[str]:
+    """The ``n`` features that tell the classes apart best one by one (ANOVA F-test)."""
+    selector = UnivariateFeatureSelector(
+        featuresCol="features", labelCol="label", outputCol="selected"
+    )
+    selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(n)
+    model = selector.fit(assemble(data.train, data.features))
+    return [data.features[i] for i in sorted(model.selectedFeatures)]
+
+
 def importance_table(results: Mapping[str, FoldResult], member: str, n: int = 20) -> DataFrame:
     return ranked(mean_importance(results[member].importance), n)
 
