@@ -60,6 +60,19 @@ def test_equal_rows_are_spread(spark):
     assert sum(sizes) == 400 and max(sizes) < 200
 
 
+@pytest.mark.parametrize("large", [{}, {None: 40}, {None: 40, "p": 30}])
+def test_rows_without_a_key(spark, large):
+    rows = [(1, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}", None, 1, 1) for i in range(40)]
+    rows += [(1, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}", "p", 1, 1) for i in range(30)]
+    lines = log_of(spark, rows)
+    got = R.running(
+        lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, large, rows_per_task=10
+    )
+    assert got.where("product_id is null and (s is not null or d is not null)").count() == 0
+    assert got.where("product_id = 'p' and s is null").count() == 0
+    assert rows_of(got) == rows_of(R.running(lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, {}))
+
+
 def test_frequent_keys_are_found(spark):
     df = spark.createDataFrame([(7 if i % 3 == 0 else i,) for i in range(3000)], "k bigint")
     found = R.frequent_keys(df, ["k"], min_rows=500)["k"]

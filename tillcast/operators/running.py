@@ -35,7 +35,8 @@ def frequent_keys(
     """Keys of more than about ``min_rows`` rows, with estimated row counts.
 
     One pass over the key columns for all of them; a small sample is grouped. A
-    miss costs time only: the results do not depend on which keys are listed.
+    miss costs time only: the results do not depend on which keys are listed. The
+    key ``None`` stands for rows without one.
     """
     share = min(1.0, SAMPLED_ROWS / min_rows)
     sample = df.select(*keys)
@@ -54,28 +55,28 @@ def frequent_keys(
     )
     found: dict[str, dict] = {k: {} for k in keys}
     for row in counts:
-        if row[row["of"]] is not None:
-            found[row["of"]][row[row["of"]]] = int(row["rows"] / share)
+        found[row["of"]][row[row["of"]]] = int(row["rows"] / share)
     return found
 
 
 def _local(
     df: DataFrame,
-    by: list[str],
+    key: str,
     order: Sequence[str],
     sums: Mapping[str, str],
     diffs: Mapping[str, str],
 ) -> DataFrame:
-    """Running sums and differences inside one window partition."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Running sums and differences, one window partition per key; null without a key."""
+    w = Window.partitionBy(key).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col(key).isNotNull()
     return df.select(
         "*",
         *[
-            F.when(F.col(c).isNotNull(), F.sum(c).over(upto)).alias(name)
+            F.when(known & F.col(c).isNotNull(), F.sum(c).over(upto)).alias(name)
             for name, c in sums.items()
         ],
-        *[(F.col(c) - F.lag(c).over(w)).alias(name) for name, c in diffs.items()],
+        *[F.when(known, F.col(c) - F.lag(c).over(w)).alias(name) for name, c in diffs.items()],
     )
 
 
@@ -188,17 +189,32 @@ def running(
     if large is None:
         large = frequent_keys(df, [key], rows_per_task)[key]
     if not large:
-        return _local(df, [key], order, sums, diffs)
+        return _local(df, key, order, sums, diffs)
+    if None in large:
+        # Rows without a key have no running values, so they need no window.
+        large = {k: rows for k, rows in large.items() if k is not None}
+        keyed = running(
+            df.where(F.col(key).isNotNull()), key, order, sums, diffs, large, rows_per_task
+        )
+        added = [F.lit(None).cast(keyed.schema[n].dataType).alias(n) for n in (*sums, *diffs)]
+        return keyed.unionByName(df.where(F.col(key).isNull()).select("*", *added))
 
     spark = df.sparkSession
     one_key = T.StructType([T.StructField(key, df.schema[key].dataType)])
     # At most LISTED_KEYS rows.
     listed = F.broadcast(spark.createDataFrame([(v,) for v in large], one_key))
-    small_part = _local(df.join(listed, key, "left_anti").select(*df.columns), [key], order, sums, diffs)
+    small_part = _local(
+        df.join(listed, key, "left_anti").select(*df.columns), key, order, sums, diffs
+    )
     pieces = min(MAX_PIECES, sum(large.values()) // rows_per_task + 2)
     large_part = _ranges(
         df.join(listed, key, "left_semi").select(*df.columns),
-        key, order, sums, diffs, pieces, rows_per_task,
+        key,
+        order,
+        sums,
+        diffs,
+        pieces,
+        rows_per_task,
     )
     same_types = [F.col(f.name).cast(f.dataType).alias(f.name) for f in small_part.schema]
     return small_part.unionByName(large_part.select(*same_types))
