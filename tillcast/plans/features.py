@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tillcast.functions import months
 from tillcast.functions.stats import FULL_STATS
 from tillcast.operators import moments
-from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds, label_months
+from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds
 from tillcast.operators.running import frequent_keys, running
 from tillcast.schema import LOG_ORDER, MEASURES
 
@@ -168,37 +168,60 @@ def nunique(
     """Number of distinct orders and products (2 features).
 
     Each pair of customer and id counts from its first date on, so the pairs are
-    built once for all months, and a frequent customer's pairs are spread.
+    built once for all months, and a frequent customer's pairs are spread. They
+    carry the spend of the months too, once per order, which gives the labels.
     """
-    last = max(year_months)
     columns = ["order_id", "product_id"]
     ids = [
         F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id")) for c in columns
     ]
+    spends = [
+        F.sum(F.when(months.within("order_date", m, m), F.col("total"))).alias(f"spend_{i}")
+        for i, m in enumerate(year_months)
+    ]
     pairs = (
-        lines.where(months.before("order_date", last))
-        .select("customer_id", "order_date", F.inline(F.array(*ids)))
+        _until(lines, year_months)
+        .select("customer_id", "order_date", "total", F.inline(F.array(*ids)))
         .groupBy("customer_id", "kind", "id")
-        .agg(F.min("order_date").alias("first_date"))
+        .agg(F.min("order_date").alias("first_date"), *spends)
+    )
+
+    def is_kind(c: str) -> Column:
+        return F.col("kind") == c
+
+    customers = pairs.groupBy("customer_id").agg(
+        F.min("first_date").alias("first_date"),
+        *[
+            F.sum(F.when(is_kind("order_id"), F.col(f"spend_{i}"))).alias(f"spend_{i}")
+            for i in range(len(year_months))
+        ],
+        *[
+            F.count_if(is_kind(c) & F.col("id").isNotNull() & months.before("first_date", m))
+            .cast("double")
+            .alias(f"{c}_{i}")
+            for i, m in enumerate(year_months)
+            for c in columns
+        ],
     )
-    counts = [
-        F.count_if((F.col("kind") == c) & F.col("id").isNotNull() & months.before("first_date", m))
-        .cast("double")
-        .alias(f"{c}_{i}")
-        for i, m in enumerate(year_months)
-        for c in columns
-    ]
     rows = [
         F.struct(
-            F.lit(m).alias("year_month"), *[F.col(f"{c}_{i}").alias(f"{c}-nunique") for c in columns]
+            F.lit(m).alias("year_month"),
+            months.before("first_date", m).alias("known"),
+            F.coalesce(F.col(f"spend_{i}").cast("double"), F.lit(0.0)).alias("spend"),
+            *[F.col(f"{c}_{i}").alias(f"{c}-nunique") for c in columns],
         )
         for i, m in enumerate(year_months)
     ]
-    features = (
-        pairs.groupBy("customer_id").agg(*counts).select("customer_id", F.inline(F.array(*rows)))
+    return (
+        customers.select("customer_id", F.inline(F.array(*rows)))
+        .where("known")
+        .select(
+            "customer_id",
+            "year_month",
+            exceeds("spend", threshold).alias("label"),
+            *_quoted([f"{c}-nunique" for c in columns]),
+        )
     )
-    labels = label_months(lines, year_months, threshold).drop("total")
-    return labels.join(features, ["customer_id", "year_month"], "left")
 
 
 def mode_months(

@@ -36,10 +36,12 @@ def transactions(
     """
     line = read_table(spark, folder, "lineitem")
     head = read_table(spark, folder, "orders")
-    log = line.join(head, line.l_orderkey == head.o_orderkey)
+    log = line
     if price or description:
         part = read_table(spark, folder, "part")
         log = log.join(part, line.l_partkey == part.p_partkey)
+    # Last, so that its partitioning is the one that is left.
+    log = log.join(head, line.l_orderkey == head.o_orderkey)
     if country:
         customer = read_table(spark, folder, "customer")
         nation = read_table(spark, folder, "nation")
