@@ -22,7 +22,7 @@ from tillcast.plans import features as sets  # noqa: E402
 from tillcast.plans import jobs  # noqa: E402
 from tillcast.plans.training import assemble, boosted_trees, fold_vectors, out_of_fold  # noqa: E402
 from tillcast.plans.training import random_forest  # noqa: E402
-from tillcast.session import materialise  # noqa: E402
+from tillcast.session import materialise, small_table  # noqa: E402
 from tillcast.sources.starschema import ORDER, event_log, read_table, transactions  # noqa: E402
 
 TRAIN, TARGET, THRESHOLD = sql.TRAIN, sql.TARGET, sql.THRESHOLD
@@ -366,7 +366,8 @@ def q_random_search(spark, sf_dir):
 
 def q_select_top_features(spark, sf_dir):
     names = jobs.select_features(prepared(spark, sf_dir), n=10, learner=random_forest(5, 4), folds=2)
-    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(names)], "rank int, feature string")
+    ranked = [(i + 1, c) for i, c in enumerate(names)]
+    return small_table(spark, ranked, "rank int, feature string")
 
 
 def q_score_month(spark, sf_dir):

@@ -11,6 +11,7 @@ from tillcast.functions import months
 from tillcast.functions.stats import numeric_columns
 from tillcast.operators.quantiles import exact_quantiles
 from tillcast.schema import MEASURES
+from tillcast.session import small_table
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -84,8 +85,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         ]
     ).select(F.inline(F.array(*[f"s{i}" for i in range(len(numeric))])))
     found = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
-    quartiles = df.sparkSession.createDataFrame(
-        [(c, *found[c]) for c in numeric], "column string, p25 double, p50 double, p75 double"
+    quartiles = small_table(
+        df.sparkSession,
+        [(c, *found[c]) for c in numeric],
+        "column string, p25 double, p50 double, p75 double",
     )
     # One row per column of the table on either side.
     return table.join(numbers.join(quartiles, "column"), "column", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.session import materialise
+from tillcast.session import materialise, small_table
 
 # Rows of one key that a single task may sort.
 ROWS_PER_TASK = 4_000_000
@@ -202,7 +202,7 @@ def running(
     spark = df.sparkSession
     one_key = T.StructType([T.StructField(key, df.schema[key].dataType)])
     # At most LISTED_KEYS rows.
-    listed = F.broadcast(spark.createDataFrame([(v,) for v in large], one_key))
+    listed = F.broadcast(small_table(spark, [(v,) for v in large], one_key))
     small_part = _local(
         df.join(listed, key, "left_anti").select(*df.columns), key, order, sums, diffs
     )

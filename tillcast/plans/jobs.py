@@ -24,7 +24,7 @@ from tillcast.plans.training import (
     out_of_fold,
     random_forest,
 )
-from tillcast.session import materialise
+from tillcast.session import materialise, small_table
 from tillcast.sources.log import read_labels, read_scores
 
 # Shares of the two members of the blend.
@@ -161,7 +161,7 @@ def random_search(
         rows.append((trial, *[str(drawn[k]) for k in sorted(drawn)], float(score)))
     names = sorted(draw_parameters(random.Random(0)))
     schema = "trial int, " + ", ".join(f"{n} string" for n in names) + ", auc double"
-    return data.train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "trial")
+    return small_table(data.train.sparkSession, rows, schema).orderBy(F.desc("auc"), "trial")
 
 
 def best_parameters(search: DataFrame) -> dict[str, str]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "tillcast", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,6 +20,8 @@ def get_session(app: str = "tillcast", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Merging period arrays is much work for few bytes: keep the cores busy.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **conf,
     }
     for name, value in settings.items():
@@ -40,3 +45,12 @@ def materialise(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tillcast-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of few rows from the driver, handed over as Arrow, without Python workers."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    table = pa.table({f.name: list(c) for f, c in zip(schema, columns)})
+    return spark.createDataFrame(table, schema)
