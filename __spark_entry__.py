@@ -556,7 +556,7 @@ def oracle_sql() -> dict[str, str]:
         "auc_exact": f"{s} {sql.auc()}",
         "auc_by_fold": f"{s} {sql.auc('fold')}",
         "mean_fold_auc": (
-            f"{s}, a AS ({sql.auc()}), f AS ({sql.auc('fold')}) SELECT "
+            f"{s}, a AS ({sql.auc()}), f AS ({sql.auc('fold', digits=None)}) SELECT "
             "ROUND((SELECT AVG(auc) FROM f), 8) AS mean_auc, auc AS oof_auc FROM a"
         ),
         "score_histogram": (

@@ -354,15 +354,19 @@ SCORED = f"""WITH {LOG},
     FROM folded JOIN hist USING (customer_id))"""
 
 
-def auc(by: str = "") -> str:
+def auc(by: str = "", digits: int | None = 8) -> str:
+    value = (
+        "(SUM(CASE WHEN label = 1 THEN r END) - SUM(label) * (SUM(label) + 1) / 2.0) "
+        "/ (SUM(label) * SUM(1 - label))"
+    )
+    value = value if digits is None else f"ROUND({value}, {digits})"
     part = f"PARTITION BY {by}" if by else ""
     pre = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     return (
         f"SELECT {pre}CAST(SUM(label) AS BIGINT) AS positives, "
         f"CAST(SUM(1 - label) AS BIGINT) AS negatives, "
-        f"ROUND((SUM(CASE WHEN label = 1 THEN r END) - SUM(label) * (SUM(label) + 1) / 2.0) "
-        f"/ (SUM(label) * SUM(1 - label)), 8) AS auc "
+        f"{value} AS auc "
         f"FROM (SELECT *, RANK() OVER ({part} ORDER BY probability) "
         f"+ (COUNT(*) OVER (PARTITION BY {pre}probability) - 1) / 2.0 AS r FROM scored) {group}"
     )
