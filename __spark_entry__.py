@@ -382,7 +382,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return feature_set("base")(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "generate_label": q_generate_label,
         "label_balance": q_label_balance,
@@ -438,7 +438,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | training_text()[0]
+
+
+def training_text() -> tuple[dict, dict]:
+    """Queries and SQL of the training-text operators, where these are installed."""
+    queries, oracles = {}, {}
+    try:
+        from tillcast.llm.queries import QUERIES, SQL
+
+        queries |= QUERIES
+        oracles |= SQL
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith("tillcast.llm"):
+            raise
+    try:
+        import corpus_pipeline
+
+        queries["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline" and not (e.name or "").startswith("tillcast.llm"):
+            raise
+    return queries, oracles
+
+
 def oracle_sql() -> dict[str, str]:
+    return own_sql() | training_text()[1]
+
+
+def own_sql() -> dict[str, str]:
     log, s = f"WITH {sql.LOG} ", sql.SCORED
     keys = sql.LINE_KEYS
     month_lines = f"{log}SELECT {keys}, customer_id, CAST(total AS DOUBLE) AS total FROM log WHERE "

@@ -8,14 +8,14 @@ TRAINING = {"oof_predictions", "backtest", "random_search", "select_top_features
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == TRAINING
+    assert set(entry.own_sql()) <= set(entry.own_queries())
+    assert set(entry.own_queries()) - set(entry.own_sql()) == TRAINING
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in TRAINING])
+@pytest.mark.parametrize("name", [n for n in entry.own_queries() if n not in TRAINING])
 def test_query_equals_sql(spark, name):
-    got = entry.queries()[name](spark, FOLDER).toPandas()
-    want = connect(FOLDER).execute(entry.oracle_sql()[name]).df()
+    got = entry.own_queries()[name](spark, FOLDER).toPandas()
+    want = connect(FOLDER).execute(entry.own_sql()[name]).df()
     assert difference(got, want) is None
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# Folders of written tables, by the scope that removes them; the first is the session's own.
+_written: list[list[str]] = [[]]
+
 
 def get_session(app: str = "tillcast", master: str | None = None, **conf: str) -> SparkSession:
     """A session for local runs and tests; a cluster brings its own."""
@@ -29,22 +36,57 @@ def get_session(app: str = "tillcast", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a plain local master, where one machine does all the work, may do without it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tillcast-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` to the shared folder as Parquet and go on from the files.
 
-    The result no longer depends on the executors that computed it. The folder
-    is the one the cluster names; a temporary one is used on a local master only.
+    The result no longer depends on the executors that computed it, and later
+    passes read only the columns they need. The files go when the innermost
+    ``scratch`` block ends, or else with the session.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tillcast-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tillcast-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what is materialised in the block, once its results have been computed."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _written.pop())
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        where = files(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
+@atexit.register
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written[0]:
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            _remove(spark, _written[0])
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
