@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, sharding
+from tillcast.llm import chat, decontaminate, fertility, near_dup, sentences, sharding
 from tillcast.session import small_table
 
 
@@ -13,6 +13,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, ["doc_id"], size=3, percent=85)
+
+
+#: The words are those that the operator cuts; whole texts, all pairs that share a shingle.
+OP1_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g'), ' '),
+        lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
+        THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1),
+        lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y
+    ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+    WHERE 100 * k >= 85 * (p.n + q.n - k)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (
+    SELECT a, b FROM both_ways
+    UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b
+), c AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id))
+    AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return fertility.rate(docs, ["doc_id"])
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("overlaps.item_id")))
+    return found.select(
+        "doc_id",
+        (F.size("overlaps") > 0).alias("contaminated"),
+        items.alias("item_ids"),
+        F.size("overlaps").cast("long").alias("n_overlaps"),
+        F.coalesce(F.array_max(F.col("overlaps.equal")), F.lit(0)).cast("long").alias("most_equal"),
+    )
+
+
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -30,6 +81,11 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.remove_repeats(docs)
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -68,7 +124,11 @@ FROM o GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_lsh_forest": op1_lsh_forest,
     "op3_sampled_splitters": op3_sampled_splitters,
+    "op4_fertility": op4_fertility,
+    "op6_spaced_seeds": op6_spaced_seeds,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_relational_chat": op10_relational_chat,
 }
-SQL = {"op10_relational_chat": OP10_SQL}
+SQL = {"op1_lsh_forest": OP1_SQL, "op10_relational_chat": OP10_SQL}
