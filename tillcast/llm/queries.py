@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, decontaminate, fertility, near_dup, sentences, sharding
+from tillcast.llm import chat, decontaminate, fertility, licenses, near_dup, sentences, sharding
 from tillcast.session import small_table
 
 
@@ -81,6 +81,42 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def sql_words(text: str) -> str:
+    return (
+        f"list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), "
+        "lambda x: x <> '')"
+    )
+
+
+def sql_shingles(words: str, n: int) -> str:
+    return (
+        f"CASE WHEN len({words}) < {n} THEN [] ELSE list_transform(range(1, len({words}) - {n - 2}), "
+        f"lambda i: array_to_string({words}[i:i + {n - 1}], ' ')) END"
+    )
+
+
+def op8_sql() -> str:
+    quoted = ", ".join(
+        f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in licenses.TEMPLATES
+    )
+    n = licenses.SHINGLE
+    return f"""
+WITH templates(license, text) AS (VALUES {quoted}),
+t AS (SELECT license, {sql_words('text')} AS w FROM templates),
+own AS (SELECT DISTINCT license, unnest({sql_shingles('w', n)}) AS s FROM t),
+total AS (SELECT license, count(*) AS n FROM own GROUP BY license),
+d AS (SELECT DISTINCT doc_id, text, {sql_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+has AS (SELECT DISTINCT doc_id, text, unnest({sql_shingles('w', n)}) AS s FROM d),
+shared AS (SELECT doc_id, text, license, count(*) AS k FROM has JOIN own USING (s) GROUP BY ALL)
+SELECT doc_id, license, k AS n_shared, n AS n_shingles, round(k / n, 6) AS containment
+FROM shared JOIN total USING (license) WHERE k >= {licenses.CONTAINED} * n
+"""
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentences.remove_repeats(docs)
@@ -128,7 +164,12 @@ QUERIES = {
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_fertility": op4_fertility,
     "op6_spaced_seeds": op6_spaced_seeds,
+    "op8_license_windows": op8_license_windows,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_relational_chat": op10_relational_chat,
 }
-SQL = {"op1_lsh_forest": OP1_SQL, "op10_relational_chat": OP10_SQL}
+SQL = {
+    "op1_lsh_forest": OP1_SQL,
+    "op8_license_windows": op8_sql(),
+    "op10_relational_chat": OP10_SQL,
+}
