@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, decontaminate, fertility, licenses, near_dup, sentences, sharding
+from tillcast.llm import chat, decontaminate, factorisation, fertility, licenses, mixing, near_dup
+from tillcast.llm import sentences, sharding
 from tillcast.session import small_table
 
 
@@ -51,6 +52,68 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rate(docs, ["doc_id"])
 
 
+def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mix(docs).select(
+        "doc_id",
+        "source",
+        "lang",
+        "mix.topic",
+        "mix.tokens",
+        F.round("mix.weight", 6).alias("weight"),
+        F.round("mix.probability", 6).alias("probability"),
+        "mix.kept",
+    )
+
+
+def op5_sql() -> str:
+    """The same rounds, written out one after the other."""
+    steps = ["w0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS raked FROM cells3)"]
+    for i in range(3 * mixing.ROUNDS):
+        m = mixing.MARGINS[i % 3]
+        steps.append(
+            f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (raked * to_{m} / sum(raked) OVER "
+            f"(PARTITION BY {m}) AS raked) FROM w{i})"
+        )
+    targets = []
+    for i, m in enumerate(mixing.MARGINS):
+        power = f"pow(sum(tokens), {mixing.POWERS[m]}::DOUBLE)"
+        targets.append(
+            f"t{i} AS (SELECT {m}, {power} / sum({power}) OVER () * sum(sum(tokens)) OVER () AS to_{m} "
+            f"FROM cells{i} GROUP BY {m}), cells{i + 1} AS MATERIALIZED (SELECT c.*, to_{m} "
+            f"FROM cells{i} c JOIN t{i} USING ({m}))"
+        )
+    return f"""
+WITH d AS (
+    SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents
+), e AS (
+    SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^ \t-\r]+')) + 1 AS tokens,
+        CASE WHEN length(text) - length(replace(text, '|', '')) >= 5 THEN 'table'
+            WHEN length(text) < 600 THEN 'brief' WHEN length(text) >= 5000 THEN 'long'
+            ELSE 'prose' END AS topic,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text)) || '|7'), 1, 13) AS BIGINT)
+            / 4503599627370496.0::DOUBLE AS chance FROM d
+), f AS (
+    SELECT *, coalesce('=' || source, '') AS s, coalesce('=' || lang, '') AS l FROM e
+), cells0 AS (
+    SELECT s AS source, l AS lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY ALL
+), {', '.join(targets)}, {', '.join(steps)},
+r AS (SELECT source, lang, topic, tokens, raked, raked / tokens AS weight FROM w{3 * mixing.ROUNDS}),
+o AS (
+    SELECT *, {mixing.KEEP}::DOUBLE * sum(tokens) OVER () AS budget, sum(raked) OVER () AS total,
+        coalesce(sum(tokens) OVER before, 0) AS whole, coalesce(sum(raked) OVER before, 0) AS gone
+    FROM r WINDOW before AS (ORDER BY weight DESC, source, lang, topic
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+    SELECT max((budget - whole) / (total - gone)) AS scale FROM o
+    WHERE total - gone > 1e-9 * total AND (budget - whole) / (total - gone) * weight <= 1
+), p AS (SELECT r.*, least(1.0::DOUBLE, scale * weight) AS probability FROM r, c)
+SELECT doc_id, f.source, f.lang, f.topic, CAST(f.tokens AS BIGINT) AS tokens,
+    round(weight, 6) AS weight, round(probability, 6) AS probability, chance < probability AS kept
+FROM f JOIN p ON p.source = s AND p.lang = l AND p.topic = f.topic
+"""
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -81,6 +144,15 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = factorisation.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(factorisation.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return factorisation.score(docs, machine).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -163,13 +235,16 @@ QUERIES = {
     "op1_lsh_forest": op1_lsh_forest,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_fertility": op4_fertility,
+    "op5_raking": op5_raking,
     "op6_spaced_seeds": op6_spaced_seeds,
+    "op7_factorisation_machine": op7_factorisation_machine,
     "op8_license_windows": op8_license_windows,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_relational_chat": op10_relational_chat,
 }
 SQL = {
     "op1_lsh_forest": OP1_SQL,
+    "op5_raking": op5_sql(),
     "op8_license_windows": op8_sql(),
     "op10_relational_chat": OP10_SQL,
 }
