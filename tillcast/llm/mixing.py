@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.session import materialise
@@ -80,8 +80,8 @@ def rake(
 ) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``raked`` tokens.
 
-    Each step sums the weights by one margin before the shuffle and scales them. Cells are as
-    many as the values of the margins that occur together; no cell or margin is collected.
+    Each step sums the weights by one margin in a window and scales them. Cells are as many as
+    the values of the margins that occur together; no cell or margin is collected.
     Where targets contradict each other (a value without tokens cannot gain any), the last
     margin fits and the others come as near as the rounds allow.
     """
@@ -90,11 +90,11 @@ def rake(
     cells = materialise(cells.withColumn("raked", F.col("tokens").cast("double")))
     for done in range(1, rounds + 1):
         for margin in MARGINS:
-            sums = cells.groupBy(margin).agg(F.sum("raked").alias("sum"))
-            scaled = F.col("raked") * F.col(f"to_{margin}") / F.col("sum")
+            # Cells are sums already: a value has as many as the other margins have pairs.
+            total = F.sum("raked").over(Window.partitionBy(margin))
+            scaled = F.col("raked") * F.col(f"to_{margin}") / total
             # A target of nothing leaves nothing, also where nothing was left before.
-            scaled = F.when(F.col("sum") > 0, scaled).otherwise(0.0)
-            cells = cells.join(sums, margin).withColumn("raked", scaled).drop("sum")
+            cells = cells.withColumn("raked", F.when(total > 0, scaled).otherwise(0.0))
         if done % 4 == 0 or done == rounds:
             cells = materialise(cells)
     return cells.select(*MARGINS, "tokens", "raked")
