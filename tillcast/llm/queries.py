@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, decontaminate, factorisation, fertility, licenses, mixing, near_dup
-from tillcast.llm import sentences, sharding
+from tillcast.llm import chat, decontaminate, factorisation, fertility, language_model, licenses
+from tillcast.llm import mixing, near_dup, sentences, sharding
 from tillcast.session import small_table
 
 
@@ -47,6 +47,10 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def op2_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return fertility.rate(docs, ["doc_id"])
@@ -233,6 +237,7 @@ FROM o GROUP BY conv_id
 
 QUERIES = {
     "op1_lsh_forest": op1_lsh_forest,
+    "op2_gated_recurrent": op2_gated_recurrent,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_fertility": op4_fertility,
     "op5_raking": op5_raking,
