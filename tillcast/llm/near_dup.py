@@ -157,11 +157,15 @@ def _verified(pairs: DataFrame, found: DataFrame, size: int, percent: int) -> Da
             part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
             yield part.filter(pa.array(linked, pa.bool_()))
 
-    sets = materialise(texts.mapInArrow(members, "row long, members binary"))
+    spark = found.sparkSession
+    # Sets of long texts are large, and a set comes with each of its pairs: few rows a batch.
+    with W.batch_rows(spark, 256):
+        sets = materialise(texts.mapInArrow(members, "row long, members binary"))
     left = sets.select(F.col("row").alias("holder_a"), F.col("members").alias("x"))
     right = sets.select(F.col("row").alias("holder_b"), F.col("members").alias("y"))
     both = pairs.join(left, "holder_a").join(right, "holder_b").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(compare, "a binary, b binary"))
+    with W.batch_rows(spark, 64):
+        return materialise(both.mapInArrow(compare, "a binary, b binary"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

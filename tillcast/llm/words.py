@@ -6,11 +6,13 @@ A word is a run of bytes other than space and the control characters 9 to 13; th
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Words remembered by one task; beyond it the memory starts afresh.
 REMEMBERED = 1 << 18
@@ -69,12 +71,13 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """``work`` as the function of ``mapInArrow``; what it makes once a task it keeps itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
-
-    return run
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch of what is computed inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
