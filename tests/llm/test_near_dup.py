@@ -45,7 +45,7 @@ def test_awkward_rows(spark):
     by = {}
     for r in found.itertuples():
         by.setdefault(None if r.doc_id != r.doc_id else int(r.doc_id), []).append(r)
-    texts = dict(rows)
+    texts = {r[0]: r[1] for r in rows}
     for i in (1, 2, 3, 7, 8, 9, 10, 11):
         assert by[i][0].n_shingles == len(shingles(texts[i], 3))
     assert [r.component_id for i in (1, 2, 3) for r in by[i]] == [1, 1, 1, 1]
