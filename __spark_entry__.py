@@ -16,20 +16,19 @@ from tillcast.functions import months  # noqa: E402
 from tillcast.functions.stats import agg_dict  # noqa: E402
 from tillcast.operators import explore, importance, metrics, prepare  # noqa: E402
 from tillcast.operators.folds import stratified_folds  # noqa: E402
-from tillcast.operators.labels import generate_label, label_balance, label_months  # noqa: E402
-from tillcast.operators.running import frequent_keys, rolling_mean, running  # noqa: E402
+from tillcast.operators.labels import exceeds, generate_label, label_balance, label_months  # noqa: E402
+from tillcast.operators.running import frequent_keys, rolling_mean, running, sample_share  # noqa: E402
 from tillcast.plans import features as sets  # noqa: E402
 from tillcast.plans import jobs  # noqa: E402
-from tillcast.plans.training import assemble, boosted_trees, fold_vectors, out_of_fold  # noqa: E402
-from tillcast.plans.training import random_forest  # noqa: E402
+from tillcast.plans.training import assemble, boosted_trees, fold_vectors, naive_bayes, out_of_fold  # noqa: E402
+from tillcast.schema import with_customer  # noqa: E402
 from tillcast.session import materialise, small_table  # noqa: E402
 from tillcast.sources.starschema import ORDER, event_log, read_table, transactions  # noqa: E402
 
 TRAIN, TARGET, THRESHOLD = sql.TRAIN, sql.TARGET, sql.THRESHOLD
 MONTHS = [TRAIN, TARGET]
 LINE_KEYS = ["order_id", "line_no", "product_id", "supplier_id"]
-# Training queries use short runs: what they check is the protocol.
-FOLDS = 3
+FOLDS = 10
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -53,8 +52,9 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
 
 
 def large_keys(spark: SparkSession, sf_dir: str, keys: list[str]) -> dict[str, dict]:
-    """Keys to split, from the key columns alone."""
-    return frequent_keys(transactions(spark, sf_dir, price=False), keys)
+    """Keys to split, from a sample of the lines that is drawn before they are joined."""
+    share = sample_share()
+    return frequent_keys(transactions(spark, sf_dir, price=False, share=share), keys, sampled=share)
 
 
 def feature_set(name: str, keys: list[str] | None = None):
@@ -84,7 +84,7 @@ def q_month_bucket(spark, sf_dir):
 
 
 def q_tenure_months(spark, sf_dir):
-    first = event_log(spark, sf_dir).groupBy("customer_id").agg(
+    first = with_customer(event_log(spark, sf_dir)).groupBy("customer_id").agg(
         F.min("order_date").alias("first_date")
     )
     return first.select(
@@ -93,7 +93,7 @@ def q_tenure_months(spark, sf_dir):
 
 
 def q_split_train_test(spark, sf_dir):
-    lines = transactions(spark, sf_dir, price=False)
+    lines = with_customer(transactions(spark, sf_dir, price=False))
     sides = [
         lines.where(months.before("order_date", m)).withColumn("year_month", F.lit(m))
         for m in MONTHS
@@ -248,8 +248,7 @@ PROFILE_COLUMNS = ["order_id", "product_id", "quantity", "price", "customer_id",
 
 
 def q_profile(spark, sf_dir):
-    # Written once: the profile passes over it several times.
-    table = explore.profile(materialise(transactions(spark, sf_dir).select(*PROFILE_COLUMNS)))
+    table = explore.profile(transactions(spark, sf_dir).select(*PROFILE_COLUMNS))
     rounded = {"mean": 4, "std": 2, "p25": 6, "p50": 6, "p75": 6}
     return table.select(
         *[F.round(c, rounded[c]).alias(c) if c in rounded else c for c in table.columns]
@@ -270,17 +269,26 @@ def q_ids_per_pattern(spark, sf_dir):
 
 def scored(spark, sf_dir) -> DataFrame:
     """Two scores with ties, made of the customers' history, next to label and fold."""
-    lines = transactions(spark, sf_dir, price=False)
-    folded = stratified_folds(generate_label(lines, TARGET, THRESHOLD))
-    hist = lines.where(months.before("order_date", TARGET)).groupBy("customer_id").agg(
-        F.sum("total").cast("double").alias("t"), F.sum("quantity").cast("double").alias("n")
+    lines = with_customer(transactions(spark, sf_dir, price=False))
+    earlier, inside = months.before("order_date", TARGET), months.within("order_date", TARGET, TARGET)
+    spent = F.coalesce(F.sum(F.when(inside, F.col("total"))).cast("double"), F.lit(0.0))
+    # One pass over the lines, written once: folds and maxima read it again.
+    customers = materialise(
+        lines.groupBy("customer_id")
+        .agg(
+            F.count_if(earlier).alias("known"),
+            exceeds(spent, THRESHOLD).alias("label"),
+            F.sum(F.when(earlier, F.col("total"))).cast("double").alias("t"),
+            F.sum(F.when(earlier, F.col("quantity"))).cast("double").alias("n"),
+        )
+        .where("known > 0")
     )
-    best = hist.agg(F.max("t").alias("t"), F.max("n").alias("n"))
+    best = customers.agg(F.max("t").alias("t"), F.max("n").alias("n")).first()
 
     def share(c: str):
-        return F.floor(F.col(c) / best.select(c).scalar() * 100).cast("double") / 100
+        return F.floor(F.col(c) / best[c] * 100).cast("double") / 100
 
-    scores = folded.join(hist, "customer_id").select(
+    scores = stratified_folds(customers).select(
         "customer_id", "label", "fold", share("t").alias("probability"), share("n").alias("second")
     )
     # Written once: the metrics pass over it more than once.
@@ -346,34 +354,79 @@ def prepared(spark, sf_dir, name: str = "base", **options) -> jobs.Prepared:
     )
 
 
+def q_cumsum_split(spark, sf_dir):
+    """Running sums of products, each frequent one cut into several ranges."""
+    lines, names = transactions(spark, sf_dir), sets.CUMSUMS["product_id"]
+    large = frequent_keys(lines, ["product_id"], min_rows=30)["product_id"]
+    rows = max(10, sum(large.values()) // 40)
+    split = running(lines, "product_id", ORDER, sums=names, large=large, rows_per_task=rows)
+    return doubles(split.select(*LINE_KEYS, *names), *names)
+
+
+def q_dense_series_events(spark, sf_dir):
+    return explore.dense_series(event_log(spark, sf_dir), measures=["total"])
+
+
+def q_auc_tied(spark, sf_dir):
+    tied = scored(spark, sf_dir).withColumn(
+        "probability", (F.col("probability") >= 0.5).cast("int") / F.lit(2.0)
+    )
+    return metrics.auc(tied, scores_per_task=1).withColumn("auc", F.round("auc", 8))
+
+
+def q_evaluate_partial(spark, sf_dir):
+    both = scored(spark, sf_dir)
+    found = both.where("second >= 0.2").select("customer_id", "probability")
+    got = jobs.evaluate(both.select("customer_id", "label"), found, threshold=0.3)
+    return got.withColumn("auc", F.round("auc", 8))
+
+
+def out_of_fold_of(spark, sf_dir, learner) -> DataFrame:
+    data = prepared(spark, sf_dir, "nunique")
+    train = fold_vectors(data.train, data.features, FOLDS)
+    return out_of_fold(train, assemble(data.test, data.features), data.features, learner, FOLDS).oof
+
+
+def q_oof_naive_bayes(spark, sf_dir):
+    oof = out_of_fold_of(spark, sf_dir, naive_bayes())
+    return oof.withColumn("probability", F.round("probability", 6))
+
+
+def q_oof_early_stopping(spark, sf_dir):
+    oof = out_of_fold_of(spark, sf_dir, boosted_trees(early_stop=0.01))
+    valid = F.col("probability").between(0.0, 1.0).alias("valid")
+    return oof.select("customer_id", "label", "fold", valid)
+
+
 def q_oof_predictions(spark, sf_dir):
     data = prepared(spark, sf_dir)
     train = fold_vectors(data.train, data.features, FOLDS)
     test = assemble(data.test, data.features)
-    return out_of_fold(train, test, data.features, boosted_trees(5, 3), FOLDS).oof
+    return out_of_fold(train, test, data.features, boosted_trees(), FOLDS).oof
 
 
 def q_backtest(spark, sf_dir):
     return jobs.backtest(
         transactions(spark, sf_dir), TARGET, "diff", THRESHOLD,
-        learners={"trees": (boosted_trees(5, 3), 1.0)}, folds=FOLDS, order=ORDER,
+        folds=FOLDS, order=ORDER,
     )
 
 
 def q_random_search(spark, sf_dir):
-    return jobs.random_search(prepared(spark, sf_dir), trials=2, trees=3, folds=2)
+    # The number of draws is the user's choice; each has all folds and trees.
+    return jobs.random_search(prepared(spark, sf_dir), trials=2, folds=FOLDS)
 
 
 def q_select_top_features(spark, sf_dir):
-    names = jobs.select_features(prepared(spark, sf_dir), n=10, learner=random_forest(5, 4), folds=2)
+    names = jobs.select_features(prepared(spark, sf_dir), n=10, folds=FOLDS)
     ranked = [(i + 1, c) for i, c in enumerate(names)]
     return small_table(spark, ranked, "rank int, feature string")
 
 
 def q_score_month(spark, sf_dir):
     return jobs.score_month(
-        transactions(spark, sf_dir, price=False), TARGET, "nunique", folds=FOLDS, threshold=THRESHOLD,
-        learners={"forest": (random_forest(5, 4), 0.4), "trees": (boosted_trees(5, 3), 0.6)},
+        transactions(spark, sf_dir), TARGET, "full", folds=FOLDS, threshold=THRESHOLD, order=ORDER,
+        large=large_keys(spark, sf_dir, list(sets.RUNNING_KEYS)),
     )
 
 
@@ -430,6 +483,12 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "threshold_metrics": q_threshold_metrics,
         "blend_scores": q_blend_scores,
         "importance_table": q_importance_table,
+        "cumsum_split": q_cumsum_split,
+        "dense_series_events": q_dense_series_events,
+        "auc_tied": q_auc_tied,
+        "evaluate_partial": q_evaluate_partial,
+        "oof_naive_bayes": q_oof_naive_bayes,
+        "oof_early_stopping": q_oof_early_stopping,
         "oof_predictions": q_oof_predictions,
         "backtest": q_backtest,
         "random_search": q_random_search,
@@ -574,10 +633,10 @@ def own_sql() -> dict[str, str]:
         "profile": sql.profile(PROFILE_COLUMNS, PROFILE_COLUMNS),
         "histogram": (
             f"{log}, r AS (SELECT CAST(MIN(quantity) AS DOUBLE) AS lo, "
-            "CAST(MAX(quantity) AS DOUBLE) AS hi FROM log) SELECT bin, "
+            "CAST(MAX(quantity) AS DOUBLE) AS hi FROM log), c AS (SELECT CAST(LEAST(FLOOR((quantity - lo) / "
+            "((hi - lo) / 10)), 9) AS BIGINT) AS bin, COUNT(*) AS n FROM log, r GROUP BY 1) SELECT bin, "
             "lo + bin * ((hi - lo) / 10) AS lower, lo + (bin + 1) * ((hi - lo) / 10) AS upper, "
-            "COUNT(*) AS rows FROM (SELECT lo, hi, CAST(LEAST(FLOOR((quantity - lo) / "
-            "((hi - lo) / 10)), 9) AS BIGINT) AS bin FROM log, r) GROUP BY bin, lo, hi"
+            "COALESCE(n, 0) AS rows FROM (SELECT UNNEST(range(10)) AS bin) LEFT JOIN c USING (bin), r"
         ),
         "id_pattern_split": f"{log}SELECT DISTINCT product_id, {digits} AS in_pattern FROM log",
         "ids_per_pattern": (
@@ -590,10 +649,36 @@ def own_sql() -> dict[str, str]:
             f"{s}, a AS ({sql.auc()}), f AS ({sql.auc('fold', digits=None)}) SELECT "
             "ROUND((SELECT AVG(auc) FROM f), 8) AS mean_auc, auc AS oof_auc FROM a"
         ),
+        # Keys split over many tasks give what a window gives.
+        "cumsum_split": sql.running_lines("product_id"),
+        "dense_series_events": sql.dense_events(),
+        "auc_tied": (
+            f"{s}, tied AS (SELECT label, CAST(probability >= 0.5 AS INT) / 2.0::DOUBLE AS probability "
+            f"FROM scored) {sql.auc().replace('FROM scored', 'FROM tied')}"
+        ),
+        "evaluate_partial": (
+            f"{s}, given AS (SELECT label, CASE WHEN second >= 0.2 THEN probability END AS p FROM scored), "
+            "e AS (SELECT label, COALESCE(p, 0.0::DOUBLE) AS probability FROM given), c AS (SELECT "
+            "SUM(CAST(label = 1 AND probability > 0.3 AS INT)) AS tp, "
+            "SUM(CAST(label = 0 AND probability > 0.3 AS INT)) AS fp, "
+            "SUM(CAST(label = 1 AND NOT probability > 0.3 AS INT)) AS fn FROM e), "
+            f"a AS ({sql.auc().replace('FROM scored', 'FROM e')}) SELECT auc, "
+            "COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0) AS precision, "
+            "COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS recall, "
+            "COALESCE(2 * CAST(tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), 0) AS f1, "
+            "(SELECT COUNT(*) FROM given WHERE p IS NULL) AS unscored FROM c, a"
+        ),
+        "oof_naive_bayes": sql.naive_bayes(),
+        "oof_early_stopping": (
+            f"SELECT customer_id, label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY "
+            f"md5('0|' || CAST(customer_id AS VARCHAR)), customer_id) - 1) % {FOLDS} AS INT) AS fold, "
+            f"TRUE AS valid FROM ({sql.nunique()}) WHERE year_month = '{TRAIN}'"
+        ),
         "score_histogram": (
-            f"{s} SELECT bin, bin * (1.0::DOUBLE / 20) AS lower, (bin + 1) * (1.0::DOUBLE / 20) "
-            "AS upper, COUNT(*) AS rows FROM (SELECT CAST(LEAST(FLOOR(probability / "
-            "(1.0::DOUBLE / 20)), 19) AS BIGINT) AS bin FROM scored) GROUP BY bin"
+            f"{s}, c AS (SELECT CAST(LEAST(FLOOR(probability / (1.0::DOUBLE / 20)), 19) AS BIGINT) AS bin, "
+            "COUNT(*) AS n FROM scored GROUP BY 1) SELECT bin, bin * (1.0::DOUBLE / 20) AS lower, "
+            "(bin + 1) * (1.0::DOUBLE / 20) AS upper, COALESCE(n, 0) AS rows "
+            "FROM (SELECT UNNEST(range(20)) AS bin) LEFT JOIN c USING (bin)"
         ),
         "threshold_metrics": (
             f"{s}, c AS (SELECT SUM(CAST(label = 1 AND probability > 0.5 AS INT)) AS tp, "

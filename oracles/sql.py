@@ -23,7 +23,7 @@ LOG = """log AS (
       * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS total,
     l_linenumber AS line_no, l_suppkey AS supplier_id, l_extendedprice AS line_gross,
     strftime(o_orderdate, '%Y-%m') AS ym
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey)"""
 
 
 def shift(ym: str, n: int) -> str:
@@ -328,8 +328,7 @@ def generated_columns() -> str:
 DENSE = f"""WITH {LOG},
   span AS (SELECT MIN(order_date) AS a, MAX(order_date) AS b FROM log),
   calendar AS (SELECT DISTINCT strftime(d, '%Y-%m') AS period FROM
-    (SELECT UNNEST(generate_series(CAST(a AS DATE)::TIMESTAMP,
-      CAST(a AS DATE)::TIMESTAMP + to_days(CAST(floor((epoch(b) - epoch(a)) / 86400) AS INT)),
+    (SELECT UNNEST(generate_series(CAST(a AS DATE)::TIMESTAMP, CAST(b AS DATE)::TIMESTAMP,
       INTERVAL 1 DAY)) AS d FROM span)),
   frame AS (SELECT customer_id, period FROM (SELECT DISTINCT customer_id FROM log), calendar),
   sums AS (SELECT customer_id, ym AS period, SUM(quantity) AS quantity, SUM(price) AS price,
@@ -455,3 +454,38 @@ def profile(columns: list[str], numeric: list[str]) -> str:
             f"(SELECT v FROM ({top})) AS top, (SELECT n FROM ({top})) AS freq, {stats} FROM log"
         )
     return f"WITH {LOG} " + " UNION ALL ".join(parts)
+
+
+def dense_events() -> str:
+    """Monthly sums of the events of every user, from the first to the last day."""
+    return """WITH span AS (SELECT MIN(ts) AS a, MAX(ts) AS b FROM events WHERE user_id IS NOT NULL),
+      calendar AS (SELECT DISTINCT strftime(d, '%Y-%m') AS period FROM (SELECT UNNEST(
+        generate_series(CAST(a AS DATE)::TIMESTAMP, CAST(b AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS d
+        FROM span)),
+      sums AS (SELECT user_id, strftime(ts, '%Y-%m') AS period, SUM(CAST(value AS DECIMAL(18,4))) AS total
+        FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+      frame AS (SELECT user_id, period FROM (SELECT DISTINCT user_id FROM sums), calendar)
+      SELECT user_id AS customer_id, period, CAST(COALESCE(total, 0) AS DOUBLE) AS total
+      FROM frame LEFT JOIN sums USING (user_id, period)"""
+
+
+def naive_bayes(folds: int = 10) -> str:
+    """Out-of-fold probabilities of a Gaussian naive Bayes on the two distinct counts."""
+    def term(c: str) -> str:
+        return f"ln(2 * pi() * v{c}) + ({c} - m{c}) * ({c} - m{c}) / v{c}"
+
+    return f"""WITH t AS (SELECT customer_id, label, "order_id-nunique" AS a, "product_id-nunique" AS b
+        FROM ({nunique()}) WHERE year_month = '{TRAIN}'),
+      f AS (SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY label
+        ORDER BY md5('0|' || CAST(customer_id AS VARCHAR)), customer_id) - 1) % {folds} AS INT) AS fold FROM t),
+      k AS (SELECT CAST(UNNEST(range({folds})) AS INT) AS k),
+      e AS (SELECT k, COUNT(*) AS n, 1e-9 * GREATEST(VAR_SAMP(a), VAR_SAMP(b)) AS eps
+        FROM f JOIN k ON fold <> k GROUP BY k),
+      s AS (SELECT k, f.label, COUNT(*) AS c, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS pa,
+        VAR_POP(b) AS pb FROM f JOIN k ON fold <> k GROUP BY k, f.label),
+      p AS (SELECT k, label, ln(c / n) AS prior, ma, mb, pa + eps AS va, pb + eps AS vb
+        FROM s JOIN e USING (k)),
+      l AS (SELECT customer_id, f.label, fold, p.label AS c,
+        prior - 0.5::DOUBLE * ({term('a')} + {term('b')}) AS l FROM f JOIN p ON fold = k)
+      SELECT customer_id, label, fold, ROUND(1 / (1 + exp(MAX(l) FILTER (WHERE c = 0)
+        - MAX(l) FILTER (WHERE c = 1))), 6) AS probability FROM l GROUP BY customer_id, label, fold"""

@@ -1,3 +1,5 @@
+import pytest
+
 from helpers import log_of, rows_of
 from tillcast.operators import explore
 
@@ -25,16 +27,17 @@ def test_profile(spark):
 
 def test_histogram(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 9, 10)], "x double")
-    assert rows_of(explore.histogram(df, "x", 5), "bin", "rows") == [(0, 2), (1, 1), (4, 2)]
+    assert rows_of(explore.histogram(df, "x", 5), "bin", "rows") == [
+        (0, 2), (1, 1), (2, 0), (3, 0), (4, 2)
+    ]
     assert rows_of(explore.histogram(df, "x", 2, 0, 2), "bin", "rows") == [(0, 1), (1, 2)]
     same = spark.createDataFrame([(3.0,), (3.0,)], "x double")
-    assert rows_of(explore.histogram(same, "x", 4), "bin", "rows") == [(0, 2)]
+    assert rows_of(explore.histogram(same, "x", 4), "bin", "rows") == [(0, 2), (1, 0), (2, 0), (3, 0)]
 
 
 def test_dense_series(spark):
     lines = log_of(spark, [(1, "2011-01-05 10:00", 5), (1, "2011-01-20", 2), (2, "2011-03-06 09:00", 7)])
     got = rows_of(explore.dense_series(lines, measures=["total"]), "customer_id", "period", "total")
-    # 59 whole days after the fifth of January, the calendar ends on the fifth of March.
     assert got == [
         (1, "2011-01", 7.0), (1, "2011-02", 0.0), (1, "2011-03", 0.0),
         (2, "2011-01", 0.0), (2, "2011-02", 0.0), (2, "2011-03", 7.0),
@@ -44,13 +47,20 @@ def test_dense_series(spark):
 def test_dense_series_from_a_given_day(spark):
     lines = log_of(spark, [(1, "2011-01-05", 5), (1, "2011-01-06", 1)])
     got = explore.dense_series(lines, "yyyy-MM-dd", start="2011-01-06", measures=["total"])
-    assert rows_of(got, "period", "total") == [("2011-01-06", 1.0), ("2011-01-07", 0.0)]
+    assert rows_of(got, "period", "total") == [("2011-01-06", 1.0)]
+
+
+def test_dense_series_reaches_the_last_day(spark):
+    lines = log_of(spark, [(1, "2011-01-30 23:00", 5), (1, "2011-02-01 01:00", 7), (None, "2011-02-03", 1)])
+    got = explore.dense_series(lines, measures=["total"])
+    assert rows_of(got, "period", "total") == [("2011-01", 5.0), ("2011-02", 7.0)]
+    with pytest.raises(ValueError):
+        explore.dense_series(lines, "yyyy-MM-dd HH")
 
 
 def test_first_customers(spark):
     lines = log_of(spark, [(c, "2011-01-05", c) for c in (5, 3, 9, 3, 7, 8, 6)])
     assert [r[0] for r in explore.first_keys(lines, "customer_id").orderBy("customer_id").collect()] == [3, 5, 6, 7, 8]
     assert explore.lines_of_first_customer(lines).count() == 2
-    assert rows_of(explore.lines_of(lines, [9], ["customer_id", "total"])) == [(9, 9)]
     extremes = explore.extremes(lines, ["total"]).first()
     assert (extremes["total_min"], extremes["total_max"]) == (3, 9)

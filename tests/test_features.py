@@ -135,6 +135,6 @@ def test_several_months_equal_single_months(spark, lines):
 
 
 def test_train_and_test_split(spark, lines):
-    train, test = sets.train_and_test("nunique", lines, "2001-07")
+    train, test = sets.split(sets.build("nunique", lines, ["2001-06", "2001-07"]), "2001-07")
     assert {r[0] for r in train.select("year_month").distinct().collect()} == {"2001-06"}
     assert {r[0] for r in test.select("year_month").distinct().collect()} == {"2001-07"}

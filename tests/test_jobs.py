@@ -49,7 +49,7 @@ def test_search_and_selection(spark, data):
 def test_evaluate_matches_by_customer(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "customer_id int, label int")
     scores = spark.createDataFrame([(2, 0.1), (1, 0.8)], "customer_id int, probability double")
-    assert rows_of(jobs.evaluate(labels, scores)) == [(1.0, 1.0, 1.0, 1.0)]
+    assert rows_of(jobs.evaluate(labels, scores)) == [(1.0, 1.0, 1.0, 1.0, 0)]
 
 
 def test_evaluate_files(spark, tmp_path):

@@ -65,9 +65,18 @@ def test_threshold_is_strict(spark):
     ]
 
 
-def test_print_score(spark, capsys):
-    got = metrics.print_score(scored(spark, [0.9, 0.1], [1, 0]))
-    assert got["ROC AUC Score"] == 1.0 and "Precision: 1.00000" in capsys.readouterr().out
+def test_auc_of_many_ties_and_small_ranges(spark):
+    scores = [0.5] * 990 + [i / 1000 for i in range(100)]
+    labels = [i % 3 == 0 for i in range(990)] + [i % 2 for i in range(100)]
+    table = scored(spark, scores, [int(x) for x in labels])
+    one = metrics.auc(table).first()["auc"]
+    assert abs(metrics.auc(table, scores_per_task=7).first()["auc"] - one) < 1e-12
+
+
+def test_blend_keeps_a_customer_that_one_member_lacks(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 0.5)], "customer_id long, probability double")
+    got = metrics.blend({"a": (a, 0.4), "b": (a.limit(0).union(a.where("customer_id = 1")), 0.6)})
+    assert rows_of(got) == [(1, 0.5), (2, None)]
 
 
 def test_blend_matches_by_key(spark):

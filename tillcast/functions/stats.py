@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FULL_STATS = ["mean", "max", "min", "sum", "count", "std", "skew"]
+# Statistics that ``agg_dict`` takes from tallies of the values.
+TALLIED = ("nunique", "mode")
 
 
 def unbiased_skew(biased: Column, n: Column, lowest: Column, highest: Column) -> Column:
@@ -53,14 +57,10 @@ def statistic(name: str, stat: str, order: Sequence[str] | None = None) -> Colum
         return unbiased_skew(
             F.skewness(_double(name)), F.count(x), F.min(_double(name)), F.max(_double(name))
         )
-    if stat == "nunique":
-        return F.count_distinct(x).cast("double")
     if stat == "first":
         return F.min_by(*_ordered(name, order))
     if stat == "last":
         return F.max_by(*_ordered(name, order))
-    if stat == "mode":
-        return F.mode(x, True)
     raise ValueError(f"unknown statistic {stat!r}")
 
 
@@ -70,14 +70,38 @@ def agg_dict(
     spec: Mapping[str, Iterable[str]],
     order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Statistics per column, named ``<column>-<stat>``."""
-    return df.groupBy(*keys).agg(
-        *[
-            statistic(c, stat, order).alias(f"{c}-{stat}")
-            for c, stats in spec.items()
-            for stat in stats
-        ]
-    )
+    """Statistics per column, named ``<column>-<stat>``.
+
+    The number of values and the most frequent one come from tallies by key and value, which
+    are summed before the shuffle: no task holds all values of a group. Ties of the most
+    frequent value go to the smallest.
+    """
+    spec = {c: list(stats) for c, stats in spec.items()}
+    names = [f"{c}-{stat}" for c, stats in spec.items() for stat in stats]
+    plain = [
+        statistic(c, stat, order).alias(f"{c}-{stat}")
+        for c, stats in spec.items()
+        for stat in stats
+        if stat not in TALLIED
+    ]
+    # Without any other statistic this still gives all groups.
+    out = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+    for c, stats in spec.items():
+        wanted = [stat for stat in stats if stat in TALLIED]
+        if not wanted:
+            continue
+        tallies = df.groupBy(*keys, F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        known = F.col("_value").isNotNull()
+        found = {
+            "nunique": F.count("_value").cast("double"),
+            "mode": F.min(F.when(known, F.struct(-F.col("_n"), "_value")))["_value"],
+        }
+        counted = tallies.groupBy(*[F.col(k).alias(f"_{c}_{k}") for k in keys]).agg(
+            *[found[stat].alias(f"{c}-{stat}") for stat in wanted]
+        )
+        same = [F.col(k).eqNullSafe(F.col(f"_{c}_{k}")) for k in keys]
+        out = out.join(counted, functools.reduce(operator.and_, same), "left")
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names])
 
 
 def agg_list(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tillcast.functions import months
 from tillcast.functions.stats import numeric_columns
 from tillcast.operators.quantiles import exact_quantiles
-from tillcast.schema import MEASURES
+from tillcast.schema import MEASURES, with_customer
 from tillcast.session import small_table
 
 
@@ -97,28 +98,29 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def histogram(
     df: DataFrame, column: str, bins: int, lo: float | None = None, hi: float | None = None
 ) -> DataFrame:
-    """``bin, lower, upper, rows`` of equal-width bins; the last one is closed.
+    """``bin, lower, upper, rows`` of equal-width bins, empty ones too; the last one is closed.
 
     The range is that of the data unless given; values outside a given range are
-    not counted.
+    not counted. Without values and without a given range there are no bins.
     """
     x = F.col(f"`{column}`").cast("double")
     low = F.lit(float(lo)) if lo is not None else df.agg(F.min(x)).scalar()
     high = F.lit(float(hi)) if hi is not None else df.agg(F.max(x)).scalar()
     ranged = df.select(x.alias("x"), low.alias("lo"), high.alias("hi")).where("x between lo and hi")
-    placed = ranged.selectExpr(
-        "*", f"(hi - lo) / {bins} as width"
-    ).selectExpr(
-        "lo",
-        "width",
-        f"least(coalesce(floor(try_divide(x - lo, width)), 0), {bins - 1}) as bin",
+    placed = ranged.selectExpr("x", "lo", f"(hi - lo) / {bins} as width").selectExpr(
+        f"least(coalesce(floor(try_divide(x - lo, width)), 0), {bins - 1}) as bin"
     )
+    counted = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
+    edges = df.sparkSession.range(bins).select(
+        F.col("id").alias("bin"), low.alias("lo"), ((high - low) / bins).alias("width")
+    )
+    # A row for each bin on either side.
     return (
-        placed.groupBy("bin", "lo", "width")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        edges.where("lo is not null")
+        .join(counted, "bin", "left")
         .selectExpr(
-            "cast(bin as bigint) as bin", "lo + bin * width as lower",
-            "lo + (bin + 1) * width as upper", "rows",
+            "bin", "lo + bin * width as lower", "lo + (bin + 1) * width as upper",
+            "coalesce(rows, 0L) as rows",
         )
     )
 
@@ -126,13 +128,14 @@ def histogram(
 def calendar(lines: DataFrame, pattern: str, start: str | None) -> Column:
     """Array of the distinct periods of the calendar, as a scalar subquery.
 
-    One day per whole day between the first and the last line, from ``start`` on;
-    by default from the first day of the data.
+    Every day from ``start``, by default the day of the first line, to that of the last one.
     """
+    if set("hHkKmsSaABnN") & set(re.sub("'[^']*'", "", pattern)):
+        raise ValueError("periods are days or longer")
     span = lines.agg(F.min("order_date").alias("first"), F.max("order_date").alias("last"))
-    days = F.floor((months.epoch_seconds("last") - months.epoch_seconds("first")) / 86400)
-    begin = F.lit(start).cast("date") if start else F.to_date("first")
-    dates = F.sequence(begin, F.date_add(begin, days.cast("int")))
+    begin, end = F.lit(start).cast("date") if start else F.to_date("first"), F.to_date("last")
+    # A start after the last line leaves no periods.
+    dates = F.when(begin <= end, F.sequence(begin, F.greatest(begin, end)))
     names = F.transform(dates, lambda d: F.date_format(d, pattern))
     return span.select(F.array_distinct(names)).scalar()
 
@@ -149,6 +152,7 @@ def dense_series(
     Each customer's sums, at most one per period, are laid over the calendar where
     they are; the empty rows are never shuffled. ``customers`` limits the output.
     """
+    lines = with_customer(lines)
     periods = calendar(lines, pattern, start)
     if customers is not None:
         lines = lines.join(customers.select("customer_id"), "customer_id", "left_semi")
@@ -175,17 +179,13 @@ def dense_series(
 
 def first_keys(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The ``n`` smallest distinct keys."""
-    return df.select(key).distinct().orderBy(key).limit(n)
+    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
 
 
 def lines_of_first_customer(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("customer_id") == lines.agg(F.min("customer_id")).scalar())
 
 
-def lines_of(lines: DataFrame, customers: Sequence[int], columns: Sequence[str]) -> DataFrame:
-    return lines.where(F.col("customer_id").isin(list(customers))).select(*columns)
-
-
 def starts_with_digits(column: str) -> Column:
     """The first five characters, or all of a shorter text, are digits."""
     return F.col(column).cast("string").rlike("^([0-9]{5}|[0-9]{1,4}$)")
@@ -202,8 +202,3 @@ def ids_per_pattern(lines: DataFrame, column: str = "product_id") -> DataFrame:
     )
 
 
-def info(df: DataFrame) -> list[tuple[str, str]]:
-    """Column names and types, without reading data."""
-    return [(f.name, f.dataType.simpleString()) for f in df.schema]
-
-

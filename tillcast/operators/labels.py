@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import months
+from tillcast.schema import with_customer
 
 TOTAL_THRESHOLD = 300
 
@@ -30,7 +31,8 @@ def label_months(
         for i, m in enumerate(year_months)
     ]
     customers = (
-        lines.where(months.before("order_date", months.shift(year_months[-1], 1)))
+        with_customer(lines)
+        .where(months.before("order_date", months.shift(year_months[-1], 1)))
         .groupBy("customer_id")
         .agg(F.min("order_date").alias("first_date"), *spend)
     )
@@ -49,8 +51,9 @@ def label_months(
     )
 
 
-def exceeds(column: str, threshold: float):
-    return (F.col(column) > F.lit(threshold)).cast("int")
+def exceeds(column: str | Column, threshold: float) -> Column:
+    value = F.col(column) if isinstance(column, str) else column
+    return (value > F.lit(threshold)).cast("int")
 
 
 def generate_label(

@@ -79,7 +79,8 @@ def history(
     values = [F.col(m).cast("double").alias(f"_x{i}") for i, m in enumerate(measures)]
     extra = [m for m in measures if m != "total"]
     by_period = (
-        lines.select(key, period.alias("p"), "order_date", "total", *extra, *values)
+        lines.where(F.col(key).isNotNull())
+        .select(key, period.alias("p"), "order_date", "total", *extra, *values)
         .groupBy(key, "p")
         .agg(
             F.count(F.lit(1)).alias("rows"),

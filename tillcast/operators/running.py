@@ -29,18 +29,24 @@ LISTED_KEYS = 20_000
 MAX_PIECES = 10_000
 
 
+def sample_share(min_rows: int = ROWS_PER_TASK) -> float:
+    """Share of the rows that tells keys of ``min_rows`` rows."""
+    return min(1.0, SAMPLED_ROWS / min_rows)
+
+
 def frequent_keys(
-    df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK, sampled: float | None = None
 ) -> dict[str, dict]:
     """Keys of more than about ``min_rows`` rows, with estimated row counts.
 
     One pass over the key columns for all of them; a small sample is grouped. A
     miss costs time only: the results do not depend on which keys are listed. The
-    key ``None`` stands for rows without one.
+    key ``None`` stands for rows without one. ``sampled`` tells that ``df`` is such a
+    share of the rows already, drawn where that is cheap (``sample_share``).
     """
-    share = min(1.0, SAMPLED_ROWS / min_rows)
+    share = sampled or sample_share(min_rows)
     sample = df.select(*keys)
-    if share < 1.0:
+    if share < 1.0 and not sampled:
         sample = sample.sample(share, seed=0)
     counts = (
         sample.groupingSets([[k] for k in keys], *keys)

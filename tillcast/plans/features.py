@@ -19,7 +19,7 @@ from tillcast.functions.stats import FULL_STATS
 from tillcast.operators import moments
 from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds
 from tillcast.operators.running import frequent_keys, running
-from tillcast.schema import LOG_ORDER, MEASURES
+from tillcast.schema import LOG_ORDER, MEASURES, with_customer
 
 KEYS = ["customer_id", "year_month", "label"]
 
@@ -180,7 +180,7 @@ def nunique(
         for i, m in enumerate(year_months)
     ]
     pairs = (
-        _until(lines, year_months)
+        with_customer(_until(lines, year_months))
         .select("customer_id", "order_date", "total", F.inline(F.array(*ids)))
         .groupBy("customer_id", "kind", "id")
         .agg(F.min("order_date").alias("first_date"), *spends)
@@ -279,7 +279,7 @@ def _first_last() -> list[Column]:
 
 def mean_monthly_spend(lines: DataFrame, until: str) -> DataFrame:
     """Total spend over the months since the first purchase, per customer."""
-    per_customer = lines.groupBy("customer_id").agg(
+    per_customer = with_customer(lines).groupBy("customer_id").agg(
         F.coalesce(F.sum("total").cast("double"), F.lit(0.0)).alias("total"),
         F.min("order_date").alias("first_date"),
     )
@@ -458,18 +458,6 @@ def build(name: str, lines: DataFrame, year_months: Sequence[str], **options) ->
     return FEATURE_SETS[name](lines, sorted(year_months), **options)
 
 
-def train_and_test(
-    name: str, lines: DataFrame, year_month: str, **options
-) -> tuple[DataFrame, DataFrame]:
-    """The set for the month before the target, with known labels, and for the target.
-
-    Both come from one plan; persist or write it before using them together.
-    """
-    previous = months.shift(year_month, -1)
-    both = build(name, lines, [previous, year_month], **options)
-    return split(both, year_month)
-
-
 def split(features: DataFrame, year_month: str) -> tuple[DataFrame, DataFrame]:
     is_target = F.col("year_month") == year_month
     return features.where(~is_target), features.where(is_target)

@@ -10,7 +10,7 @@ from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.operators.importance import mean_importance, ranked, top_features
+from tillcast.operators.importance import mean_importance, top_features
 from tillcast.operators.labels import TOTAL_THRESHOLD, generate_label
 from tillcast.operators.metrics import auc, blend, threshold_metrics
 from tillcast.operators.prepare import high_correlation_columns, preprocess
@@ -103,10 +103,23 @@ def train_and_blend(
 
 
 def evaluate(labels: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """AUC, precision, recall and F1 of scores, matched to labels by customer."""
-    scored = materialise(labels.select("customer_id", "label").join(scores, "customer_id"))
+    """AUC, precision, recall and F1 of scores, matched to labels by customer.
+
+    A label without a score counts as probability 0; ``unscored`` says how many there are.
+    """
+    scores = scores.select("customer_id", F.col("probability").alias("_found"))
+    scored = materialise(
+        labels.select("customer_id", "label")
+        .join(scores, "customer_id", "left")
+        .withColumn("probability", F.coalesce("_found", F.lit(0.0)))
+    )
+    unscored = scored.agg(F.count_if(F.col("_found").isNull())).scalar()
     return threshold_metrics(scored, threshold=threshold).select(
-        auc(scored).select("auc").scalar().alias("auc"), "precision", "recall", "f1"
+        auc(scored).select("auc").scalar().alias("auc"),
+        "precision",
+        "recall",
+        "f1",
+        unscored.alias("unscored"),
     )
 
 
@@ -199,10 +212,6 @@ def select_univariate(data: Prepared, n: int = 50) -> list[str]:
     return [data.features[i] for i in sorted(model.selectedFeatures)]
 
 
-def importance_table(results: Mapping[str, FoldResult], member: str, n: int = 20) -> DataFrame:
-    return ranked(mean_importance(results[member].importance), n)
-
-
 def multi_month_training(
     lines: DataFrame, feature_set: str, year_months: Sequence[str], **options
 ) -> DataFrame:

@@ -13,10 +13,10 @@ LOG_SCHEMA = T.StructType(
         T.StructField("description", T.StringType()),
         T.StructField("quantity", T.LongType()),
         T.StructField("order_date", T.TimestampNTZType()),
-        T.StructField("price", T.DoubleType()),
+        T.StructField("price", T.DecimalType(18, 4)),
         T.StructField("customer_id", T.LongType()),
         T.StructField("country", T.StringType()),
-        T.StructField("total", T.DoubleType()),
+        T.StructField("total", T.DecimalType(18, 4)),
     ]
 )
 
@@ -36,14 +36,15 @@ LOG_ORDER = [
 ]
 
 
-def clean(lines: DataFrame) -> DataFrame:
-    """Drop lines without a customer and turn NaN into null.
+def with_customer(lines: DataFrame) -> DataFrame:
+    """Lines with a customer: what groups by customer skips the others."""
+    return lines.where(F.col("customer_id").isNotNull())
+
 
-    Grouping in the feature sets is by customer and skips null keys; Spark's
-    aggregates skip nulls but not NaN.
-    """
+def clean(lines: DataFrame) -> DataFrame:
+    """Turn NaN into null: Spark's aggregates skip nulls but not NaN."""
     floats = {f.name for f in lines.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return lines.where(F.col("customer_id").isNotNull()).select(
+    return lines.select(
         *[
             F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c)
             for c in lines.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,12 +10,18 @@ from tillcast.schema import LOG_SCHEMA, clean
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """Transaction log from CSV files with a header; ``path`` may be a pattern."""
+    """Transaction log from CSV files with a header; ``path`` may be a pattern.
+
+    Price and total are decimals of four places, so that sums do not depend on the order of
+    addition; a value that does not fit is an error. ``NaN`` and blanks are null.
+    """
     # By name, so that the column order of the file does not matter.
     raw = spark.read.option("header", True).csv(path)
     columns = [
         F.to_timestamp_ntz(F.col(f.name)).alias(f.name)
         if isinstance(f.dataType, T.TimestampNTZType)
+        else _exact(f).alias(f.name)
+        if isinstance(f.dataType, T.DecimalType)
         else F.col(f.name).cast(f.dataType).alias(f.name)
         for f in LOG_SCHEMA
         if f.name in raw.columns
@@ -23,6 +29,15 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return clean(raw.select(*columns))
 
 
+def _exact(field: T.StructField) -> Column:
+    """A text as a decimal, all of whose digits must fit."""
+    text = F.trim(F.col(field.name))
+    number = F.when(~F.lower(text).isin("nan", ""), text).cast("decimal(38,18)")
+    fitting = number.cast(field.dataType)
+    message = F.concat(F.lit(f"{field.name} has more than {field.dataType.scale} places: "), text)
+    return F.when(number != fitting, F.raise_error(message)).otherwise(fitting)
+
+
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:
     """The same log after ``write_transactions``."""
     return clean(spark.read.parquet(path))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def write_predictions(scores: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write ``customer_id, probability`` as a folder of files."""
-    scores.select("customer_id", "probability").write.mode("overwrite").option(
+    """Write ``customer_id, probability`` as a folder of files, in the order of customers."""
+    scores.select("customer_id", "probability").orderBy("customer_id").write.mode("overwrite").option(
         "header", True
     ).format(fmt).save(path)
 
