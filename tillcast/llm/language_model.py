@@ -65,10 +65,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What the tasks need to know of the words; its size is fixed by HEAD and BUCKETS."""
+    """What the tasks need to know of the words; its size is fixed by the head and BUCKETS."""
 
     def __init__(self, head: list[tuple], buckets: dict[int, tuple[int, int]]):
         """``head``: (h, bucket, n) by falling n; ``buckets``: (n, words) of each, _END the end."""
+        self.head = len(head)
         self.ends = buckets.get(_END, (0, 0))[0]
         self.total = sum(n for n, _ in buckets.values())
         kinds = sum(k for _, k in buckets.values())
@@ -92,13 +93,13 @@ class Vocabulary:
         units[self.end] = self.ends + 0.5
         bucket_unit = np.array([place[(b, 1, 0)] for b in range(BUCKETS)])
         units[bucket_unit] = mass
-        # A code is the word's rank in the head, or HEAD and its bucket.
+        # A code is the word's rank in the head, or the head's size and its bucket.
         self.code = {h: i for i, (h, _, _) in enumerate(head)}
-        self.unit = np.zeros(HEAD + BUCKETS, np.int32)
-        self.unit[HEAD:] = bucket_unit
-        self.logs = np.zeros(HEAD + BUCKETS)
-        self.inside = np.zeros(HEAD + BUCKETS)
-        self.inside[HEAD:] = -np.log10(mass)
+        self.unit = np.zeros(self.head + BUCKETS, np.int32)
+        self.unit[self.head :] = bucket_unit
+        self.logs = np.zeros(self.head + BUCKETS)
+        self.inside = np.zeros(self.head + BUCKETS)
+        self.inside[self.head :] = -np.log10(mass)
         for i, (h, b, n) in enumerate(head):
             self.logs[i] = np.log10(n + 0.5)
             if i < WORDS:
@@ -110,32 +111,32 @@ class Vocabulary:
         self.masses = units.reshape(gru.CLASSES, size)
 
     def coder(self) -> W.Memory:
-        code = self.code
+        code, head = self.code, self.head
 
         def value(word: bytes) -> int:
             h = xxhash.xxh64_intdigest(word)
-            return code.get(h - (h >> 63 << 64), HEAD + _bucket(word))
+            return code.get(h - (h >> 63 << 64), head + _bucket(word))
 
         return W.Memory(value)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, head_words: int = HEAD) -> Vocabulary:
     """The head of the counts and a sum for each bucket, the only counts the driver gets."""
     words = counts.where(F.col("bucket") != _END)
-    head = words.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "bucket", "n").toArrow()
+    head = words.orderBy(F.desc("n"), "h").limit(head_words).select("h", "bucket", "n").toArrow()
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
     columns = [head.column(c).to_pylist() for c in ("h", "bucket", "n")]
     order = sorted(zip(*columns), key=lambda x: (-x[2], x[0]))
     return Vocabulary(order, {r.bucket: (r.n, r.k) for r in sums})
 
 
-def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
-    """The average of models that learners fit to one in READ_EVERY of the texts."""
+def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru.Weights:
+    """The average of models that learners fit to one in ``read_every`` of the texts."""
     weights = gru.Weights(vocab.masses)
     spark = docs.sparkSession
-    learners = max(1, vocab.total // READ_EVERY // LEARNER_UNITS)
+    learners = max(1, vocab.total // read_every // LEARNER_UNITS)
     # A text's own hash decides, so equal texts are read or left out together.
-    read = docs.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(READ_EVERY)) == 0).select("text")
+    read = docs.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(read_every)) == 0).select("text")
     shared = spark.sparkContext.broadcast((vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
     return weights
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, head_words: int = HEAD, read_every: int = READ_EVERY) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Needs doc_id and text; other columns are ignored. Null and empty texts have one token, the
@@ -184,8 +185,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = materialise(count_words(training))
-    vocab = vocabulary(counts)
-    weights = fit(training, vocab)
+    vocab = vocabulary(counts, head_words)
+    weights = fit(training, vocab, read_every)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 n.append(len(words) + 1)
                 base.append(float(known.logs[codes].sum()))
                 inside.append(float(known.inside[codes].sum()))
-                rest = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(codes >= HEAD)]
+                rest = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(codes >= known.head)]
                 tails.append(np.array(rest, np.uint64).view(np.int64))
             n = np.array(n)
             end = np.log10(known.ends + 0.5)

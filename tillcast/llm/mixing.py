@@ -54,7 +54,7 @@ def chance(docs: DataFrame, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def _targets(cells: DataFrame, margin: str, wanted: Mapping[str | None, float] | None) -> DataFrame:
+def _targets(cells: DataFrame, margin: str, wanted: Mapping[str, float] | None) -> DataFrame:
     """Total tokens wanted of each value of a margin, as a column of the cells."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").alias("sum"))
     if wanted is None:
@@ -62,20 +62,20 @@ def _targets(cells: DataFrame, margin: str, wanted: Mapping[str | None, float] |
     else:
         part = F.lit(0.0)
         for value, weight in wanted.items():
-            name = "" if value is None else f"={value}"
-            part = F.when(F.col(margin) == name, F.lit(float(weight))).otherwise(part)
+            part = F.when(F.col(margin) == value, F.lit(float(weight))).otherwise(part)
     sums = sums.withColumn("part", part)
     total = sums.agg(F.sum("part").alias("parts"), F.sum("sum").alias("all"))
     # One row.
     shares = sums.join(F.broadcast(total)).select(
-        margin, (F.col("part") / F.col("parts") * F.col("all")).alias(f"to_{margin}")
+        margin,
+        F.coalesce(F.try_divide("part", "parts") * F.col("all"), F.lit(0.0)).alias(f"to_{margin}"),
     )
     return cells.join(shares, margin)
 
 
 def rake(
     cells: DataFrame,
-    targets: Mapping[str, Mapping[str | None, float]] | None = None,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
     rounds: int = ROUNDS,
 ) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``raked`` tokens.
@@ -92,9 +92,9 @@ def rake(
         for margin in MARGINS:
             # Cells are sums already: a value has as many as the other margins have pairs.
             total = F.sum("raked").over(Window.partitionBy(margin))
-            scaled = F.col("raked") * F.col(f"to_{margin}") / total
             # A target of nothing leaves nothing, also where nothing was left before.
-            cells = cells.withColumn("raked", F.when(total > 0, scaled).otherwise(0.0))
+            scaled = F.try_divide(F.col("raked") * F.col(f"to_{margin}"), total)
+            cells = cells.withColumn("raked", F.coalesce(scaled, F.lit(0.0)))
         if done % 4 == 0 or done == rounds:
             cells = materialise(cells)
     return cells.select(*MARGINS, "tokens", "raked")
@@ -150,7 +150,11 @@ def mix(
         _category(topic).alias("topic"),
     )
     cells = numbered.groupBy(*MARGINS).agg(F.sum("doc_tokens").alias("tokens"))
-    cells = materialise(calibrate(rake(materialise(cells), targets, rounds), keep))
+    named = {
+        m: {"" if v is None else f"={v}": weight for v, weight in wanted.items()}
+        for m, wanted in (targets or {}).items()
+    }
+    cells = materialise(calibrate(rake(materialise(cells), named, rounds), keep))
     drawn = cells.select(
         *MARGINS, (F.col("raked") / F.col("tokens")).alias("weight"), "probability"
     )
