@@ -7,7 +7,9 @@ A region is what shares a prefix of LEAST values or more. Three searches follow,
 verifies its candidates on the full sets and joins what is linked into components; a later
 one looks only at pairs of different components:
 
-1. each class with the first class of its region, in the tree order that names it most often;
+1. each class with the pivot that it meets in most of its regions: the class of a region whose
+   labels, over all trees, are those of most classes. Where copies differ from one text each in
+   its own way, and so less from that text than from each other, the pivot is that text;
 2. each class with its REACH predecessors in every order, as far as they share LEAST values;
 3. all pairs in a region. The depth of a region adapts to its crowd: it is the shortest prefix
    that at most CROWD classes share, or else the whole label.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.llm import words as W
@@ -32,7 +34,7 @@ from tillcast.session import materialise
 TREES, DEPTH = 20, 8
 LEAST = 4
 REACH = 2
-CROWD = 64
+CROWD = 8
 VALUE_BYTES = 2
 _CHUNK = 1 << 16
 
@@ -105,34 +107,63 @@ def _labels(classes: DataFrame) -> DataFrame:
 
 
 def _neighbours(labels: DataFrame) -> DataFrame:
-    """Candidates ``a, b, first`` (a < b) from the sorted orders.
+    """Candidates ``a, b`` (a <= b) from the sorted orders.
 
-    ``first`` tells pairs with the first class of a region from pairs of neighbours. The orders
-    are cut into ranges of about equal rows, also inside a region, so no task gets a whole
-    crowd; a cut only takes the neighbours across it from each other, in that one order.
+    The orders are cut into ranges of about equal rows, also inside a region, so no task gets a
+    whole crowd. A cut takes the neighbours across it from each other, in that one order; the
+    rows next to it are paired with themselves, to tell that they may have others.
     """
     parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "label", "class"]
     ordered = labels.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     shared = LEAST * VALUE_BYTES
 
+    def pairs_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array(x, pa.binary()) for x in (zip(*found) if found else ([], []))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, head, recent = None, None, []
+        region, recent, name = None, [], None
         for batch in batches:
-            a, b, first = [], [], []
+            found = []
             for tree, label, name in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if region is None:
+                    found.append((name, name))
                 if region != (tree, label[:shared]):
-                    region, head, recent = (tree, label[:shared]), name, [name]
+                    region, recent = (tree, label[:shared]), [name]
                     continue
-                for other, is_head in [(head, True), *[(x, False) for x in recent]]:
-                    a.append(min(name, other))
-                    b.append(max(name, other))
-                    first.append(is_head)
-                recent = [*recent[1 - REACH :], name] if REACH > 1 else [name]
-            columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(first, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "first"])
+                found += [(min(name, x), max(name, x)) for x in recent]
+                recent = [*recent, name][-REACH:]
+            yield pairs_of(found)
+        if name is not None:
+            yield pairs_of([(name, name)])
+
+    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+
 
-    return ordered.mapInArrow(run, "a binary, b binary, first boolean")
+def _prefix(values: int) -> Column:
+    return F.substring("label", 1, values * VALUE_BYTES)
+
+
+def _pivot_pairs(labels: DataFrame) -> DataFrame:
+    """One pair (a, b) for each class that meets others: with its most frequent pivot."""
+    same_label = labels.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"))
+    weights = materialise(
+        labels.join(same_label, ["tree", "label"]).groupBy("class").agg(F.sum("n").alias("weight"))
+    )
+    regions = labels.select("tree", _prefix(LEAST).alias("region"), "class").join(weights, "class")
+    # Aggregated before the shuffle: a region of any size is one row from each task.
+    pivots = regions.groupBy("tree", "region").agg(F.max(F.struct("weight", "class")).alias("pivot"))
+    met = (
+        regions.join(pivots, ["tree", "region"])
+        .select("class", "pivot")
+        .where(F.col("class") != F.col("pivot.class"))
+        .groupBy("class", "pivot")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot")).alias("best"))
+    pivot = F.col("best.pivot.class")
+    return best.select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
@@ -183,22 +214,21 @@ def _region_pairs(labels: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = labels.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
         "tree", "label", "class", F.coalesce("root", "class").alias("root")
     )
-    prefix = lambda d: F.substring("label", 1, d * VALUE_BYTES)
     # Min and max are aggregated before the shuffle; most regions are one class or one component.
     mixed = (
-        rooted.groupBy("tree", prefix(LEAST).alias("region"))
+        rooted.groupBy("tree", _prefix(LEAST).alias("region"))
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low <> high")
         .select("tree", "region")
     )
     rows = materialise(
-        rooted.withColumn("region", prefix(LEAST)).join(mixed, ["tree", "region"], "left_semi")
+        rooted.withColumn("region", _prefix(LEAST)).join(mixed, ["tree", "region"], "left_semi")
     )
     depth = F.lit(DEPTH)
     sizes = rows
     for d in range(DEPTH - 1, LEAST - 1, -1):
-        tally = rows.groupBy("tree", prefix(d).alias("region")).agg(F.count(F.lit(1)).alias(f"n{d}"))
-        sizes = sizes.withColumn("region", prefix(d)).join(tally, ["tree", "region"])
+        tally = rows.groupBy("tree", _prefix(d).alias("region")).agg(F.count(F.lit(1)).alias(f"n{d}"))
+        sizes = sizes.withColumn("region", _prefix(d)).join(tally, ["tree", "region"])
         depth = F.when(F.col(f"n{d}") <= CROWD, d).otherwise(depth)
     key = F.substring("label", F.lit(1), depth * VALUE_BYTES)
     regions = sizes.select("tree", key.alias("region"), "class", "root")
@@ -223,28 +253,22 @@ def _components(found: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
         )
     )
     labels = _labels(classes)
-    near = materialise(
-        _neighbours(labels)
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("first").cast("int")).alias("firsts"), F.count(F.lit(1)).alias("n"))
-    )
+    near = materialise(_neighbours(labels))
+    # Classes that share no region with another have no links, and no part in what follows.
+    crowd = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    labels = materialise(labels.join(crowd, "class", "left_semi"))
+    near = near.where("a <> b")
 
     def held(pairs: DataFrame) -> DataFrame:
         side = lambda c: classes.select(F.col("class").alias(c), F.col("holder").alias(f"holder_{c}"))
         return materialise(pairs.join(side("a"), "a").join(side("b"), "b"))
 
-    # One pair for each class: the head it met most often, as an aggregate over its pairs.
-    heads = near.where("firsts > 0")
-    ends = heads.select(F.col("a").alias("class"), "a", "b", "firsts").union(
-        heads.select(F.col("b").alias("class"), "a", "b", "firsts")
-    )
-    best = ends.groupBy("class").agg(F.max(F.struct("firsts", "a", "b")).alias("best"))
-    tried = held(best.select("best.a", "best.b").distinct())
+    tried = held(_pivot_pairs(labels))
     links = _verified(tried, found, size, percent)
     roots = components(links)
     tried = tried.select("a", "b")
     for search in (
-        lambda: near.select("a", "b"),
+        lambda: near,
         lambda: _region_pairs(labels, roots),
     ):
         pairs = held(_apart(search(), roots).join(tried, ["a", "b"], "left_anti"))
