@@ -40,7 +40,7 @@ def test_base_and_held_out_gain(spark, head):
     one = prose(1, 4000, 1500).split()
     two = [w[::-1] + "x" for w in prose(2, 4000, 1500).split()]
     rows = []
-    for i in range(500):
+    for i in range(3000):
         kind, draw = (one, two)[i % 2], np.random.default_rng(i)
         rows.append((i, " ".join(kind[k] for k in draw.integers(0, 4000, 60))))
     found = language_model.score_texts(documents(spark, rows, False), head, 1).toPandas()

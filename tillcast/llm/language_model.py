@@ -32,6 +32,10 @@ HEAD = 1 << 18
 READ_EVERY = 4
 #: Units for one learner: with fewer, fewer learners.
 LEARNER_UNITS = 1 << 20
+#: Of what a learner reads, one text in so many, and so many units at most, are put aside to
+#: choose how far to go from the unigram model.
+ASIDE_EVERY, ASIDE_UNITS = 16, 1 << 15
+SHARES = (1.0, 0.6, 0.3, 0.1, 0.0)
 _BLOCK = 1 << 14
 _END = -1  # the bucket that stands for the end in the counts
 
@@ -130,6 +134,19 @@ def vocabulary(counts: DataFrame, head_words: int = HEAD) -> Vocabulary:
     return Vocabulary(order, {r.bucket: (r.n, r.k) for r in sums})
 
 
+def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) -> np.ndarray:
+    """The parameters on the way from the start that suit the texts put aside best.
+
+    The start is the unigram model, so what little text teaches wrongly does no harm.
+    """
+    end, best = weights.flat(), (-np.inf, start)
+    for share in SHARES if aside else (1.0,):
+        mixed = start + np.float32(share) * (end - start)
+        weights.load(mixed)
+        best = max(best, (gru.score(weights, aside).sum() if aside else 0.0, mixed), key=lambda x: x[0])
+    return best[1]
+
+
 def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru.Weights:
     """The average of models that learners fit to one in ``read_every`` of the texts."""
     weights = gru.Weights(vocab.masses)
@@ -142,16 +159,24 @@ def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
         memory = known.coder()
+        aside: list[np.ndarray] = []
 
         def texts() -> Iterator[np.ndarray]:
+            n = 0
             for batch in batches:
                 for text in W.texts(batch.column(0)):
                     codes = W.ids((text or b"").lower().split(), memory).astype(np.int64)
-                    yield np.append(known.unit[codes], np.int32(known.end))
-
+                    units = np.append(known.unit[codes], np.int32(known.end))
+                    n += 1
+                    if n % ASIDE_EVERY == 0 and sum(map(len, aside)) < ASIDE_UNITS:
+                        aside.append(units)
+                    else:
+                        yield units
+
+        start = own.flat()
         seen = gru.train(own, texts())
         if seen:
-            flat = own.flat()
+            flat = _shrunk(own, start, aside)
             blocks = [flat[a : a + _BLOCK] for a in range(0, len(flat), _BLOCK)]
             columns = [range(len(blocks)), [seen] * len(blocks), [b.tobytes() for b in blocks]]
             kinds = [pa.int32(), pa.int64(), pa.binary()]
