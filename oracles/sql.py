@@ -190,8 +190,10 @@ def mode() -> str:
     return both(mode_features_of, ["month-mode", "year_month-mode"])
 
 
+# Fixed values, as in the feature sets.
 TREND = [1, 2, 3, 5, 7, 12, 20, 23]
 TREND_NAMES = names_of(MEASURES, FULL, [f"-{i}" for i in range(8)])
+# Fixed values, as in the feature sets.
 BANDS = [1, 6, 12, 18]
 SEASON_NAMES = names_of(MEASURES, SEASON, [f"-season{i}" for i in range(4)])
 

@@ -8,6 +8,7 @@ from tillcast.__main__ import main
 from tillcast.plans import features as sets
 from tillcast.plans import jobs
 from tillcast.plans.training import assemble, boosted_trees, fold_vectors, out_of_fold, random_forest
+from tillcast.session import shared_folder
 from tillcast.sources import log, sinks
 
 QUICK = {"forest": (random_forest(3, 3), 0.4), "trees": (boosted_trees(2, 2), 0.6)}
@@ -46,6 +47,19 @@ def test_search_and_selection(spark, data):
     assert len(names) == 1 and names[0] in data.features
 
 
+def test_search_leaves_no_files(spark, data):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    jobs.random_search(data, trials=1, trees=2, folds=2).collect()
+    assert set(os.listdir(folder)) == before
+
+
+def test_unscored_labels_count_and_are_reported(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "customer_id int, label int")
+    scores = spark.createDataFrame([(2, 0.1), (1, 0.8)], "customer_id int, probability double")
+    assert rows_of(jobs.evaluate(labels, scores), "auc", "recall", "unscored") == [(0.5, 0.5, 1)]
+
+
 def test_evaluate_matches_by_customer(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "customer_id int, label int")
     scores = spark.createDataFrame([(2, 0.1), (1, 0.8)], "customer_id int, probability double")

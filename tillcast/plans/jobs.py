@@ -24,7 +24,7 @@ from tillcast.plans.training import (
     out_of_fold,
     random_forest,
 )
-from tillcast.session import materialise, small_table
+from tillcast.session import materialise, scratch, small_table
 from tillcast.sources.log import read_labels, read_scores
 
 # Shares of the two members of the blend.
@@ -161,20 +161,23 @@ def random_search(
 
     All trials read the same written fold vectors. One row per trial, best first.
     """
-    rng = random.Random(seed)
-    train = fold_vectors(data.train, data.features, folds, seed)
-    test = train.select("customer_id", "label", "features").limit(0)
-    rows = []
-    for trial in range(trials):
-        drawn = draw_parameters(rng)
-        result = out_of_fold(
-            train, test, data.features, boosted_trees(trees=trees, **drawn), folds, seed
-        )
-        score = auc(materialise(result.oof)).first()["auc"]
-        rows.append((trial, *[str(drawn[k]) for k in sorted(drawn)], float(score)))
+    rng, rows = random.Random(seed), []
+    spark = data.train.sparkSession
+    # The result is in the driver's hands: nothing written for it needs to stay.
+    with scratch(spark):
+        train = fold_vectors(data.train, data.features, folds, seed)
+        test = train.select("customer_id", "label", "features").limit(0)
+        for trial in range(trials):
+            drawn = draw_parameters(rng)
+            with scratch(spark):
+                result = out_of_fold(
+                    train, test, data.features, boosted_trees(trees=trees, **drawn), folds, seed
+                )
+                score = auc(materialise(result.oof)).first()["auc"]
+            rows.append((trial, *[str(drawn[k]) for k in sorted(drawn)], float(score)))
     names = sorted(draw_parameters(random.Random(0)))
     schema = "trial int, " + ", ".join(f"{n} string" for n in names) + ", auc double"
-    return small_table(data.train.sparkSession, rows, schema).orderBy(F.desc("auc"), "trial")
+    return small_table(spark, rows, schema).orderBy(F.desc("auc"), "trial")
 
 
 def best_parameters(search: DataFrame) -> dict[str, str]:
