@@ -78,3 +78,15 @@ def test_components_of_long_paths(spark):
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     left, right = nodes[:100], nodes[100:]
     assert found == {n: min(left) for n in left} | {n: min(right) for n in right}
+
+
+def test_pairs_in_a_crowd(spark):
+    """Pairs at the threshold (0.8018) whose texts all share boilerplate (0.77 across pairs)."""
+    common = [f"c{i}" for i in range(178)]
+    rows = []
+    for i in range(150):
+        own = [f"p{i}w{k}" for k in range(4)]
+        rows += [(2 * i + j, " ".join([*common, *own, *(f"d{i}x{j}w{k}" for k in range(22))])) for j in range(2)]
+    found = near_dup.near_duplicates(documents(spark, rows), ["doc_id"], size=5, percent=80)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert [d for d, c in got.items() if c != d - d % 2] == []
