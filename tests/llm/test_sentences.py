@@ -79,3 +79,13 @@ def test_awkward_rows(spark):
 def test_text_that_repeats_itself(spark):
     text = prose(7, 60) + ".\n"
     assert cleaned(spark, [(1, text * 4)])[1].text == text
+
+
+def test_passages_inside_long_sentences_share_spans():
+    for words in (50, 55, 70):
+        for i in range(200):
+            passage = prose(i, words, 3000).replace(".", "").lower()
+            a, b = (prose(k * 1000 + i, n, 3000).replace(".", "") for k, n in ((1, i % 31), (2, i % 37)))
+            texts = [f"{a} {passage} {b}.", f"{b} {passage} {a}", f"{passage}\n{a}"]
+            found = [{d for *_, d in sentences.spans(sentences.cut(t.encode()))} for t in texts]
+            assert found[0] & found[1] and found[0] & found[2], (words, i)
