@@ -86,3 +86,19 @@ def test_awkward_rows(spark):
     assert {r.overlaps for r in kept.collect()} == {"g"}
     assert decontaminate.clean(documents(spark, []), bench).count() == 0
     assert decontaminate.clean(docs, items(spark, []).limit(0)).count() == len(rows)
+
+
+def test_changed_words_wherever_they_stand():
+    """Every way to change as many words as the rule allows, in items of 6 to 16 words."""
+    from itertools import combinations
+
+    memory = decontaminate._memory()
+    around = [f"a{i}" for i in range(20)]
+    for n in range(6, 17):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.Index([(1, decontaminate._plain(" ".join(item).encode(), memory))])
+        for changed in combinations(range(n), n - decontaminate._needed(n)):
+            words = [f"x{i}" if i in changed else w for i, w in enumerate(item)]
+            text = " ".join([*around, *words, *around]).encode()
+            found = index.verified(decontaminate._plain(text, memory))
+            assert found and max(x[3] for x in found) == n - len(changed), (n, changed)

@@ -1,14 +1,14 @@
 """Benchmark passages in documents, found by spaced seeds.
 
-A seed is a window of SPAN words of which a fixed mask looks at some only, so a changed word
-in an ignored place doesn't hide it. Seeds of the benchmark are matched with those of every
+A seed is a window of SPAN words (or a whole shorter item) of which a fixed mask looks at some
+only, so a changed word in an ignored place doesn't hide it. Seeds of the benchmark are matched with those of every
 window of the documents; around each match the two texts are laid over each other and
 compared word by word, and a stretch counts if enough of its words agree.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 import string
 from collections.abc import Iterator
 
@@ -24,18 +24,45 @@ from tillcast.session import materialise
 SPAN = 12
 #: Fixed masks; 1 marks a word that must agree.
 MASKS = ("111010011011", "110110110101", "101011101110", "011101101011")
-OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-#: A stretch needs so many equal words (of a shorter item, this share of all its words) ...
+
+
+def _two_of_four(group: list[int]) -> list[list[int]]:
+    """Masks of two of four groups of places: any two changes leave one of them whole."""
+    pairs = itertools.combinations(range(4), 2)
+    return [[i for i, g in enumerate(group) if g in two] for two in pairs]
+
+
+def _offsets(span: int) -> list[list[int]]:
+    """The places that the masks of a window look at; windows of under SPAN are whole items."""
+    if span == SPAN:
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+        # With both groupings every three changes in 16 words leave a mask whole in some window.
+        return masks + _two_of_four([i % 4 for i in range(SPAN)]) + _two_of_four([i // 3 for i in range(SPAN)])
+    if span - _needed(span) > 1:
+        return _two_of_four([i % 4 for i in range(span)])
+    # One change at most: masks that skip one place or two, so that all are skipped once.
+    skips = [(i, i + span // 2) for i in range(span // 2)] if span >= 8 else [(i,) for i in range(span)]
+    if span >= 8 and span % 2:
+        skips.append((span - 1,))
+    return [[i for i in range(span) if i not in skip] for skip in skips]
+#: A stretch needs so many equal words (of a shorter item, PERCENT of all its words) ...
 NEEDED = 13
-SHARE = 0.8
-#: ... each change costing as many as keep the equal words at SHARE of the stretch.
-COST = SHARE / (1 - SHARE)
+#: ... which are PERCENT of the stretch.
+PERCENT = 80
 #: Items of fewer words are no evidence and match nothing.
 SHORTEST_ITEM = 6
 #: Benchmark words that one pass over the documents looks for, which bounds its broadcast.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
+#: Bits of a seed that the filter looks at, or more if there are many seeds.
 FILTER_BITS = 22
 
+def _needed(words: int) -> int:
+    """Equal words that an item of so many words needs."""
+    return min(NEEDED, -(-PERCENT * words // 100))
+
+
+OFFSETS = {n: _offsets(n) for n in range(SHORTEST_ITEM, SPAN + 1)}
+
 FOUND = "array<struct<item_id:bigint,first:int,words:int,equal:int>>"
 _PUNCTUATION = string.punctuation.encode()
 
@@ -64,31 +91,31 @@ class Index:
 
         def add(h: np.ndarray, item: int) -> None:
             seeds.append(h)
-            whose.append(np.full(len(h), item, np.int64))
-            where.append(np.arange(len(h), dtype=np.int64))
+            whose.append(np.full(len(h), item, np.int32))
+            where.append(np.arange(len(h), dtype=np.int32))
 
         self.shorter = sorted({len(x) for _, x in items if len(x) < SPAN})
         for i, (_, words) in enumerate(items):
-            if len(words) < SPAN:
-                add(W.windows(words, range(len(words)), len(words)), i)
-            else:
-                for salt, offsets in enumerate(OFFSETS):
-                    add(W.windows(words, offsets, SPAN) ^ np.uint64(salt), i)
+            span = min(SPAN, len(words))
+            for salt, offsets in enumerate(OFFSETS[span]):
+                add(W.windows(words, offsets, span) ^ np.uint64(salt), i)
         h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.seeds = h[order]
         self.whose = np.concatenate(whose)[order] if seeds else order
         self.where = np.concatenate(where)[order] if seeds else order
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[self.seeds >> np.uint64(64 - FILTER_BITS)] = True
+        bits = max(FILTER_BITS, (2 * len(h)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[self.seeds >> self.shift] = True
 
     def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, place of its first word in the document) of all seeds in common."""
         out: set[tuple[int, int]] = set()
-        looks = [(range(n), n, 0) for n in self.shorter] + [(o, SPAN, m) for m, o in enumerate(OFFSETS)]
+        looks = [(o, n, m) for n in [*self.shorter, SPAN] for m, o in enumerate(OFFSETS[n])]
         for offsets, span, salt in looks:
             h = W.windows(words, offsets, span) ^ np.uint64(salt)
-            at = np.flatnonzero(self.maybe[h >> np.uint64(64 - FILTER_BITS)])
+            at = np.flatnonzero(self.maybe[h >> self.shift])
             if not len(at):
                 continue
             low = np.searchsorted(self.seeds, h[at], "left")
@@ -104,19 +131,22 @@ class Index:
             name, item = self.items[i]
             a, b = max(0, start), min(len(words), start + len(item))
             equal = words[a:b] == item[a - start : b - start]
-            first, last = _best_stretch(np.where(equal, 1.0, -COST))
+            first, last = _best_stretch(equal)
             n = int(equal[first:last].sum())
-            if n >= min(NEEDED, math.ceil(SHARE * len(item))):
+            if n >= _needed(len(item)):
                 out.append((name, a + first, last - first, n))
         return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
 
 
-def _best_stretch(gain: np.ndarray) -> tuple[int, int]:
-    """Bounds of the run with the largest sum."""
-    run = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(run[:-1])
-    last = int(np.argmax(run[1:] - low))
-    return int(np.argmin(run[: last + 1])), last + 1
+def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """Bounds of the run with the most equal words of those with PERCENT equal, without changed ends."""
+    run = np.concatenate([[0], np.cumsum(np.where(equal, 100 - PERCENT, -PERCENT))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # The longest run up to each end begins at the first place with no larger sum.
+    begin = np.searchsorted(-np.minimum.accumulate(run), -run, "left")
+    last = int(np.argmax(count - count[begin]))
+    inside = np.flatnonzero(equal[begin[last] : last]) + begin[last]
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
