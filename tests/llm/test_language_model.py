@@ -88,3 +88,11 @@ def test_steps_raise_the_chance_of_what_is_read():
     for _ in range(5):
         gru.train(weights, iter(text))
     assert gru.score(weights, text)[0] > before + 5
+
+
+def test_every_training_text_moves_the_weights(spark):
+    for i in range(4):
+        docs = documents(spark, [(None, prose(i, 400))])
+        vocab = language_model.vocabulary(language_model.count_words(docs))
+        start = gru.Weights(vocab.masses).flat()
+        assert not np.array_equal(language_model.fit(docs, vocab).flat(), start)

@@ -7,7 +7,8 @@ the counts, an unknown one that of half a word. So a text's probability needs th
 words: the HEAD most frequent come as a broadcast of that size, the rest by a join.
 
 Learners in parallel fit copies of the model to parts of the training texts, and the model is their
-average, weighted by what each has read.
+average, weighted by what each has read. That is done in rounds, each with texts of its own, and a
+round goes on from the average of the one before.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from tillcast.session import materialise
 WORDS, BUCKETS = 1023, 1024
 #: Words whose counts are broadcast.
 HEAD = 1 << 18
-#: Gradients come from one in so many training texts; the counts from all.
-READ_EVERY = 4
+#: Gradients come from one in so many training texts: from all.
+READ_EVERY = 1
+#: Rounds of fitting and averaging; a text is read in one of them.
+ROUNDS = 4
 #: Units for one learner: with fewer, fewer learners.
 LEARNER_UNITS = 1 << 20
 #: Of what a learner reads, one text in so many, and so many units at most, are put aside to
@@ -148,13 +151,20 @@ def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) ->
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru.Weights:
-    """The average of models that learners fit to one in ``read_every`` of the texts."""
+    """The average of models that learners fit to one in ``read_every`` of the texts, in ROUNDS."""
     weights = gru.Weights(vocab.masses)
     spark = docs.sparkSession
-    learners = max(1, vocab.total // read_every // LEARNER_UNITS)
-    # A text's own hash decides, so equal texts are read or left out together.
-    read = docs.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(read_every)) == 0).select("text")
-    shared = spark.sparkContext.broadcast((vocab, weights))
+    learners = max(1, vocab.total // read_every // ROUNDS // LEARNER_UNITS)
+    # A text's own hash decides, so equal texts are read, in one round, or left out together.
+    part = F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(read_every * ROUNDS))
+    for turn in range(ROUNDS):
+        read = docs.where(part == turn * read_every).select("text")
+        _fit_round(read, learners, spark.sparkContext.broadcast((vocab, weights)), weights)
+    return weights
+
+
+def _fit_round(read: DataFrame, learners: int, shared, weights: gru.Weights) -> None:
+    """Loads the average of what learners make of the shared weights into ``weights``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
@@ -196,7 +206,6 @@ def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru
     got = found.groupBy("block").applyInArrow(average, "block int, values binary").collect()
     if got:
         weights.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(got)]))
-    return weights
 
 
 def score_texts(docs: DataFrame, head_words: int = HEAD, read_every: int = READ_EVERY) -> DataFrame:
