@@ -65,3 +65,8 @@ def test_other_columns_do_not_matter(spark):
     one = fm.score(docs, machine).toPandas().score
     other = fm.score(documents(spark, [(i + 7, t, "xx", "zz") for i, t in rows], False), machine).toPandas().score
     assert np.array_equal(one, other)
+
+
+def test_share_of_alphabetic_words_is_of_the_whole_text():
+    text = " ".join("word" if i % 5 == 0 else "1234" for i in range(1000)).encode()
+    assert fm.describe(text, len(text), fm.W.hashes())[2][16] == 0.2

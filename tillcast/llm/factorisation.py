@@ -8,6 +8,7 @@ of the sum and the sum of the squares this takes time in proportion to the featu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ def describe(text: bytes | None, n_chars: float | None, memory: W.Memory) -> tup
             np.log1p(len(lines)),
             1 - len(set(lines)) / max(1, len(lines)),
             np.log1p(len(words) / max(1, len(lines))),
-            sum(w.isalpha() for w in words[:: max(1, n // 200)]) / max(1, len(words[:: max(1, n // 200)])),
+            sum(k for w, k in Counter(words).items() if w.isalpha()) / n,
             length,
             np.log1p(n_chars or 0) - length,
         ]
