@@ -69,3 +69,15 @@ def test_awkward_rows(spark):
     kept = fertility.keep_good(docs).toPandas()
     assert list(kept.columns) == docs.columns and set(kept.kept) == {"f"}
     assert fertility.keep_good(documents(spark, [])).count() == 0
+
+
+def test_strings_of_digits_and_rare_languages_are_judged(spark):
+    import hashlib
+
+    def dump(i):
+        return " ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(40))
+
+    good = [(i, prose(i, 80 + i % 60)) for i in range(120)]
+    junk = [(1000 + i, dump(i)) for i in range(5)] + [(2000 + i, dump(50 + i), "xx", "s0") for i in range(5)]
+    found = fertility.rate(documents(spark, good + junk), ["doc_id"]).toPandas().set_index("doc_id").kept
+    assert found[found.index < 1000].all() and not found[found.index >= 1000].any()

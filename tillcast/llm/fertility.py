@@ -1,16 +1,16 @@
 """Quality rules by tokeniser fertility.
 
 A public vocabulary with byte fallback measures each text: characters per token, share of
-byte-fallback tokens, entropy of the tokens (words with digits or addresses left out). Texts that the vocabulary cuts into far more (or
+byte-fallback tokens, entropy of the tokens, of all words. Texts that the vocabulary cuts into far more (or
 fewer) tokens than others of their language, falls back on bytes for, or repeats few tokens
 in, are rejected. The bands come from all documents: quartiles of each measure by language
-(script where none is given) and length class, widened by a multiple of their distance.
+(script where none is given) and length class, or where these are too few of the language, the
+script, or all documents, widened by a multiple of their distance.
 Distinct measurements count once, so copies don't move the bands.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -23,8 +23,6 @@ from tillcast.llm import words as W
 from tillcast.session import materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Numbers, addresses and keys are cut into short pieces in any language: not measured.
-NO_PROSE = re.compile(rb"[0-9@]|://")
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 FEWEST_WORDS = 20
@@ -34,7 +32,7 @@ REACH = 3.0
 REACH_UP = 6.0
 #: The distance counts as this share of the median at least, so that narrow groups stay open.
 LEAST_SPREAD = 0.01
-#: A group of fewer distinct measurements has no band.
+#: A group of fewer distinct measurements has no band, and the next wider group's holds.
 BAND_FROM = 30
 SHORTEST, LONGEST = 5, 10  # length classes, as powers of two of the number of tokens
 FALLBACK_ALLOWED = 0.05
@@ -98,8 +96,7 @@ class Meter:
         self.byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         # No piece joins over white space, so words can be cut one by one and remembered.
         self.pieces = W.Memory(
-            lambda w: (0, []) if NO_PROSE.search(w)
-            else (len(s := w.decode("utf-8", "replace")), model.encode(s))
+            lambda w: (len(s := w.decode("utf-8", "replace")), model.encode(s))
         )
         self.memory = W.hashes()
 
@@ -168,13 +165,22 @@ def _base_failed() -> Column:
     )
 
 
+def _groups() -> list[Column]:
+    """Names of the groups that a row belongs to, the narrowest first."""
+    own = F.concat(F.lit("="), "kind")
+    return [
+        F.concat(F.col("length").cast("string"), own), own, F.concat(F.lit("script="), "script"), F.lit("all")
+    ]
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Bounds by language or script and length class, over all documents the base rules pass."""
+    """Bounds by group, over all documents the base rules pass."""
     rows = measured.where(~_base_failed() & (F.col("n_tokens") > 0))
+    groups = F.explode(F.array(*_groups())).alias("band")
     # Distinct measurements: one row for all copies of a text.
-    rows = rows.select("kind", "length", "n_tokens", *FERTILITY).distinct()
+    rows = rows.select(groups, "n_tokens", *FERTILITY).distinct()
     quarters = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FERTILITY}
-    table = rows.groupBy("kind", "length").agg(F.count(F.lit(1)).alias("n"), *quarters.values())
+    table = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *quarters.values())
 
     def edges(m: str) -> tuple[Column, Column]:
         q = F.col(m)
@@ -183,8 +189,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
     low, high = edges("chars_per_token")
     return table.where(F.col("n") >= BAND_FROM).select(
-        F.col("kind").alias("band_kind"),
-        F.col("length").alias("band_length"),
+        "band",
         low.alias("chars_low"),
         high.alias("chars_high"),
         F.greatest(F.lit(FALLBACK_ALLOWED), edges("fallback_share")[1]).alias("fallback_high"),
@@ -193,6 +198,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
 
 FERTILITY = ("chars_per_token", "fallback_share", "token_entropy")
+BOUNDS = ("chars_low", "chars_high", "fallback_high", "entropy_low")
 
 
 def _verdicts(docs: DataFrame, carry: list[str], vocabulary: str) -> DataFrame:
@@ -209,14 +215,18 @@ def _verdicts(docs: DataFrame, carry: list[str], vocabulary: str) -> DataFrame:
     table = materialise(bands(found))
     if table.count() <= BROADCAST_BANDS:
         table = F.broadcast(table)
-    same = (F.col("kind") == F.col("band_kind")) & (F.col("length") == F.col("band_length"))
+    # The band of the narrowest group that has one.
+    for i, group in enumerate(_groups()):
+        own = table.select(F.col("band").alias(f"band{i}"), F.struct(*BOUNDS).alias(f"bounds{i}"))
+        found = found.join(own, group == F.col(f"band{i}"), "left")
+    bounds = F.coalesce(*[F.col(f"bounds{i}") for i in range(len(_groups()))])
     inside = (
-        F.col("chars_per_token").between(F.col("chars_low"), F.col("chars_high"))
-        & (F.col("fallback_share") <= F.col("fallback_high"))
-        & (F.col("token_entropy") >= F.col("entropy_low"))
+        F.col("chars_per_token").between(bounds["chars_low"], bounds["chars_high"])
+        & (F.col("fallback_share") <= bounds["fallback_high"])
+        & (F.col("token_entropy") >= bounds["entropy_low"])
     )
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return found.join(table, same, "left").withColumn("kept", kept)
+    return found.withColumn("kept", kept)
 
 
 def rate(docs: DataFrame, carry: Sequence[str], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -225,8 +235,8 @@ def rate(docs: DataFrame, carry: Sequence[str], vocabulary: str = VOCABULARY) ->
     Needs text; uses lang if there is one. Measures replace carried columns of the same name.
     Null and empty texts have no words and fail. A null lang is judged by the text's script.
     Repeated rows stay and get the same verdict; there are no ties to break. An empty table
-    gives no rows. A group of under BAND_FROM distinct measurements is judged by the base
-    rules alone.
+    gives no rows. Where all documents have under BAND_FROM distinct measurements, the base
+    rules alone judge.
     """
     carry = [c for c in carry if c not in (*NAMES, "base_failed", "kept")]
     return _verdicts(docs, carry, vocabulary).select(
