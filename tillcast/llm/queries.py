@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, decontaminate, factorisation, fertility, language_model, licenses
-from tillcast.llm import mixing, near_dup, sentences, sharding
+from tillcast.llm import chat, decontaminate, factorisation, fertility, fill_middle, language_model
+from tillcast.llm import licenses, merkle, mixing, near_dup, sentences, sharding
 from tillcast.session import small_table
 
 
@@ -235,6 +235,124 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+
+def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    # Every second row is read back without its line ends.
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(touched, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    seen = merkle.leaf_hash(*[text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    found = merkle.manifest(docs.withColumn("seen", seen), ["doc_id", "seen"])
+    folded = found.withColumn("folded_root", merkle.fold(F.col("seen"), F.col("path")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_sql(leaf_levels: int = 13, source_levels: int = 6) -> str:
+    """The same tree, level by level; enough levels for 3 ** 13 rows a source and 729 sources."""
+
+    def leaf(text: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    bits = "list_transform(range(0, 8 * len(d)), lambda i: CASE WHEN i % 8 = 0 THEN ord(d[i // 8 + 1]) ELSE 0 END)"
+    crc = (
+        f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda c, v: xor(xor(c, v) >> 1, "
+        "CASE WHEN xor(c, v) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+    )
+    steps = [
+        "e AS MATERIALIZED (SELECT *, CAST(doc_id AS VARCHAR) AS d FROM documents)",
+        f"""d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS source, {leaf('text')} AS leaf,
+            CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS seen
+            FROM e)""",
+        """o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source) - 1 AS s,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)""",
+        """p0 AS (SELECT doc_id, leaf, s, i, seen AS folded, '' AS proof FROM o)""",
+        "n0 AS (SELECT s, i, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM o)",
+    ]
+
+    def level(k: int, key: str, place: str) -> list[str]:
+        """From the nodes n{k} of each key, and the documents p{k} below them, one level up."""
+        run = f"PARTITION BY {key}, {place} // 3 ORDER BY {place} ROWS BETWEEN"
+        return [
+            f"""a{k} AS MATERIALIZED (SELECT *,
+                coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+                FROM n{k})""",
+            f"""p{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (
+                CASE WHEN n = 1 THEN folded ELSE sha256(l || folded || r) END AS folded,
+                CASE WHEN n = 1 THEN proof ELSE proof || l || r END AS proof, p.{place} // 3 AS {place})
+                FROM p{k} p JOIN a{k} a ON a.{key} = p.{key} AND a.{place} = p.{place})""",
+            f"""n{k + 1} AS MATERIALIZED (SELECT {key}, {place} // 3 AS {place},
+                CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY {place})) END AS h,
+                CASE WHEN n = 1 THEN 1 ELSE (n + 2) // 3 END AS n FROM a{k} GROUP BY {key}, {place} // 3, n)""",
+        ]
+
+    for k in range(leaf_levels):
+        steps += level(k, "s", "i")
+    k = leaf_levels
+    steps += [
+        f"""p{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, folded, proof, h AS subroot, 0 AS g, s AS j
+            FROM p{k} JOIN n{k} USING (s))""",
+        f"n{k + 1} AS MATERIALIZED (SELECT 0 AS g, s AS j, h, count(*) OVER () AS n FROM n{k})",
+    ]
+    for k in range(leaf_levels + 1, leaf_levels + 1 + source_levels):
+        steps += level(k, "g", "j")
+    k = leaf_levels + 1 + source_levels
+    return f"""WITH {', '.join(steps)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+    folded = h AS verified FROM p{k}, n{k}"""
+
+
+def op13_wavelet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fill_middle.transform(docs, ["doc_id"])
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_sql() -> str:
+    drawn = ", ".join(
+        f"CAST('0x' || substr(sha256('42:' || doc_id), {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4)
+    )
+    p, s, m = (f"'{x}'" for x in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
+    return f"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, {drawn},
+        regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+|[ \t-\r]+') AS units FROM documents
+), c AS (
+    SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, {p}) OR contains(text, {s}) OR contains(text, {m})
+            OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d
+), t AS (
+    SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+        array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || middle
+        ELSE {s} || suffix || {p} || prefix || {m} || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM t
+"""
+
+
 QUERIES = {
     "op1_lsh_forest": op1_lsh_forest,
     "op2_gated_recurrent": op2_gated_recurrent,
@@ -246,10 +364,14 @@ QUERIES = {
     "op8_license_windows": op8_license_windows,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_relational_chat": op10_relational_chat,
+    "op12_butterfly_manifest": op12_butterfly_manifest,
+    "op13_wavelet_cuts": op13_wavelet_cuts,
 }
 SQL = {
     "op1_lsh_forest": OP1_SQL,
     "op5_raking": op5_sql(),
     "op8_license_windows": op8_sql(),
     "op10_relational_chat": OP10_SQL,
+    "op12_butterfly_manifest": op12_sql(),
+    "op13_wavelet_cuts": op13_sql(),
 }
