@@ -27,6 +27,8 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df.reindex(columns=sorted(df.columns))
+    # Whole numbers with nulls have a type of their own in one library and are floats in the other.
+    df = df.astype({c: "float64" for c, kind in df.dtypes.items() if isinstance(kind, pd.Int64Dtype)})
     df = df.sort_values(list(df.columns), kind="stable", na_position="last")
     return df.reset_index(drop=True)
 
