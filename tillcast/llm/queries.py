@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, decontaminate, factorisation, fertility, fill_middle, language_model
-from tillcast.llm import licenses, merkle, mixing, near_dup, sentences, sharding
+from tillcast.llm import chat, decontaminate, factorisation, fertility, fill_middle, jaccard_join
+from tillcast.llm import language_model, licenses, merkle, mixing, near_dup, sentences, sharding
 from tillcast.session import small_table
 
 
@@ -236,6 +236,44 @@ FROM o GROUP BY conv_id
 """
 
 
+def op11_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_join.jaccard_join(docs, ["doc_id"], size=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
+#: All pairs of whole texts that share a shingle; texts of equal sets count once.
+OP11_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g'), ' '),
+        lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
+        THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3),
+        lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n, list_sort(list(s)) AS own FROM s GROUP BY doc_id
+), c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY own) AS class_id FROM n),
+one AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM one x JOIN one y
+    ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b
+    WHERE 100 * k >= 80 * (p.n + q.n - k)
+), reach(a, b) AS (
+    SELECT a, b FROM links
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(least(class_id, low), d.doc_id) AS component_id,
+    coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN low ON low.a = class_id
+LEFT JOIN counts ON counts.a = class_id
+"""
+
+
 def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     # Every second row is read back without its line ends.
@@ -364,6 +402,7 @@ QUERIES = {
     "op8_license_windows": op8_license_windows,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_relational_chat": op10_relational_chat,
+    "op11_set_relations": op11_set_relations,
     "op12_butterfly_manifest": op12_butterfly_manifest,
     "op13_wavelet_cuts": op13_wavelet_cuts,
 }
@@ -372,6 +411,7 @@ SQL = {
     "op5_raking": op5_sql(),
     "op8_license_windows": op8_sql(),
     "op10_relational_chat": OP10_SQL,
+    "op11_set_relations": OP11_SQL,
     "op12_butterfly_manifest": op12_sql(),
     "op13_wavelet_cuts": op13_sql(),
 }
