@@ -46,7 +46,7 @@ SHARED_ENTRIES, ALIKE = 20, 30
 PACKAGE_SETS, PACKAGE_CHANGES = 128, 1 << 15
 #: Columns of the incidence matrices that are multiplied at a time.
 COLUMNS = 1 << 12
-NEEDED_BITS = 1 << 23
+NEEDED_BITS, NEEDED_PIECES = 1 << 25, 256
 ADDED = ("n_shingles", "component_id", "class_id", "n_links")
 
 
@@ -255,29 +255,34 @@ def _leaders(lists: DataFrame, percent: int) -> DataFrame:
     return materialise(best)
 
 
-def _needed(classes: DataFrame, lists: DataFrame) -> bytes:
-    """Bits of the hashed doc_id of a text for each class in ``lists``; wrong ones do no harm."""
-    ids = lists.select("id").distinct()
+def _needed(classes: DataFrame, ids: DataFrame) -> bytes:
+    """Bits of the hashed doc_id of one text for each class in ``ids``; wrong ones do no harm."""
     keys = classes.join(ids, "id", "left_semi").select(_key(F.col("low")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(NEEDED_BITS, bool)
         for batch in batches:
             bits[batch.column(0).to_numpy()] = True
-        pieces = np.packbits(bits).reshape(64, -1)
-        columns = [pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())]
+        pieces = np.packbits(bits).reshape(NEEDED_PIECES, -1)
+        kept = np.flatnonzero(pieces.any(axis=1))
+        columns = [pa.array(kept, pa.int32()), pa.array([pieces[i].tobytes() for i in kept], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["piece", "raw"])
 
     found = _merged(keys.mapInArrow(run, "piece int, raw binary"), np.bitwise_or, np.uint8, np.uint8)
-    return b"".join(found[i].tobytes() for i in sorted(found))
+    out = np.zeros((NEEDED_PIECES, NEEDED_BITS // 8 // NEEDED_PIECES), np.uint8)
+    for piece, bits in found.items():
+        out[piece] = bits
+    return out.tobytes()
 
 
 def _key(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1))), F.lit(NEEDED_BITS))
 
 
-def _needed_sets(docs: DataFrame, bits, number: _Ids, size: int) -> DataFrame:
-    """``id, class, members`` of the texts whose doc_id has its bit set; some come repeatedly."""
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, number: _Ids, size: int) -> DataFrame:
+    """``id, members``: the sets of ``ids``, read from the texts again; some come repeatedly, and
+    a few that are not asked for."""
+    bits = docs.sparkSession.sparkContext.broadcast(_needed(classes, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = W.hashes(), _Seen()
@@ -289,66 +294,64 @@ def _needed_sets(docs: DataFrame, bits, number: _Ids, size: int) -> DataFrame:
             kept = [(s, name) for s, name in named if seen.new(name)]
             columns = [
                 pa.array([number(name) for _, name in kept], pa.int64()),
-                pa.array([name for _, name in kept], pa.binary()),
                 pa.array([s.tobytes() for s, _ in kept], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "members"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "members"])
 
     rows = docs.select(_key(F.col("doc_id")).alias("key"), "text")
-    return materialise(rows.mapInArrow(run, "id long, class binary, members binary"))
+    return materialise(rows.mapInArrow(run, "id long, members binary"))
 
 
 def _followers(sets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``leader, id, class, n, added, removed`` of the sets much like their leader's."""
+    """``leader, id, n, added, removed`` of the sets much like their leader's."""
     follower = sets.join(leaders, "id")
-    leader = sets.select(F.col("id").alias("leader"), F.col("members").alias("whole"))
+    leader = sets.join(leaders.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
+    leader = leader.select(F.col("id").alias("leader"), F.col("members").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for top, key, name, members, whole in zip(*columns):
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for top, key, members, whole in zip(*columns):
                 own, other = np.frombuffer(members, np.uint64), np.frombuffer(whole, np.uint64)
                 added = np.setdiff1d(own, other, assume_unique=True)
                 removed = np.setdiff1d(other, own, assume_unique=True)
                 same = len(own) - len(added)
                 if 100 * same >= ALIKE * (len(other) + len(added)):
-                    out.append((top, key, name, len(own), added.tobytes(), removed.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                    out.append((top, key, len(own), added.tobytes(), removed.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             columns = list(zip(*out)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["leader", "id", "class", "n", "added", "removed"],
+                names=["leader", "id", "n", "added", "removed"],
             )
 
-    joined = follower.join(leader, "leader").select("leader", "id", "class", "members", "whole")
-    kinds = "leader long, id long, class binary, n int, added binary, removed binary"
+    joined = follower.join(leader, "leader").select("leader", "id", "members", "whole")
+    kinds = "leader long, id long, n int, added binary, removed binary"
     return materialise(joined.mapInArrow(run, kinds)).dropDuplicates(["id"])
 
 
-def _members(sets: DataFrame, lists: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``leader, block, id, class, n, added, removed``: each set in the lists, in its package.
+def _members(following: DataFrame, lists: DataFrame) -> DataFrame:
+    """``leader, block, id, n, added, removed``: each set in the lists, in its package.
 
     A leader's sets are dealt by hash to as many blocks as keep packages small on average.
     """
-    following = _followers(sets, leaders)
     nothing = F.unhex(F.lit(""))
     alone = (
-        sets.join(lists.select("id").distinct(), "id", "left_semi")
-        .select("id", "class", (F.length("members") / 8).cast("int").alias("n"))
-        .dropDuplicates(["id"])
+        lists.groupBy("id")
+        .agg(F.first("n").alias("n"))
         .join(following.select("id"), "id", "left_anti")
-        .select(F.col("id").alias("leader"), "id", "class", "n", nothing.alias("added"), nothing.alias("removed"))
+        .select(F.col("id").alias("leader"), "id", "n", nothing.alias("added"), nothing.alias("removed"))
     )
     members = materialise(following.unionByName(alone))
     changes = (F.length("added") + F.length("removed")) / 8
     loads = members.groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), F.sum(changes).alias("changes"))
     blocks = F.greatest(F.ceil(F.col("sets") / PACKAGE_SETS), F.ceil(F.col("changes") / PACKAGE_CHANGES))
-    loads = loads.select("leader", F.greatest(blocks, F.lit(1)).alias("blocks"))
+    # Most leaders have one block; the others' sets are dealt out.
+    split = loads.select("leader", blocks.alias("blocks")).where("blocks > 1")
+    dealt = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))
     return materialise(
-        members.join(loads, "leader")
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .drop("blocks")
+        members.join(split, "leader", "left").withColumn("block", dealt.cast("int")).drop("blocks")
     )
 
 
@@ -476,16 +479,16 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _packages(sets: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``leader, block, whole, sets`` of the packages in ``wanted``."""
+    """``leader, block, members, sets`` of the packages in ``wanted``: the leader's set, and the
+    sets by their differences from it."""
     parts = (
         members.join(wanted, ["leader", "block"], "left_semi")
         .groupBy("leader", "block")
-        .agg(F.collect_list(F.struct("class", "n", "added", "removed")).alias("sets"))
+        .agg(F.collect_list(F.struct("id", "n", "added", "removed")).alias("sets"))
     )
-    whole = sets.select(F.col("id").alias("leader"), "members").join(
-        wanted.select("leader").distinct(), "leader", "left_semi"
-    )
-    whole = whole.dropDuplicates(["leader"])
+    leaders = wanted.select(F.col("leader").alias("id")).distinct()
+    whole = sets.join(leaders, "id", "left_semi").dropDuplicates(["id"])
+    whole = whole.select(F.col("id").alias("leader"), "members")
     return materialise(parts.join(whole, "leader").select("leader", "block", "members", "sets"))
 
 
@@ -494,7 +497,7 @@ class _Package:
 
     def __init__(self, whole: bytes, sets: list[dict]):
         self.whole = np.frombuffer(whole, np.uint64)
-        self.names = [s["class"] for s in sets]
+        self.names = [s["id"] for s in sets]
         self.n = np.array([s["n"] for s in sets], np.int64)
         parts, signs, owners = [], [], []
         for i, s in enumerate(sets):
@@ -543,7 +546,7 @@ def _overlaps(a: _Package, b: _Package) -> np.ndarray:
 
 def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple], list[tuple]]:
     """Links that connect what is linked between two packages, or inside one, and how many
-    links each set has: (class, class) and (class, count)."""
+    links each set has: (id, id) and (id, count)."""
     other = b or a
     shared = _overlaps(a, other)
     union = a.n[:, None] + other.n[None, :] - shared
@@ -555,9 +558,9 @@ def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple],
     else:
         counts = list(zip(a.names, linked.sum(axis=1).tolist())) + list(zip(b.names, linked.sum(axis=0).tolist()))
     # Of the links only a spanning forest: a set is told of one partner in its group.
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def top(x: bytes) -> bytes:
+    def top(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = parent[up]
             x = up
@@ -574,14 +577,13 @@ def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple],
 
 def _compare(packages: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``a, b, links``: links of a forest over each pair (links null), and link counts (b null)."""
-    schema = "a binary, b binary, links long"
+    schema = "a long, b long, links long"
 
     def rows(found: list[tuple[list[tuple], list[tuple]]]) -> pa.RecordBatch:
         links = [(x, y, None) for f, _ in found for x, y in f]
         counts = [(x, None, k) for _, c in found for x, k in c]
         columns = list(zip(*(links + counts))) or [[], [], []]
-        kinds = (pa.binary(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "b", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -606,27 +608,25 @@ def _compare(packages: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(
-    docs: DataFrame, measured: DataFrame, size: int, percent: int, window_rows: int, id_bytes: int
+    docs: DataFrame, classes: DataFrame, counts: np.ndarray, number: _Ids, size: int, percent: int,
+    window_rows: int,
 ) -> DataFrame:
     """Links of all classes, as ``_compare`` gives them."""
-    spark = docs.sparkSession
-    counts = _slot_counts(measured)
-    sent = spark.sparkContext.broadcast(counts)
-    named = measured.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
-    named = materialise(named)
-    number = _numbered(named, id_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
     entries = _entries(docs.select("text"), sent, number, size, percent, window_rows)
     lists = _shared_lists(entries, bool((counts > window_rows).any()))
     leaders = _leaders(lists, percent)
-    classes = named.select(number.column("class").alias("id"), "low")
-    bits = spark.sparkContext.broadcast(_needed(classes, lists))
-    sets = _needed_sets(docs, bits, number, size)
-    members = _members(sets, lists, leaders)
+    # Only these are read now, and later those alone in a package that meets another.
+    alike = materialise(leaders.select("id").union(leaders.select("leader")).distinct())
+    sets = _sets_of(docs, classes, alike, number, size)
+    members = _members(_followers(sets, leaders), lists)
     pairs = _package_pairs(_package_entries(lists, members), percent)
     several = members.groupBy("leader", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     sides = [pairs.select(F.col(f"leader_{s}").alias("leader"), F.col(f"block_{s}").alias("block")) for s in "ab"]
-    wanted = several.select("leader", "block").union(sides[0]).union(sides[1]).distinct()
-    return _compare(_packages(sets, members, wanted), pairs, percent)
+    wanted = materialise(several.select("leader", "block").union(sides[0]).union(sides[1]).distinct())
+    others = wanted.select(F.col("leader").alias("id")).distinct().join(alike, "id", "left_anti")
+    rest = _sets_of(docs, classes, others, number, size)
+    return _compare(_packages(sets.union(rest), members, wanted), pairs, percent)
 
 
 def jaccard_join(
@@ -657,18 +657,22 @@ def jaccard_join(
         "text",
     )
     measured = materialise(_measure(rows, size))
-    links = materialise(_links(keyed.select("doc_id", "text"), measured, size, percent, window_rows, id_bytes))
-    roots = components(links.where("b IS NOT NULL").select("a", "b"))
     found = measured.where("piece IS NULL").drop("piece", "counts")
-    low = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    rooted = low.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "class", "class_id", F.coalesce("root", "class").alias("root")
+    named = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
+    named = materialise(named)
+    number = _numbered(named, id_bytes)
+    classes = named.select(number.column("class").alias("id"), "low")
+    texts = keyed.select("doc_id", "text")
+    links = materialise(_links(texts, classes, _slot_counts(measured), number, size, percent, window_rows))
+    roots = components(links.where("b IS NOT NULL").select("a", "b"))
+    rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.col("low").alias("class_id"), F.coalesce("root", "id").alias("root")
     )
     lowest = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    counts = links.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("n_links"))
-    of_class = rooted.join(lowest, "root").join(counts, "class", "left").drop("root")
-    none = F.col("class").isNull()
-    return found.join(of_class, "class", "left").select(
+    counts = links.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
+    of_class = rooted.join(lowest, "root").join(counts, "id", "left").drop("root")
+    none = F.col("id").isNull()
+    return found.withColumn("id", number.column("class")).join(of_class, "id", "left").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
         "n_shingles",
         F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
