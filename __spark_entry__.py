@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from oracles import sql  # noqa: E402
@@ -17,12 +17,15 @@ from tillcast.functions.stats import agg_dict  # noqa: E402
 from tillcast.operators import explore, importance, metrics, prepare  # noqa: E402
 from tillcast.operators.folds import stratified_folds  # noqa: E402
 from tillcast.operators.labels import exceeds, generate_label, label_balance, label_months  # noqa: E402
-from tillcast.operators.running import frequent_keys, rolling_mean, running, sample_share  # noqa: E402
+from tillcast.operators.running import block_length, rolling_mean, running, sample_share  # noqa: E402
 from tillcast.plans import features as sets  # noqa: E402
 from tillcast.plans import jobs  # noqa: E402
 from tillcast.plans.training import assemble, boosted_trees, fold_vectors, naive_bayes, out_of_fold  # noqa: E402
 from tillcast.schema import with_customer  # noqa: E402
-from tillcast.session import materialise, small_table  # noqa: E402
+from tillcast.session import materialise, new_path, small_table  # noqa: E402
+from tillcast.sources.log import malformed_transactions, read_keys, read_labels  # noqa: E402
+from tillcast.sources.log import read_scores, read_transactions  # noqa: E402
+from tillcast.sources.sinks import write_predictions  # noqa: E402
 from tillcast.sources.starschema import ORDER, event_log, read_table, transactions  # noqa: E402
 
 TRAIN, TARGET, THRESHOLD = sql.TRAIN, sql.TARGET, sql.THRESHOLD
@@ -51,16 +54,16 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in names else c for c in df.columns])
 
 
-def large_keys(spark: SparkSession, sf_dir: str, keys: list[str]) -> dict[str, dict]:
-    """Keys to split, from a sample of the lines that is drawn before they are joined."""
+def time_block(spark: SparkSession, sf_dir: str) -> int:
+    """Length of the blocks of running sums, from a sample drawn before the lines are joined."""
     share = sample_share()
-    return frequent_keys(transactions(spark, sf_dir, price=False, share=share), keys, sampled=share)
+    return block_length(transactions(spark, sf_dir, price=False, share=share), sampled=share)
 
 
-def feature_set(name: str, keys: list[str] | None = None):
+def feature_set(name: str, ordered: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = transactions(spark, sf_dir, price=name not in ("nunique", "mode"))
-        options = {"order": ORDER, "large": large_keys(spark, sf_dir, keys)} if keys else {}
+        options = {"order": ORDER, "block": time_block(spark, sf_dir)} if ordered else {}
         return tidy(sets.build(name, lines, MONTHS, threshold=THRESHOLD, **options))
 
     return run
@@ -119,23 +122,22 @@ def q_month_range_lines(spark, sf_dir):
 def running_by(key: str):
     def run(spark, sf_dir):
         names = sets.CUMSUMS[key]
-        large = large_keys(spark, sf_dir, [key])[key]
-        lines = running(transactions(spark, sf_dir), key, ORDER, sums=names, large=large)
+        block = time_block(spark, sf_dir)
+        lines = running(transactions(spark, sf_dir), key, ORDER, sums=names, block=block)
         return doubles(lines.select(*LINE_KEYS, *names), *names)
 
     return run
 
 
 def q_order_diff(spark, sf_dir):
-    large = large_keys(spark, sf_dir, ["customer_id"])
-    lines = sets.with_differences(transactions(spark, sf_dir), ORDER, large)
+    lines = sets.with_differences(transactions(spark, sf_dir), ORDER, time_block(spark, sf_dir))
     return doubles(lines.select(*LINE_KEYS, *sets.DIFFS), *sets.DIFFS)
 
 
 def q_generated_columns(spark, sf_dir):
     lines = transactions(spark, sf_dir).where(months.before("order_date", TARGET))
-    large = large_keys(spark, sf_dir, list(sets.RUNNING_KEYS))
-    out = sets.with_month_columns(sets.with_all_columns(lines, TARGET, ORDER, large))
+    block = time_block(spark, sf_dir)
+    out = sets.with_month_columns(sets.with_all_columns(lines, TARGET, ORDER, block))
     numbers = [*sets.CUMSUM_COLUMNS, *sets.DIFFS, "mean"]
     return doubles(out.select(*LINE_KEYS, "month", "year_month", *numbers), *numbers)
 
@@ -355,14 +357,89 @@ def prepared(spark, sf_dir, name: str = "base", **options) -> jobs.Prepared:
 
 
 def q_cumsum_split(spark, sf_dir):
-    """Running sums of products, each frequent one cut into several ranges."""
+    """Running sums of products in blocks of thirty days, whatever the size of the log."""
     lines, names = transactions(spark, sf_dir), sets.CUMSUMS["product_id"]
-    large = frequent_keys(lines, ["product_id"], min_rows=30)["product_id"]
-    rows = max(10, sum(large.values()) // 40)
-    split = running(lines, "product_id", ORDER, sums=names, large=large, rows_per_task=rows)
+    split = running(lines, "product_id", ORDER, sums=names, block=30 * 24 * 3600)
     return doubles(split.select(*LINE_KEYS, *names), *names)
 
 
+def q_running_blocks(spark, sf_dir):
+    """All running columns in blocks of a year: sums by three keys, and differences."""
+    year = 365 * 24 * 3600
+    lines = sets.with_running_sums(transactions(spark, sf_dir), ORDER, year)
+    lines = sets.with_differences(lines, ORDER, year)
+    numbers = [*sets.CUMSUM_COLUMNS, *sets.DIFFS]
+    return doubles(lines.select(*LINE_KEYS, *numbers), *numbers)
+
+
+CSV_COLUMNS = ["order_id", "product_id", "quantity", "order_date", "price", "customer_id", "total"]
+
+
+def csv_log(spark, sf_dir) -> tuple[str, DataFrame]:
+    """The log in two folders of CSV files, whose columns stand in different orders; the pattern of both.
+
+    Every hundredth order is in words where its quantity should be.
+    """
+    folder = new_path(spark)
+    lines = transactions(spark, sf_dir).select(*CSV_COLUMNS)
+    words = F.when(F.col("order_id") % 100 == 7, "many").otherwise(F.col("quantity").cast("string"))
+    for name, rest, columns in (("a", 0, CSV_COLUMNS), ("b", 1, CSV_COLUMNS[::-1])):
+        half = lines.where(F.col("order_id") % 2 == rest).withColumn("quantity", words)
+        half.select(*columns).write.option("header", True).csv(f"{folder}/{name}")
+    return f"{folder}/*", lines
+
+
+def q_csv_glob(spark, sf_dir):
+    path, _ = csv_log(spark, sf_dir)
+    lines = read_transactions(spark, path, malformed="aside")
+    seconds = months.epoch_seconds("order_date").cast("double").alias("order_date")
+    return doubles(lines.withColumn("order_date", seconds), "price", "total").select(*CSV_COLUMNS)
+
+
+def q_csv_malformed(spark, sf_dir):
+    path, _ = csv_log(spark, sf_dir)
+    order = F.element_at(F.split("record", ","), -1).cast("long").alias("order_id")
+    wrong = malformed_transactions(spark, path)
+    return wrong.groupBy(order, "reason").agg(
+        F.count(F.lit(1)).alias("lines"), (F.min("line") > 1).alias("below_header")
+    )
+
+
+def q_csv_round_trip(spark, sf_dir):
+    """Labels, keys and scores written as CSV and read again; score files are in customer order."""
+    folder = new_path(spark)
+    labels = generate_label(transactions(spark, sf_dir, price=False), TARGET, THRESHOLD)
+    labels = materialise(labels)
+    labels.select("label", "customer_id").write.option("header", True).csv(f"{folder}/labels")
+    labels.select("customer_id").write.option("header", True).csv(f"{folder}/keys")
+    most = labels.agg(F.max("total")).scalar()
+    write_predictions(labels.withColumn("probability", F.col("total") / most), f"{folder}/scores")
+    files = spark.read.option("header", True).csv(f"{folder}/scores").select(
+        F.col("customer_id").cast("long").alias("customer_id"),
+        F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    before = F.lag("customer_id", 1, -1).over(Window.partitionBy("file").orderBy("row"))
+    ordered = files.select("customer_id", (before < F.col("customer_id")).alias("in_order"))
+    return (
+        read_keys(spark, f"{folder}/keys")
+        .join(read_labels(spark, f"{folder}/labels"), "customer_id")
+        .join(read_scores(spark, f"{folder}/scores"), "customer_id")
+        .join(ordered, "customer_id")
+        .withColumn("probability", F.round("probability", 8))
+    )
+
+
+def q_score_head(spark, sf_dir):
+    """The first rows of a score file by score."""
+    folder = new_path(spark)
+    labels = materialise(generate_label(transactions(spark, sf_dir, price=False), TARGET, THRESHOLD))
+    most = labels.agg(F.max("total")).scalar()
+    write_predictions(labels.withColumn("probability", F.col("total") / most), folder)
+    head = explore.ordered_head(read_scores(spark, folder), [F.desc("probability"), "customer_id"], 20)
+    return head.withColumn("probability", F.round("probability", 8))
+
+
 def q_dense_series_events(spark, sf_dir):
     return explore.dense_series(event_log(spark, sf_dir), measures=["total"])
 
@@ -426,7 +503,7 @@ def q_select_top_features(spark, sf_dir):
 def q_score_month(spark, sf_dir):
     return jobs.score_month(
         transactions(spark, sf_dir), TARGET, "full", folds=FOLDS, threshold=THRESHOLD, order=ORDER,
-        large=large_keys(spark, sf_dir, list(sets.RUNNING_KEYS)),
+        block=time_block(spark, sf_dir),
     )
 
 
@@ -451,15 +528,15 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "order_diff": q_order_diff,
         "generated_columns": q_generated_columns,
         "rolling_3_month": q_rolling_3_month,
-        "cumsum_features": feature_set("cumsum", list(sets.RUNNING_KEYS)),
+        "cumsum_features": feature_set("cumsum", ordered=True),
         "nunique_features": feature_set("nunique"),
         "mode_features": feature_set("mode"),
-        "diff_features": feature_set("diff", ["customer_id"]),
+        "diff_features": feature_set("diff", ordered=True),
         "mean_monthly_spend": q_mean_monthly_spend,
         "trend_features": q_trend,
         "season_features": q_season,
         "season_independent": q_season_independent,
-        "full_features": feature_set("full", list(sets.RUNNING_KEYS)),
+        "full_features": feature_set("full", ordered=True),
         "group_statistics": q_group_statistics,
         "label_encode": q_label_encode,
         "median_impute": q_median_impute,
@@ -484,6 +561,11 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "blend_scores": q_blend_scores,
         "importance_table": q_importance_table,
         "cumsum_split": q_cumsum_split,
+        "running_blocks": q_running_blocks,
+        "csv_glob": q_csv_glob,
+        "csv_malformed": q_csv_malformed,
+        "csv_round_trip": q_csv_round_trip,
+        "score_head": q_score_head,
         "dense_series_events": q_dense_series_events,
         "auc_tied": q_auc_tied,
         "evaluate_partial": q_evaluate_partial,
@@ -651,6 +733,24 @@ def own_sql() -> dict[str, str]:
         ),
         # Keys split over many tasks give what a window gives.
         "cumsum_split": sql.running_lines("product_id"),
+        "running_blocks": sql.running_blocks(),
+        "csv_glob": (
+            f"{log}SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id, "
+            "quantity, CAST(epoch(order_date) AS DOUBLE) AS order_date, CAST(price AS DOUBLE) AS price, "
+            "customer_id, CAST(total AS DOUBLE) AS total FROM log WHERE order_id % 100 <> 7"
+        ),
+        "csv_malformed": (
+            f"{log}SELECT order_id, 'quantity' AS reason, COUNT(*) AS lines, TRUE AS below_header "
+            "FROM log WHERE order_id % 100 = 7 GROUP BY order_id"
+        ),
+        "csv_round_trip": (
+            f"{log}SELECT customer_id, label, ROUND(total / MAX(total) OVER (), 8) AS probability, "
+            f"TRUE AS in_order FROM ({sql.label(TARGET)})"
+        ),
+        "score_head": (
+            f"{log}SELECT customer_id, ROUND(total / MAX(total) OVER (), 8) AS probability "
+            f"FROM ({sql.label(TARGET)}) ORDER BY total DESC, customer_id LIMIT 20"
+        ),
         "dense_series_events": sql.dense_events(),
         "auc_tied": (
             f"{s}, tied AS (SELECT label, CAST(probability >= 0.5 AS INT) / 2.0::DOUBLE AS probability "

@@ -315,6 +315,11 @@ def order_diff() -> str:
     return f"WITH {LOG} SELECT {LINE_KEYS}, {casts} FROM (SELECT *, {diff_columns()} FROM log)"
 
 
+def running_blocks() -> str:
+    casts = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in [*CUMSUMS, *DIFFS])
+    return f"WITH {LOG} SELECT {LINE_KEYS}, {casts} FROM (SELECT *, {running_columns()}, {diff_columns()} FROM log)"
+
+
 def generated_columns() -> str:
     names = [*CUMSUMS, *DIFFS]
     casts = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)

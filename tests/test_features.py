@@ -39,7 +39,7 @@ def test_labels_of_several_months_equal_single_ones(spark, lines):
     [("base", 21), ("cumsum", 63), ("nunique", 2), ("mode", 2), ("diff", 30), ("full", 274)],
 )
 def test_feature_counts(spark, lines, name, count):
-    options = {"order": ORDER, "large": {}} if name in ("cumsum", "diff", "full") else {}
+    options = {"order": ORDER, "block": 0} if name in ("cumsum", "diff", "full") else {}
     frame = sets.build(name, lines, MONTHS, **options)
     assert len(sets.feature_names(frame)) == count
     assert frame.columns[:3] == sets.KEYS
@@ -53,9 +53,9 @@ def test_no_leak_from_the_target_month(spark, lines):
     """Lines on or after the month change nothing but its label."""
     past = lines.where(months.before("order_date", "2001-06"))
     for name in ("base", "diff", "full"):
-        options = {"order": ORDER, "large": {}, "threshold": 1e12}
+        options = {"order": ORDER, "block": 0, "threshold": 1e12}
         if name == "base":
-            del options["order"], options["large"]
+            del options["order"], options["block"]
         with_later = sets.build(name, lines, ["2001-06"], **options)
         without = sets.build(name, past, ["2001-06"], **options)
         assert rows_of(with_later) == rows_of(without)
@@ -114,7 +114,7 @@ def test_mean_monthly_spend(spark):
 
 
 def test_full_set_mean_is_closed_form(spark, lines):
-    full = sets.full(lines, MONTHS, order=ORDER, large={})
+    full = sets.full(lines, MONTHS, order=ORDER, block=0)
     row = full.where("`mean-count` >= 3").first()
     assert row["mean-skew"] == 0.0
     assert row["mean-sum"] == row["mean-mean"] * row["mean-count"]

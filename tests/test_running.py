@@ -1,12 +1,13 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helpers import log_of, rows_of
 from tillcast.functions import months
 from tillcast.operators import running as R
 from tillcast.plans import features as sets
-from tillcast.sources.starschema import ORDER
+from tillcast.sources.starschema import ORDER, transactions
 
 ORD = ["order_date", "order_id", "product_id", "quantity", "price", "total"]
 DIFFS = {"dt": "total", "dq": "quantity"}
@@ -14,7 +15,7 @@ DIFFS = {"dt": "total", "dq": "quantity"}
 
 def test_null_keeps_the_sum_going(spark):
     lines = log_of(spark, [(1, "2011-01-01", 1), (1, "2011-01-02", None), (1, "2011-01-03", 2)])
-    got = R.running(lines, "customer_id", ORD, {"s": "total"}, {"d": "total"}, large={})
+    got = R.running(lines, "customer_id", ORD, {"s": "total"}, {"d": "total"}, block=0)
     assert [(r.s, r.d) for r in got.orderBy("order_date").collect()] == [
         (1, None), (None, None), (3, None),
     ]
@@ -27,70 +28,90 @@ def test_rolling_mean_waits_for_three(spark):
 
 
 @pytest.mark.parametrize("key", ["customer_id", "product_id", "order_id"])
-def test_split_keys_give_the_same_values(spark, lines, key):
-    """Every key split into many pieces, against one window per key."""
-    large = {r[0]: r[1] for r in lines.groupBy(key).count().orderBy("count", key).tail(7)}
+@pytest.mark.parametrize("block", [3600, 40 * 86400, 10**10])
+def test_blocks_give_the_same_values(spark, lines, key, block):
     sums = sets.CUMSUMS[key]
     diffs = {"dq": "quantity", "dt": "total"}
-    plain = R.running(lines, key, ORDER, sums, diffs, large={})
-    split = R.running(lines, key, ORDER, sums, diffs, large=large, rows_per_task=10)
+    plain = R.running(lines, key, ORDER, sums, diffs, block=0)
+    split = R.running(lines, key, ORDER, sums, diffs, block=block)
     assert split.schema == plain.schema
     assert rows_of(split) == rows_of(plain)
 
 
-def test_one_key_with_many_equal_rows(spark):
+@pytest.mark.parametrize("block", [3600, 86400, 2 * 86400])
+def test_one_key_with_many_equal_rows(spark, block):
     """A key whose rows are mostly copies of one row, some without a value."""
     rows = [(1, "2011-01-01", 5, "o", "p", 2, 1.5)] * 57
     rows += [(1, "2011-01-02", 0, "o", "p", 0, 0)] * 31
     rows += [(1, "2011-01-03", None, "o", "q", 1, 1)] * 5 + [(2, "2011-01-01", 3)] * 4
+    rows += [(1, "1969-12-31 23:30", 7), (3, "2011-01-02", None), (3, "2011-01-04", None), (3, "2011-01-05", 2)]
     lines = log_of(spark, rows)
     sums = {"s": "total", "q": "quantity"}
-    plain = R.running(lines, "customer_id", ORD, sums, DIFFS, large={})
-    split = R.running(
-        lines, "customer_id", ORD, sums, DIFFS, large={1: 93}, rows_per_task=8
-    )
+    plain = R.running(lines, "customer_id", ORD, sums, DIFFS, block=0)
+    split = R.running(lines, "customer_id", ORD, sums, DIFFS, block=block)
     assert rows_of(split) == rows_of(plain)
 
 
-def test_equal_rows_are_spread(spark):
-    rows = [(1, "2011-01-01", 5, "o", "p", 2, 1.5)] * 400
+def test_a_key_is_spread_over_tasks(spark):
+    """One key with all rows, and rows without a key, go to many tasks."""
+    rows = [(1, f"2011-{i % 12 + 1:02d}-{i % 28 + 1:02d}", i, "o", None if i % 2 else "p", 1, 1) for i in range(3000)]
     lines = log_of(spark, rows)
-    split = R.running(lines, "customer_id", ORD, {"s": "total"}, large={1: 400}, rows_per_task=20)
-    sizes = split.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
-    assert sum(sizes) == 400 and max(sizes) < 200
-
-
-@pytest.mark.parametrize("large", [{}, {None: 40}, {None: 40, "p": 30}])
-def test_rows_without_a_key(spark, large):
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = R.running(lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, block=3600)
+        sizes = split.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sum(sizes) == 3000 and max(sizes) < 1500
+
+
+def test_rows_are_read_once(spark):
+    """Both levels read one shuffle, at each of three keys in a row."""
+    lines = transactions(spark, "/root/testdata/sf0.001")
+    out = sets.with_running_sums(lines, ORDER, 86400 * 365)
+    total = out.agg(F.sum(F.hash(*out.columns).cast("bigint")))
+    total.collect()
+    plan = total._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("block", [0, 86400, 7 * 86400])
+def test_rows_without_a_key_or_a_time(spark, block):
     rows = [(1, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}", None, 1, 1) for i in range(40)]
     rows += [(1, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}", "p", 1, 1) for i in range(30)]
     lines = log_of(spark, rows)
-    got = R.running(
-        lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, large, rows_per_task=10
-    )
+    timeless = lines.limit(0).unionByName(lines.where("order_id in ('o3', 'o4')")).withColumn("order_date", F.lit(None).cast("timestamp_ntz"))
+    lines = lines.unionByName(timeless)
+    got = R.running(lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, block)
     assert got.where("product_id is null and (s is not null or d is not null)").count() == 0
     assert got.where("product_id = 'p' and s is null").count() == 0
-    assert rows_of(got) == rows_of(R.running(lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, {}))
+    assert rows_of(got) == rows_of(R.running(lines, "product_id", ORD, {"s": "total"}, {"d": "total"}, 0))
 
 
-def test_frequent_keys_are_found(spark):
-    df = spark.createDataFrame([(7 if i % 3 == 0 else i,) for i in range(3000)], "k bigint")
-    found = R.frequent_keys(df, ["k"], min_rows=500)["k"]
-    assert list(found) == [7] and found[7] >= 1000
+def test_length_of_blocks(spark):
+    """No block has more rows than asked for, unless an hour has; and none is too short."""
+    rows = [(1, f"2011-01-{1 + i // 240:02d} {i // 10 % 24:02d}:00", i) for i in range(2400)]
+    lines = log_of(spark, rows)  # ten rows an hour
+    assert R.block_length(lines, 1.0, 5000) == 0
+    assert R.block_length(lines, 1.0, 170) == 16 * 3600
+    assert R.block_length(lines, 1.0, 10) == 3600
+    assert R.block_length(lines, 1.0, 3) == 3600
+    assert R.block_length(lines, 0.5, 340) == 16 * 3600
+    assert R.block_length(lines.limit(0)) == 0
 
 
-def test_keys_are_looked_up_when_not_given(spark):
+def test_blocks_are_looked_up_when_not_given(spark, monkeypatch):
     df = log_of(spark, [(1, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}") for i in range(200)])
-    plain = R.running(df, "customer_id", ORD, {"s": "total"}, large={})
-    split = R.running(df, "customer_id", ORD, {"s": "total"}, rows_per_task=50)
-    assert rows_of(split) == rows_of(plain)
+    plain = R.running(df, "customer_id", ORD, {"s": "total"}, block=0)
+    monkeypatch.setattr(R.block_length, "__defaults__", (1.0, 20, "order_date"))
+    assert R.block_length(df) > 0
+    assert rows_of(R.running(df, "customer_id", ORD, {"s": "total"})) == rows_of(plain)
 
 
-def test_feature_sets_agree_when_keys_are_split(spark, lines, monkeypatch):
-    plain = sets.diff(lines, ["2001-06", "2001-07"], order=ORDER, large={})
-    top = {r[0]: r[1] for r in lines.groupBy("customer_id").count().orderBy("count").tail(3)}
-    monkeypatch.setattr(R.running, "__defaults__", (*R.running.__defaults__[:-1], 10))
-    split = sets.diff(lines, ["2001-06", "2001-07"], order=ORDER, large={"customer_id": top})
+def test_feature_sets_agree_in_blocks(spark, lines):
+    plain = sets.diff(lines, ["2001-06", "2001-07"], order=ORDER, block=0)
+    split = sets.diff(lines, ["2001-06", "2001-07"], order=ORDER, block=30 * 86400)
     names = ["customer_id", "year_month", "label", "total_diff-sum", "order_ts_diff-max",
              "quantity_diff-min", "price_diff-count"]
     assert rows_of(split, *names) == rows_of(plain, *names)
@@ -114,6 +135,6 @@ def test_prefix_property(spark, data):
     cut = months.before("order_date", "2011-02")
 
     def computed(df):
-        return R.running(df, "product_id", ORD, {"s": "total"}, {"d": "total"}, large={})
+        return R.running(df, "product_id", ORD, {"s": "total"}, {"d": "total"}, block=0)
 
     assert rows_of(computed(lines).where(cut)) == rows_of(computed(lines.where(cut)))

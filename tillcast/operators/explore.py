@@ -177,6 +177,11 @@ def dense_series(
     )
 
 
+def ordered_head(df: DataFrame, order: Sequence[str | Column], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order; each task sends its own first rows only."""
+    return df.orderBy(*order).limit(n)
+
+
 def first_keys(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The ``n`` smallest distinct keys."""
     return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)

@@ -1,10 +1,11 @@
 """Running sums and differences per key, in purchase order.
 
-A window partitioned by a key sorts all rows of that key in one task. That is
-right for almost every key, and wrong for one that holds a large part of the
-table. Such keys are found with one sketch pass and take a second way: their
-rows are sorted by range over many tasks, each range is summed on its own, and
-the totals of the earlier ranges are added. Both ways give the same values.
+The time of the log is cut into blocks of equal length. Rows of a key and a block are sorted and
+summed by a window; the totals of each key and block, of which there are few, are summed up once
+more, so that a row's value is the total of its key's earlier blocks and the running value inside
+its own. A key may hold any share of the rows: what a task sorts is bounded by the rows of a
+block, whichever keys these have. Both levels read the same shuffled rows. A log that fits one
+block needs no totals.
 """
 
 from __future__ import annotations
@@ -13,67 +14,55 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillcast.session import materialise, small_table
+from tillcast.functions import months
 
-# Rows of one key that a single task may sort.
-ROWS_PER_TASK = 4_000_000
-# Rows of the sample that tell a key of that size.
+# Rows of a block, of all keys together, that a single task may sort.
+BLOCK_ROWS = 4_000_000
+# Rows of a sample that tell how many rows an hour or a longer time has.
 SAMPLED_ROWS = 2_000
-# Keys that are split at most. The next frequent one after n keys holds less than
-# one n-th of the table, which a window can sort; the list stays small enough to
-# broadcast whatever the size of the table.
-LISTED_KEYS = 20_000
-# Range boundaries come from a sample on the driver, a hundred rows for each piece.
-MAX_PIECES = 10_000
+HOUR = 3600
+# Groups over which rows without a key are spread.
+SPREAD = 1024
 
 
-def sample_share(min_rows: int = ROWS_PER_TASK) -> float:
-    """Share of the rows that tells keys of ``min_rows`` rows."""
-    return min(1.0, SAMPLED_ROWS / min_rows)
+def sample_share(block_rows: int = BLOCK_ROWS) -> float:
+    """Share of the rows that tells times of ``block_rows`` rows."""
+    return min(1.0, SAMPLED_ROWS / block_rows)
 
 
-def frequent_keys(
-    df: DataFrame, keys: Sequence[str], min_rows: int = ROWS_PER_TASK, sampled: float | None = None
-) -> dict[str, dict]:
-    """Keys of more than about ``min_rows`` rows, with estimated row counts.
+def block_length(
+    dates: DataFrame, sampled: float | None = None, block_rows: int = BLOCK_ROWS, column: str = "order_date"
+) -> int:
+    """Seconds of the longest blocks, hours times a power of two, none of which has more than
+    about ``block_rows`` rows; 0 where one block is enough for all. An hour is the shortest.
 
-    One pass over the key columns for all of them; a small sample is grouped. A
-    miss costs time only: the results do not depend on which keys are listed. The
-    key ``None`` stands for rows without one. ``sampled`` tells that ``df`` is such a
-    share of the rows already, drawn where that is cheap (``sample_share``).
+    Any length gives the same values. ``sampled`` tells that ``dates`` is such a share of the
+    rows already, drawn where that is cheap (``sample_share``). An hour of the log is a row here.
     """
-    share = sampled or sample_share(min_rows)
-    sample = df.select(*keys)
+    share = sampled or sample_share(block_rows)
+    sample = dates.select(column)
     if share < 1.0 and not sampled:
         sample = sample.sample(share, seed=0)
-    counts = (
-        sample.groupingSets([[k] for k in keys], *keys)
-        .agg(
-            F.coalesce(*[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]).alias("of"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-        .where(F.col("rows") > min_rows * share)
-        .orderBy(F.desc("rows"))
-        .limit(LISTED_KEYS)
-        .collect()
-    )
-    found: dict[str, dict] = {k: {} for k in keys}
-    for row in counts:
-        found[row["of"]][row[row["of"]]] = int(row["rows"] / share)
-    return found
-
-
-def _local(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    sums: Mapping[str, str],
-    diffs: Mapping[str, str],
+    hour = F.floor(months.epoch_seconds(column) / HOUR).alias("hour")
+    counts = {r["hour"]: r["count"] for r in sample.where(F.col(column).isNotNull()).groupBy(hour).count().collect()}
+    most = block_rows * share
+    if sum(counts.values()) <= most:
+        return 0
+    hours = 1
+    while max(counts.values()) <= most:
+        hours, wider = 2 * hours, {}
+        for at, rows in counts.items():
+            wider[at // 2] = wider.get(at // 2, 0) + rows
+        counts = wider
+    return max(1, hours // 2) * HOUR
+
+
+def _inside(
+    df: DataFrame, within: Sequence[str], key: str, order: Sequence[str], sums: Mapping[str, str], diffs: Mapping[str, str]
 ) -> DataFrame:
-    """Running sums and differences, one window partition per key; null without a key."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """Running sums and differences by windows over ``within``; null without a key."""
+    w = Window.partitionBy(*within).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.col(key).isNotNull()
     return df.select(
@@ -86,90 +75,46 @@ def _local(
     )
 
 
-def _ranges(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    sums: Mapping[str, str],
-    diffs: Mapping[str, str],
-    pieces: int,
-    rows_per_task: int,
+def _two_levels(
+    df: DataFrame, key: str, order: Sequence[str], sums: Mapping[str, str], diffs: Mapping[str, str], block: int
 ) -> DataFrame:
-    """The same over rows spread by range, for keys too large for one task."""
-    columns = df.columns
-    # Equal rows are counted, not kept apart: they may be too many for one range.
-    distinct = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rest = [c for c in columns if c != key and c not in order]
-    line = [*order, *rest]
-    # The ranges come from a sample, so the piece numbers are written down before use.
-    spread = materialise(
-        distinct.repartitionByRange(pieces, key, *line).withColumn(
-            "_piece", F.spark_partition_id()
-        )
-    )
-
-    weighted = {n: F.col(c) * F.col("_copies") for n, c in sums.items()}
-    # At most one row per piece and key that shares it: pieces + keys rows in all.
-    ends = spread.groupBy(key, "_piece").agg(
-        *[F.sum(x).alias(f"_sum_{n}") for n, x in weighted.items()],
-        F.max_by(
-            F.struct(*[F.col(c).alias(n) for n, c in diffs.items()], F.lit(0).alias("_")),
-            F.struct(*line),
-        ).alias("_last"),
+    within = ["_key", "_block", "_spread"]
+    line = [*order, *[c for c in df.columns if c != key and c not in order]]
+    # Rows without a time come first; those without a key have no values and need no order.
+    at = F.coalesce(F.floor(months.epoch_seconds(order[0]) / block), F.lit(-(2**62))).cast("long")
+    apart = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*line), F.lit(SPREAD))).otherwise(F.lit(0))
+    # One shuffle for both levels. It is read twice, not made twice, as long as both ask for the
+    # same of it: the groups are never null, and the totals use every column.
+    rows = df.withColumns(
+        {"_key": F.struct(key), "_block": at, "_spread": F.coalesce(apart, F.lit(0)).cast("long")}
+    ).repartition(*within)
+    every = F.max(F.xxhash64(*df.columns)).alias("_every")
+    last = F.struct(*[F.col(c).alias(f"_{n}") for n, c in diffs.items()])
+    totals = rows.groupBy(*within).agg(
+        *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()],
+        every,
+        *([F.max_by(last, F.struct(*line)).alias("_last")] if diffs else []),
     )
-    earlier = Window.partitionBy(key).orderBy("_piece")
+    # A row for each block in which the key occurs.
+    earlier = Window.partitionBy("_key").orderBy("_block")
     sofar = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        key,
-        "_piece",
+    totals = totals.select(
+        *within,
+        F.lag("_every").over(earlier).alias("_every"),
         *[F.sum(f"_sum_{n}").over(sofar).alias(f"_before_{n}") for n in sums],
-        F.lag("_last").over(earlier).alias("_last"),
-    )
-
-    w = Window.partitionBy(key, "_piece").orderBy(*line)
-    upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = spread.join(F.broadcast(ends), [key, "_piece"]).select(
-        *columns,
-        "_copies",
+        *([F.lag("_last").over(earlier).alias("_last")] if diffs else []),
+    ).where(F.col("_every").isNotNull() & (F.col("_spread") == 0))
+    found = _inside(rows, within, key, order, sums, diffs)
+    if diffs:
+        first = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) == 1
+        found = found.withColumn("_first", first)
+    joined = found.join(totals, within, "left")
+    kinds = {f.name: f.dataType for f in found.schema}
+    return joined.select(
+        *df.columns,
+        *[(F.col(n) + F.coalesce(f"_before_{n}", F.lit(0))).cast(kinds[n]).alias(n) for n in sums],
         *[
-            (
-                F.coalesce(F.sum(x).over(upto), F.lit(0))
-                + F.coalesce(F.col(f"_before_{n}"), F.lit(0))
-            ).alias(f"_start_{n}")
-            for n, x in weighted.items()
-        ],
-        *[
-            F.when(F.row_number().over(w) == 1, F.col(f"_last.{n}"))
-            .otherwise(F.lag(c).over(w))
-            .alias(f"_prior_{n}")
-            for n, c in diffs.items()
-        ],
-    )
-
-    # Give every copy its own row again; a large group of copies is spread first.
-    block = F.col("_block") * rows_per_task
-    copies = (
-        rows.withColumn(
-            "_block", F.explode(F.sequence(F.lit(0), F.expr(f"(_copies - 1) div {rows_per_task}")))
-        )
-        .repartition(pieces, key, *line, "_block")
-        .withColumn(
-            "_copy",
-            F.explode(F.sequence(block + 1, F.least(F.col("_copies"), block + rows_per_task))),
-        )
-    )
-    return copies.select(
-        *columns,
-        *[
-            F.when(
-                F.col(c).isNotNull(), F.col(f"_start_{n}") + F.col(c) * F.col("_copy")
-            ).alias(n)
-            for n, c in sums.items()
-        ],
-        *[
-            (
-                F.col(c) - F.when(F.col("_copy") == 1, F.col(f"_prior_{n}")).otherwise(F.col(c))
-            ).alias(n)
+            F.when(F.col("_first"), F.col(c) - F.col(f"_last._{n}")).otherwise(F.col(n)).cast(kinds[n]).alias(n)
             for n, c in diffs.items()
         ],
     )
@@ -181,49 +126,20 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, str] | None = None,
     diffs: Mapping[str, str] | None = None,
-    large: Mapping | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    block: int | None = None,
 ) -> DataFrame:
     """Add running sums and first differences per ``key``.
 
-    ``sums`` and ``diffs`` map a new column to its source. ``order`` must tell
-    rows apart, but for rows that are equal in every column. ``large`` gives the
-    keys to split with their row counts (see ``frequent_keys``); they are looked
-    up when it is left out.
+    ``sums`` and ``diffs`` map a new column to its source. ``order`` begins with a time and must
+    tell rows apart, but for rows that are equal in every column. ``block`` is the length in
+    seconds of the blocks (see ``block_length``), 0 for one block; it is looked up when left out.
     """
     sums, diffs = dict(sums or {}), dict(diffs or {})
-    if large is None:
-        large = frequent_keys(df, [key], rows_per_task)[key]
-    if not large:
-        return _local(df, key, order, sums, diffs)
-    if None in large:
-        # Rows without a key have no running values, so they need no window.
-        large = {k: rows for k, rows in large.items() if k is not None}
-        keyed = running(
-            df.where(F.col(key).isNotNull()), key, order, sums, diffs, large, rows_per_task
-        )
-        added = [F.lit(None).cast(keyed.schema[n].dataType).alias(n) for n in (*sums, *diffs)]
-        return keyed.unionByName(df.where(F.col(key).isNull()).select("*", *added))
-
-    spark = df.sparkSession
-    one_key = T.StructType([T.StructField(key, df.schema[key].dataType)])
-    # At most LISTED_KEYS rows.
-    listed = F.broadcast(small_table(spark, [(v,) for v in large], one_key))
-    small_part = _local(
-        df.join(listed, key, "left_anti").select(*df.columns), key, order, sums, diffs
-    )
-    pieces = min(MAX_PIECES, sum(large.values()) // rows_per_task + 2)
-    large_part = _ranges(
-        df.join(listed, key, "left_semi").select(*df.columns),
-        key,
-        order,
-        sums,
-        diffs,
-        pieces,
-        rows_per_task,
-    )
-    same_types = [F.col(f.name).cast(f.dataType).alias(f.name) for f in small_part.schema]
-    return small_part.unionByName(large_part.select(*same_types))
+    if block is None:
+        block = block_length(df, column=order[0])
+    if block:
+        return _two_levels(df, key, order, sums, diffs, block)
+    return _inside(df, [key], key, order, sums, diffs)
 
 
 def rolling_mean(

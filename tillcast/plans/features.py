@@ -9,7 +9,7 @@ so those of a month's history are the same in a longer log.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tillcast.functions import months
 from tillcast.functions.stats import FULL_STATS
 from tillcast.operators import moments
 from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds
-from tillcast.operators.running import frequent_keys, running
+from tillcast.operators.running import block_length, running
 from tillcast.schema import LOG_ORDER, MEASURES, with_customer
 
 KEYS = ["customer_id", "year_month", "label"]
@@ -91,7 +91,7 @@ def base(
 def with_running_sums(
     lines: DataFrame,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """Add the running sums of total, quantity and price by customer, product and order.
 
@@ -99,28 +99,28 @@ def with_running_sums(
     partitioning a join by order leaves behind, and the customer windows leave
     behind the one that grouping by customer needs.
     """
-    if large is None:
-        large = frequent_keys(lines, list(RUNNING_KEYS))
+    if block is None:
+        block = block_length(lines)
     for key in ("order_id", "product_id", "customer_id"):
-        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], large=large.get(key, {}))
+        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
     return lines
 
 
 def with_differences(
     lines: DataFrame,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """Add the difference to the customer's previous line, for time and measures."""
-    if large is None:
-        large = frequent_keys(lines, ["customer_id"])
+    if block is None:
+        block = block_length(lines)
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
     return running(
         lines,
         "customer_id",
         _order(lines, order),
         diffs=DIFFS,
-        large=large.get("customer_id", {}),
+        block=block,
     )
 
 
@@ -135,16 +135,16 @@ def with_all_columns(
     lines: DataFrame,
     year_month: str,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """Lines with running sums, differences and the customer's mean monthly spend.
 
     The ``full`` set does not need the last: it is constant per customer there.
     """
-    if large is None:
-        large = frequent_keys(lines, list(RUNNING_KEYS))
+    if block is None:
+        block = block_length(lines)
     spend = mean_monthly_spend(lines, year_month)
-    out = with_differences(with_running_sums(lines, order, large), order, large)
+    out = with_differences(with_running_sums(lines, order, block), order, block)
     return out.join(spend, "customer_id", "left")
 
 
@@ -153,10 +153,10 @@ def cumsum(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """Seven statistics of nine running sums (63 features)."""
-    lines = with_running_sums(_until(lines, year_months), order, large)
+    lines = with_running_sums(_until(lines, year_months), order, block)
     rows = _whole_history(lines, year_months, CUMSUM_COLUMNS, FULL_STATS)
     names = [f"{c}-{s}" for c in CUMSUM_COLUMNS for s in FULL_STATS]
     return _labelled(rows, threshold, _quoted(names))
@@ -251,10 +251,10 @@ def diff(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """First and last purchase time and seven statistics of four differences (30 features)."""
-    lines = with_differences(_until(lines, year_months), order, large)
+    lines = with_differences(_until(lines, year_months), order, block)
     rows = _whole_history(lines, year_months, list(DIFFS), FULL_STATS)
     names = [f"{c}-{s}" for c in DIFFS for s in FULL_STATS]
     return _labelled(_with_span(rows), threshold, [*_first_last(), *_quoted(names)])
@@ -377,7 +377,7 @@ def full(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    large: Mapping[str, Mapping] | None = None,
+    block: int | None = None,
     chain: str = "right",
     tenure_until: str | None = None,
 ) -> DataFrame:
@@ -388,20 +388,20 @@ def full(
     """
     until = tenure_until or max(year_months)
     lines = _until(lines, year_months)
-    if large is None:
-        large = frequent_keys(lines, list(RUNNING_KEYS))
+    if block is None:
+        block = block_length(lines)
     # Differences share the sort of the customer windows, so they come last.
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
     recent = lines
     for key in ("order_id", "product_id"):
-        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], large=large.get(key, {}))
+        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
     lines = running(
         lines,
         "customer_id",
         _order(lines, order),
         sums=CUMSUMS["customer_id"],
         diffs=DIFFS,
-        large=large.get("customer_id", {}),
+        block=block,
     )
 
     row_columns = [*DIFFS, *CUMSUM_COLUMNS]

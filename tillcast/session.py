@@ -46,10 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="tillcast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # Known to the context from here on: the setting itself is fixed once a session runs.
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder; what is written there goes as ``materialise`` says."""
+    path = f"{shared_folder(spark)}/tillcast-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and go on from the files.
 
@@ -57,8 +66,7 @@ def materialise(df: DataFrame) -> DataFrame:
     passes read only the columns they need. The files go when the innermost
     ``scratch`` block ends, or else with the session.
     """
-    path = f"{shared_folder(df.sparkSession)}/tillcast-{uuid.uuid4().hex}"
-    _written[-1].append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

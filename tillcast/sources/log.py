@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.schema import LOG_SCHEMA, clean
+from tillcast.sources import csv_files
 
+KEY_SCHEMA = T.StructType([T.StructField("customer_id", T.LongType())])
+LABEL_SCHEMA = T.StructType([*KEY_SCHEMA, T.StructField("label", T.IntegerType())])
+SCORE_SCHEMA = T.StructType([*KEY_SCHEMA, T.StructField("probability", T.DoubleType())])
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """Transaction log from CSV files with a header; ``path`` may be a pattern.
 
-    Price and total are decimals of four places, so that sums do not depend on the order of
-    addition; a value that does not fit is an error. ``NaN`` and blanks are null.
+def read_transactions(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
+    """Transaction log from CSV files with headers; ``path`` may be a pattern.
+
+    Each file's columns are taken by the names in its own header. Price and total are decimals
+    of four places, so that sums do not depend on the order of addition. ``NaN`` and blanks are
+    null. A line of another number of fields, or with a value that is not of its column's type
+    or has further places, is an error; with ``malformed='aside'`` such lines are left out, and
+    ``malformed_transactions`` gives them.
     """
-    # By name, so that the column order of the file does not matter.
-    raw = spark.read.option("header", True).csv(path)
-    columns = [
-        F.to_timestamp_ntz(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.TimestampNTZType)
-        else _exact(f).alias(f.name)
-        if isinstance(f.dataType, T.DecimalType)
-        else F.col(f.name).cast(f.dataType).alias(f.name)
-        for f in LOG_SCHEMA
-        if f.name in raw.columns
-    ]
-    return clean(raw.select(*columns))
-
-
-def _exact(field: T.StructField) -> Column:
-    """A text as a decimal, all of whose digits must fit."""
-    text = F.trim(F.col(field.name))
-    number = F.when(~F.lower(text).isin("nan", ""), text).cast("decimal(38,18)")
-    fitting = number.cast(field.dataType)
-    message = F.concat(F.lit(f"{field.name} has more than {field.dataType.scale} places: "), text)
-    return F.when(number != fitting, F.raise_error(message)).otherwise(fitting)
+    return csv_files.read(spark, path, LOG_SCHEMA, malformed)
+
+
+def malformed_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, reason, record`` of the lines that ``read_transactions`` leaves out."""
+    return csv_files.malformed_lines(spark, path, LOG_SCHEMA)
 
 
 def read_transactions_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -48,22 +41,21 @@ def parse_dates(raw: DataFrame, column: str = "order_date") -> DataFrame:
     return raw.withColumn(column, F.to_timestamp_ntz(F.col(column)))
 
 
+def _whole(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
+    found = csv_files.read(spark, path, fields)
+    if missing := [f.name for f in fields if f.name not in found.columns]:
+        raise ValueError(f"no file of {path} has a column {missing[0]}")
+    return found
+
+
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     """Customers to score, from a submission template."""
-    return spark.read.option("header", True).csv(path).select(
-        F.col("customer_id").cast("bigint").alias("customer_id")
-    )
+    return _whole(spark, path, KEY_SCHEMA)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path).select(
-        F.col("customer_id").cast("bigint").alias("customer_id"),
-        F.col("label").cast("int").alias("label"),
-    )
+    return _whole(spark, path, LABEL_SCHEMA)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path).select(
-        F.col("customer_id").cast("bigint").alias("customer_id"),
-        F.col("probability").cast("double").alias("probability"),
-    )
+    return _whole(spark, path, SCORE_SCHEMA)
