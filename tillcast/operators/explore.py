@@ -12,7 +12,7 @@ from tillcast.functions import months
 from tillcast.functions.stats import numeric_columns
 from tillcast.operators.quantiles import exact_quantiles
 from tillcast.schema import MEASURES, with_customer
-from tillcast.session import small_table
+from tillcast.session import materialise, small_table
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -53,6 +53,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     frequent value go to the smallest text."""
     columns = list(columns or df.columns)
     numeric = [c for c in numeric_columns(df) if c in columns]
+    # Written once, with these columns only: tallies, moments and quantiles read it in turn.
+    df = materialise(df.select(*[F.col(f"`{c}`") for c in columns]))
     tallies = _tallies(df, columns)
     known = F.col("value").isNotNull()
     values = tallies.groupBy("column").agg(
