@@ -203,6 +203,55 @@ def q_high_corr_cols(spark, sf_dir):
     return prepare.high_correlation(base, 0.9, sets.feature_names(base))
 
 
+def q_correlations_full(spark, sf_dir):
+    rows = feature_set("full", ordered=True)(spark, sf_dir).where(F.col("year_month") == TARGET)
+    found = prepare.correlations(materialise(rows), sets.feature_names(rows))
+    return found.where("r IS NOT NULL").select("first", "second", F.round("r", 6).alias("r"))
+
+
+def q_approx_nunique(spark, sf_dir):
+    """Exact distinct counts next to whether the approximate ones are within 3 %."""
+    lines = transactions(spark, sf_dir, price=False)
+    near = sets.approx_nunique(lines, MONTHS, back=(None, 6))
+    out = None
+    for suffix, back in (("", None), ("-6", 6)):
+        for m in MONTHS:
+            past = lines.where(months.before("order_date", m))
+            if back:
+                past = past.where(F.col("order_date") >= months.month_start(months.shift(m, -back)))
+            exact = agg_dict(with_customer(past), ["customer_id"], {"order_id": ["nunique"], "product_id": ["nunique"]})
+            part = exact.select(
+                "customer_id", F.lit(m).alias("year_month"), F.lit(suffix).alias("window"),
+                *[F.col(f"`{c}-nunique`").alias(c) for c in ("order_id", "product_id")],
+            )
+            out = part if out is None else out.unionByName(part)
+    exact = near.select("customer_id", "year_month")
+    for suffix in ("", "-6"):
+        part = out.where(F.col("window") == suffix).select(
+            "customer_id", "year_month",
+            *[F.col(c).alias(f"{c}-nunique{suffix}") for c in ("order_id", "product_id")],
+        )
+        exact = exact.join(part, ["customer_id", "year_month"], "left")
+    both = exact.join(near, ["customer_id", "year_month"])
+    columns = []
+    for suffix in ("", "-6"):
+        for c in ("order_id", "product_id"):
+            n = F.coalesce(F.col(f"`{c}-nunique{suffix}`"), F.lit(0.0))
+            off = F.abs(F.col(f"`{c}-approx_nunique{suffix}`") - n)
+            columns += [n.alias(f"{c}-nunique{suffix}"), (off <= 0.03 * n).alias(f"{c}-close{suffix}")]
+    return both.select("customer_id", "year_month", *columns)
+
+
+CATEGORIES, NUMBERS = ["country", "ym", "product_id"], ["quantity", "price", "total"]
+
+
+def q_report_associations(spark, sf_dir):
+    lines = transactions(spark, sf_dir, country=True)
+    wide = materialise(lines.select("country", months.bucket("order_date").alias("ym"), "product_id", *NUMBERS))
+    found = explore.associations(wide, CATEGORIES, NUMBERS)
+    return found.withColumn("strength", F.round("strength", 6))
+
+
 def q_multi_month_train(spark, sf_dir):
     rows = jobs.multi_month_training(
         transactions(spark, sf_dir), "base", ["2001-03", "2001-05", "2001-06"], threshold=THRESHOLD
@@ -541,6 +590,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "label_encode": q_label_encode,
         "median_impute": q_median_impute,
         "high_corr_cols": q_high_corr_cols,
+        "correlations_full": q_correlations_full,
+        "approx_nunique": q_approx_nunique,
+        "report_associations": q_report_associations,
         "multi_month_train": q_multi_month_train,
         "densified_series": q_densified_series,
         "top5_customers_series": q_top5_customers_series,
@@ -686,6 +738,9 @@ def own_sql() -> dict[str, str]:
         ),
         "label_encode": sql.label_encode(),
         "median_impute": sql.median_impute(),
+        "correlations_full": sql.correlations_full(),
+        "approx_nunique": sql.approx_nunique(),
+        "report_associations": wide_log + sql.associations(CATEGORIES, NUMBERS),
         "high_corr_cols": sql.high_corr(),
         "multi_month_train": sql.multi_month(),
         "densified_series": f"{sql.DENSE} SELECT * FROM dense",

@@ -272,8 +272,14 @@ def mean_spend_of(where: str) -> str:
     )
 
 
+OWN = ["mean-mean", "mean-sum", "mean-count", "mean-skew"]
+FULL_NAMES = [
+    "order_ts-first", "order_ts-last", *names_of([*DIFFS, *CUMSUMS], SHORT), *OWN,
+    *TREND_NAMES, *SEASON_NAMES,
+]
+
+
 def full() -> str:
-    own = ["mean-mean", "mean-sum", "mean-count", "mean-skew"]
     columns = [*DIFFS, *CUMSUMS]
 
     def of(ym: str) -> str:
@@ -291,11 +297,7 @@ def full() -> str:
             f"LEFT JOIN ({season_of(ym)}) USING (customer_id)"
         )
 
-    return both(
-        of,
-        ["order_ts-first", "order_ts-last", *names_of(columns, SHORT), *own,
-         *TREND_NAMES, *SEASON_NAMES],
-    )
+    return both(of, FULL_NAMES)
 
 
 LINE_KEYS = "order_id, line_no, product_id, supplier_id"
@@ -394,6 +396,58 @@ def high_corr(threshold: float = 0.9) -> str:
     )
 
 
+def correlations_full() -> str:
+    """Correlation of all pairs of columns of the full set, on the rows where both are set."""
+    return f"""
+WITH f AS (SELECT * FROM ({full()}) WHERE year_month = '{TARGET}'),
+long AS (UNPIVOT f ON COLUMNS(* EXCLUDE (customer_id, year_month, label)) INTO NAME feature VALUE v),
+n AS (SELECT unnest({FULL_NAMES}) AS feature, unnest(range({len(FULL_NAMES)})) AS i),
+x AS (SELECT customer_id, feature, i, CAST(v AS DOUBLE) AS v FROM long JOIN n USING (feature))
+SELECT a.feature AS first, b.feature AS second, ROUND(corr(a.v, b.v), 6) AS r
+FROM x a JOIN x b ON a.customer_id = b.customer_id AND a.i < b.i GROUP BY ALL
+HAVING count(DISTINCT a.v) > 1 AND count(DISTINCT b.v) > 1 AND isfinite(corr(a.v, b.v))
+"""
+
+
+def approx_nunique() -> str:
+    """Exact distinct counts; every approximate one is to lie within 3 % of them."""
+    windows = [("", "TRUE"), ("-6", "ym >= '{low}'")]
+    parts = []
+    for ym in (TRAIN, TARGET):
+        cells = ", ".join(
+            f"CAST(COUNT(DISTINCT CASE WHEN {c.format(low=shift(ym, -6))} THEN {column} END) AS DOUBLE) "
+            f'AS "{column}-nunique{suffix}", TRUE AS "{column}-close{suffix}"'
+            for suffix, c in windows for column in ("order_id", "product_id")
+        )
+        parts.append(f"SELECT customer_id, '{ym}' AS year_month, {cells} FROM log WHERE {before(ym)} GROUP BY customer_id")
+    return f"WITH {LOG} " + " UNION ALL ".join(parts)
+
+
+def associations(categories: list[str], numbers: list[str]) -> str:
+    ratio, uncertain = [], []
+    for c in categories:
+        for x in numbers:
+            ratio.append(
+                f"SELECT '{c}' AS first, '{x}' AS second, 'correlation ratio' AS kind, "
+                f"sqrt(SUM(n * (m - t) * (m - t)) / ANY_VALUE(ss)) AS strength FROM (SELECT COUNT({x}) AS n, "
+                f"AVG(CAST({x} AS DOUBLE)) AS m FROM wide GROUP BY {c}), (SELECT AVG(CAST({x} AS DOUBLE)) AS t, "
+                f"VAR_POP(CAST({x} AS DOUBLE)) * COUNT({x}) AS ss FROM wide)"
+            )
+        for d in categories:
+            if d != c:
+                uncertain.append(
+                    f"SELECT '{c}' AS first, '{d}' AS second, 'uncertainty' AS kind, 1 - (SELECT "
+                    f"SUM(n / t * -LN(n / g)) FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(COUNT(*)) OVER "
+                    f"(PARTITION BY {d}) AS DOUBLE) AS g, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS t FROM wide "
+                    f"GROUP BY {c}, {d})) / (SELECT SUM(n / t * -LN(n / t)) FROM (SELECT CAST(COUNT(*) AS DOUBLE) "
+                    f"AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS t FROM wide GROUP BY {c})) AS strength"
+                )
+    return (
+        "SELECT first, second, kind, ROUND(strength, 6) AS strength FROM ("
+        + " UNION ALL ".join(ratio + uncertain) + ")"
+    )
+
+
 def median_impute() -> str:
     frame = both(lambda ym: chain(season_blocks(ym, {})), SEASON_NAMES)
 

@@ -97,6 +97,96 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return table.join(numbers.join(quartiles, "column"), "column", "left")
 
 
+def associations(
+    df: DataFrame, categories: Sequence[str], numbers: Sequence[str] = ()
+) -> DataFrame:
+    """``first, second, kind, strength`` of all pairs with a category, from 0 (none) to 1.
+
+    Two categories have the uncertainty coefficient: the share of the first's entropy that the
+    second takes away, so each order has a row. A category and a number have the correlation
+    ratio: the root of the share of the number's variance that lies between the categories.
+    Nulls are a category of their own; a number's nulls are left out. A pair without any
+    entropy or variance to explain has no strength.
+
+    All pairs come from one tally by pair and values and one by category and value, both summed
+    before the shuffle, so a frequent value is spread.
+    """
+    text = {c: F.col(f"`{c}`").cast("string") for c in categories}
+    pairs = [(a, b) for i, a in enumerate(categories) for b in categories[i + 1 :]]
+    parts = []
+    if pairs:
+        rows = F.array(
+            *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text[a].alias("x"), text[b].alias("y")) for a, b in pairs]
+        )
+        cells = df.select(F.inline(rows)).groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        cells = materialise(cells)
+        entropy = _entropy_sums(cells, ["a", "b"])
+        for side, value in (("a", "x"), ("b", "y")):
+            margin = cells.groupBy("a", "b", value).agg(F.sum("n").alias("n"))
+            entropy = entropy.join(
+                _entropy_sums(margin, ["a", "b"]).select("a", "b", F.col("h").alias(f"h_{side}")), ["a", "b"]
+            )
+        both = F.col("h_a") + F.col("h_b") - F.col("h")
+        for one, two in (("a", "b"), ("b", "a")):
+            parts.append(
+                entropy.select(
+                    F.col(one).alias("first"),
+                    F.col(two).alias("second"),
+                    F.lit("uncertainty").alias("kind"),
+                    F.when(F.col(f"h_{one}") > 1e-12, F.greatest(both / F.col(f"h_{one}"), F.lit(0.0))).alias("strength"),
+                )
+            )
+    if categories and numbers:
+        rows = F.array(*[F.struct(F.lit(c).alias("a"), text[c].alias("x")) for c in categories])
+        x = {c: F.col(f"v{i}") for i, c in enumerate(numbers)}
+        means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in numbers]).first()
+        # Distances from the mean, so that the squares do not cancel.
+        values = [
+            (F.col(f"`{c}`").cast("double") - F.lit(0.0 if m is None else m)).alias(f"v{i}")
+            for i, (c, m) in enumerate(zip(numbers, means))
+        ]
+        groups = df.select(*values, F.inline(rows)).groupBy("a", "x").agg(
+            *[
+                F.struct(
+                    F.lit(c).alias("second"), F.count(x[c]).alias("n"), F.sum(x[c]).alias("s"), F.sum(x[c] * x[c]).alias("q")
+                ).alias(f"g{i}")
+                for i, c in enumerate(numbers)
+            ]
+        )
+        long = groups.select("a", F.inline(F.array(*[f"g{i}" for i in range(len(numbers))]))).where("n > 0")
+        sums = long.groupBy("a", "second").agg(
+            F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"),
+            F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+        )
+        shift = F.col("s") * F.col("s") / F.col("n")
+        total = F.col("q") - shift
+        share = F.greatest((F.col("between") - shift) / total, F.lit(0.0))
+        parts.append(
+            sums.select(
+                F.col("a").alias("first"),
+                "second",
+                F.lit("correlation ratio").alias("kind"),
+                F.when(total > F.col("q") * 1e-13, F.sqrt(F.least(share, F.lit(1.0)))).alias("strength"),
+            )
+        )
+    if not parts:
+        raise ValueError("associations need two categories, or one and a number")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _entropy_sums(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Entropy in nats of the counts ``n`` of each group."""
+    n = F.col("n").cast("double")
+    return (
+        cells.groupBy(*by)
+        .agg(F.sum(n).alias("t"), F.sum(n * F.log(n)).alias("w"))
+        .select(*by, (F.log("t") - F.col("w") / F.col("t")).alias("h"))
+    )
+
+
 def histogram(
     df: DataFrame, column: str, bins: int, lo: float | None = None, hi: float | None = None
 ) -> DataFrame:

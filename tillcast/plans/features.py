@@ -224,6 +224,45 @@ def nunique(
     )
 
 
+# Bits of the registers' number in a sketch of distinct values: a standard error of 0.8 %.
+SKETCH_BITS = 14
+
+
+def distinct_sketches(lines: DataFrame, columns: Sequence[str] = ("order_id", "product_id")) -> DataFrame:
+    """``customer_id, p`` (the month) and a sketch of each column's values; sketches merge.
+
+    A frequent customer's lines are sketched where they are, and only sketches are shuffled.
+    """
+    month = months.index_of("order_date").alias("p")
+    return (
+        with_customer(lines)
+        .groupBy("customer_id", month)
+        .agg(*[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(c) for c in columns])
+    )
+
+
+def approx_nunique(
+    lines: DataFrame, year_months: Sequence[str], back: Sequence[int | None] = (None,)
+) -> DataFrame:
+    """Approximate distinct orders and products before each month, from one set of sketches.
+
+    ``back`` lists windows by their length in months, None for the whole history; a window
+    of n months adds ``-n`` to the names. Any window is a union of the monthly sketches.
+    """
+    columns = ["order_id", "product_id"]
+    sketches = distinct_sketches(_until(lines, year_months), columns)
+    refs = F.array(*[F.lit(months.month_index(m)) for m in sorted(year_months)])
+    past = sketches.select("*", F.explode(refs).alias("ref")).where("p < ref")
+    found = []
+    for n in back:
+        for c in columns:
+            inside = F.lit(True) if n is None else F.col("p") >= F.col("ref") - n
+            merged = F.hll_sketch_estimate(F.hll_union_agg(F.when(inside, F.col(c))))
+            name = f"{c}-approx_nunique" + ("" if n is None else f"-{n}")
+            found.append(F.coalesce(merged, F.lit(0)).cast("double").alias(name))
+    return past.groupBy("customer_id", "ref").agg(*found).withColumn("year_month", months.name_of(F.col("ref"))).drop("ref")
+
+
 def mode_months(
     lines: DataFrame, year_months: Sequence[str], threshold: float = TOTAL_THRESHOLD
 ) -> DataFrame:
