@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from oracles import sql  # noqa: E402
 from tillcast.functions import months  # noqa: E402
 from tillcast.functions.stats import agg_dict  # noqa: E402
-from tillcast.operators import explore, importance, metrics, prepare  # noqa: E402
+from tillcast.operators import explore, importance, metrics, prepare, selection  # noqa: E402
 from tillcast.operators.folds import stratified_folds  # noqa: E402
 from tillcast.operators.labels import exceeds, generate_label, label_balance, label_months  # noqa: E402
 from tillcast.operators.running import block_length, rolling_mean, running, sample_share  # noqa: E402
@@ -518,6 +518,28 @@ def q_oof_naive_bayes(spark, sf_dir):
     return oof.withColumn("probability", F.round("probability", 6))
 
 
+SUBSET = 6
+
+
+def train_rows(spark, sf_dir) -> DataFrame:
+    """The train month's rows of the base set with their folds, nulls as they are."""
+    rows = sets.build("base", transactions(spark, sf_dir), MONTHS, threshold=THRESHOLD)
+    return materialise(stratified_folds(tidy(rows.where(F.col("year_month") == TRAIN)), FOLDS))
+
+
+def q_univariate_f(spark, sf_dir):
+    rows = train_rows(spark, sf_dir)
+    found = selection.f_statistics(rows, [c for c in sets.feature_names(rows) if c != "fold"])
+    return found.withColumn("f", F.round("f", 4))
+
+
+def q_select_subset(spark, sf_dir):
+    rows = train_rows(spark, sf_dir)
+    names = [c for c in sets.feature_names(rows) if c != "fold"]
+    found = selection.forward_selection(rows, names, SUBSET)
+    return found.withColumn("balanced_accuracy", F.round("balanced_accuracy", 8))
+
+
 def q_oof_early_stopping(spark, sf_dir):
     oof = out_of_fold_of(spark, sf_dir, boosted_trees(early_stop=0.01))
     valid = F.col("probability").between(0.0, 1.0).alias("valid")
@@ -622,6 +644,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "auc_tied": q_auc_tied,
         "evaluate_partial": q_evaluate_partial,
         "oof_naive_bayes": q_oof_naive_bayes,
+        "univariate_f": q_univariate_f,
+        "select_subset": q_select_subset,
         "oof_early_stopping": q_oof_early_stopping,
         "oof_predictions": q_oof_predictions,
         "backtest": q_backtest,
@@ -824,6 +848,8 @@ def own_sql() -> dict[str, str]:
             "(SELECT COUNT(*) FROM given WHERE p IS NULL) AS unscored FROM c, a"
         ),
         "oof_naive_bayes": sql.naive_bayes(),
+        "univariate_f": sql.univariate_f(),
+        "select_subset": sql.select_subset(SUBSET),
         "oof_early_stopping": (
             f"SELECT customer_id, label, CAST((ROW_NUMBER() OVER (PARTITION BY label ORDER BY "
             f"md5('0|' || CAST(customer_id AS VARCHAR)), customer_id) - 1) % {FOLDS} AS INT) AS fold, "

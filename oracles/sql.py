@@ -550,3 +550,58 @@ def naive_bayes(folds: int = 10) -> str:
         prior - 0.5::DOUBLE * ({term('a')} + {term('b')}) AS l FROM f JOIN p ON fold = k)
       SELECT customer_id, label, fold, ROUND(1 / (1 + exp(MAX(l) FILTER (WHERE c = 0)
         - MAX(l) FILTER (WHERE c = 1))), 6) AS probability FROM l GROUP BY customer_id, label, fold"""
+
+
+def train_rows() -> str:
+    """Rows of the train month in the base set, without encoding or imputation, with folds."""
+    return f"""t AS (SELECT * FROM ({base()}) WHERE year_month = '{TRAIN}'),
+      f AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY label
+        ORDER BY md5('0|' || CAST(customer_id AS VARCHAR)), customer_id) - 1) % 10 AS fold FROM t)"""
+
+
+def univariate_f() -> str:
+    parts = [
+        f"""SELECT '{n}' AS feature, (SUM(n * (m - t) * (m - t)) / (COUNT(*) - 1)) / (SUM(n * v) / (SUM(n) - COUNT(*))) AS f
+        FROM (SELECT CAST(COUNT("{n}") AS DOUBLE) AS n, AVG("{n}") AS m, VAR_POP("{n}") AS v FROM f GROUP BY label),
+        (SELECT AVG("{n}") AS t FROM f)"""
+        for n in names_of(MEASURES, FULL)
+    ]
+    return f"WITH {train_rows()} SELECT feature, ROUND(f, 4) AS f FROM ({' UNION ALL '.join(parts)})"
+
+
+def select_subset(steps: int) -> str:
+    """Forward selection, a step after the other, from the terms of all rows and features."""
+    names = names_of(MEASURES, FULL)
+    parts = [f"""SELECT {i} AS i, customer_id, label, fold, "{n}" AS x FROM f""" for i, n in enumerate(names)]
+
+    def distance(c: int) -> str:
+        return f"ln(v{c}) + (x - m{c}) * (x - m{c}) / v{c}"
+
+    steps_sql = ["b0 AS (SELECT DISTINCT customer_id, label, prior AS base FROM l), s0 AS (SELECT -1 AS i, -1::BIGINT AS score)"]
+    for k in range(steps):
+        taken = " AND ".join([f"i NOT IN (SELECT i FROM s{j})" for j in range(1, k + 1)]) or "TRUE"
+        steps_sql.append(
+            f"""c{k + 1} AS (SELECT i, SUM(CASE WHEN b.label = 1 AND base + term > 0 THEN zero
+                WHEN b.label = 0 AND NOT base + term > 0 THEN one ELSE 0 END)::BIGINT AS score
+                FROM l JOIN b{k} b USING (customer_id), sizes WHERE {taken} GROUP BY i),
+            s{k + 1} AS MATERIALIZED (SELECT i, score FROM c{k + 1} WHERE score > (SELECT max(score) FROM s{k})
+                AND (SELECT count(*) FROM s{k}) > 0 ORDER BY score DESC, i LIMIT 1),
+            b{k + 1} AS MATERIALIZED (SELECT b.customer_id, b.label, base + coalesce(term, 0) AS base FROM b{k} b
+                LEFT JOIN (SELECT * FROM l WHERE i IN (SELECT i FROM s{k + 1})) USING (customer_id))"""
+        )
+    listed = ", ".join(f"'{n}'" for n in names)
+    out = " UNION ALL ".join(
+        f"SELECT CAST({k} AS INT) AS step, [{listed}][i + 1] AS feature, ROUND(score / (2.0::DOUBLE * zero * one), 8) "
+        f"AS balanced_accuracy FROM s{k}, sizes" for k in range(1, steps + 1)
+    )
+    return f"""WITH {train_rows()}, x AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+      k AS (SELECT UNNEST(range(10)) AS k),
+      sizes AS (SELECT count(*) FILTER (WHERE label = 0) AS zero, count(*) FILTER (WHERE label = 1) AS one FROM f),
+      p AS (SELECT k, ln(count(*) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 0)) AS prior
+        FROM f JOIN k ON fold <> k GROUP BY k),
+      m AS (SELECT k, i, AVG(x) FILTER (WHERE label = 0) AS m0, AVG(x) FILTER (WHERE label = 1) AS m1,
+        GREATEST(VAR_POP(x) FILTER (WHERE label = 0), 1e-9) AS v0,
+        GREATEST(VAR_POP(x) FILTER (WHERE label = 1), 1e-9) AS v1 FROM x JOIN k ON fold <> k GROUP BY k, i),
+      l AS MATERIALIZED (SELECT customer_id, label, x.i, prior, coalesce((({distance(0)}) - ({distance(1)})) / 2, 0) AS term
+        FROM x JOIN m ON m.k = fold AND m.i = x.i JOIN p ON p.k = fold),
+      {', '.join(steps_sql)} {out}"""

@@ -6,14 +6,15 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.operators.folds import stratified_folds
 from tillcast.operators.importance import mean_importance, top_features
 from tillcast.operators.labels import TOTAL_THRESHOLD, generate_label
 from tillcast.operators.metrics import auc, blend, threshold_metrics
 from tillcast.operators.prepare import high_correlation_columns, preprocess
+from tillcast.operators.selection import best_single, forward_selection
 from tillcast.plans import features as sets
 from tillcast.plans.training import (
     FoldResult,
@@ -207,12 +208,13 @@ def select_features(
 
 def select_univariate(data: Prepared, n: int = 50) -> list[str]:
     """The ``n`` features that tell the classes apart best one by one (ANOVA F-test)."""
-    selector = UnivariateFeatureSelector(
-        featuresCol="features", labelCol="label", outputCol="selected"
-    )
-    selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(n)
-    model = selector.fit(assemble(data.train, data.features))
-    return [data.features[i] for i in sorted(model.selectedFeatures)]
+    return best_single(data.train, data.features, n)
+
+
+def select_subset(data: Prepared, n: int = 10, folds: int = 10, seed: int = 0) -> DataFrame:
+    """Features that naive Bayes does best with out of fold, added one at a time."""
+    train = materialise(stratified_folds(data.train, folds, seed))
+    return forward_selection(train, data.features, n)
 
 
 def multi_month_training(
