@@ -20,7 +20,7 @@ from tillcast.operators.labels import exceeds, generate_label, label_balance, la
 from tillcast.operators.running import block_length, rolling_mean, running, sample_share  # noqa: E402
 from tillcast.plans import features as sets  # noqa: E402
 from tillcast.plans import jobs  # noqa: E402
-from tillcast.plans.training import assemble, boosted_trees, fold_vectors, naive_bayes, out_of_fold  # noqa: E402
+from tillcast.plans.training import boosted_trees, fit, naive_bayes, out_of_fold  # noqa: E402
 from tillcast.schema import with_customer  # noqa: E402
 from tillcast.session import materialise, new_path, small_table  # noqa: E402
 from tillcast.sources.log import malformed_transactions, read_keys, read_labels  # noqa: E402
@@ -507,14 +507,13 @@ def q_evaluate_partial(spark, sf_dir):
     return got.withColumn("auc", F.round("auc", 8))
 
 
-def out_of_fold_of(spark, sf_dir, learner) -> DataFrame:
-    data = prepared(spark, sf_dir, "nunique")
-    train = fold_vectors(data.train, data.features, FOLDS)
-    return out_of_fold(train, assemble(data.test, data.features), data.features, learner, FOLDS).oof
+def out_of_fold_of(spark, sf_dir, learner, name: str = "nunique"):
+    data = prepared(spark, sf_dir, name)
+    return out_of_fold(data.folds(FOLDS), data.vectors(data.test), data.features, learner, FOLDS)
 
 
 def q_oof_naive_bayes(spark, sf_dir):
-    oof = out_of_fold_of(spark, sf_dir, naive_bayes())
+    oof = out_of_fold_of(spark, sf_dir, naive_bayes()).oof
     return oof.withColumn("probability", F.round("probability", 6))
 
 
@@ -541,16 +540,60 @@ def q_select_subset(spark, sf_dir):
 
 
 def q_oof_early_stopping(spark, sf_dir):
-    oof = out_of_fold_of(spark, sf_dir, boosted_trees(early_stop=0.01))
+    oof = out_of_fold_of(spark, sf_dir, boosted_trees(early_stop=0.01)).oof
     valid = F.col("probability").between(0.0, 1.0).alias("valid")
     return oof.select("customer_id", "label", "fold", valid)
 
 
 def q_oof_predictions(spark, sf_dir):
     data = prepared(spark, sf_dir)
-    train = fold_vectors(data.train, data.features, FOLDS)
-    test = assemble(data.test, data.features)
-    return out_of_fold(train, test, data.features, boosted_trees(), FOLDS).oof
+    return out_of_fold(data.folds(FOLDS), data.vectors(data.test), data.features, boosted_trees(), FOLDS).oof
+
+
+PATIENCE = 3
+
+
+def q_early_stopping_rounds(spark, sf_dir):
+    """What the table of rounds says of each fold: where the wait ended, and which round was kept."""
+    found = out_of_fold_of(spark, sf_dir, boosted_trees(trees=15, depth=3, step=0.4, patience=PATIENCE))
+    kept = [(k, m.getNumTrees) for k, m in enumerate(found.models)]
+    trees = small_table(spark, kept, "fold int, trees int")
+    rounds = found.rounds.withColumn("least", F.min("loss").over(Window.partitionBy("fold")))
+    ended = (F.col("last") == F.least(F.col("best") + PATIENCE, F.lit(15))).alias("ended_by_patience")
+    return (
+        rounds.groupBy("fold", "best", "last")
+        .agg(
+            (F.count(F.lit(1)) == F.col("last")).alias("all_rounds_listed"),
+            (F.min(F.when(F.col("loss") == F.col("least"), F.col("round"))) == F.col("best")).alias("best_is_least"),
+        )
+        .join(trees, "fold")
+        .select("fold", "all_rounds_listed", "best_is_least", ended, (F.col("trees") == F.col("best")).alias("model_is_cut"))
+    )
+
+
+def q_categorical_splits(spark, sf_dir):
+    """How trees on the most frequent months split each feature: calendar months are a set."""
+    data = prepared(spark, sf_dir, "mode")
+    model = fit(boosted_trees(trees=5), materialise(data.vectors(data.train)), 0)
+    text = model.toDebugString
+    rows = [
+        (c, data.categories.get(c, 0), f"feature {i} in {{" in text, f"feature {i} <= " in text)
+        for i, c in enumerate(data.features)
+    ]
+    return small_table(spark, rows, "feature string, categories long, in_sets boolean, by_threshold boolean")
+
+
+def q_score_naive_bayes(spark, sf_dir):
+    """Target month, scored by the mean of the folds' models."""
+    found = out_of_fold_of(spark, sf_dir, naive_bayes()).test
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+def q_backtest_naive_bayes(spark, sf_dir):
+    got = jobs.backtest(
+        transactions(spark, sf_dir), TARGET, "nunique", THRESHOLD, {"bayes": (naive_bayes(), 1.0)}, FOLDS
+    )
+    return got.select(*[c if c == "unscored" else F.round(c, 6).alias(c) for c in got.columns])
 
 
 def q_backtest(spark, sf_dir):
@@ -560,9 +603,20 @@ def q_backtest(spark, sf_dir):
     )
 
 
+TRIALS = 50
+
+
 def q_random_search(spark, sf_dir):
-    # The number of draws is the user's choice; each has all folds and trees.
-    return jobs.random_search(prepared(spark, sf_dir), trials=2, folds=FOLDS)
+    """Fifty draws: how many are left at each rung, and that none kept is worse than one that goes."""
+    found = jobs.random_search(prepared(spark, sf_dir, "diff"), trials=TRIALS, folds=FOLDS)
+    worst, best = F.min(F.when(F.col("kept"), F.col("auc"))), F.max(F.when(~F.col("kept"), F.col("auc")))
+    return found.groupBy("rung").agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.count_if("kept").alias("kept"),
+        F.max("trees").cast("long").alias("trees"),
+        F.max("folds").cast("long").alias("folds"),
+        F.coalesce(worst >= best, F.lit(True)).alias("better_go_on"),
+    )
 
 
 def q_select_top_features(spark, sf_dir):
@@ -647,6 +701,10 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "univariate_f": q_univariate_f,
         "select_subset": q_select_subset,
         "oof_early_stopping": q_oof_early_stopping,
+        "early_stopping_rounds": q_early_stopping_rounds,
+        "categorical_splits": q_categorical_splits,
+        "score_naive_bayes": q_score_naive_bayes,
+        "backtest_naive_bayes": q_backtest_naive_bayes,
         "oof_predictions": q_oof_predictions,
         "backtest": q_backtest,
         "random_search": q_random_search,
@@ -847,6 +905,25 @@ def own_sql() -> dict[str, str]:
             "COALESCE(2 * CAST(tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), 0) AS f1, "
             "(SELECT COUNT(*) FROM given WHERE p IS NULL) AS unscored FROM c, a"
         ),
+        "early_stopping_rounds": (
+            "SELECT CAST(UNNEST(range(10)) AS INT) AS fold, TRUE AS all_rounds_listed, TRUE AS best_is_least, "
+            "TRUE AS ended_by_patience, TRUE AS model_is_cut"
+        ),
+        "categorical_splits": (
+            f"SELECT 'year_month-mode' AS feature, COUNT(DISTINCT \"year_month-mode\") AS categories, "
+            f"TRUE AS in_sets, FALSE AS by_threshold FROM ({sql.mode()}) "
+            "UNION ALL SELECT 'month-mode', 0, FALSE, TRUE"
+        ),
+        "random_search": (
+            "SELECT * FROM (VALUES "
+            + ", ".join(
+                f"(CAST({i} AS INT), {n}::BIGINT, {after}::BIGINT, {trees}::BIGINT, {folds}::BIGINT, TRUE)"
+                for i, ((n, trees, folds), after) in enumerate(zip(sql.RUNGS, [r[0] for r in sql.RUNGS[1:]] + [1]))
+            )
+            + ") AS t(rung, trials, kept, trees, folds, better_go_on)"
+        ),
+        "score_naive_bayes": sql.score_naive_bayes(),
+        "backtest_naive_bayes": sql.backtest_naive_bayes(),
         "oof_naive_bayes": sql.naive_bayes(),
         "univariate_f": sql.univariate_f(),
         "select_subset": sql.select_subset(SUBSET),

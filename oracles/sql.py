@@ -552,6 +552,45 @@ def naive_bayes(folds: int = 10) -> str:
         - MAX(l) FILTER (WHERE c = 1))), 6) AS probability FROM l GROUP BY customer_id, label, fold"""
 
 
+# Trials, trees and folds of each rung of a search of fifty.
+RUNGS = [(50, 2, 1), (25, 4, 1), (13, 8, 2), (7, 16, 2), (4, 20, 3), (2, 20, 10)]
+
+
+def _bayes_scores() -> str:
+    """``scores``: mean probability of the ten folds' models, for the target month's customers."""
+    whole = naive_bayes()
+    head = whole[: whole.index("l AS (SELECT")].rstrip().rstrip(",")
+
+    def term(c: str) -> str:
+        return f"ln(2 * pi() * v{c}) + ({c} - m{c}) * ({c} - m{c}) / v{c}"
+
+    return f"""{head}, u AS (SELECT customer_id, "order_id-nunique" AS a, "product_id-nunique" AS b
+        FROM ({nunique()}) WHERE year_month = '{TARGET}'),
+      l AS (SELECT customer_id, k, label AS c, prior - 0.5::DOUBLE * ({term('a')} + {term('b')}) AS l FROM u, p),
+      each AS (SELECT customer_id, k, 1 / (1 + exp(MAX(l) FILTER (WHERE c = 0) - MAX(l) FILTER (WHERE c = 1)))
+        AS probability FROM l GROUP BY customer_id, k),
+      scores AS (SELECT customer_id, AVG(probability) AS probability FROM each GROUP BY customer_id)"""
+
+
+def score_naive_bayes() -> str:
+    return f"{_bayes_scores()} SELECT customer_id, ROUND(probability, 6) AS probability FROM scores"
+
+
+def backtest_naive_bayes() -> str:
+    """AUC by ranks, and precision, recall and F1 above one half."""
+    return f"""{_bayes_scores()}, {LOG}, y AS (SELECT customer_id, label FROM ({label(TARGET)})),
+      m AS (SELECT label, round(probability, 12) AS s, probability FROM y JOIN scores USING (customer_id)),
+      r AS (SELECT *, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM m),
+      c AS (SELECT CAST(COUNT(*) FILTER (WHERE label = 1 AND probability > 0.5) AS DOUBLE) AS tp,
+        CAST(COUNT(*) FILTER (WHERE label = 0 AND probability > 0.5) AS DOUBLE) AS fp,
+        CAST(COUNT(*) FILTER (WHERE label = 1 AND probability <= 0.5) AS DOUBLE) AS fn,
+        CAST(COUNT(*) FILTER (WHERE label = 1) AS DOUBLE) AS p, CAST(COUNT(*) FILTER (WHERE label = 0) AS DOUBLE) AS n,
+        SUM(r) FILTER (WHERE label = 1) AS ranks FROM r)
+      SELECT ROUND((ranks - p * (p + 1) / 2) / (p * n), 6) AS auc, ROUND(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6)
+        AS precision, ROUND(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall,
+        ROUND(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1, 0::BIGINT AS unscored FROM c"""
+
+
 def train_rows() -> str:
     """Rows of the train month in the base set, without encoding or imputation, with folds."""
     return f"""t AS (SELECT * FROM ({base()}) WHERE year_month = '{TRAIN}'),

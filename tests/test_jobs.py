@@ -7,8 +7,9 @@ from helpers import log_of, rows_of
 from tillcast.__main__ import main
 from tillcast.plans import features as sets
 from tillcast.plans import jobs
-from tillcast.plans.training import assemble, boosted_trees, fold_vectors, out_of_fold, random_forest
-from tillcast.session import shared_folder
+from tillcast.operators.metrics import auc
+from tillcast.plans.training import assemble, best_round, boosted_trees, fit, out_of_fold, random_forest, score
+from tillcast.session import materialise, shared_folder
 from tillcast.sources import log, sinks
 
 QUICK = {"forest": (random_forest(3, 3), 0.4), "trees": (boosted_trees(2, 2), 0.6)}
@@ -20,8 +21,7 @@ def data(spark, lines):
 
 
 def test_out_of_fold(spark, data):
-    train = fold_vectors(data.train, data.features, 2)
-    test = assemble(data.test, data.features)
+    train, test = data.folds(2), data.vectors(data.test)
     got = out_of_fold(train, test, data.features, boosted_trees(2, 2, early_stop=0.01), 2)
     assert rows_of(got.oof, "customer_id") == rows_of(data.train, "customer_id")
     assert rows_of(got.test, "customer_id") == rows_of(data.test, "customer_id")
@@ -39,12 +39,78 @@ def test_score_month_covers_the_keys(spark, lines):
     assert scores[10**9] is None and 0 <= scores[1] <= 1
 
 
-def test_search_and_selection(spark, data):
-    search = jobs.random_search(data, trials=2, trees=2, folds=2)
-    assert search.count() == 2 and "depth" in jobs.best_parameters(search)
+def test_search_by_halving(spark, data):
+    search = jobs.random_search(data, trials=5, trees=3, folds=2).collect()
+    rungs = {}
+    for r in search:
+        rungs.setdefault(r["rung"], []).append(r)
+    assert {k: (len(v), v[0]["trees"], v[0]["folds"]) for k, v in rungs.items()} == {
+        0: (5, 2, 1), 1: (3, 3, 1), 2: (2, 3, 2),
+    }
+    for k, rows in rungs.items():
+        kept = {r["trial"] for r in rows if r["kept"]}
+        best = sorted(rows, key=lambda r: (-r["auc"], r["trial"]))[: len(kept)]
+        assert kept == {r["trial"] for r in best}
+        assert kept == ({r["trial"] for r in rungs[k + 1]} if k < 2 else kept) and all(0 <= r["auc"] <= 1 for r in rows)
+    assert jobs.rung_plan(50, 20, 10) == [(50, 2, 1), (25, 4, 1), (13, 8, 2), (7, 16, 2), (4, 20, 3), (2, 20, 10)]
+
+
+def test_search_scores_as_single_fits_do(spark, data):
+    """The last rung's figure is the out-of-fold AUC of a training with these parameters."""
+    search = jobs.random_search(data, trials=2, trees=2, folds=2, seed=3)
+    row = search.where("kept").first()
+    drawn = jobs.best_parameters(search)
+    kinds = {"depth": int, "bins": int, "min_rows": int, "row_share": float, "step": float, "feature_share": str}
+    learner = boosted_trees(trees=2, **{k: kinds[k](v) for k, v in drawn.items()})
+    got = out_of_fold(data.folds(2, 3), data.vectors(data.test), data.features, learner, 2, 3)
+    assert auc(got.oof).first()["auc"] == pytest.approx(row["auc"])
+
+
+def test_selection(spark, data):
     assert len(jobs.select_univariate(data, n=1)) == 1
     names = jobs.select_features(data, n=1, learner=random_forest(2, 2), folds=2)
     assert len(names) == 1 and names[0] in data.features
+    assert jobs.select_subset(data, n=2, folds=2).count() >= 1
+
+
+def test_patience():
+    assert best_round([5, 4, 3, 3.5, 2], 2) == (5, 5)
+    assert best_round([5, 4, 3, 3.5, 3.4, 2], 2) == (3, 5)
+    assert best_round([1, 1, 1, 0], 2) == (1, 3)
+    assert best_round([2], 1) == (1, 1)
+
+
+def test_models_are_cut_to_the_best_round(spark, data):
+    train, test = data.folds(2), data.vectors(data.test)
+    learner = boosted_trees(8, 2, step=0.9, patience=2)
+    got = out_of_fold(train, test, data.features, learner, 2)
+    rounds = got.rounds.collect()
+    for k, model in enumerate(got.models):
+        losses = [r["loss"] for r in sorted((r for r in rounds if r["fold"] == k), key=lambda r: r["round"])]
+        best, last = best_round(losses, 2)
+        assert model.getNumTrees == best and len(losses) == last
+        # The same as fewer rounds from the start.
+        short = fit(boosted_trees(best, 2, step=0.9), train.where(f"fold <> {k}"), 0)
+        valid = train.where(f"fold = {k}")
+        one, two = (rows_of(score(valid, m, "p"), "customer_id", "p") for m in (model, short))
+        assert one == two
+
+
+def test_categories_are_split_as_sets(spark):
+    """Codes whose classes alternate: one split by a set tells them apart, thresholds would not."""
+    rows = [(i, int(i % 8 in (1, 4, 6)), float(i % 8), float(i % 3)) for i in range(160)]
+    frame = spark.createDataFrame(rows, "customer_id long, label int, code double, x double")
+    names, counts = ["code", "x"], {"code": 8}
+    vectors = materialise(assemble(frame, names, counts))
+    model = fit(boosted_trees(1, 1, row_share=1.0, feature_share="all"), vectors, 0)
+    assert "feature 0 in {" in model.toDebugString
+    assert score(vectors, model, "p").where("label <> cast(p > 0.5 as int)").count() == 0
+    many = fit(boosted_trees(1, 2, bins=4), vectors, 0)
+    assert many.getOrDefault("maxBins") == 9
+    odd = spark.createDataFrame([(1, 0, 99.0, 1.0), (2, 0, None, 1.0), (3, 0, 1.5, 1.0)], frame.schema)
+    found = assemble(odd, names, counts).collect()
+    assert [r["features"][0] for r in found] == [8.0, 8.0, 8.0]
+    assert score(assemble(odd, names, counts), model, "p").count() == 3
 
 
 def test_search_leaves_no_files(spark, data):

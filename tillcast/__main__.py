@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--single", action="store_true", help="boosted trees only, no blend")
     args.add_argument("--out", help="score, features: output folder")
     args.add_argument("--keys", help="score: CSV file of the customers to score")
-    args.add_argument("--trials", type=int, default=10, help="search: number of draws")
+    args.add_argument("--trials", type=int, default=50, help="search: number of draws")
     return args
 
 
@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
         ).show()
     else:
         data = jobs.prepare_month(lines, args.ym, args.features, threshold=args.threshold)
-        jobs.random_search(data, trials=args.trials, **common).show(args.trials, truncate=False)
+        jobs.random_search(data, trials=args.trials, **common).show(2 * args.trials, truncate=False)
 
 
 if __name__ == "__main__":

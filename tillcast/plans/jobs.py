@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,20 @@ from tillcast.operators.folds import stratified_folds
 from tillcast.operators.importance import mean_importance, top_features
 from tillcast.operators.labels import TOTAL_THRESHOLD, generate_label
 from tillcast.operators.metrics import auc, blend, threshold_metrics
-from tillcast.operators.prepare import high_correlation_columns, preprocess
+from tillcast.operators.prepare import category_counts, high_correlation_columns, preprocess, text_columns
 from tillcast.operators.selection import best_single, forward_selection
 from tillcast.plans import features as sets
 from tillcast.plans.training import (
+    FOLDS_AT_ONCE,
     FoldResult,
     Learner,
     assemble,
     boosted_trees,
+    fit,
     fold_vectors,
     out_of_fold,
     random_forest,
+    score,
 )
 from tillcast.session import materialise, scratch, small_table
 from tillcast.sources.log import read_labels, read_scores
@@ -34,11 +38,18 @@ BLEND_WEIGHTS = (0.4, 0.6)
 
 @dataclass
 class Prepared:
-    """Numeric train and test rows of a feature set, written down."""
+    """Numeric train and test rows of a feature set, and how many codes its text features have."""
 
     train: DataFrame
     test: DataFrame
     features: list[str]
+    categories: dict[str, int] = field(default_factory=dict)
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        return assemble(rows, self.features, self.categories)
+
+    def folds(self, folds: int, seed: int = 0) -> DataFrame:
+        return fold_vectors(self.train, self.features, folds, seed, self.categories)
 
 
 def prepare_month(lines: DataFrame, year_month: str, feature_set: str, **options) -> Prepared:
@@ -50,8 +61,9 @@ def prepare_month(lines: DataFrame, year_month: str, feature_set: str, **options
     both = materialise(sets.build(feature_set, lines, [previous, year_month], **options))
     train, test = sets.split(both, year_month)
     names = sets.feature_names(both)
+    texts = text_columns(both, names)
     train, test = preprocess(train, test, names)
-    return Prepared(train, test, names)
+    return Prepared(train, test, names, category_counts([train, test], texts))
 
 
 def score_month(
@@ -90,8 +102,8 @@ def train_and_blend(
     seed: int = 0,
 ) -> tuple[DataFrame, dict[str, FoldResult]]:
     learners = learners or default_learners()
-    train = fold_vectors(data.train, data.features, folds, seed)
-    test = materialise(assemble(data.test, data.features))
+    train = data.folds(folds, seed)
+    test = materialise(data.vectors(data.test))
     results = {
         name: out_of_fold(train, test, data.features, learner, folds, seed)
         for name, (learner, _) in learners.items()
@@ -155,35 +167,75 @@ def draw_parameters(rng: random.Random) -> dict:
     }
 
 
+def rung_plan(trials: int, trees: int, folds: int) -> list[tuple[int, int, int]]:
+    """(trials, trees, folds) of each rung: half as many trials, twice as many trees, and a fold
+    more in every second rung; the last two trials or fewer have all trees and folds."""
+    plan, rung = [], 0
+    while trials > 2:
+        plan.append((trials, min(trees, 2 << rung), min(folds, 1 + rung // 2)))
+        trials, rung = (trials + 1) // 2, rung + 1
+    return [*plan, (trials, trees, folds)]
+
+
 def random_search(
-    data: Prepared, trials: int = 10, trees: int = 20, folds: int = 10, seed: int = 0
+    data: Prepared, trials: int = 50, trees: int = 20, folds: int = 10, seed: int = 0
 ) -> DataFrame:
-    """Seeded random draws of the tree parameters, each scored by its out-of-fold AUC.
+    """Seeded random draws of the tree parameters by successive halving.
 
-    All trials read the same written fold vectors. One row per trial, best first.
+    All trials of a rung are trained on few trees and scored on few folds, in one pass over the
+    rows of these folds, and the better half goes on to the next rung, with more of both.
+    One row per trial and rung: rung, trial, parameters, trees, folds, auc out of fold, kept.
+    Ties go to the earlier draw.
     """
     rng, rows = random.Random(seed), []
     spark = data.train.sparkSession
+    drawn = [draw_parameters(rng) for _ in range(trials)]
+    alive = list(range(trials))
+    plan = rung_plan(trials, trees, folds)
     # The result is in the driver's hands: nothing written for it needs to stay.
     with scratch(spark):
-        train = fold_vectors(data.train, data.features, folds, seed)
-        test = train.select("customer_id", "label", "features").limit(0)
-        for trial in range(trials):
-            drawn = draw_parameters(rng)
+        train = data.folds(folds, seed)
+        for rung, (_, rounds, used) in enumerate(plan):
+            jobs = [(trial, k) for trial in alive for k in range(used)]
+
+            def fitted(job: tuple[int, int], rounds: int = rounds):
+                trial, k = job
+                return fit(boosted_trees(trees=rounds, **drawn[trial]), train.where(F.col("fold") != k), seed)
+
+            with ThreadPool(FOLDS_AT_ONCE) as pool:
+                models = dict(zip(jobs, pool.map(fitted, jobs)))
             with scratch(spark):
-                result = out_of_fold(
-                    train, test, data.features, boosted_trees(trees=trees, **drawn), folds, seed
-                )
-                score = auc(materialise(result.oof)).first()["auc"]
-            rows.append((trial, *[str(drawn[k]) for k in sorted(drawn)], float(score)))
+                scored = materialise(_trial_scores(train, models, alive, used))
+                found = {r["trial"]: float(r["auc"] or 0.0) for r in auc(scored, by=["trial"]).collect()}
+            order = sorted(alive, key=lambda t: (-found[t], t))
+            kept = order[: plan[rung + 1][0]] if rung + 1 < len(plan) else order[:1]
+            for t in alive:
+                values = [str(drawn[t][k]) for k in sorted(drawn[t])]
+                rows.append((rung, t, *values, rounds, used, found[t], t in kept))
+            alive = kept
     names = sorted(draw_parameters(random.Random(0)))
-    schema = "trial int, " + ", ".join(f"{n} string" for n in names) + ", auc double"
-    return small_table(spark, rows, schema).orderBy(F.desc("auc"), "trial")
+    schema = "rung int, trial int, " + ", ".join(f"{n} string" for n in names)
+    schema += ", trees int, folds int, auc double, kept boolean"
+    return small_table(spark, rows, schema).orderBy(F.desc("rung"), F.desc("auc"), "trial")
+
+
+def _trial_scores(train: DataFrame, models: dict, trials: Sequence[int], folds: int) -> DataFrame:
+    """``trial, label, probability`` of the rows of the first folds, each fold scored in one pass."""
+    out = None
+    for k in range(folds):
+        rows = train.where(F.col("fold") == k)
+        for t in trials:
+            rows = score(rows, models[t, k], f"p{t}")
+        each = F.array(*[F.struct(F.lit(t).alias("trial"), F.col(f"p{t}").alias("probability")) for t in trials])
+        part = rows.select("label", F.inline(each))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def best_parameters(search: DataFrame) -> dict[str, str]:
-    row = search.orderBy(F.desc("auc"), "trial").first().asDict()
-    return {k: v for k, v in row.items() if k not in ("trial", "auc")}
+    """The draw that the last rung keeps."""
+    row = search.where("kept").orderBy(F.desc("rung")).first().asDict()
+    return {k: row[k] for k in draw_parameters(random.Random(0))}
 
 
 def select_features(
@@ -199,7 +251,7 @@ def select_features(
     if threshold is not None:
         dropped = set(high_correlation_columns(data.train, threshold, names))
         names = [c for c in names if c not in dropped]
-    train = fold_vectors(data.train, names, folds, seed)
+    train = fold_vectors(data.train, names, folds, seed, data.categories)
     result = out_of_fold(
         train, train.drop("fold").limit(0), names, learner or random_forest(), folds, seed
     )
