@@ -154,19 +154,21 @@ def merged(
     stats: Sequence[str],
     scale: int | None,
     chained: bool = False,
+    first: int = 0,
 ) -> DataFrame:
     """Add ``<measure>-<stat><suffix>`` for every window.
 
     ``windows`` maps a suffix to a condition on an entry ``e``. A window without
     entries yields nulls; with ``chained``, so does one that any later window
-    without entries follows. ``scale`` is that of ``sum_scale``. The formulas are written once, as a function of
+    without entries follows. ``scale`` is that of ``sum_scale``. The measures stand in the entries
+    from place ``first`` on. The formulas are written once, as a function of
     window and measure, which keeps the plan small however many columns result.
     """
     result = ", ".join(f"'{s}', {_RESULT[s]}" for s in stats)
     cell = _let("c", _CENTRED, f"named_struct({result})")
     cell = _let("mu", "try_divide(a.s, a.n)", cell)
     cell = _let("a", _PLAIN.format(sum=rounded(_SUM, scale)), cell)
-    cell = _let("x", "transform(w, e -> get(e.of, j))", cell)
+    cell = _let("x", f"transform(w, e -> get(e.of, j + {first}))", cell)
     by_measure = f"transform(sequence(0, {len(measures) - 1}), j -> {cell})"
     found = "forall(slice(_w, i + 1, size(_w)), v -> size(v) > 0)" if chained else "size(w) > 0"
     filtered = ", ".join(f"filter(past, e -> {condition})" for condition in windows.values())

@@ -400,17 +400,6 @@ def season(lines: DataFrame, year_months: Sequence[str], chain: str = "right") -
     return out.select("customer_id", _ref_month(), *_quoted(SEASON_NAMES))
 
 
-def _trend_and_season(lines: DataFrame, year_months: Sequence[str], chain: str) -> DataFrame:
-    """Both families from the same monthly entries."""
-    rows = _recent_history(lines, year_months, max(TREND_MONTHS))
-    scale = moments.sum_scale(lines, MEASURES)
-    trends = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS, scale)
-    both = moments.merged(
-        trends, SEASON_WINDOWS, MEASURES, SEASON_STATS, scale, _chained(chain)
-    )
-    return both.select("customer_id", "ref", *_quoted(TREND_NAMES + SEASON_NAMES))
-
-
 def full(
     lines: DataFrame,
     year_months: Sequence[str],
@@ -431,7 +420,6 @@ def full(
         block = block_length(lines)
     # Differences share the sort of the customer windows, so they come last.
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
-    recent = lines
     for key in ("order_id", "product_id"):
         lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
     lines = running(
@@ -443,13 +431,21 @@ def full(
         block=block,
     )
 
+    # One monthly history carries all measures; the whole past, the trend windows and the season
+    # bands are merged from it, so the lines are read once.
     row_columns = [*DIFFS, *CUMSUM_COLUMNS]
-    wide = _whole_history(lines, year_months, row_columns, FULL_SET_STATS)
+    hist = moments.history(lines, [*MEASURES, *row_columns], months.index_of("order_date"))
+    rows = moments.at_months(hist, year_months)
+    scale = moments.sum_scale(lines, MEASURES)
+    rows = moments.merged(rows, TREND_WINDOWS, MEASURES, FULL_STATS, scale)
+    rows = moments.merged(rows, SEASON_WINDOWS, MEASURES, SEASON_STATS, scale, _chained(chain))
+    scale = moments.sum_scale(lines, row_columns)
+    rows = moments.merged(rows, {"": "true"}, row_columns, FULL_SET_STATS, scale, first=len(MEASURES))
     # A value that is constant per customer has closed-form statistics.
     spent = moments.rounded(
         "aggregate(past, 0D, (acc, e) -> acc + e.spend)", moments.sum_scale(lines, ["total"])
     )
-    wide = _with_span(wide).selectExpr(
+    rows = _with_span(rows).selectExpr(
         "*",
         f"{spent} as _spent",
         "cast(aggregate(past, 0L, (acc, e) -> acc + e.rows) as double) as _rows",
@@ -461,20 +457,8 @@ def full(
         F.expr("if(_rows >= 3, 0D, null) as `mean-skew`"),
     ]
     names = [f"{c}-{s}" for c in row_columns for s in FULL_SET_STATS]
-    left = wide.select(
-        "customer_id",
-        "ref",
-        exceeds("spend", threshold).alias("label"),
-        *_first_last(),
-        *_quoted(names),
-        *own,
-    )
-    right = _trend_and_season(recent, year_months, chain)
-    return left.join(right, ["customer_id", "ref"], "left").select(
-        "customer_id",
-        _ref_month(),
-        *_quoted([c for c in left.columns if c not in ("customer_id", "ref")]),
-        *_quoted(TREND_NAMES + SEASON_NAMES),
+    return _labelled(
+        rows, threshold, [*_first_last(), *_quoted(names), *own, *_quoted(TREND_NAMES + SEASON_NAMES)]
     )
 
 
