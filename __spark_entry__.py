@@ -497,7 +497,7 @@ def q_auc_tied(spark, sf_dir):
     tied = scored(spark, sf_dir).withColumn(
         "probability", (F.col("probability") >= 0.5).cast("int") / F.lit(2.0)
     )
-    return metrics.auc(tied, scores_per_task=1).withColumn("auc", F.round("auc", 8))
+    return metrics.auc(tied, pieces=64).withColumn("auc", F.round("auc", 8))
 
 
 def q_evaluate_partial(spark, sf_dir):

@@ -70,7 +70,7 @@ def test_auc_of_many_ties_and_small_ranges(spark):
     labels = [i % 3 == 0 for i in range(990)] + [i % 2 for i in range(100)]
     table = scored(spark, scores, [int(x) for x in labels])
     one = metrics.auc(table).first()["auc"]
-    assert abs(metrics.auc(table, scores_per_task=7).first()["auc"] - one) < 1e-12
+    assert abs(metrics.auc(table, pieces=7).first()["auc"] - one) < 1e-12
 
 
 def test_blend_keeps_a_customer_that_one_member_lacks(spark):
