@@ -2,22 +2,15 @@
 
 Texts with equal shingle sets form a class; from there on classes are compared. A class has a
 signature of TREES * DEPTH minhashes, and each DEPTH of them in a row are its label in one tree.
-In each tree the classes are sorted by label, so those that share a long prefix are neighbours.
-A region is what shares a prefix of LEAST values or more. Three searches follow, each of which
-verifies its candidates on the full sets and joins what is linked into components; a later
-one looks only at pairs of different components:
-
-1. each class with the pivot that it meets in most of its regions: the class of a region whose
-   labels, over all trees, are those of most classes. Where copies differ from one text each in
-   its own way, and so less from that text than from each other, the pivot is that text;
-2. each class with its REACH predecessors in every order, as far as they share LEAST values;
-3. all pairs in a region. The depth of a region adapts to its crowd: it is the shortest prefix
-   that at most CROWD classes share, or else the whole label;
-4. for classes of regions that more than CROWD share, all pairs that agree in a whole label of
-   one of MORE_TREES further trees. A whole label is shared less often than a short prefix, and
-   the further trees make up for it.
-
-Large groups have grown together by the third search, so it has few pairs left of them.
+In each tree the classes are sorted by label, so that those with a long common prefix are
+neighbours. What shares a prefix of LEAST values or more is a region; linked sets share one in
+some tree but for a chance of (1 - s**LEAST)**TREES: 4e-7 at a similarity of 0.85, 3e-5 at 0.8.
+
+Classes that stand in a region with others are gathered in packages: each follows the leader that
+it meets in most of its regions, and is kept as its differences from that one. So a large group of
+near copies is a few entries in a region. All packages of a region are candidates of each other,
+and a pair of packages is compared exactly, set by set. The depth of a region adapts to its crowd:
+it is the shortest prefix that at most CROWD packages share, or else the whole label.
 """
 
 from __future__ import annotations
@@ -26,42 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm import packages as P
 from tillcast.llm import words as W
+from tillcast.llm.batches import bounded
 from tillcast.llm.graph import components
 from tillcast.session import materialise
 
 TREES, DEPTH = 20, 8
 LEAST = 4
-REACH = 2
-CROWD = 8
-#: With the TREES, whole labels miss a pair with (1 - s**8)**60: 5e-9 at 0.85, 2e-5 at 0.8.
-MORE_TREES = 40
+#: Packages of one region that are all candidates of each other, 128 sets each.
+CROWD = 1024
 VALUE_BYTES = 2
 _CHUNK = 1 << 16
 
 _draw = np.random.default_rng(20240501)
 _XOR = _draw.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 _TIMES = _draw.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MORE_XOR = _draw.integers(0, 2**32, MORE_TREES * DEPTH, dtype=np.uint32)
-_MORE_TIMES = _draw.integers(0, 2**31, MORE_TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _sets(texts: list[bytes | None], size: int, memory: W.Memory) -> list[np.ndarray]:
-    return [W.shingles(W.ids((t or b"").lower().split(), memory), size) for t in texts]
-
-
-def _name(found: np.ndarray) -> bytes | None:
-    """A class name: 128 bits of the set, none for an empty one."""
-    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-
-
-def _signatures(
-    sets: list[np.ndarray], xor: np.ndarray = _XOR, times: np.ndarray = _TIMES
-) -> list[bytes | None]:
+def _signatures(sets: list[np.ndarray]) -> list[bytes | None]:
     """The trees' labels, one after the other, for each set."""
     out: list[bytes | None] = [None] * len(sets)
     full = [i for i, s in enumerate(sets) if len(s)]
@@ -74,9 +53,9 @@ def _signatures(
         part = [sets[i] for i in full[begin:end]]
         starts = np.cumsum([0] + [len(s) for s in part[:-1]])
         h = (np.concatenate(part) >> np.uint64(32)).astype(np.uint32)
-        least = np.empty((len(part), len(xor)), np.uint32)
-        for k in range(len(xor)):
-            least[:, k] = np.minimum.reduceat((h ^ xor[k]) * times[k], starts)
+        least = np.empty((len(part), len(_XOR)), np.uint32)
+        for k in range(len(_XOR)):
+            least[:, k] = np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], starts)
         # The smallest values share their upper bits: mix before cutting.
         values = (least * np.uint32(0x85EBCA6B)) >> np.uint32(16)
         rows = values.astype(">u2")
@@ -88,251 +67,129 @@ def _signatures(
 
 def _describe(rows: DataFrame, size: int) -> DataFrame:
     """``rows``, whose last column is the text, with n_shingles, class and signature."""
+    width = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = W.hashes()
         for batch in batches:
-            sets = _sets(W.texts(batch.column(batch.num_columns - 1)), size, memory)
+            sets = P.sets_of_texts(W.texts(batch.column(width)), size, memory)
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_name(s) for s in sets], pa.binary()),
+                pa.array([P.name_of(s) for s in sets], pa.binary()),
                 pa.array(_signatures(sets), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns],
-                names=[*batch.schema.names, "n_shingles", "class", "signature"],
+                [*batch.columns[:width], *columns],
+                names=[*batch.schema.names[:width], "n_shingles", "class", "signature"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}, n_shingles long, class binary, signature binary")
 
 
-def _labels(classes: DataFrame, trees: int = TREES, *carry: str) -> DataFrame:
-    """``tree, label, class`` and ``carry``: a class has one row in each order."""
-    wide = DEPTH * VALUE_BYTES
-    label = F.substring("signature", F.col("tree") * wide + 1, F.lit(wide))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = classes.select("class", "signature", *carry, numbers)
-    return rows.select("tree", label.alias("label"), "class", *carry)
-
-
-def _neighbours(labels: DataFrame) -> DataFrame:
-    """Candidates ``a, b`` (a <= b) from the sorted orders.
-
-    The orders are cut into ranges of about equal rows, also inside a region, so no task gets a
-    whole crowd. A cut takes the neighbours across it from each other, in that one order; the
-    rows next to it are paired with themselves, to tell that they may have others.
-    """
-    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["tree", "label", "class"]
-    ordered = labels.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    shared = LEAST * VALUE_BYTES
-
-    def pairs_of(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        columns = [pa.array(x, pa.binary()) for x in (zip(*found) if found else ([], []))]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, recent, name = None, [], None
-        for batch in batches:
-            found = []
-            for tree, label, name in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                if region is None:
-                    found.append((name, name))
-                if region != (tree, label[:shared]):
-                    region, recent = (tree, label[:shared]), [name]
-                    continue
-                found += [(min(name, x), max(name, x)) for x in recent]
-                recent = [*recent, name][-REACH:]
-            yield pairs_of(found)
-        if name is not None:
-            yield pairs_of([(name, name)])
-
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
-
-
 def _prefix(values: int) -> Column:
     return F.substring("label", 1, values * VALUE_BYTES)
 
 
-def _pivot_pairs(labels: DataFrame) -> DataFrame:
-    """One pair (a, b) for each class that meets others: with its most frequent pivot."""
-    same_label = labels.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"))
-    weights = materialise(
-        labels.join(same_label, ["tree", "label"]).groupBy("class").agg(F.sum("n").alias("weight"))
-    )
-    regions = labels.select("tree", _prefix(LEAST).alias("region"), "class").join(weights, "class")
-    # Aggregated before the shuffle: a region of any size is one row from each task.
-    pivots = regions.groupBy("tree", "region").agg(F.max(F.struct("weight", "class")).alias("pivot"))
-    met = (
-        regions.join(pivots, ["tree", "region"])
-        .select("class", "pivot")
-        .where(F.col("class") != F.col("pivot.class"))
-        .groupBy("class", "pivot")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot")).alias("best"))
-    pivot = F.col("best.pivot.class")
-    return best.select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b, holder_a, holder_b) those that share ``percent`` of their union."""
-    holders = pairs.select(F.col("holder_a").alias("row")).union(pairs.select("holder_b")).distinct()
-    texts = found.select("row", "text").join(holders, "row", "left_semi")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = W.hashes()
-        for batch in batches:
-            sets = _sets(W.texts(batch.column(1)), size, memory)
-            raw = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["row", "members"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(W.texts(batch.column(2)), W.texts(batch.column(3))):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                union = len(np.unique(both))
-                linked.append(100 * (len(both) - union) >= percent * union)
-            part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
-            yield part.filter(pa.array(linked, pa.bool_()))
-
-    spark = found.sparkSession
-    # Sets of long texts are large, and a set comes with each of its pairs: few rows a batch.
-    with W.batch_rows(spark, 256):
-        sets = materialise(texts.mapInArrow(members, "row long, members binary"))
-    left = sets.select(F.col("row").alias("holder_a"), F.col("members").alias("x"))
-    right = sets.select(F.col("row").alias("holder_b"), F.col("members").alias("y"))
-    both = pairs.join(left, "holder_a").join(right, "holder_b").select("a", "b", "x", "y")
-    with W.batch_rows(spark, 64):
-        return materialise(both.mapInArrow(compare, "a binary, b binary"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components."""
-    root = lambda side: roots.select(
-        F.col("node").alias(side), F.col("root").alias(f"root_{side}")
-    )
-    joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    own = [F.coalesce(f"root_{side}", side) for side in ("a", "b")]
-    return joined.where(own[0] != own[1]).select("a", "b")
-
+def _shared_regions(classes: DataFrame) -> DataFrame:
+    """``tree, label, id, n, pivot``: the labels of classes that share a region with another.
 
-def _rooted(labels: DataFrame, roots: DataFrame) -> DataFrame:
-    return labels.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "tree", "label", "class", F.coalesce("root", "class").alias("root")
-    )
+    The pivot of a region is its least id. Regions are summed up before the shuffle, so one of
+    any size is a row from each task.
+    """
+    wide = DEPTH * VALUE_BYTES
+    label = F.substring("signature", F.col("tree") * wide + 1, F.lit(wide)).alias("label")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    labels = classes.select("id", "n", "signature", numbers).select("tree", label, "id", "n")
+    labels = labels.withColumn("region", F.xxhash64("tree", _prefix(LEAST)))
+    ends = labels.groupBy("region").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
+    ends = ends.where("pivot <> last").drop("last")
+    return materialise(labels.join(ends, "region").drop("region"))
 
 
-def _pairs_apart(regions: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different roots with the same tree and region."""
-    one, two = regions.alias("one"), regions.alias("two")
-    same = (F.col("one.tree") == F.col("two.tree")) & (F.col("one.region") == F.col("two.region"))
-    apart = (F.col("one.root") != F.col("two.root")) & (F.col("one.class") < F.col("two.class"))
-    return one.join(two, same & apart).select(
-        F.col("one.class").alias("a"), F.col("two.class").alias("b")
-    ).distinct()
-
-
-def _region_pairs(labels: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of different components in the regions, at the depth that suits each."""
-    rooted = _rooted(labels, roots)
-    # Min and max are aggregated before the shuffle; most regions are one class or one component.
-    mixed = (
-        rooted.groupBy("tree", _prefix(LEAST).alias("region"))
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low <> high")
-        .select("tree", "region")
-    )
-    rows = materialise(
-        rooted.withColumn("region", _prefix(LEAST)).join(mixed, ["tree", "region"], "left_semi")
-    )
-    depth = F.lit(DEPTH)
-    sizes = rows
-    for d in range(DEPTH - 1, LEAST - 1, -1):
-        tally = rows.groupBy("tree", _prefix(d).alias("region")).agg(F.count(F.lit(1)).alias(f"n{d}"))
-        sizes = sizes.withColumn("region", _prefix(d)).join(tally, ["tree", "region"])
-        depth = F.when(F.col(f"n{d}") <= CROWD, d).otherwise(depth)
-    key = F.substring("label", F.lit(1), depth * VALUE_BYTES)
-    regions = sizes.select("tree", key.alias("region"), "class", "root")
-    # The key holds the depth too: its length.
-    return _pairs_apart(regions)
-
-
-def _crowd_pairs(
-    labels: DataFrame, roots: DataFrame, classes: DataFrame, found: DataFrame, size: int
-) -> DataFrame:
-    """Pairs of different components in crowds that share a whole label of the further trees."""
-    rooted = _rooted(labels, roots).withColumn("region", _prefix(LEAST))
-    crowds = (
-        rooted.groupBy("tree", "region")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .where((F.col("n") > CROWD) & (F.col("low") != F.col("high")))
+def _leaders(regions: DataFrame) -> DataFrame:
+    """``id, leader``: for each class the pivot that it meets in most of its regions."""
+    best = (
+        regions.where("id <> pivot")
+        .groupBy("id", "pivot")
+        .agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("id")
+        .agg(F.max(F.struct("k", (-F.col("pivot")).alias("pivot"))).alias("best"))
+        .select("id", (-F.col("best.pivot")).alias("leader"))
     )
-    members = rooted.join(crowds, ["tree", "region"], "left_semi").select("class", "root").distinct()
-    holders = members.join(classes.select("class", F.col("holder").alias("row")), "class")
-    texts = found.select("row", "text").join(holders, "row").select("class", "root", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = W.hashes()
-        for batch in batches:
-            sets = _sets(W.texts(batch.column(2)), size, memory)
-            signatures = pa.array(_signatures(sets, _MORE_XOR, _MORE_TIMES), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], signatures], names=["class", "root", "signature"]
+    # A pivot has a smaller id than those that meet it, so chains of pivots end.
+    for _ in range(2):
+        best = materialise(best)
+        above = best.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
+        best = best.join(above, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
+    return materialise(best)
+
+
+def _candidates(regions: DataFrame, members: DataFrame) -> DataFrame:
+    """``token, id, n, at``: each class under its regions, at the depth that suits each."""
+    rest = regions.drop("pivot")
+    packages = members.select("id", "leader", "block")
+    out = None
+    for depth in range(LEAST, DEPTH + 1):
+        rows = rest.withColumn("token", F.xxhash64("tree", F.lit(depth), _prefix(depth)))
+        if depth == DEPTH:
+            part, rest = rows, None
+        else:
+            crowded = (
+                rows.select("token", "id")
+                .join(packages, "id")
+                .groupBy("token")
+                # Packages are counted once a task before the shuffle.
+                .agg(F.countDistinct("leader", "block").alias("k"))
+                .where(F.col("k") > CROWD)
+                .select("token")
             )
+            crowded = materialise(crowded)
+            part = rows.join(crowded, "token", "left_anti")
+            rest = None if crowded.isEmpty() else materialise(rows.join(crowded, "token", "left_semi").drop("token"))
+        part = part.select("token", "id", "n", F.lit(0).alias("at"))
+        out = part if out is None else out.unionByName(part)
+        if rest is None:
+            return out
 
-    signed = texts.mapInArrow(run, "class binary, root binary, signature binary")
-    rows = materialise(_labels(signed, MORE_TREES, "root").withColumnRenamed("label", "region"))
-    mixed = (
-        rows.groupBy("tree", "region")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low <> high")
-    )
-    return _pairs_apart(rows.join(mixed, ["tree", "region"], "left_semi"))
 
+def _roots(docs: DataFrame, found: DataFrame, size: int, percent: int) -> tuple[DataFrame, P.Ids]:
+    """``id, component_id`` of all classes, and their numbers.
 
-def _components(found: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes (class, holder, low: least doc_id) and ``node, root`` of those with links."""
-    classes = materialise(
+    ``component_id`` is the least doc_id of the component.
+    """
+    named = materialise(
         found.where("class IS NOT NULL")
         .groupBy("class")
         .agg(
-            F.min("row").alias("holder"),
             F.min("doc_id").alias("low"),
-            F.min("signature").alias("signature"),
+            F.first("n_shingles").cast("int").alias("n"),
+            F.first("signature").alias("signature"),
         )
     )
-    labels = _labels(classes)
-    near = materialise(_neighbours(labels))
-    # Classes that share no region with another have no links, and no part in what follows.
-    crowd = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    labels = materialise(labels.join(crowd, "class", "left_semi"))
-    near = near.where("a <> b")
-
-    def held(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("class").alias(c), F.col("holder").alias(f"holder_{c}"))
-        return materialise(pairs.join(side("a"), "a").join(side("b"), "b"))
-
-    tried = held(_pivot_pairs(labels))
-    links = _verified(tried, found, size, percent)
-    roots = components(links)
-    tried = tried.select("a", "b")
-    for search in (
-        lambda: near,
-        lambda: _region_pairs(labels, roots),
-        lambda: _crowd_pairs(labels, roots, classes, found, size),
-    ):
-        pairs = held(_apart(search(), roots).join(tried, ["a", "b"], "left_anti"))
-        links = links.union(_verified(pairs, found, size, percent))
-        roots = components(links)
-        tried = materialise(tried.union(pairs.select("a", "b")))
-    return classes, roots
+    number = P.numbered(named, 8)
+    classes = named.withColumn("id", number.column("class"))
+    regions = _shared_regions(classes)
+    leaders = _leaders(regions)
+    sets = P.sets_of(docs, classes.select("id", "low"), regions.select("id").distinct(), number, size)
+    members = P.members_of(P.followers(sets, leaders), regions.select("id", "n"))
+    pairs = P.package_pairs(P.package_entries(_candidates(regions, members), members), percent, counted=False)
+    several = members.groupBy("leader", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sides = [pairs.select(F.col(f"leader_{s}").alias("leader"), F.col(f"block_{s}").alias("block")) for s in "ab"]
+    wanted = materialise(several.select("leader", "block").union(sides[0]).union(sides[1]).distinct())
+    links = P.compare(P.packages_of(sets, members, wanted), pairs, percent)
+    roots = components(links.where("b IS NOT NULL").select("a", "b"))
+    rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "low", F.coalesce("root", "id").alias("root")
+    )
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(lowest, "root").select("id", "component_id", "root"), number
 
 
 def _grouped(docs: DataFrame, carry: list[str], size: int, percent: int) -> DataFrame:
-    """The columns ``carry`` under numbers, doc_id, row, n_shingles, class, component_id."""
+    """The columns ``carry`` under numbers, doc_id, row, n_shingles, class, component_id, root."""
+    bounded(docs.sparkSession)
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(
         *numbered,
@@ -342,13 +199,8 @@ def _grouped(docs: DataFrame, carry: list[str], size: int, percent: int) -> Data
     )
     # Row numbers hold from here on, since they are written.
     found = materialise(_describe(rows, size))
-    classes, roots = _components(found, size, percent)
-    rooted = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-        "class", "low", F.coalesce("root", "class").alias("root")
-    )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = rooted.join(lowest, "root").select("class", "component_id")
-    return found.join(of_class, "class", "left").withColumn(
+    of_class, number = _roots(keyed.select("doc_id", "text"), found, size, percent)
+    return found.drop("signature").withColumn("id", number.column("class")).join(of_class, "id", "left").withColumn(
         "component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     )
 
@@ -383,10 +235,10 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Rows without shingles stay. Columns are those of ``docs``.
     """
     found = _grouped(docs, docs.columns, size, percent)
-    # A component without any id is named by its class here, so that one row of it stays too.
+    # A component without any id is named by its root here, so that one row of it stays too.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    narrow = found.select("row", "doc_id", "class", "component_id")
-    group = F.coalesce(F.col("component_id").cast("string"), F.hex("class"))
+    narrow = found.select("row", "doc_id", "class", "component_id", "root")
+    group = F.coalesce(F.col("component_id").cast("string"), F.hex("root"))
     best = (
         narrow.where("class IS NOT NULL")
         .groupBy(group.alias("group"))
