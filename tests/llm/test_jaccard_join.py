@@ -6,6 +6,7 @@ import pytest
 from samples import awkward, components, documents, prose, shingles
 
 from tillcast.llm import jaccard_join as J
+from tillcast.llm import packages as P
 
 
 def plain(texts, size, percent):
@@ -100,7 +101,7 @@ def test_list_pairs_lose_no_link():
         high = low + draw.integers(0, 3, 300)
         at = draw.integers(0, 12, 300)
         left = np.maximum(high - at - 1, 0)
-        i, j = J._list_pairs(low, high, at, left, percent)
+        i, j = P._list_pairs(low, high, at, left, percent)
         got = set(zip(i.tolist(), j.tolist()))
         assert len(got) == len(i)
         for a in range(300):
@@ -122,10 +123,10 @@ def test_derived_overlaps():
             sets.append(set(own.tolist()))
             added, removed = (np.array(sorted(x), np.uint64) for x in (sets[-1] - set(whole.tolist()), set(whole.tolist()) - sets[-1]))
             rows.append({"id": k, "n": len(own), "added": added.tobytes(), "removed": removed.tobytes()})
-        return J._Package(whole.tobytes(), rows), sets
+        return P._Package(whole.tobytes(), rows), sets
 
     for _ in range(20):
         one, two = (np.unique(draw.integers(0, 400, 120).astype(np.uint64)) for _ in "ab")
         (a, x), (b, y) = package(one, 7), package(two, 5)
-        assert J._overlaps(a, b).tolist() == [[len(p & q) for q in y] for p in x]
-        assert J._overlaps(a, a).tolist() == [[len(p & q) for q in x] for p in x]
+        assert P._overlaps(a, b).tolist() == [[len(p & q) for q in y] for p in x]
+        assert P._overlaps(a, a).tolist() == [[len(p & q) for q in x] for p in x]

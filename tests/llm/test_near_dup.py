@@ -37,6 +37,35 @@ def test_crowded_region(spark):
     assert found.set_index("doc_id").component_id.to_dict() == dict(enumerate(want))
 
 
+def test_common_passage(spark):
+    """Many texts share one passage and little else; a few of them are near copies of each other."""
+    draw, passage, rows = random.Random(4), prose(5, 40), []
+    for i in range(220):
+        rows.append((i, prose(1000 + i, 90) + " " + passage))
+    for i in range(0, 60, 3):
+        words = rows[i][1].split()
+        words[draw.randrange(80)] = "changed"
+        rows.append((len(rows), " ".join(words)))
+    found = near_dup.near_duplicates(documents(spark, rows, False), ["doc_id"], 3, 85).toPandas()
+    want = components([t for _, t in rows], 3, 85)
+    assert found.set_index("doc_id").component_id.to_dict() == dict(enumerate(want))
+
+
+def test_packages_of_one_leader_meet(spark, monkeypatch):
+    """A crowd of many small packages, in regions deeper than the shortest prefix."""
+    monkeypatch.setattr(near_dup, "CROWD", 2)
+    monkeypatch.setattr(near_dup.P, "PACKAGE_SETS", 4)
+    draw, text, rows = random.Random(8), prose(31, 200).split(), []
+    for i in range(90):
+        copy = list(text)
+        for _ in range(draw.choice([2, 4, 6])):
+            copy[draw.randrange(len(copy))] = f"w{draw.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    found = near_dup.near_duplicates(documents(spark, rows, False), ["doc_id"], 3, 85).toPandas()
+    want = components([t for _, t in rows], 3, 85)
+    assert found.set_index("doc_id").component_id.to_dict() == dict(enumerate(want))
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     docs = documents(spark, rows)

@@ -10,7 +10,10 @@ Classes that stand in a region with others are gathered in packages: each follow
 it meets in most of its regions, and is kept as its differences from that one. So a large group of
 near copies is a few entries in a region. All packages of a region are candidates of each other,
 and a pair of packages is compared exactly, set by set. The depth of a region adapts to its crowd:
-it is the shortest prefix that at most CROWD packages share, or else the whole label.
+it is the shortest prefix that at most CROWD packages share, or else the whole label. Near copies
+do not crowd a region, since they share packages; what does are texts that have a passage in common
+and little else, and of these a linked pair meets in its other trees. Packages of one leader are all
+candidates of each other besides, whatever the depth.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from tillcast.session import materialise
 
 TREES, DEPTH = 20, 8
 LEAST = 4
-#: Packages of one region that are all candidates of each other, 128 sets each.
-CROWD = 1024
+#: Packages of one region that are all candidates of each other.
+CROWD = 64
 VALUE_BYTES = 2
 _CHUNK = 1 << 16
 
@@ -107,9 +110,9 @@ def _shared_regions(classes: DataFrame) -> DataFrame:
     return materialise(labels.join(ends, "region").drop("region"))
 
 
-def _leaders(regions: DataFrame) -> DataFrame:
+def _pivots(regions: DataFrame) -> DataFrame:
     """``id, leader``: for each class the pivot that it meets in most of its regions."""
-    best = (
+    return materialise(
         regions.where("id <> pivot")
         .groupBy("id", "pivot")
         .agg(F.count(F.lit(1)).alias("k"))
@@ -117,19 +120,33 @@ def _leaders(regions: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("k", (-F.col("pivot")).alias("pivot"))).alias("best"))
         .select("id", (-F.col("best.pivot")).alias("leader"))
     )
+
+
+def _following(sets: DataFrame, regions: DataFrame) -> DataFrame:
+    """Classes that are much like a leader, as ``packages.followers`` gives them.
+
+    A class much like its pivot goes on to the pivot's own, and so on, as long as it is like
+    that one too: so the classes of a crowd come to few leaders, and chance neighbours to none.
+    """
+    near = materialise(P.followers(sets, _pivots(regions)))
+    ends = near.select("id", "leader")
     # A pivot has a smaller id than those that meet it, so chains of pivots end.
-    for _ in range(2):
-        best = materialise(best)
-        above = best.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
-        best = best.join(above, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
-    return materialise(best)
+    for _ in range(3):
+        above = ends.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
+        ends = materialise(ends.join(above, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader")))
+    further = ends.join(near.select("id", "leader"), ["id", "leader"], "left_anti")
+    far = materialise(P.followers(sets, further))
+    return far.unionByName(near.join(far.select("id"), "id", "left_anti").select(*far.columns))
 
 
 def _candidates(regions: DataFrame, members: DataFrame) -> DataFrame:
-    """``token, id, n, at``: each class under its regions, at the depth that suits each."""
+    """``token, id, n, at``: each class under its regions, at the depth that suits each, and under
+    its leader where that one has several packages."""
     rest = regions.drop("pivot")
     packages = members.select("id", "leader", "block")
-    out = None
+    several = packages.where("block > 0").select("leader").distinct()
+    of_leader = members.join(several, "leader", "left_semi")
+    out = of_leader.select(F.xxhash64(F.lit(-1), "leader").alias("token"), "id", "n", F.lit(0).alias("at"))
     for depth in range(LEAST, DEPTH + 1):
         rows = rest.withColumn("token", F.xxhash64("tree", F.lit(depth), _prefix(depth)))
         if depth == DEPTH:
@@ -148,7 +165,7 @@ def _candidates(regions: DataFrame, members: DataFrame) -> DataFrame:
             part = rows.join(crowded, "token", "left_anti")
             rest = None if crowded.isEmpty() else materialise(rows.join(crowded, "token", "left_semi").drop("token"))
         part = part.select("token", "id", "n", F.lit(0).alias("at"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
         if rest is None:
             return out
 
@@ -170,9 +187,8 @@ def _roots(docs: DataFrame, found: DataFrame, size: int, percent: int) -> tuple[
     number = P.numbered(named, 8)
     classes = named.withColumn("id", number.column("class"))
     regions = _shared_regions(classes)
-    leaders = _leaders(regions)
     sets = P.sets_of(docs, classes.select("id", "low"), regions.select("id").distinct(), number, size)
-    members = P.members_of(P.followers(sets, leaders), regions.select("id", "n"))
+    members = P.members_of(_following(sets, regions), regions.select("id", "n"))
     pairs = P.package_pairs(P.package_entries(_candidates(regions, members), members), percent, counted=False)
     several = members.groupBy("leader", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     sides = [pairs.select(F.col(f"leader_{s}").alias("leader"), F.col(f"block_{s}").alias("block")) for s in "ab"]
