@@ -202,8 +202,11 @@ def _roots(docs: DataFrame, found: DataFrame, size: int, percent: int) -> tuple[
     return rooted.join(lowest, "root").select("id", "component_id", "root"), number
 
 
-def _grouped(docs: DataFrame, carry: list[str], size: int, percent: int) -> DataFrame:
-    """The columns ``carry`` under numbers, doc_id, row, n_shingles, class, component_id, root."""
+def _grouped(
+    docs: DataFrame, carry: list[str], size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The columns ``carry`` under numbers, doc_id, row, n_shingles, class, id of its rows, and
+    id, component_id, root of its classes."""
     bounded(docs.sparkSession)
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
@@ -216,9 +219,11 @@ def _grouped(docs: DataFrame, carry: list[str], size: int, percent: int) -> Data
     # Row numbers hold from here on, since they are written.
     found = materialise(_describe(rows, size))
     of_class, number = _roots(keyed.select("doc_id", "text"), found, size, percent)
-    return found.drop("signature").withColumn("id", number.column("class")).join(of_class, "id", "left").withColumn(
-        "component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    )
+    return found.drop("signature").withColumn("id", number.column("class")), of_class
+
+
+def _component() -> Column:
+    return F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
 
 
 def near_duplicates(
@@ -235,7 +240,9 @@ def near_duplicates(
     replaced. An empty table gives no rows.
     """
     carry = [c for c in carry or docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    return _grouped(docs, carry, size, percent).select(
+    found, of_class = _grouped(docs, carry, size, percent)
+    found = found.join(of_class, "id", "left").withColumn("component_id", _component())
+    return found.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
         "n_shingles",
         "component_id",
@@ -250,10 +257,11 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without shingles stay. Columns are those of ``docs``.
     """
-    found = _grouped(docs, docs.columns, size, percent)
+    found, of_class = _grouped(docs, docs.columns, size, percent)
     # A component without any id is named by its root here, so that one row of it stays too.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    narrow = found.select("row", "doc_id", "class", "component_id", "root")
+    narrow = found.select("row", "doc_id", "class", "id").join(of_class, "id", "left")
+    narrow = narrow.withColumn("component_id", _component())
     group = F.coalesce(F.col("component_id").cast("string"), F.hex("root"))
     best = (
         narrow.where("class IS NOT NULL")
@@ -262,6 +270,8 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         .select(F.col("best.row").alias("row"))
     )
     stay = best.union(narrow.where("class IS NULL").select("row"))
-    return found.join(stay, "row", "left_semi").select(
+    # The one shuffle of whole rows.
+    whole = found.select("row", *[f"c{i}" for i in range(len(docs.columns))])
+    return whole.join(stay, "row", "left_semi").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     )
