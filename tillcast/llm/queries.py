@@ -53,7 +53,9 @@ def op2_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return fertility.rate(docs, ["doc_id"])
+    rated = fertility.rate(docs, ["doc_id"])
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rated.select(*first, *[c for c in rated.columns if c not in first])
 
 
 def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
