@@ -26,16 +26,20 @@ SPAN = 12
 MASKS = ("111010011011", "110110110101", "101011101110", "011101101011")
 
 
-def _two_of_four(group: list[int]) -> list[list[int]]:
+#: A mask is given in parts, the places of each; masks of a window share parts.
+Mask = tuple[tuple[int, ...], ...]
+
+
+def _two_of_four(group: list[int]) -> list[Mask]:
     """Masks of two of four groups of places: any two changes leave one of them whole."""
-    pairs = itertools.combinations(range(4), 2)
-    return [[i for i, g in enumerate(group) if g in two] for two in pairs]
+    parts = [tuple(i for i, g in enumerate(group) if g == k) for k in range(4)]
+    return list(itertools.combinations(parts, 2))
 
 
-def _offsets(span: int) -> list[list[int]]:
+def _offsets(span: int) -> list[Mask]:
     """The places that the masks of a window look at; windows of under SPAN are whole items."""
     if span == SPAN:
-        masks = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+        masks = [(tuple(i for i, c in enumerate(m) if c == "1"),) for m in MASKS]
         # With both groupings every three changes in 16 words leave a mask whole in some window.
         return masks + _two_of_four([i % 4 for i in range(SPAN)]) + _two_of_four([i // 3 for i in range(SPAN)])
     if span - _needed(span) > 1:
@@ -44,7 +48,9 @@ def _offsets(span: int) -> list[list[int]]:
     skips = [(i, i + span // 2) for i in range(span // 2)] if span >= 8 else [(i,) for i in range(span)]
     if span >= 8 and span % 2:
         skips.append((span - 1,))
-    return [[i for i in range(span) if i not in skip] for skip in skips]
+    return [(tuple(i for i in range(span) if i not in skip),) for skip in skips]
+
+
 #: A stretch needs so many equal words (of a shorter item, PERCENT of all its words) ...
 NEEDED = 13
 #: ... which are PERCENT of the stretch.
@@ -55,6 +61,8 @@ SHORTEST_ITEM = 6
 BLOCK_WORDS = 1 << 19
 #: Bits of a seed that the filter looks at, or more if there are many seeds.
 FILTER_BITS = 22
+#: Words that are hashed together, so that short texts do not cost a call each.
+WORDS_AT_ONCE = 1 << 15
 
 def _needed(words: int) -> int:
     """Equal words that an item of so many words needs."""
@@ -65,6 +73,7 @@ OFFSETS = {n: _offsets(n) for n in range(SHORTEST_ITEM, SPAN + 1)}
 
 FOUND = "array<struct<item_id:bigint,first:int,words:int,equal:int>>"
 _PUNCTUATION = string.punctuation.encode()
+_TIMES, _DOWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
 def _memory() -> W.Memory:
@@ -82,6 +91,32 @@ def _plain(text: bytes | None, memory: W.Memory) -> np.ndarray:
     return found[found != 0]
 
 
+def _part(words: np.ndarray, places: tuple[int, ...], count: int) -> np.ndarray:
+    """Hashes of the words at ``places`` in each of ``count`` windows."""
+    h = words[places[0] : places[0] + count] * _TIMES
+    for j in places[1:]:
+        h ^= h >> _DOWN
+        h += words[j : j + count]
+        h *= _TIMES
+    return h
+
+
+def _seeds(words: np.ndarray, span: int) -> Iterator[np.ndarray]:
+    """The seeds of all windows of ``span`` words, mask after mask; parts are hashed once."""
+    count = len(words) - span + 1
+    if count <= 0:
+        return
+    parts: dict[tuple[int, ...], np.ndarray] = {}
+    for salt, mask in enumerate(OFFSETS[span]):
+        for places in mask:
+            if places not in parts:
+                parts[places] = _part(words, places, count)
+        h = parts[mask[0]]
+        for places in mask[1:]:
+            h = (h ^ (h >> _DOWN)) * _TIMES + parts[places]
+        yield (h + np.uint64(salt * 32 + span)) * _TIMES
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -97,8 +132,8 @@ class Index:
         self.shorter = sorted({len(x) for _, x in items if len(x) < SPAN})
         for i, (_, words) in enumerate(items):
             span = min(SPAN, len(words))
-            for salt, offsets in enumerate(OFFSETS[span]):
-                add(W.windows(words, offsets, span) ^ np.uint64(salt), i)
+            for h in _seeds(words, span):
+                add(h, i)
         h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.seeds = h[order]
@@ -109,25 +144,43 @@ class Index:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[self.seeds >> self.shift] = True
 
-    def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of its first word in the document) of all seeds in common."""
-        out: set[tuple[int, int]] = set()
-        looks = [(o, n, m) for n in [*self.shorter, SPAN] for m, o in enumerate(OFFSETS[n])]
-        for offsets, span, salt in looks:
-            h = W.windows(words, offsets, span) ^ np.uint64(salt)
-            at = np.flatnonzero(self.maybe[h >> self.shift])
-            if not len(at):
-                continue
-            low = np.searchsorted(self.seeds, h[at], "left")
-            high = np.searchsorted(self.seeds, h[at], "right")
-            for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
-                out.update(zip(self.whose[a:b].tolist(), (p - self.where[a:b]).tolist()))
+    def diagonals(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """For each text (item, place of its first word in the text) of all seeds in common.
+
+        The texts are hashed as one row of words; windows over the end of a text are left out.
+        """
+        out: list[set[tuple[int, int]]] = [set() for _ in texts]
+        ends = np.cumsum([len(t) for t in texts])
+        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        for span in [*self.shorter, SPAN]:
+            for h in _seeds(words, span):
+                at = np.flatnonzero(self.maybe[h >> self.shift])
+                if not len(at):
+                    continue
+                found = h[at]
+                low = np.searchsorted(self.seeds, found, "left")
+                hit = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == found)
+                at, low, found = at[hit], low[hit], found[hit]
+                text = np.searchsorted(ends, at, "right")
+                inside = at + span <= ends[text]
+                at, low, found, text = at[inside], low[inside], found[inside], text[inside]
+                high = np.searchsorted(self.seeds, found, "right")
+                begin = at - ends[text] + np.array([len(t) for t in texts])[text]
+                for t, p, x, y in zip(text.tolist(), begin, low, high):
+                    out[t].update(zip(self.whose[x:y].tolist(), (p - self.where[x:y]).tolist()))
         return out
 
     def verified(self, words: np.ndarray) -> list[tuple]:
         """(item_id, first word, words, equal words) of the stretches that count."""
+        return self.verified_all([words])[0]
+
+    def verified_all(self, texts: list[np.ndarray]) -> list[list[tuple]]:
+        """The stretches that count of each text."""
+        return [self._stretches(words, met) for words, met in zip(texts, self.diagonals(texts))]
+
+    def _stretches(self, words: np.ndarray, met: set[tuple[int, int]]) -> list[tuple]:
         out = []
-        for i, start in sorted(self.diagonals(words)):
+        for i, start in sorted(met):
             name, item = self.items[i]
             a, b = max(0, start), min(len(words), start + len(item))
             equal = words[a:b] == item[a - start : b - start]
@@ -138,6 +191,19 @@ class Index:
         return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
 
 
+def _rows_of_words(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The texts in order, in lists of about WORDS_AT_ONCE words; a longer text is alone."""
+    row, size = [], 0
+    for words in texts:
+        if row and size + len(words) > WORDS_AT_ONCE:
+            yield row
+            row, size = [], 0
+        row.append(words)
+        size += len(words)
+    if row:
+        yield row
+
+
 def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
     """Bounds of the run with the most equal words of those with PERCENT equal, without changed ends."""
     run = np.concatenate([[0], np.cumsum(np.where(equal, 100 - PERCENT, -PERCENT))])
@@ -199,10 +265,11 @@ def _pass(rows: DataFrame, index, text: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seeds = _memory(), index.value
         for batch in batches:
+            plain = [_plain(raw, memory) for raw in W.texts(batch.column(text))]
+            met = [x for row in _rows_of_words(plain) for x in seeds.verified_all(row)]
             found = []
-            for raw, had in zip(W.texts(batch.column(text)), batch.column(batch.num_columns - 1)):
-                new = [dict(zip(keys, x)) for x in seeds.verified(_plain(raw, memory))]
-                found.append((had.as_py() if len(had) else []) + new)
+            for new, had in zip(met, batch.column(batch.num_columns - 1)):
+                found.append((had.as_py() if len(had) else []) + [dict(zip(keys, x)) for x in new])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names
             )
