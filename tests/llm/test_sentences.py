@@ -1,3 +1,5 @@
+import random
+
 from samples import awkward, documents, prose
 
 from tillcast.llm import sentences
@@ -8,23 +10,60 @@ def cleaned(spark, rows):
     return {r.doc_id: r for r in found}
 
 
+def plain_cut(text):
+    """Sentences of a text none of which is too long: one character after the other."""
+    parts, part, i = [], "", 0
+    while i < len(text):
+        part += text[i]
+        stop = text[i] in ".!?\u2026\u3002"
+        i += 1
+        if part[-1] == "\n":
+            while i < len(text) and text[i].isspace():
+                part, i = part + text[i], i + 1
+            parts, part = [*parts, part], ""
+        elif stop and i < len(text) and text[i] == " ":
+            while i < len(text) and text[i] == " ":
+                part, i = part + text[i], i + 1
+            parts, part = [*parts, part], ""
+    return [*parts, part] if part else parts
+
+
+def plain_spans(parts):
+    """Every run of sentences that is a span, by trying all: (first, end, its words)."""
+    plain = [p.lower().split() for p in parts]
+    at = [i for i, p in enumerate(plain) if p]
+    out = set()
+    for a in range(len(at)):
+        for b in range(a + 1, len(at) + 1):
+            size = sum(len(plain[i]) for i in at[a:b])
+            last, first = len(plain[at[b - 1]]), len(plain[at[a]])
+            runs = b - a == sentences.RUN and size >= sentences.FEWEST_WORDS
+            dense = b - a < sentences.RUN and size >= sentences.LONG_WORDS > size - last
+            sparse = b - a > sentences.RUN and size >= sentences.FEWEST_WORDS
+            if runs or dense or sparse and sentences.FEWEST_WORDS > min(size - last, size - first):
+                out.add((a, b))
+    if at and not out and sum(map(len, plain)) >= sentences.FEWEST_WORDS:
+        out.add((0, len(at)))
+    return [(at[a], at[b - 1] + 1, tuple(w for i in at[a:b] for w in plain[i])) for a, b in sorted(out)]
+
+
 def plain_removal(rows):
     """The definition, over all documents at once: rows of (doc_id, text) without repeated ids."""
-    cuts = {d: sentences.cut((t or "").encode()) for d, t in rows}
+    cuts = {d: plain_cut(t or "") for d, t in rows}
     holders, out = {}, {}
     for d, parts in cuts.items():
-        for _, _, digest in sentences.spans(parts):
+        for _, _, digest in plain_spans(parts):
             holders.setdefault(digest, set()).add(d)
     for d, parts in cuts.items():
         drop, seen = set(), {}
-        for a, b, digest in sentences.spans(parts):
+        for a, b, digest in plain_spans(parts):
             if min(holders[digest]) < d:
                 drop |= set(range(a, b))
             if digest in seen:
                 drop |= set(range(max(a, seen[digest]), b))
             else:
                 seen[digest] = b
-        out[d] = b"".join(p for i, p in enumerate(parts) if i not in drop).decode()
+        out[d] = "".join(p for i, p in enumerate(parts) if i not in drop)
     return out
 
 
@@ -62,6 +101,34 @@ def test_equals_the_definition(spark):
     assert {d: r.text for d, r in found.items()} == plain_removal(rows)
 
 
+def test_spans_equal_the_definition():
+    draw = random.Random(5)
+    for i in range(300):
+        text = "".join(
+            " ".join(f"w{draw.randrange(9)}" for _ in range(draw.choice((1, 2, 4, 9, 17, 30)))) + draw.choice((". ", "! ", "\n", ".\n\n"))
+            for _ in range(draw.randrange(12))
+        )
+        parts = plain_cut(text)
+        assert [p.encode() for p in parts] == sentences.cut(text.encode())
+        found = [(a, b) for a, b, _ in sentences.spans(sentences.cut(text.encode()))]
+        assert found == [(a, b) for a, b, _ in plain_spans(parts)], i
+
+
+def test_sentences_stay_whole(spark):
+    """What is removed ends at the ends of sentences, unless these have over LONGEST words."""
+    rows = [(i, " ".join(prose(k, 25 + k) + "." for k in (i % 5, 90 + i, i % 3, 50 + i % 4))) for i in range(30)]
+    assert max(len(p.split()) for _, t in rows for p in plain_cut(t)) <= sentences.LONGEST
+    for i, r in cleaned(spark, rows).items():
+        whole = {p.strip() for p in plain_cut(rows[i][1])}
+        assert {p.strip() for p in plain_cut(r.text)} <= whole and (i < 5 or r.n_removed > 0)
+
+
+def test_hot_spans_and_others_alike(spark):
+    """A span of all documents goes by the broadcast, with few spans everything repeated does."""
+    rows = [(i, f"{prose(7, 60)}.\n" + "\n".join(prose(100 + i // 2 * 40 + k, 30) + "." for k in range(40))) for i in range(60)]
+    assert {d: r.text for d, r in cleaned(spark, rows).items()} == plain_removal(rows)
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     docs = documents(spark, rows)
@@ -86,6 +153,7 @@ def test_passages_inside_long_sentences_share_spans():
         for i in range(200):
             passage = prose(i, words, 3000).replace(".", "").lower()
             a, b = (prose(k * 1000 + i, n, 3000).replace(".", "") for k, n in ((1, i % 31), (2, i % 37)))
+            # Each of these is one sentence of over LONGEST words.
             texts = [f"{a} {passage} {b}.", f"{b} {passage} {a}", f"{passage}\n{a}"]
             found = [{d for *_, d in sentences.spans(sentences.cut(t.encode()))} for t in texts]
             assert found[0] & found[1] and found[0] & found[2], (words, i)

@@ -18,19 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.llm import words as W
+from tillcast.llm.batches import bounded
 from tillcast.session import materialise
 
 RUN = 3
 #: A span has so many words at least: chance does not repeat it.
 FEWEST_WORDS = 15
 #: So many words make a span of fewer than RUN sentences.
-LONG_WORDS = 30
-#: Sentences of more words are cut, after the word of least hash in every CUT words in a row: a
-#: piece has CUT words at most, and where it ends depends on the CUT - 1 words on either side
-#: only. Any 50 words thus hold 25 in pieces that are the same wherever the passage stands; no
-#: piece has over LONGEST words, so these are RUN pieces and FEWEST_WORDS words or more: a span.
-LONGEST = 12
+LONG_WORDS = 20
+#: Text without a stop for more words is no sentence, such as lists and code. It is cut after the
+#: word of least hash in every CUT words in a row: a piece has CUT words at most, and where it ends
+#: depends on the CUT - 1 words on either side only. Any 50 words of it thus hold 25 in pieces
+#: that are the same wherever the passage stands: RUN pieces and FEWEST_WORDS words or more, a span.
+LONGEST = 40
 CUT = 7
+#: Spans that make up more than one in so many of all count as hot, so there are fewer of these.
+HOT_SHARE = 1000
 
 # A sentence ends after its stops and the white space there, or at a line's end.
 _ENDS = re.compile(rb"(?:[.!?]|\xe2\x80\xa6|\xe3\x80\x82)+[\"')\]]*[ \t\r\f\v]+|\n\s*")
@@ -129,21 +132,27 @@ def _located(docs: DataFrame) -> DataFrame:
 
 
 def _all_spans(docs: DataFrame) -> DataFrame:
+    """The first place of every span of a text, and without hash what later places cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, digests, begin, end = [], [], [], []
+            row, digests, begin, end, hashed = [], [], [], [], []
             for i, text in enumerate(W.texts(batch.column(2))):
-                for a, b, d in first_and_again(spans(cut(text or b"")))[0]:
-                    row.append(i)
-                    digests.append(d)
+                first, again = first_and_again(spans(cut(text or b"")))
+                found = first + [(a, b, bytes(16)) for a, b in again]
+                row += [i] * len(found)
+                hashed += [True] * len(first) + [False] * len(again)
+                for a, b, digest in found:
                     begin.append(a)
                     end.append(b)
+                    digests.append(digest)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             at = pa.array(row, pa.int64())
+            none = ~np.array(hashed, bool)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(halves[:, 0]),
-                    pa.array(halves[:, 1]),
+                    pa.array(halves[:, 0], mask=none),
+                    pa.array(halves[:, 1], mask=none),
                     batch.column(0).take(at),
                     batch.column(1).take(at),
                     pa.array(begin, pa.int32()),
@@ -156,37 +165,60 @@ def _all_spans(docs: DataFrame) -> DataFrame:
     return docs.select("key", "digest", "text").mapInArrow(run, kinds)
 
 
+def _covered(found: DataFrame) -> DataFrame:
+    """``key, digest, covered``: the places in a text that an earlier document or place has.
+
+    Hot spans get their first document by a broadcast, whose size HOT_SHARE bounds, so none of
+    them gathers in one task. Only the others are shuffled for a join with the repeated ones.
+    """
+    total = found.count()
+    # Aggregated before the shuffle: a span of many documents is one row from each task.
+    repeated = materialise(
+        found.where("h1 IS NOT NULL")
+        .groupBy("h1", "h2")
+        .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
+        .where("first <> last")
+        .select("h1", "h2", "first", "n")
+    )
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = repeated.where(is_hot).select("h1", "h2", F.col("first").alias("hot"))
+    known = found.join(F.broadcast(hot), ["h1", "h2"], "left")
+    place = ["key", "digest", "begin", "end"]
+    # Later places in the same text have no hash.
+    at_once = known.where("h1 IS NULL OR key <> hot").select(place)
+    others = (
+        known.where("h1 IS NOT NULL AND hot IS NULL")
+        .join(repeated.where(~is_hot), ["h1", "h2"])
+        .where("key <> first")
+        .select(place)
+    )
+    # A document has at most as many entries as it has spans.
+    return (
+        at_once.unionAll(others)
+        .groupBy("key", "digest")
+        .agg(F.collect_set(F.struct("begin", "end")).alias("covered"))
+    )
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the cleaned text, and n_sentences, n_removed (long).
 
     Needs doc_id and text; columns called n_sentences or n_removed are replaced, all others
     stay. The first document is the one of least doc_id; rows without doc_id come last, in the
     order of a hash of their texts. Rows of one doc_id count as one document: what only they share stays.
-    In a text that repeats itself the first place stays. Null texts stay null, empty ones empty;
+    doc_id holds whole numbers or their decimal text. In a text that repeats itself the first
+    place stays. Null texts stay null, empty ones empty;
     a text all of whose sentences were seen before becomes empty. An empty table gives no rows.
+    Very long texts are cut and hashed whole; Arrow batches are bounded by bytes.
     """
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    bounded(docs.sparkSession)
     rows = _located(docs.select(*numbered, F.col("doc_id").cast("long").alias("id"), "text"))
+    rows = rows.withColumn("digest", F.coalesce("digest", F.lit(0)))
     found = materialise(_all_spans(rows))
-    # Minimum and count are aggregated before the shuffle: a span of many documents is one
-    # row from each task.
-    repeated = (
-        found.groupBy("h1", "h2")
-        .agg(F.min("key").alias("first"), F.max("key").alias("last"))
-        .where("first <> last")
-        .select("h1", "h2", "first")
-    )
-    covered = (
-        found.join(repeated, ["h1", "h2"])
-        .where("key <> first")
-        .groupBy("key", "digest")
-        # A document has at most as many entries as it has spans.
-        .agg(F.collect_set(F.struct("begin", "end")).alias("covered"))
-    )
-    marked = rows.withColumn("digest", F.coalesce("digest", F.lit(0))).join(
-        covered, ["key", "digest"], "left"
-    )
+    covered = _covered(found)
+    marked = rows.join(covered, ["key", "digest"], "left")
     others = [f"c{i}" for i, c in enumerate(names) if c != "text"]
     columns = marked.select(*others, "text", "covered")
 
@@ -197,8 +229,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for text, elsewhere in zip(W.texts(batch.column(len(others))), ends):
                 sentences = cut(text or b"")
                 drop = np.zeros(len(sentences) + 1, bool)
-                for a, b in first_and_again(spans(sentences))[1]:
-                    drop[a:b] = True
                 for x in elsewhere or []:
                     drop[x["begin"] : x["end"]] = True
                 kept = [s for s, d in zip(sentences, drop) if not d]
