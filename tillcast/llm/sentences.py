@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm import words as W
@@ -34,6 +34,8 @@ LONGEST = 40
 CUT = 7
 #: Spans that make up more than one in so many of all count as hot, so there are fewer of these.
 HOT_SHARE = 1000
+#: Hot spans are looked for among so many.
+SAMPLED_SPANS = 1 << 20
 
 # A sentence ends after its stops and the white space there, or at a line's end.
 _ENDS = re.compile(rb"(?:[.!?]|\xe2\x80\xa6|\xe3\x80\x82)+[\"')\]]*[ \t\r\f\v]+|\n\s*")
@@ -111,15 +113,20 @@ def spans(sentences: list[bytes]) -> list[tuple[int, int, bytes]]:
 def first_and_again(found: list[tuple[int, int, bytes]]) -> tuple[list, list]:
     """Spans at their first place in the text, and (begin, end) of what later places cover.
 
-    A later place that runs into the first covers only what comes after it.
+    A later place that runs into the first covers only what comes after it. Places that meet
+    are one.
     """
     first: dict[bytes, tuple[int, int]] = {}
-    again = []
+    again: list[tuple[int, int]] = []
     for a, b, digest in found:
         if digest not in first:
             first[digest] = (a, b)
         elif b > first[digest][1]:
-            again.append((max(a, first[digest][1]), b))
+            a = max(a, first[digest][1])
+            if again and again[-1][0] <= a <= again[-1][1]:
+                again[-1] = (again[-1][0], max(b, again[-1][1]))
+            else:
+                again.append((a, b))
     return [(a, b, digest) for digest, (a, b) in first.items()], again
 
 
@@ -165,30 +172,42 @@ def _all_spans(docs: DataFrame) -> DataFrame:
     return docs.select("key", "digest", "text").mapInArrow(run, kinds)
 
 
-def _covered(found: DataFrame) -> DataFrame:
-    """``key, digest, covered``: the places in a text that an earlier document or place has.
+def _hot_spans(found: DataFrame) -> DataFrame:
+    """``h1, h2, hot``: spans that are frequent in a sample, with the first document of each.
 
-    Hot spans get their first document by a broadcast, whose size HOT_SHARE bounds, so none of
-    them gathers in one task. Only the others are shuffled for a join with the repeated ones.
+    The sample only decides which way a span takes; the first document comes from all rows.
     """
     total = found.count()
-    # Aggregated before the shuffle: a span of many documents is one row from each task.
-    repeated = materialise(
-        found.where("h1 IS NOT NULL")
+    share = min(1.0, SAMPLED_SPANS / max(total, 1))
+    frequent = (
+        found.sample(share, 11)
+        .where("h1 IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
-        .where("first <> last")
-        .select("h1", "h2", "first", "n")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > max(1.0, share * total / HOT_SHARE))
+        .select("h1", "h2")
     )
-    is_hot = F.col("n") * HOT_SHARE > total
-    hot = repeated.where(is_hot).select("h1", "h2", F.col("first").alias("hot"))
-    known = found.join(F.broadcast(hot), ["h1", "h2"], "left")
+    return (
+        # Aggregated before the shuffle: a span of many documents is one row from each task.
+        found.join(F.broadcast(materialise(frequent)), ["h1", "h2"])
+        .groupBy("h1", "h2")
+        .agg(F.min("key").alias("hot"))
+    )
+
+
+def _covered(found: DataFrame) -> DataFrame:
+    """``key, digest, covered``: the places in a text that an earlier document or place has.
+
+    Hot spans get their first document by a broadcast, whose size HOT_SHARE bounds, so none of
+    them gathers in one task. All others are shuffled once and compared by a window.
+    """
+    known = found.join(F.broadcast(materialise(_hot_spans(found))), ["h1", "h2"], "left")
     place = ["key", "digest", "begin", "end"]
     # Later places in the same text have no hash.
     at_once = known.where("h1 IS NULL OR key <> hot").select(place)
     others = (
         known.where("h1 IS NOT NULL AND hot IS NULL")
-        .join(repeated.where(~is_hot), ["h1", "h2"])
+        .select("h1", "h2", *place, F.min("key").over(Window.partitionBy("h1", "h2")).alias("first"))
         .where("key <> first")
         .select(place)
     )
