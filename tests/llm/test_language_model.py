@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -43,7 +44,7 @@ def test_base_and_held_out_gain(spark, head):
     for i in range(3000):
         kind, draw = (one, two)[i % 2], np.random.default_rng(i)
         rows.append((i, " ".join(kind[k] for k in draw.integers(0, 4000, 60))))
-    found = language_model.score_texts(documents(spark, rows, False), head, 1).toPandas()
+    found = language_model.score_texts(documents(spark, rows, False), head).toPandas()
     compare(found, rows)
     held = found[found.held_out]
     # Words of two languages never mix in a text, which the state can see.
@@ -80,6 +81,85 @@ def test_state_goes_on_over_windows():
     assert np.allclose(gru.score(weights, texts), alone, rtol=1e-4)
 
 
+def plain_score(weights, text):
+    """The model unit by unit, in double precision."""
+    p = {k: v.astype(float) for k, v in weights.p.items()}
+    n, h, before, total = gru.STATE, np.zeros(gru.STATE), weights.units, 0.0
+    for unit in text:
+        x, g = p["x"][before] + p["b"], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[a : a + n] + g[a : a + n]))) for a in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * g[2 * n :])
+        kind, place = divmod(int(unit), weights.size)
+        for scores, i in ((h @ p["c"][:-1] + p["c"][-1], kind), (h @ p["w"][kind][:-1] + p["w"][kind][-1], place)):
+            total += scores[i] - np.log(np.exp(scores).sum())
+        before = unit
+    return total
+
+
+def trained(seed=3):
+    weights = gru.Weights(np.random.default_rng(seed).random((gru.CLASSES, 4)) + 0.1)
+    draw = np.random.default_rng(seed)
+    texts = [draw.integers(0, weights.units, n).astype(np.int32) for n in (1, 5, 33, 200, 3000, 64, 2)]
+    gru.train(weights, iter(texts))
+    return weights, texts
+
+
+def test_scores_equal_the_model_unit_by_unit():
+    weights, texts = trained()
+    assert np.allclose(gru.score(weights, texts), [plain_score(weights, t) for t in texts], rtol=1e-4)
+
+
+def test_gradients_equal_differences():
+    """The way back of a window, against small changes of the inputs' and the states' parts."""
+    weights, _ = trained()
+    draw = np.random.default_rng(1)
+    inputs = draw.integers(0, weights.units, (gru.STEPS, 6))
+    fresh = np.zeros(inputs.shape, bool)
+    fresh[0, :2] = fresh[4, 3] = True
+    first = draw.normal(0, 0.5, (6, gru.STATE)).astype(np.float32)
+    pull = draw.normal(0, 1, (*inputs.shape, gru.STATE)).astype(np.float32)
+
+    def value():
+        return float((gru._forward(weights.p, inputs, fresh, first, None) * pull).sum(dtype=float))
+
+    kept = []
+    gru._forward(weights.p, inputs, fresh, first, kept)
+    grad_x, grad_g = gru._backward(kept, pull, fresh, weights.p["u"])
+    flat = grad_g.reshape(-1, 3 * gru.STATE)
+    wanted = {"b": grad_x.sum((0, 1)), "u": kept[0].reshape(-1, gru.STATE).T @ flat}
+    for name, gradient in wanted.items():
+        for _ in range(20):
+            at = tuple(draw.integers(0, k) for k in gradient.shape)
+            was, change = weights.p[name][at], np.float32(2e-3)
+            weights.p[name][at] = was + change
+            up = value()
+            weights.p[name][at] = was - change
+            down = value()
+            weights.p[name][at] = was
+            assert abs((up - down) / (2 * change) - gradient[at]) < 0.02 * (1 + abs(gradient[at])), (name, at)
+
+
+def test_room_of_a_long_text():
+    """A million units among short texts take room for a million units, not for all lanes."""
+    weights, texts = trained()
+    long = np.random.default_rng(2).integers(0, weights.units, 1_000_000).astype(np.int32)
+    short = [texts[3]] * 500
+    tracemalloc.start()
+    found = gru.score(weights, [*short, long])
+    gru.train(weights, iter([long, *short]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20 and np.isfinite(found).all()
+
+
+def test_files_and_partitions_make_no_difference(spark):
+    rows = [(i, prose(i, 80)) for i in range(60)]
+    docs = documents(spark, rows)
+    one = {r.doc_id: r.score for r in language_model.score_texts(docs.coalesce(1)).collect()}
+    two = {r.doc_id: r.score for r in language_model.score_texts(docs.repartition(5, "text")).collect()}
+    assert one.keys() == two.keys() and all(abs(one[d] - two[d]) < 1e-3 * abs(one[d]) for d in one)
+
+
 def test_steps_raise_the_chance_of_what_is_read():
     mass = np.ones((gru.CLASSES, 4))
     text = [np.random.default_rng(5).integers(0, 20, 64).astype(np.int32)]

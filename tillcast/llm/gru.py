@@ -3,7 +3,8 @@
 Texts are sequences of units; a unit is the end, a frequent word, or a bucket of other words.
 Units are dealt to classes, and the output softmax is factored: the class from the state, then
 the unit in its class from the state. Gradients go back through windows of STEPS units; the state
-goes on from window to window, so a text of any length is scored whole.
+goes on from window to window, so a text of any length is scored whole. Learning reads texts in
+pieces of PIECE units, each from an empty state but with the unit before it as its first input.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import numpy as np
 CLASSES = 16
 STATE = 16
 STEPS = 8
-LANES = 64
+#: Lanes of learning have so many units at least, so a packing makes about LANE / STEPS steps.
+LANES, LANE = 256, 1 << 12
 SCORED_LANES, SCORED_STEPS = 256, 32
-RATE = 0.1
+PIECE = 1024
+RATE = 0.5
 FLOOR = 1e-5
 #: Bounds of the parameters: exponents stay far from overflow.
 BOUND = {"x": 12, "u": 2, "b": 4, "c": 3, "w": 3}
@@ -60,50 +63,75 @@ class Weights:
             at += v.size
 
 
-def packings(texts: Iterator[np.ndarray], lanes: int, sort: bool) -> Iterator[tuple]:
-    """Texts (arrays of units) laid end to end in ``lanes`` rows of about equal length.
+class Packing:
+    """Texts laid end to end in lanes of about equal length, the longest lane first.
 
-    Yields (units, fresh, text numbers, row lengths) by step and lane, the longest lane first;
-    ``fresh`` marks the first unit of a text, and -1 fills the ends of the rows.
+    The lanes are kept one after the other in flat arrays, so the room they take is that of their
+    units, however uneven they are.
     """
 
-    def pack(numbered: list[tuple[int, np.ndarray]]) -> tuple:
-        count = min(lanes, len(numbered))
+    def __init__(self, numbered: list[tuple], lanes: int, lane: int = 1):
+        """``numbered``: (text number, units, inputs); ``lane``: units that make a lane worth while."""
+        count = max(1, min(lanes, len(numbered), sum(len(x[1]) for x in numbered) // lane))
         heap = [(0, k) for k in range(count)]
-        rows: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(count)]
-        # With the long ones first the rows come out even; learning wants lengths mixed.
-        for number, text in sorted(numbered, key=lambda x: -len(x[1])) if sort else numbered:
+        rows: list[list[tuple]] = [[] for _ in range(count)]
+        for x in numbered:
             load, k = heapq.heappop(heap)
-            rows[k].append((number, text))
-            heapq.heappush(heap, (load + len(text), k))
-        rows.sort(key=lambda row: -sum(len(t) for _, t in row))
-        loads = np.array([sum(len(t) for _, t in row) for row in rows])
-        units = np.full((loads[0], count), -1, np.int32)
-        fresh = np.zeros((loads[0], count), bool)
-        whose = np.full((loads[0], count), -1, np.int32)
-        for k, row in enumerate(rows):
-            at = 0
-            for number, text in row:
-                units[at : at + len(text), k] = text
-                fresh[at, k] = True
-                whose[at : at + len(text), k] = number
-                at += len(text)
-        return units, fresh, whose, loads
+            rows[k].append(x)
+            heapq.heappush(heap, (load + len(x[1]), k))
+        rows.sort(key=lambda row: -sum(len(x[1]) for x in row))
+        placed = [x for row in rows for x in row]
+        self.loads = np.array([sum(len(x[1]) for x in row) for row in rows])
+        self.first = np.cumsum(self.loads) - self.loads
+        # One place more, which fills the ends of the lanes.
+        self.units = np.concatenate([*[x[1] for x in placed], [-1]]).astype(np.int32)
+        self.inputs = np.concatenate([*[x[2] for x in placed], [0]]).astype(np.int32)
+        sizes = [len(x[1]) for x in placed]
+        self.whose = np.append(np.repeat([x[0] for x in placed], sizes), -1).astype(np.int32)
+        self.fresh = np.zeros(len(self.units), bool)
+        self.fresh[np.cumsum(sizes) - sizes] = True
+
+    def windows(self, steps: int, lanes: int) -> Iterator[tuple]:
+        """(begin, units, inputs, fresh, text numbers), by step and lane.
+
+        With few lanes left windows are longer, so that they hold about ``steps`` * ``lanes`` units.
+        """
+        at = 0
+        while at < self.loads[0]:
+            live = int(np.searchsorted(-self.loads, -at))
+            size = min(steps * max(1, lanes // live), int(self.loads[0]) - at)
+            step = at + np.arange(size)[:, None]
+            place = np.where(step < self.loads[:live], step + self.first[:live], len(self.units) - 1)
+            yield at, self.units[place], self.inputs[place], self.fresh[place], self.whose[place]
+            at += size
+
 
+def packings(texts: Iterator[tuple], lanes: int, sort: bool, lane: int = 1) -> Iterator[Packing]:
+    """(units, inputs) of texts in packings of about PACKED units, if no single text is longer."""
     part, size = [], 0
-    for number, text in enumerate(texts):
-        part.append((number, text))
-        size += len(text)
+
+    def pack() -> Packing:
+        # With the long ones first the lanes come out even; learning wants lengths mixed.
+        return Packing(sorted(part, key=lambda x: -len(x[1])) if sort else part, lanes, lane)
+
+    for number, (units, inputs) in enumerate(texts):
+        part.append((number, units, inputs))
+        size += len(units)
         if size >= PACKED:
-            yield pack(part)
+            yield pack()
             part, size = [], 0
     if part:
-        yield pack(part)
+        yield pack()
 
 
-def _inputs(units: np.ndarray, fresh: np.ndarray, start: int) -> np.ndarray:
-    before = np.vstack([np.full((1, units.shape[1]), start, np.int32), units[:-1]])
-    return np.where(fresh | (before < 0), start, before)
+def _with_inputs(texts: Iterator[np.ndarray], start: int, piece: int | None = None) -> Iterator[tuple]:
+    """Units and, for each, the unit before it; of whole texts or of their pieces."""
+    for text in texts:
+        before = np.empty_like(text)
+        before[:1], before[1:] = start, text[:-1]
+        for a in range(0, len(text), piece or max(len(text), 1)):
+            b = a + (piece or len(text))
+            yield text[a:b], before[a:b]
 
 
 def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
@@ -112,7 +140,10 @@ def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep
     x = np.take(p["x"], inputs, axis=0)
     x += p["b"]
     starts = fresh.any(1)
-    out = np.empty((len(inputs), len(h), n), np.float32)
+    shape = len(inputs), len(h)
+    out = np.empty((*shape, n), np.float32)
+    if keep is not None:
+        keep += [np.empty((*shape, k), np.float32) for k in (n, 2 * n, n, n)]
     for t in range(len(inputs)):
         if starts[t]:
             h = h * ~fresh[t][:, None]
@@ -127,7 +158,7 @@ def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep
         new += x[t, :, 2 * n :]
         np.tanh(new, out=new)
         if keep is not None:
-            keep.append((h, z, r, new, g[:, 2 * n :]))
+            keep[0][t], keep[1][t], keep[2][t], keep[3][t] = h, gates, new, g[:, 2 * n :]
         h = h - new
         h *= z
         h += new
@@ -135,6 +166,35 @@ def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep
     return out
 
 
+def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients at the gates and the new state: of the inputs' part, and of the states' part."""
+    old, gates, new, g = kept
+    n = STATE
+    z, r = gates[..., :n], gates[..., n:]
+    by_new = (1 - z) * (1 - new * new)
+    by_z = (old - new) * z * (1 - z)
+    by_r = g * r * (1 - r)
+    steps, live = fresh.shape
+    grad_x = np.empty((steps, live, 3 * n), np.float32)
+    grad_g = np.empty((steps, live, 3 * n), np.float32)
+    later = np.zeros((live, n), np.float32)
+    turned = np.ascontiguousarray(u.T)
+    starts = fresh.any(1)
+    for t in range(steps - 1, -1, -1):
+        later += from_out[t]
+        at_x, at_g = grad_x[t], grad_g[t]
+        np.multiply(later, by_new[t], out=at_x[:, 2 * n :])
+        np.multiply(later, by_z[t], out=at_x[:, :n])
+        np.multiply(at_x[:, 2 * n :], by_r[t], out=at_x[:, n : 2 * n])
+        at_g[:, : 2 * n] = at_x[:, : 2 * n]
+        np.multiply(at_x[:, 2 * n :], r[t], out=at_g[:, 2 * n :])
+        later *= z[t]
+        later += at_g @ turned
+        if starts[t]:
+            later *= ~fresh[t][:, None]
+    return grad_x, grad_g
+
+
 def _exponents(a: np.ndarray) -> np.ndarray:
     """exp(a) in place. Bounded weights make it safe without taking off the maximum."""
     return np.exp(a, out=a)
@@ -161,16 +221,13 @@ def score(weights: Weights, texts: list[np.ndarray]) -> np.ndarray:
     p, size = weights.p, weights.size
     ones = np.ones(max(CLASSES, size), np.float32)
     total = np.zeros(len(texts))
-    for units, fresh, whose, loads in packings(iter(texts), SCORED_LANES, True):
-        inputs = _inputs(units, fresh, weights.units)
-        h = np.zeros((units.shape[1], STATE), np.float32)
-        for at in range(0, len(units), SCORED_STEPS):
-            live = int((loads > at).sum())
-            cut = (slice(at, at + SCORED_STEPS), slice(0, live))
-            states = _forward(p, inputs[cut], fresh[cut], h[:live], None)
+    for packing in packings(_with_inputs(iter(texts), weights.units), SCORED_LANES, True):
+        h = np.zeros((len(packing.loads), STATE), np.float32)
+        for _, units, inputs, fresh, whose in packing.windows(SCORED_STEPS, SCORED_LANES):
+            states = _forward(p, inputs, fresh, h[: units.shape[1]], None)
             h = states[-1]
             # In the order of the classes.
-            order, targets, present, bounds = _by_class(units[cut].ravel(), size)
+            order, targets, present, bounds = _by_class(units.ravel(), size)
             flat = _with_one(states.reshape(-1, STATE), order)
             e = _exponents(flat @ p["c"])
             chance = e[np.arange(len(e)), targets // size] / (e @ ones[:CLASSES])
@@ -178,20 +235,19 @@ def score(weights: Weights, texts: list[np.ndarray]) -> np.ndarray:
                 e = _exponents(flat[a:b] @ p["w"][c])
                 chance[a:b] *= e[np.arange(b - a), targets[a:b] % size] / (e @ ones[:size])
             logp = np.log(np.maximum(chance, LEAST_CHANCE))
-            total += np.bincount(whose[cut].ravel()[order], logp, len(texts))
+            total += np.bincount(whose.ravel()[order], logp, len(texts))
     return total
 
 
-def train(weights: Weights, texts: Iterator[np.ndarray]) -> int:
-    """Fit ``weights`` to the texts by truncated backpropagation; the number of units seen.
+def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None) -> tuple[int, dict]:
+    """Fit ``weights`` to the texts by truncated backpropagation.
 
-    Each parameter's step shrinks with the gradients it has had.
+    Each parameter's step shrinks with the gradients it has had. Returns the number of units
+    seen and these sums, from which a later call goes on.
     """
     p, size, n, seen = weights.p, weights.size, STATE, 0
-    # Short windows at the end of a packing count for less.
-    scale = np.float32(1 / (LANES * STEPS))
     ones = np.ones(max(LANES * STEPS, size, CLASSES), np.float32)
-    had = {k: np.full(v.shape, FLOOR, np.float32) for k, v in p.items()}
+    had = had or {k: np.full(v.shape, FLOOR, np.float32) for k, v in p.items()}
 
     rate = np.float32(RATE)
 
@@ -204,21 +260,22 @@ def train(weights: Weights, texts: Iterator[np.ndarray]) -> int:
         if isinstance(where, np.ndarray):
             had[name][where], p[name][where] = sums, own
 
-    for units, fresh, _, loads in packings(texts, LANES, False):
-        inputs = _inputs(units, fresh, weights.units)
-        h = np.zeros((units.shape[1], n), np.float32)
-        for at in range(0, len(units), STEPS):
-            live = int((loads > at).sum())
-            cut = (slice(at, at + STEPS), slice(0, live))
+    for packing in packings(_with_inputs(texts, weights.units, PIECE), LANES, False, LANE):
+        # Short windows at the end of a packing count for less.
+        scale = np.float32(1 / (len(packing.loads) * STEPS))
+        h = np.zeros((len(packing.loads), n), np.float32)
+        # Windows are of STEPS, however few lanes are left.
+        for turn, (at, units, inputs, fresh, _) in enumerate(packing.windows(STEPS, 1)):
+            live = units.shape[1]
             keep: list = []
-            states = _forward(p, inputs[cut], fresh[cut], h[:live], keep)
+            states = _forward(p, inputs, fresh, h[:live], keep)
             h = states[-1]
-            order, targets, present, bounds = _by_class(units[cut].ravel(), size)
+            order, targets, present, bounds = _by_class(units.ravel(), size)
             flat = _with_one(states.reshape(-1, n), order)
             seen += len(order)
             # The step shrinks along a packing, and the parameters stay in bounds.
-            rate = np.float32(RATE * (1 - 0.9 * at / len(units)))
-            if at // STEPS % 32 == 0:
+            rate = np.float32(RATE * (1 - 0.9 * at / packing.loads[0]))
+            if turn % 32 == 0:
                 for name, most in BOUND.items():
                     part = p[name][..., :-1, :] if name in "cw" else p[name]
                     np.clip(part, -most, most, out=part)
@@ -240,30 +297,12 @@ def train(weights: Weights, texts: Iterator[np.ndarray]) -> int:
             from_out = np.zeros(states.shape, np.float32)
             from_out.reshape(-1, n)[order] = back
             # Back through the window.
-            steps = len(keep)
-            grad_x = np.empty((steps, live, 3 * n), np.float32)
-            grad_g = np.empty((steps, live, 3 * n), np.float32)
-            before = np.empty((steps, live, n), np.float32)
-            later = np.zeros((live, n), np.float32)
-            turned = np.ascontiguousarray(p["u"].T)
-            for t in range(steps - 1, -1, -1):
-                old, z, r, new, g = keep[t]
-                d = from_out[t] + later
-                d_new = d * (1 - z) * (1 - new * new)
-                grad_x[t, :, :n] = d * (old - new) * z * (1 - z)
-                grad_x[t, :, n : 2 * n] = d_new * g * r * (1 - r)
-                grad_x[t, :, 2 * n :] = d_new
-                grad_g[t, :, : 2 * n] = grad_x[t, :, : 2 * n]
-                grad_g[t, :, 2 * n :] = d_new * r
-                before[t] = old
-                later = d * z + grad_g[t] @ turned
-                if fresh[at + t, :live].any():
-                    later = later * ~fresh[at + t, :live][:, None]
+            grad_x, grad_g = _backward(keep, from_out, fresh, p["u"])
             grad_x = grad_x.reshape(-1, 3 * n)
-            step("u", before.reshape(-1, n).T @ grad_g.reshape(-1, 3 * n))
+            step("u", keep[0].reshape(-1, n).T @ grad_g.reshape(-1, 3 * n))
             step("b", grad_x.sum(0))
-            rows = inputs[cut].ravel()
+            rows = inputs.ravel()
             by_row = np.argsort(rows, kind="stable")
             touched, first = np.unique(rows[by_row], return_index=True)
             step("x", np.add.reduceat(grad_x[by_row], first, axis=0), touched)
-    return seen
+    return seen, had

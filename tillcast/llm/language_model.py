@@ -13,31 +13,34 @@ round goes on from the average of the one before.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.llm import gru
 from tillcast.llm import words as W
+from tillcast.llm.batches import bounded
 from tillcast.session import materialise
 
 WORDS, BUCKETS = 1023, 1024
 #: Words whose counts are broadcast.
 HEAD = 1 << 18
-#: Gradients come from one in so many training texts: from all.
-READ_EVERY = 1
 #: Rounds of fitting and averaging; a text is read in one of them.
 ROUNDS = 4
 #: Units for one learner: with fewer, fewer learners.
 LEARNER_UNITS = 1 << 20
 #: Of what a learner reads, one text in so many, and so many units at most, are put aside to
-#: choose how far to go from the unigram model.
+#: choose how far to go from the unigram model, and read in the end.
 ASIDE_EVERY, ASIDE_UNITS = 16, 1 << 15
+#: Learners whose parameters one task averages.
+FAN = 64
 SHARES = (1.0, 0.6, 0.3, 0.1, 0.0)
 _BLOCK = 1 << 14
 _END = -1  # the bucket that stands for the end in the counts
@@ -137,34 +140,45 @@ def vocabulary(counts: DataFrame, head_words: int = HEAD) -> Vocabulary:
     return Vocabulary(order, {r.bucket: (r.n, r.k) for r in sums})
 
 
-def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) -> np.ndarray:
-    """The parameters on the way from the start that suit the texts put aside best.
+def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """The parameters on the way from the start that suit the texts put aside best, and how far.
 
     The start is the unigram model, so what little text teaches wrongly does no harm.
     """
-    end, best = weights.flat(), (-np.inf, start)
+    end, best = weights.flat(), (-np.inf, start, 0.0)
     for share in SHARES if aside else (1.0,):
         mixed = start + np.float32(share) * (end - start)
         weights.load(mixed)
-        best = max(best, (gru.score(weights, aside).sum() if aside else 0.0, mixed), key=lambda x: x[0])
-    return best[1]
+        fits = gru.score(weights, aside).sum() if aside else 0.0
+        best = max(best, (fits, mixed, share), key=lambda x: x[0])
+    return best[1:]
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, read_every: int = READ_EVERY) -> gru.Weights:
-    """The average of models that learners fit to one in ``read_every`` of the texts, in ROUNDS."""
+def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
+    """The average of models that learners fit to all texts, in ROUNDS."""
     weights = gru.Weights(vocab.masses)
     spark = docs.sparkSession
-    learners = max(1, vocab.total // read_every // ROUNDS // LEARNER_UNITS)
-    # A text's own hash decides, so equal texts are read, in one round, or left out together.
-    part = F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(read_every * ROUNDS))
+    learners = max(1, vocab.total // ROUNDS // LEARNER_UNITS)
+    # The id decides who reads a text and when, so copies are spread, and files and partitions
+    # make no difference. Rows without id are dealt by their place.
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    deal = F.xxhash64(F.lit(23), F.coalesce(own, F.xxhash64(F.monotonically_increasing_id())))
+    dealt = docs.select("text", deal.alias("deal"))
     for turn in range(ROUNDS):
-        read = docs.where(part == turn * read_every).select("text")
-        _fit_round(read, learners, spark.sparkContext.broadcast((vocab, weights)), weights)
+        read = (
+            dealt.where(F.pmod("deal", F.lit(ROUNDS)) == turn)
+            .repartition(learners, F.shiftright("deal", 8))
+            .sortWithinPartitions("deal", F.xxhash64("text"))
+        )
+        _fit_round(read.select("text"), learners, spark.sparkContext.broadcast((vocab, weights)), weights)
     return weights
 
 
 def _fit_round(read: DataFrame, learners: int, shared, weights: gru.Weights) -> None:
-    """Loads the average of what learners make of the shared weights into ``weights``."""
+    """Loads the average of what learners make of the shared weights into ``weights``.
+
+    ``read`` has one partition a learner.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
@@ -183,44 +197,66 @@ def _fit_round(read: DataFrame, learners: int, shared, weights: gru.Weights) ->
                     else:
                         yield units
 
+        # What the worker holds of the shared weights must stay as it is.
+        mine = copy.deepcopy(own)
         start = own.flat()
-        seen = gru.train(own, texts())
+        seen, had = gru.train(mine, texts())
         if seen:
-            flat = _shrunk(own, start, aside)
+            flat, share = _shrunk(mine, start, aside)
+            mine.load(flat)
+            seen += gru.train(mine, iter(aside), had)[0]
+            flat = flat + np.float32(share) * (mine.flat() - flat)
             blocks = [flat[a : a + _BLOCK] for a in range(0, len(flat), _BLOCK)]
-            columns = [range(len(blocks)), [seen] * len(blocks), [b.tobytes() for b in blocks]]
-            kinds = [pa.int32(), pa.int64(), pa.binary()]
+            who = TaskContext.get().partitionId()
+            columns = [range(len(blocks)), [who] * len(blocks), [seen] * len(blocks), [b.tobytes() for b in blocks]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "seen", "values"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "who", "seen", "values"])
 
     def average(part: pa.Table) -> pa.Table:
+        part = part.sort_by("who")
         seen = np.array(part.column("seen").to_pylist(), np.float64)
         rows = [np.frombuffer(v, np.float32) for v in part.column("values").to_pylist()]
         mean = sum(n * row for n, row in zip(seen / seen.sum(), rows)).astype(np.float32)
+        first = {c: [part.column(c)[0].as_py()] for c in ("block", "who")}
         return pa.table(
-            {"block": pa.array([part.column("block")[0].as_py()], pa.int32()), "values": [mean.tobytes()]}
+            {
+                "block": pa.array(first["block"], pa.int32()),
+                "who": pa.array(first["who"], pa.int32()),
+                "seen": pa.array([int(seen.sum())], pa.int64()),
+                "values": [mean.tobytes()],
+            }
         )
 
-    found = read.coalesce(learners).mapInArrow(run, "block int, seen long, values binary")
-    # A block meets as many rows as there are learners, of 64 kB each.
-    got = found.groupBy("block").applyInArrow(average, "block int, values binary").collect()
+    kinds = "block int, who int, seen long, values binary"
+    found = materialise(read.mapInArrow(run, kinds))
+    # Averages of averages: no task meets more than FAN rows of 64 kB.
+    while learners > 1:
+        found = found.groupBy("block", F.floor(F.col("who") / FAN).cast("int").alias("group")).applyInArrow(
+            average, kinds
+        )
+        found = found.withColumn("who", F.floor(F.col("who") / FAN).cast("int"))
+        learners = -(-learners // FAN)
+    got = found.select("block", "values").collect()
     if got:
         weights.load(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(got)]))
 
 
-def score_texts(docs: DataFrame, head_words: int = HEAD, read_every: int = READ_EVERY) -> DataFrame:
+def score_texts(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Needs doc_id and text; other columns are ignored. Null and empty texts have one token, the
     end. Rows without doc_id are trained on. Repeated rows are counted and scored as often as
     they occur. An empty table gives no rows; where nothing can be trained on, every token has
-    probability one in the base, and the model knows only unknown words.
+    probability one in the base, and the model knows only unknown words. Very long texts are read
+    and scored whole, in room that grows with their words.
     """
+    bounded(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = materialise(count_words(training))
     vocab = vocabulary(counts, head_words)
-    weights = fit(training, vocab, read_every)
+    weights = fit(training, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
