@@ -77,9 +77,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """What the tasks need to know of the words; its size is fixed by the head and BUCKETS."""
 
-    def __init__(self, head: list[tuple], buckets: dict[int, tuple[int, int]]):
-        """``head``: (h, bucket, n) by falling n; ``buckets``: (n, words) of each, _END the end."""
-        self.head = len(head)
+    def __init__(self, head: tuple[np.ndarray, ...], buckets: dict[int, tuple[int, int]]):
+        """``head``: h, bucket and n by falling n; ``buckets``: (n, words) of each, _END the end."""
+        self.hashes, bucket, often = head
+        self.head = len(self.hashes)
         self.ends = buckets.get(_END, (0, 0))[0]
         self.total = sum(n for n, _ in buckets.values())
         kinds = sum(k for _, k in buckets.values())
@@ -89,13 +90,12 @@ class Vocabulary:
         for b, (n, k) in buckets.items():
             if b != _END:
                 mass[b], words[b] = n, k
-        top = head[:WORDS]
-        for _, b, n in top:
-            mass[b] -= n
-            words[b] -= 1
+        top = [(int(h), int(b)) for h, b in zip(self.hashes[:WORDS], bucket[:WORDS])]
+        np.subtract.at(mass, bucket[:WORDS], often[:WORDS])
+        np.subtract.at(words, bucket[:WORDS], 1)
         mass += 0.5 * (words + 1)
         # Words stand by the bucket they would be in, so classes hold words of like letters.
-        own = [(_END, 0, 0)] + [(b, 0, h) for h, b, _ in top] + [(b, 1, 0) for b in range(BUCKETS)]
+        own = [(_END, 0, 0)] + [(b, 0, h) for h, b in top] + [(b, 1, 0) for b in range(BUCKETS)]
         place = {x: i for i, x in enumerate(sorted(own))}
         size = -(-len(own) // gru.CLASSES)
         units = np.zeros(gru.CLASSES * size)
@@ -104,24 +104,18 @@ class Vocabulary:
         bucket_unit = np.array([place[(b, 1, 0)] for b in range(BUCKETS)])
         units[bucket_unit] = mass
         # A code is the word's rank in the head, or the head's size and its bucket.
-        self.code = {h: i for i, (h, _, _) in enumerate(head)}
-        self.unit = np.zeros(self.head + BUCKETS, np.int32)
-        self.unit[self.head :] = bucket_unit
-        self.logs = np.zeros(self.head + BUCKETS)
-        self.inside = np.zeros(self.head + BUCKETS)
-        self.inside[self.head :] = -np.log10(mass)
-        for i, (h, b, n) in enumerate(head):
-            self.logs[i] = np.log10(n + 0.5)
-            if i < WORDS:
-                self.unit[i] = place[(b, 0, h)]
-                units[self.unit[i]] = n + 0.5
-            else:
-                self.unit[i] = bucket_unit[b]
-                self.inside[i] = self.logs[i] - np.log10(mass[b])
+        self.unit = np.concatenate([bucket_unit[bucket], bucket_unit]).astype(np.int32)
+        self.unit[: len(top)] = [place[(b, 0, h)] for h, b in top]
+        units[self.unit[: len(top)]] = often[:WORDS] + 0.5
+        logs = np.log10(often + 0.5)
+        self.logs = np.concatenate([logs, np.zeros(BUCKETS)])
+        self.inside = np.concatenate([logs, np.zeros(BUCKETS)]) - np.log10(mass)[np.append(bucket, np.arange(BUCKETS))]
+        self.inside[: len(top)] = 0
         self.masses = units.reshape(gru.CLASSES, size)
 
     def coder(self) -> W.Memory:
-        code, head = self.code, self.head
+        head = self.head
+        code = dict(zip(self.hashes.tolist(), range(head)))
 
         def value(word: bytes) -> int:
             h = xxhash.xxh64_intdigest(word)
@@ -135,9 +129,9 @@ def vocabulary(counts: DataFrame, head_words: int = HEAD) -> Vocabulary:
     words = counts.where(F.col("bucket") != _END)
     head = words.orderBy(F.desc("n"), "h").limit(head_words).select("h", "bucket", "n").toArrow()
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
-    columns = [head.column(c).to_pylist() for c in ("h", "bucket", "n")]
-    order = sorted(zip(*columns), key=lambda x: (-x[2], x[0]))
-    return Vocabulary(order, {r.bucket: (r.n, r.k) for r in sums})
+    h, bucket, n = (head.column(c).to_numpy().astype(np.int64) for c in ("h", "bucket", "n"))
+    order = np.lexsort([h, -n])
+    return Vocabulary((h[order], bucket[order], n[order]), {r.bucket: (r.n, r.k) for r in sums})
 
 
 def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) -> tuple[np.ndarray, float]:
@@ -170,14 +164,14 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
             .repartition(learners, F.shiftright("deal", 8))
             .sortWithinPartitions("deal", F.xxhash64("text"))
         )
-        _fit_round(read.select("text"), learners, spark.sparkContext.broadcast((vocab, weights)), weights)
+        _fit_round(read.select("text"), spark.sparkContext.broadcast((vocab, weights)), weights)
     return weights
 
 
-def _fit_round(read: DataFrame, learners: int, shared, weights: gru.Weights) -> None:
+def _fit_round(read: DataFrame, shared, weights: gru.Weights) -> None:
     """Loads the average of what learners make of the shared weights into ``weights``.
 
-    ``read`` has one partition a learner.
+    Every partition of ``read`` is a learner's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +225,7 @@ def _fit_round(read: DataFrame, learners: int, shared, weights: gru.Weights) ->
     kinds = "block int, who int, seen long, values binary"
     found = materialise(read.mapInArrow(run, kinds))
     # Averages of averages: no task meets more than FAN rows of 64 kB.
+    learners = 1 + (found.agg(F.max("who")).first()[0] or 0)
     while learners > 1:
         found = found.groupBy("block", F.floor(F.col("who") / FAN).cast("int").alias("group")).applyInArrow(
             average, kinds
