@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tillcast.llm import gru
 from tillcast.llm import words as W
 from tillcast.llm.batches import bounded
-from tillcast.session import materialise
+from tillcast.session import materialise, scratch
 
 WORDS, BUCKETS = 1023, 1024
 #: Words whose counts are broadcast.
@@ -162,9 +162,12 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
         read = (
             dealt.where(F.pmod("deal", F.lit(ROUNDS)) == turn)
             .repartition(learners, F.shiftright("deal", 8))
+            # A session that shuffles into more partitions makes no more learners.
+            .coalesce(learners)
             .sortWithinPartitions("deal", F.xxhash64("text"))
         )
-        _fit_round(read.select("text"), spark.sparkContext.broadcast((vocab, weights)), weights)
+        with scratch(spark):
+            _fit_round(read.select("text"), spark.sparkContext.broadcast((vocab, weights)), weights)
     return weights
 
 
