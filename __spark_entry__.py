@@ -17,7 +17,7 @@ from tillcast.functions.stats import agg_dict  # noqa: E402
 from tillcast.operators import explore, importance, metrics, prepare, selection  # noqa: E402
 from tillcast.operators.folds import stratified_folds  # noqa: E402
 from tillcast.operators.labels import exceeds, generate_label, label_balance, label_months  # noqa: E402
-from tillcast.operators.running import block_length, rolling_mean, running, sample_share  # noqa: E402
+from tillcast.operators.running import Blocks, blocks, rolling_mean, running, sample_share  # noqa: E402
 from tillcast.plans import features as sets  # noqa: E402
 from tillcast.plans import jobs  # noqa: E402
 from tillcast.plans.training import boosted_trees, fit, naive_bayes, out_of_fold  # noqa: E402
@@ -54,10 +54,11 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in names else c for c in df.columns])
 
 
-def time_block(spark: SparkSession, sf_dir: str) -> int:
-    """Length of the blocks of running sums, from a sample drawn before the lines are joined."""
+def time_block(spark: SparkSession, sf_dir: str, *keys: str) -> Blocks:
+    """How running sums are cut, from a sample drawn before the lines are joined."""
     share = sample_share()
-    return block_length(transactions(spark, sf_dir, price=False, share=share), sampled=share)
+    sample = transactions(spark, sf_dir, price=False, share=share)
+    return blocks(sample, keys or list(sets.CUMSUMS), sampled=share)
 
 
 def feature_set(name: str, ordered: bool = False):
@@ -122,7 +123,7 @@ def q_month_range_lines(spark, sf_dir):
 def running_by(key: str):
     def run(spark, sf_dir):
         names = sets.CUMSUMS[key]
-        block = time_block(spark, sf_dir)
+        block = time_block(spark, sf_dir, key)
         lines = running(transactions(spark, sf_dir), key, ORDER, sums=names, block=block)
         return doubles(lines.select(*LINE_KEYS, *names), *names)
 
@@ -130,7 +131,7 @@ def running_by(key: str):
 
 
 def q_order_diff(spark, sf_dir):
-    lines = sets.with_differences(transactions(spark, sf_dir), ORDER, time_block(spark, sf_dir))
+    lines = sets.with_differences(transactions(spark, sf_dir), ORDER, time_block(spark, sf_dir, "customer_id"))
     return doubles(lines.select(*LINE_KEYS, *sets.DIFFS), *sets.DIFFS)
 
 
@@ -415,8 +416,7 @@ def q_cumsum_split(spark, sf_dir):
 def q_running_blocks(spark, sf_dir):
     """All running columns in blocks of a year: sums by three keys, and differences."""
     year = 365 * 24 * 3600
-    lines = sets.with_running_sums(transactions(spark, sf_dir), ORDER, year)
-    lines = sets.with_differences(lines, ORDER, year)
+    lines = sets.with_running_values(transactions(spark, sf_dir), ORDER, year)
     numbers = [*sets.CUMSUM_COLUMNS, *sets.DIFFS]
     return doubles(lines.select(*LINE_KEYS, *numbers), *numbers)
 

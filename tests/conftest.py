@@ -8,7 +8,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tillcast.session import get_session  # noqa: E402
+from tillcast.session import get_session, materialise  # noqa: E402
 from tillcast.sources.starschema import transactions  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,4 +34,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def lines(spark):
-    return transactions(spark, SMALL).cache()
+    # Written, not cached: the plans of other tests on these tables would show the cached one.
+    return materialise(transactions(spark, SMALL))

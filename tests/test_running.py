@@ -138,3 +138,45 @@ def test_prefix_property(spark, data):
         return R.running(df, "product_id", ORD, {"s": "total"}, {"d": "total"}, block=0)
 
     assert rows_of(computed(lines).where(cut)) == rows_of(computed(lines.where(cut)))
+
+
+def test_only_frequent_keys_are_cut(spark):
+    """Keys of more than half a block's rows, null among them, are found and cut; values stay."""
+    rows = [(1, f"2011-{i % 12 + 1:02d}-{i % 28 + 1:02d}", i, "o", "often", 1, 1) for i in range(300)]
+    rows += [(1, f"2011-{i % 12 + 1:02d}-{i % 28 + 1:02d}", i, "o", None, 1, 1) for i in range(200)]
+    rows += [(i % 7, f"2011-{i % 12 + 1:02d}-01", i, "o", f"p{i % 60}", 1, 1) for i in range(240)]
+    lines = log_of(spark, rows)
+    found = R.blocks(lines, ["product_id", "order_id"], 1.0, 100)
+    assert found.seconds > 0
+    assert set(found.frequent["product_id"]) == {"often", None} and found.frequent["order_id"] == ["o"]
+    assert R.blocks(lines, ["product_id"], 1.0, 1000) == R.Blocks(0)
+    plain = R.running(lines, "product_id", ORD, {"s": "total"}, DIFFS, block=0)
+    for cut in (found, R.Blocks(3600, {"product_id": ["often"]}), R.Blocks(3600, {"product_id": [None]})):
+        assert rows_of(R.running(lines, "product_id", ORD, {"s": "total"}, DIFFS, cut)) == rows_of(plain)
+
+
+def test_keys_that_are_not_frequent_need_one_shuffle(spark, monkeypatch):
+    """A log of many blocks without a frequent key: its history by key is not shuffled again."""
+    lines = log_of(spark, [(i % 90, f"2011-01-{i % 28 + 1:02d}", i, f"o{i}", "p", 1, 1) for i in range(900)])
+    monkeypatch.setattr(R.blocks, "__defaults__", (1.0, 200, "order_date"))
+    assert R.block_length(lines, 1.0, 200) > 0
+    out = R.running(lines, "customer_id", ORD, {"s": "total"}, {"d": "total"})
+    plan = out.groupBy("customer_id", "order_date").agg(F.sum("s"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows_of(out) == rows_of(R.running(lines, "customer_id", ORD, {"s": "total"}, {"d": "total"}, 0))
+
+
+def test_one_shuffle_although_few_columns_are_asked_for(spark):
+    lines = transactions(spark, "/root/testdata/sf0.001").select(*ORDER, "total")
+    out = R.running(lines, "product_id", ORDER, {"s": "total"}, block=86400 * 365).select("order_id", "s")
+    rows = out.agg(F.sum(F.hash("order_id", "s").cast("bigint")))
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and "ReusedExchange" in plan
+
+
+def test_running_values_are_sums_and_differences(spark, lines):
+    one = sets.with_running_values(lines, ORDER, 400 * 86400)
+    two = sets.with_differences(sets.with_running_sums(lines, ORDER, 0), ORDER, 0)
+    names = ["order_id", "line_no", "product_id", "supplier_id", *sets.CUMSUM_COLUMNS, *sets.DIFFS]
+    assert rows_of(one, *names) == rows_of(two, *names)

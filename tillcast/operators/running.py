@@ -1,21 +1,26 @@
 """Running sums and differences per key, in purchase order.
 
 The time of the log is cut into blocks of equal length. Rows of a key and a block are sorted and
-summed by a window; the totals of each key and block, of which there are few, are summed up once
-more, so that a row's value is the total of its key's earlier blocks and the running value inside
-its own. A key may hold any share of the rows: what a task sorts is bounded by the rows of a
-block, whichever keys these have. Both levels read the same shuffled rows. A log that fits one
-block needs no totals.
+summed by a window; the totals of each key and block are summed up once more, so that a row's
+value is the total of its key's earlier blocks and the running value inside its own. A key may
+hold any share of the rows: what a task sorts is bounded by the rows of a block, whichever keys
+these have. Both levels read the same shuffled rows.
+
+``blocks`` tells from a sample which keys have so many rows that they need this. Only these are
+cut, so their totals are few; a column without such keys needs one window, which leaves the rows
+partitioned by the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import months
+from tillcast.session import materialise
 
 # Rows of a block, of all keys together, that a single task may sort.
 BLOCK_ROWS = 4_000_000
@@ -58,8 +63,56 @@ def block_length(
     return max(1, hours // 2) * HOUR
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Seconds of a block, and by key column the keys that are cut into blocks, null among them."""
+
+    seconds: int
+    frequent: Mapping[str, Sequence] = field(default_factory=dict)
+
+
+def blocks(
+    lines: DataFrame,
+    keys: Sequence[str],
+    sampled: float | None = None,
+    block_rows: int = BLOCK_ROWS,
+    column: str = "order_date",
+) -> Blocks:
+    """How ``running`` cuts ``lines``, by a sample like that of ``block_length``.
+
+    Frequent are keys with more than half the rows of a block in the sample, so those with more
+    than a block are among them. There are no more than twice as many as blocks' worths of rows.
+    """
+    share = sampled or sample_share(block_rows)
+    sample = lines.select(*dict.fromkeys([column, *keys]))
+    if share < 1.0 and not sampled:
+        sample = sample.sample(share, seed=0)
+    # A few thousandths of the rows at most, read once for each key.
+    sample = materialise(sample)
+    seconds = block_length(sample, share, block_rows, column)
+    if not seconds and sample.count() <= block_rows * share:
+        return Blocks(0)
+    most = block_rows * share / 2
+    return Blocks(
+        seconds or HOUR,
+        {key: [r[0] for r in sample.groupBy(key).count().where(F.col("count") > most).collect()] for key in keys},
+    )
+
+
+def _among(key: str, values: Sequence) -> Column:
+    known = [F.lit(v) for v in values if v is not None]
+    found = F.coalesce(F.col(key).isin(*known), F.lit(False)) if known else F.lit(False)
+    return found | F.col(key).isNull() if None in values else found
+
+
 def _inside(
-    df: DataFrame, within: Sequence[str], key: str, order: Sequence[str], sums: Mapping[str, str], diffs: Mapping[str, str]
+    df: DataFrame,
+    within: Sequence[str],
+    key: str,
+    order: Sequence[str],
+    sums: Mapping[str, str],
+    diffs: Mapping[str, str],
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Running sums and differences by windows over ``within``; null without a key."""
     w = Window.partitionBy(*within).orderBy(*order)
@@ -72,43 +125,53 @@ def _inside(
             for name, c in sums.items()
         ],
         *[F.when(known, F.col(c) - F.lag(c).over(w)).alias(name) for name, c in diffs.items()],
+        *also,
     )
 
 
 def _two_levels(
-    df: DataFrame, key: str, order: Sequence[str], sums: Mapping[str, str], diffs: Mapping[str, str], block: int
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    sums: Mapping[str, str],
+    diffs: Mapping[str, str],
+    block: int,
+    frequent: Sequence | None = None,
 ) -> DataFrame:
     within = ["_key", "_block", "_spread"]
     line = [*order, *[c for c in df.columns if c != key and c not in order]]
     # Rows without a time come first; those without a key have no values and need no order.
     at = F.coalesce(F.floor(months.epoch_seconds(order[0]) / block), F.lit(-(2**62))).cast("long")
+    cut = F.lit(True) if frequent is None else _among(key, frequent)
     apart = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*line), F.lit(SPREAD))).otherwise(F.lit(0))
+    groups = [F.struct(key), F.when(cut, at).otherwise(F.lit(0)).cast("long"), F.coalesce(apart, F.lit(0)).cast("long")]
     # One shuffle for both levels. It is read twice, not made twice, as long as both ask for the
-    # same of it: the groups are never null, and the totals use every column.
-    rows = df.withColumns(
-        {"_key": F.struct(key), "_block": at, "_spread": F.coalesce(apart, F.lit(0)).cast("long")}
-    ).repartition(*within)
-    every = F.max(F.xxhash64(*df.columns)).alias("_every")
+    # same of it: the groups are never null, and both use every column. The groups are not sent.
+    rows = df.repartition(*groups).withColumns(dict(zip(within, groups)))
+    every = F.max(F.xxhash64(*df.columns))
     last = F.struct(*[F.col(c).alias(f"_{n}") for n, c in diffs.items()])
     totals = rows.groupBy(*within).agg(
         *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()],
-        every,
+        every.alias("_every"),
+        # As a value of the group, or the condition would go below the shuffle.
+        F.max(cut & (F.col("_spread") == 0)).alias("_cut"),
         *([F.max_by(last, F.struct(*line)).alias("_last")] if diffs else []),
-    )
-    # A row for each block in which the key occurs.
+    ).where(F.col("_every").isNotNull() & F.col("_cut")).drop("_every", "_cut")
+    # A row for each block in which a key that is cut occurs.
     earlier = Window.partitionBy("_key").orderBy("_block")
     sofar = earlier.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *within,
-        F.lag("_every").over(earlier).alias("_every"),
+        F.row_number().over(earlier).alias("_place"),
         *[F.sum(f"_sum_{n}").over(sofar).alias(f"_before_{n}") for n in sums],
         *([F.lag("_last").over(earlier).alias("_last")] if diffs else []),
-    ).where(F.col("_every").isNotNull() & (F.col("_spread") == 0))
-    found = _inside(rows, within, key, order, sums, diffs)
+    ).where("_place > 1").drop("_place")
+    w = Window.partitionBy(*within).orderBy(*order)
+    also = [every.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_every")]
     if diffs:
-        first = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) == 1
-        found = found.withColumn("_first", first)
-    joined = found.join(totals, within, "left")
+        also.append((F.row_number().over(w) == 1).alias("_first"))
+    found = _inside(rows, within, key, order, sums, diffs, also)
+    joined = found.where(F.col("_every").isNotNull()).join(totals, within, "left")
     kinds = {f.name: f.dataType for f in found.schema}
     return joined.select(
         *df.columns,
@@ -126,17 +189,23 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, str] | None = None,
     diffs: Mapping[str, str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """Add running sums and first differences per ``key``.
 
     ``sums`` and ``diffs`` map a new column to its source. ``order`` begins with a time and must
-    tell rows apart, but for rows that are equal in every column. ``block`` is the length in
-    seconds of the blocks (see ``block_length``), 0 for one block; it is looked up when left out.
+    tell rows apart, but for rows that are equal in every column. ``block`` is what ``blocks``
+    found, looked up when left out; or the length in seconds of blocks that all keys are cut
+    into, 0 for one block.
     """
     sums, diffs = dict(sums or {}), dict(diffs or {})
     if block is None:
-        block = block_length(df, column=order[0])
+        block = blocks(df, [key], column=order[0])
+    if isinstance(block, Blocks):
+        frequent = block.frequent.get(key, ())
+        if frequent:
+            return _two_levels(df, key, order, sums, diffs, block.seconds, frequent)
+        return _inside(df, [key], key, order, sums, diffs)
     if block:
         return _two_levels(df, key, order, sums, diffs, block)
     return _inside(df, [key], key, order, sums, diffs)

@@ -18,7 +18,7 @@ from tillcast.functions import months
 from tillcast.functions.stats import FULL_STATS
 from tillcast.operators import moments
 from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds
-from tillcast.operators.running import block_length, running
+from tillcast.operators.running import Blocks, blocks, running
 from tillcast.schema import LOG_ORDER, MEASURES, with_customer
 
 KEYS = ["customer_id", "year_month", "label"]
@@ -49,6 +49,10 @@ def _order(lines: DataFrame, order: Sequence[str] | None) -> list[str]:
     return list(order or [c for c in LOG_ORDER if c in lines.columns])
 
 
+def _blocks(lines: DataFrame, *keys: str) -> Blocks:
+    return blocks(lines, keys or list(RUNNING_KEYS))
+
+
 def _until(lines: DataFrame, year_months: Sequence[str]) -> DataFrame:
     """Lines up to the end of the last month, whose spend gives its label."""
     return lines.where(months.before("order_date", months.shift(max(year_months), 1)))
@@ -91,7 +95,7 @@ def base(
 def with_running_sums(
     lines: DataFrame,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """Add the running sums of total, quantity and price by customer, product and order.
 
@@ -100,7 +104,7 @@ def with_running_sums(
     behind the one that grouping by customer needs.
     """
     if block is None:
-        block = block_length(lines)
+        block = _blocks(lines)
     for key in ("order_id", "product_id", "customer_id"):
         lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
     return lines
@@ -109,11 +113,11 @@ def with_running_sums(
 def with_differences(
     lines: DataFrame,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """Add the difference to the customer's previous line, for time and measures."""
     if block is None:
-        block = block_length(lines)
+        block = _blocks(lines, "customer_id")
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
     return running(
         lines,
@@ -124,6 +128,28 @@ def with_differences(
     )
 
 
+def with_running_values(
+    lines: DataFrame,
+    order: Sequence[str] | None = None,
+    block: int | Blocks | None = None,
+) -> DataFrame:
+    """Add what ``with_running_sums`` and ``with_differences`` add; the customers' sums and
+    differences come from one shuffle."""
+    if block is None:
+        block = _blocks(lines)
+    for key in ("order_id", "product_id"):
+        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
+    lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
+    return running(
+        lines,
+        "customer_id",
+        _order(lines, order),
+        sums=CUMSUMS["customer_id"],
+        diffs=DIFFS,
+        block=block,
+    )
+
+
 def with_month_columns(lines: DataFrame) -> DataFrame:
     """Add the month of the year and the calendar month."""
     return lines.withColumn("month", F.month("order_date")).withColumn(
@@ -135,17 +161,14 @@ def with_all_columns(
     lines: DataFrame,
     year_month: str,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """Lines with running sums, differences and the customer's mean monthly spend.
 
     The ``full`` set does not need the last: it is constant per customer there.
     """
-    if block is None:
-        block = block_length(lines)
     spend = mean_monthly_spend(lines, year_month)
-    out = with_differences(with_running_sums(lines, order, block), order, block)
-    return out.join(spend, "customer_id", "left")
+    return with_running_values(lines, order, block).join(spend, "customer_id", "left")
 
 
 def cumsum(
@@ -153,7 +176,7 @@ def cumsum(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """Seven statistics of nine running sums (63 features)."""
     lines = with_running_sums(_until(lines, year_months), order, block)
@@ -290,7 +313,7 @@ def diff(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
 ) -> DataFrame:
     """First and last purchase time and seven statistics of four differences (30 features)."""
     lines = with_differences(_until(lines, year_months), order, block)
@@ -405,7 +428,7 @@ def full(
     year_months: Sequence[str],
     threshold: float = TOTAL_THRESHOLD,
     order: Sequence[str] | None = None,
-    block: int | None = None,
+    block: int | Blocks | None = None,
     chain: str = "right",
     tenure_until: str | None = None,
 ) -> DataFrame:
@@ -415,21 +438,8 @@ def full(
     ``tenure_until``, by default the last month, as a train and test pair needs.
     """
     until = tenure_until or max(year_months)
-    lines = _until(lines, year_months)
-    if block is None:
-        block = block_length(lines)
-    # Differences share the sort of the customer windows, so they come last.
-    lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
-    for key in ("order_id", "product_id"):
-        lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
-    lines = running(
-        lines,
-        "customer_id",
-        _order(lines, order),
-        sums=CUMSUMS["customer_id"],
-        diffs=DIFFS,
-        block=block,
-    )
+    # The customers' windows come last: the history by customer and month needs no shuffle then.
+    lines = with_running_values(_until(lines, year_months), order, block)
 
     # One monthly history carries all measures; the whole past, the trend windows and the season
     # bands are merged from it, so the lines are read once.
