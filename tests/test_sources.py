@@ -96,3 +96,12 @@ def test_local_session_without_a_folder():
     )
     done = subprocess.run([sys.executable, "-c", program], cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """However many conditions read its fields."""
+    path = written(tmp_path, a="order_id,quantity,price\nx,1,2.5\ny,many,3\n")
+    for got in (log.read_transactions(spark, path, "aside"), log.malformed_transactions(spark, path)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_csv(") == 1
+        assert got.count() == 1

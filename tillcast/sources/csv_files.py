@@ -53,18 +53,27 @@ def _names(header: str) -> list[str]:
     return names
 
 
-def _typed(text: Column, kind: T.DataType) -> tuple[Column, Column]:
-    """A text as ``kind``, blanks and NaN as null, and whether it is no such value."""
-    if isinstance(kind, T.StringType):
-        return text, F.lit(False)
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a line: a condition on a plain column is moved down and
+    repeats its expression wherever the condition names it, one on a generated column is not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _read_as(text: Column, kind: T.DataType) -> Column:
+    """``known``, the text without blanks and NaN, and ``exact``, the number or time it says."""
     known = F.when(~F.lower(F.trim(text)).isin("nan", ""), F.trim(text))
+    # Whole numbers may come as 7.0; digits beyond a decimal's places do not fit.
+    number = isinstance(kind, (T.IntegralType, T.DecimalType))
+    return F.struct(known.isNotNull().alias("known"), known.try_cast("decimal(38,18)" if number else kind).alias("exact"))
+
+
+def _typed(found: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A value of ``_read_as`` as ``kind``, and whether it is no such value."""
+    exact = found["exact"]
     if isinstance(kind, (T.IntegralType, T.DecimalType)):
-        # Whole numbers may come as 7.0; digits beyond a decimal's places do not fit.
-        exact = known.try_cast("decimal(38,18)")
         value = exact.try_cast(kind)
-        return value, known.isNotNull() & (value.isNull() | (exact != value))
-    value = known.try_cast(kind)
-    return value, known.isNotNull() & value.isNull()
+        return value, found["known"] & (value.isNull() | (exact != value))
+    return exact, found["known"] & exact.isNull()
 
 
 def _lines(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
@@ -82,14 +91,20 @@ def _lines(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         ).where((F.col("value") != header) & (F.trim("value") != ""))
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW}
-        parsed = parsed.withColumn("at", F.from_csv("value", _ddl([*names, _RAW]), options))
+        parsed = _once(parsed, at=F.from_csv("value", _ddl([*names, _RAW]), options))
+        own = [f for f in fields if f.name in names]
+        typed = [f for f in own if not isinstance(f.dataType, T.StringType)]
+        if typed:
+            parsed = _once(parsed, **{f"_{fields.names.index(f.name)}": _read_as(F.col("at")[f.name], f.dataType) for f in typed})
         reasons = [F.when(F.col("at")[_RAW].isNotNull(), F.lit("number of fields"))]
         columns = []
-        for f in fields:
-            if f.name in names:
-                value, wrong = _typed(F.col("at")[f.name], f.dataType)
-                columns.append(value.alias(f.name))
-                reasons.append(F.when(wrong, F.lit(f.name)))
+        for f in own:
+            if f not in typed:
+                columns.append(F.col("at")[f.name].alias(f.name))
+                continue
+            value, wrong = _typed(F.col(f"_{fields.names.index(f.name)}"), f.dataType)
+            columns.append(value.alias(f.name))
+            reasons.append(F.when(wrong, F.lit(f.name)))
         part = parsed.select(
             *columns, F.col("value").alias(_RAW), F.coalesce(*reasons).alias(_REASON), "file", "block", "row"
         )
