@@ -180,3 +180,10 @@ def test_running_values_are_sums_and_differences(spark, lines):
     two = sets.with_differences(sets.with_running_sums(lines, ORDER, 0), ORDER, 0)
     names = ["order_id", "line_no", "product_id", "supplier_id", *sets.CUMSUM_COLUMNS, *sets.DIFFS]
     assert rows_of(one, *names) == rows_of(two, *names)
+
+
+def test_no_differences_without_a_key(spark):
+    """Rows without a key, of which some fall into the first of the groups they are spread over."""
+    rows = [(None, f"2011-{i % 12 + 1:02d}-{i % 28 + 1:02d}", i, f"o{i}", "p", 1, 1) for i in range(6000)]
+    got = R.running(log_of(spark, rows), "customer_id", ORD, {"s": "total"}, {"d": "total"}, block=30 * 86400)
+    assert got.where("s is not null or d is not null").count() == 0

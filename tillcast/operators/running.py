@@ -154,7 +154,7 @@ def _two_levels(
         *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()],
         every.alias("_every"),
         # As a value of the group, or the condition would go below the shuffle.
-        F.max(cut & (F.col("_spread") == 0)).alias("_cut"),
+        F.max(cut & F.col(key).isNotNull()).alias("_cut"),
         *([F.max_by(last, F.struct(*line)).alias("_last")] if diffs else []),
     ).where(F.col("_every").isNotNull() & F.col("_cut")).drop("_every", "_cut")
     # A row for each block in which a key that is cut occurs.
