@@ -78,6 +78,8 @@ def agg_dict(
     """
     spec = {c: list(stats) for c, stats in spec.items()}
     names = [f"{c}-{stat}" for c, stats in spec.items() for stat in stats]
+    # The keys are the same in all rows of a group: they order nothing and need not be sent.
+    order = [c for c in order or [] if c not in keys]
     plain = [
         statistic(c, stat, order).alias(f"{c}-{stat}")
         for c, stats in spec.items()
