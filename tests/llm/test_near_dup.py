@@ -119,3 +119,20 @@ def test_pairs_in_a_crowd(spark):
     found = near_dup.near_duplicates(documents(spark, rows), ["doc_id"], size=5, percent=80)
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert [d for d, c in got.items() if c != d - d % 2] == []
+
+
+def test_links_of_a_crowd_grow_with_its_sets(spark, monkeypatch):
+    """Packages that are connected inside take one link for each pair of them, not one for each set."""
+    monkeypatch.setattr(near_dup.P, "PACKAGE_SETS", 8)
+    met = []
+    whole = near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda links: whole(met.append(links.count()) or links))
+    draw, text, rows = random.Random(3), prose(52, 300).split(), []
+    for i in range(96):
+        copy = list(text)
+        copy[draw.randrange(len(copy))] = f"w{i}"
+        rows.append((i, " ".join(copy)))
+    found = near_dup.near_duplicates(documents(spark, rows, False), ["doc_id"], 3, 85).toPandas()
+    assert set(found.component_id) == {0}
+    # About twelve packages: eleven links or so for each pair of them would be 700 and more.
+    assert met[0] <= 96 + 12 * 12

@@ -347,11 +347,13 @@ def packages_of(sets: DataFrame, members: DataFrame, wanted: DataFrame) -> DataF
 
 
 class _Package:
-    """A leader's set and the differences of the sets kept with it."""
+    """A leader's set and the differences of the sets kept with it. ``groups`` names the sets'
+    groups; without it each set is one of its own."""
 
-    def __init__(self, whole: bytes, sets: list[dict]):
+    def __init__(self, whole: bytes, sets: list[dict], groups: list[int] | None = None):
         self.whole = np.frombuffer(whole, np.uint64)
         self.names = [s["id"] for s in sets]
+        self.groups = groups or self.names
         self.n = np.array([s["n"] for s in sets], np.int64)
         parts, signs, owners = [], [], []
         for i, s in enumerate(sets):
@@ -398,9 +400,13 @@ def _overlaps(a: _Package, b: _Package) -> np.ndarray:
     return out
 
 
-def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple], list[tuple]]:
-    """Links that connect what is linked between two packages, or inside one, and how many
-    links each set has: (id, id) and (id, count)."""
+def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple], list[tuple], list[int]]:
+    """Links that connect what is linked between two packages, or inside one, how many links
+    each set has, and the groups of the sets of ``a`` after it: (id, id), (id, count), least ids.
+
+    Groups that are connected inside their packages take one link, not one for each set: the
+    links of a large group are few, however many pairs of its packages are compared.
+    """
     other = b or a
     shared = _overlaps(a, other)
     union = a.n[:, None] + other.n[None, :] - shared
@@ -422,40 +428,53 @@ def _linked(a: _Package, b: _Package | None, percent: int) -> tuple[list[tuple],
 
     links = []
     for i, j in zip(*np.nonzero(linked)):
-        x, y = top(a.names[i]), top(other.names[j])
+        x, y = top(a.groups[i]), top(other.groups[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
-            links.append((a.names[i], other.names[j]))
-    return links, [(name, k) for name, k in counts if k]
+            links.append((a.groups[i], other.groups[j]))
+    return links, [(name, k) for name, k in counts if k], [top(x) for x in a.groups]
 
 
 def compare(packages: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``a, b, links``: links of a forest over each pair (links null), and link counts (b null)."""
     schema = "a long, b long, links long"
+    row = pa.struct([(c, pa.int64()) for c in ("a", "b", "links")])
+    own_kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(row)]
 
-    def rows(found: list[tuple[list[tuple], list[tuple]]]) -> pa.RecordBatch:
-        links = [(x, y, None) for f, _ in found for x, y in f]
-        counts = [(x, None, k) for _, c in found for x, k in c]
-        columns = list(zip(*(links + counts))) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
+    def rows(links: list[tuple], counts: list[tuple], groups: list[int]) -> list[tuple]:
+        return [(x, y, None) for x, y in links] + [(x, None, k) for x, k in counts]
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield rows([_linked(_Package(*x), None, percent) for x in one])
+            four = zip(*[batch.column(i).to_pylist() for i in range(4)])
+            out = []
+            for leader, block, whole, sets in four:
+                linked = _linked(_Package(whole, sets), None, percent)
+                out.append((leader, block, linked[2], rows(*linked)))
+            columns = list(zip(*out)) or [[] for _ in own_kinds]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, own_kinds)], names=["leader", "block", "groups", "found"]
+            )
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            four = zip(*[batch.column(i).to_pylist() for i in range(4)])
-            yield rows([_linked(_Package(wa, sa), _Package(wb, sb), percent) for wa, sa, wb, sb in four])
+            six = zip(*[batch.column(i).to_pylist() for i in range(6)])
+            found = [
+                row
+                for wa, sa, ga, wb, sb, gb in six
+                for row in rows(*_linked(_Package(wa, sa, ga), _Package(wb, sb, gb), percent))
+            ]
+            columns = list(zip(*found)) or [[] for _ in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
-    side = lambda s: packages.select(
-        *[F.col(c).alias(f"{c}_{s}") for c in ("leader", "block", "members", "sets")]
-    )
     with W.batch_rows(packages.sparkSession, 16):
-        own = materialise(
-            packages.where(F.size("sets") > 1).select("members", "sets").mapInArrow(inside, schema)
+        several = packages.where(F.size("sets") > 1).select("leader", "block", "members", "sets")
+        found = "leader long, block int, groups array<long>, found array<struct<a:long,b:long,links:long>>"
+        own = materialise(several.mapInArrow(inside, found))
+        grouped = packages.join(own.select("leader", "block", "groups"), ["leader", "block"], "left")
+        side = lambda s: grouped.select(
+            *[F.col(c).alias(f"{c}_{s}") for c in ("leader", "block", "members", "sets", "groups")]
         )
         both = pairs.join(side("a"), ["leader_a", "block_a"]).join(side("b"), ["leader_b", "block_b"])
-        both = both.select("members_a", "sets_a", "members_b", "sets_b")
-        return own.union(materialise(both.mapInArrow(across, schema)))
+        both = both.select("members_a", "sets_a", "groups_a", "members_b", "sets_b", "groups_b")
+        return own.select(F.inline("found")).union(materialise(both.mapInArrow(across, schema)))
