@@ -81,3 +81,14 @@ def test_strings_of_digits_and_rare_languages_are_judged(spark):
     junk = [(1000 + i, dump(i)) for i in range(5)] + [(2000 + i, dump(50 + i), "xx", "s0") for i in range(5)]
     found = fertility.rate(documents(spark, good + junk), ["doc_id"]).toPandas().set_index("doc_id").kept
     assert found[found.index < 1000].all() and not found[found.index >= 1000].any()
+
+
+def test_equal_words_in_any_order_measure_the_same():
+    """Measures by word are sums over the pieces in one order, so that permuted texts agree to the bit."""
+    meter = fertility.Meter(fertility.VOCABULARY)
+    found = prose(21, 400).split()
+    names = ("n_tokens", "chars_per_token", "fallback_share", "token_entropy")
+    at = [fertility.NAMES.index(c) for c in names]
+    for n in range(50, 400, 50):
+        got, back = meter(" ".join(found[:n]).encode()), meter(" ".join(found[:n][::-1]).encode())
+        assert [got[i] for i in at] == [back[i] for i in at]

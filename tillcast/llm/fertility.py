@@ -11,11 +11,13 @@ Distinct measurements count once, so copies don't move the bands.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,9 @@ def _script(head: np.ndarray) -> str:
     return ("latin", "two_byte", "wide")[int(np.argmax(kinds))]
 
 
-def _repeated(words: list[bytes], memory: W.Memory) -> int:
-    """Words inside windows of WINDOW words that the text has at least twice."""
-    h = W.windows(W.ids(words, memory), range(WINDOW), WINDOW)
+def _repeated(words: np.ndarray) -> int:
+    """Words, given by their hashes, inside windows of WINDOW words that the text has at least twice."""
+    h = W.windows(words, range(WINDOW), WINDOW)
     if len(h) < 2:
         return 0
     order = np.argsort(h, kind="stable")
@@ -94,11 +96,14 @@ class Meter:
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         self.byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        # No piece joins over white space, so words can be cut one by one and remembered.
-        self.pieces = W.Memory(
-            lambda w: (len(s := w.decode("utf-8", "replace")), model.encode(s))
-        )
-        self.memory = W.hashes()
+
+        def known(word: bytes) -> tuple[int, int, bytes]:
+            plain = word.decode("utf-8", "replace")
+            return xxhash.xxh64_intdigest(word), len(plain), array("i", model.encode(plain)).tobytes()
+
+        # No piece joins over white space, so words can be cut one by one; hash, length and pieces
+        # are remembered.
+        self.words = W.Memory(known)
 
     def __call__(self, text: bytes | None) -> tuple:
         text = text or b""
@@ -106,19 +111,17 @@ class Meter:
         raw = np.frombuffer(text, np.uint8)
         blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
         chars = int(((raw & 0xC0) != 0x80).sum()) - int(blank.sum())
-        tally: Counter = Counter()
-        measured = 0
-        for word, n in Counter(words).items():
-            length, pieces = self.pieces[word]
-            measured += n * length
-            for piece in pieces:
-                tally[piece] += n
-        each = np.fromiter(tally.values(), np.float64, len(tally))
-        total = int(each.sum())
+        found = list(map(self.words.__getitem__, words))
+        hashes = np.fromiter(map(itemgetter(0), found), np.uint64, len(found))
+        pieces = np.frombuffer(b"".join(map(itemgetter(2), found)), np.intc)
+        total = len(pieces)
         if total:
+            tally = np.bincount(pieces)
+            kinds = np.flatnonzero(tally)
+            each = tally[kinds].astype(np.float64)
             share = each / total
             entropy = max(0.0, -float((share * np.log2(share)).sum()))
-            kinds = np.fromiter(tally.keys(), np.int64, len(tally))
+            measured = sum(map(itemgetter(1), found))
             fertility = (measured / total, float(each[self.byte[kinds]].sum()) / total, entropy)
         else:
             fertility = (None, None, None)
@@ -127,7 +130,7 @@ class Meter:
             chars,
             len(text) - len(text.translate(None, SYMBOLS)),
             _dup_lines(text),
-            _repeated(words, self.memory),
+            _repeated(hashes),
             total,
             *fertility,
             _script(raw),
