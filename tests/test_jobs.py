@@ -8,7 +8,8 @@ from tillcast.__main__ import main
 from tillcast.plans import features as sets
 from tillcast.plans import jobs
 from tillcast.operators.metrics import auc
-from tillcast.plans.training import assemble, best_round, boosted_trees, fit, out_of_fold, random_forest, score
+from tillcast.plans.training import FOLDS_AT_ONCE, assemble, best_round, boosted_trees, few_tasks, fit, out_of_fold
+from tillcast.plans.training import random_forest, score
 from tillcast.session import materialise, shared_folder
 from tillcast.sources import log, sinks
 
@@ -180,3 +181,15 @@ def test_csv_and_parquet_give_the_same_features(spark, lines, tmp_path):
     from_csv = sets.base(log.read_transactions(spark, str(tmp_path / "train.csv")), ["2001-07"], 200000)
     names = ["customer_id", "label", "quantity-sum", "price-max", "total-count"]
     assert rows_of(from_csv, *names) == rows_of(sets.base(lines, ["2001-07"], 200000), *names)
+
+
+def test_small_searches_run_in_few_tasks(spark, data, monkeypatch):
+    """The rows of a small search are one task each pass, however many files they are in."""
+    train = data.folds(2).repartition(5)
+    few, at_once = few_tasks(train, len(data.features))
+    assert few.rdd.getNumPartitions() == 1 and at_once > FOLDS_AT_ONCE
+    assert rows_of(few, "customer_id") == rows_of(train, "customer_id")
+    size = -(-train.count() * len(data.features) // 3)
+    monkeypatch.setattr("tillcast.plans.training.VALUES_OF_A_TASK", size)
+    few, at_once = few_tasks(train, len(data.features))
+    assert few.rdd.getNumPartitions() == 3 and at_once == FOLDS_AT_ONCE
