@@ -176,3 +176,14 @@ def test_every_training_text_moves_the_weights(spark):
         vocab = language_model.vocabulary(language_model.count_words(docs))
         start = gru.Weights(vocab.masses).flat()
         assert not np.array_equal(language_model.fit(docs, vocab).flat(), start)
+
+
+def test_sums_by_row():
+    """Rows that occur once, a few times and often, and ids beyond 16 bits."""
+    draw = np.random.default_rng(3)
+    for most in (3, 200, 70_000):
+        rows = np.append(draw.integers(0, most, 500), [most] * 3).astype(np.int32)
+        values = draw.normal(size=(len(rows), 5)).astype(np.float32)
+        found, sums = gru._sums(rows, values)
+        assert found.tolist() == sorted(set(rows.tolist()))
+        assert np.allclose(sums, [values[rows == r].sum(0) for r in found], atol=1e-4)

@@ -135,42 +135,48 @@ def _with_inputs(texts: Iterator[np.ndarray], start: int, piece: int | None = No
 
 
 def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
-    """States after every step; with ``keep``, what the way back needs is added to it."""
-    n, u = STATE, p["u"]
+    """States after every step; with ``keep``, what the way back needs is added to it.
+
+    Both gates and the new state lie one after the other at a step, so that each is contiguous.
+    """
+    n = STATE
+    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
     x = np.take(p["x"], inputs, axis=0)
     x += p["b"]
+    # The inputs' parts become the gates and the new state in place.
+    x = np.ascontiguousarray(x.reshape(*inputs.shape, 3, n).transpose(0, 2, 1, 3))
     starts = fresh.any(1)
     shape = len(inputs), len(h)
     out = np.empty((*shape, n), np.float32)
+    g = np.empty((3, len(h), n), np.float32)
     if keep is not None:
-        keep += [np.empty((*shape, k), np.float32) for k in (n, 2 * n, n, n)]
+        keep += [np.empty((*shape, n), np.float32), x, np.empty((*shape, n), np.float32)]
     for t in range(len(inputs)):
         if starts[t]:
             h = h * ~fresh[t][:, None]
-        g = h @ u
+        np.matmul(h, u, out=g)
         # Both gates at once, as 1 / (1 + exp(-a)); BOUND keeps the exponents finite.
-        gates = x[t, :, : 2 * n] + g[:, : 2 * n]
+        gates, new = x[t, :2], x[t, 2]
+        gates += g[:2]
         np.exp(np.negative(gates, out=gates), out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, r = gates[:, :n], gates[:, n:]
-        new = r * g[:, 2 * n :]
-        new += x[t, :, 2 * n :]
-        np.tanh(new, out=new)
         if keep is not None:
-            keep[0][t], keep[1][t], keep[2][t], keep[3][t] = h, gates, new, g[:, 2 * n :]
-        h = h - new
-        h *= z
+            keep[0][t], keep[2][t] = h, g[2]
+        g[2] *= gates[1]
+        new += g[2]
+        np.tanh(new, out=new)
+        h = np.subtract(h, new, out=out[t])
+        h *= gates[0]
         h += new
-        out[t] = h
     return out
 
 
 def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients at the gates and the new state: of the inputs' part, and of the states' part."""
-    old, gates, new, g = kept
+    old, parts, g = kept
     n = STATE
-    z, r = gates[..., :n], gates[..., n:]
+    z, r, new = parts[:, 0], parts[:, 1], parts[:, 2]
     by_new = (1 - z) * (1 - new * new)
     by_z = (old - new) * z * (1 - z)
     by_r = g * r * (1 - r)
@@ -183,11 +189,12 @@ def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray
     for t in range(steps - 1, -1, -1):
         later += from_out[t]
         at_x, at_g = grad_x[t], grad_g[t]
-        np.multiply(later, by_new[t], out=at_x[:, 2 * n :])
+        at_new = np.multiply(later, by_new[t])
+        at_x[:, 2 * n :] = at_new
         np.multiply(later, by_z[t], out=at_x[:, :n])
-        np.multiply(at_x[:, 2 * n :], by_r[t], out=at_x[:, n : 2 * n])
+        np.multiply(at_new, by_r[t], out=at_x[:, n : 2 * n])
         at_g[:, : 2 * n] = at_x[:, : 2 * n]
-        np.multiply(at_x[:, 2 * n :], r[t], out=at_g[:, 2 * n :])
+        np.multiply(at_new, r[t], out=at_g[:, 2 * n :])
         later *= z[t]
         later += at_g @ turned
         if starts[t]:
@@ -195,6 +202,24 @@ def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray
     return grad_x, grad_g
 
 
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each the sum of its values; rows that occur once are not added up."""
+    # Short integers are sorted by radix.
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
+    ordered = rows[order]
+    new = np.empty(len(ordered), bool)
+    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    often = np.diff(first, append=len(ordered))
+    sums = np.take(values, order[first], axis=0)
+    again = often > 1
+    if again.any():
+        size = often[again]
+        some = np.take(values, order[np.repeat(again, often)], axis=0)
+        sums[again] = np.add.reduceat(some, np.cumsum(size) - size, axis=0)
+    return ordered[first], sums
+
+
 def _exponents(a: np.ndarray) -> np.ndarray:
     """exp(a) in place. Bounded weights make it safe without taking off the maximum."""
     return np.exp(a, out=a)
@@ -247,6 +272,7 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
     """
     p, size, n, seen = weights.p, weights.size, STATE, 0
     ones = np.ones(max(LANES * STEPS, size, CLASSES), np.float32)
+    places = np.arange(LANES * STEPS)
     had = had or {k: np.full(v.shape, FLOOR, np.float32) for k, v in p.items()}
 
     rate = np.float32(RATE)
@@ -284,16 +310,19 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
             # Classes, then the units in each class.
             push = _exponents(flat @ p["c"])
             push *= (scale / (push @ ones[:CLASSES]))[:, None]
-            push[np.arange(len(push)), targets // size] -= scale
+            push[places[: len(push)], targets // size] -= scale
             back = push @ p["c"][:-1].T
             step("c", flat.T @ push)
-            for c, a, b in zip(present, bounds, bounds[1:]):
+            inside = targets % size
+            for c, a, b in zip(present.tolist(), bounds.tolist(), bounds[1:].tolist()):
                 own = p["w"][c]
                 push = _exponents(flat[a:b] @ own)
-                push *= (scale / (push @ ones[:size]))[:, None]
-                push[np.arange(b - a), targets[a:b] % size] -= scale
-                back[a:b] += push @ own[:-1].T
-                step("w", flat[a:b].T @ push, c)
+                sums = push @ ones[:size]
+                push[places[: b - a], inside[a:b]] -= sums
+                # The narrow sides are scaled, not the chances of all units.
+                shares = (scale / sums)[:, None]
+                back[a:b] += (push @ own[:-1].T) * shares
+                step("w", (flat[a:b] * shares).T @ push, c)
             from_out = np.zeros(states.shape, np.float32)
             from_out.reshape(-1, n)[order] = back
             # Back through the window.
@@ -301,8 +330,6 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
             grad_x = grad_x.reshape(-1, 3 * n)
             step("u", keep[0].reshape(-1, n).T @ grad_g.reshape(-1, 3 * n))
             step("b", grad_x.sum(0))
-            rows = inputs.ravel()
-            by_row = np.argsort(rows, kind="stable")
-            touched, first = np.unique(rows[by_row], return_index=True)
-            step("x", np.add.reduceat(grad_x[by_row], first, axis=0), touched)
+            touched, sums = _sums(inputs.ravel(), grad_x)
+            step("x", sums, touched)
     return seen, had

@@ -113,7 +113,16 @@ class Vocabulary:
         self.inside[: len(top)] = 0
         self.masses = units.reshape(gru.CLASSES, size)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_coder"}
+
     def coder(self) -> W.Memory:
+        """The code of a word; what one task of a worker has looked up, the next one knows."""
+        if not hasattr(self, "_coder"):
+            self._coder = self._new_coder()
+        return self._coder
+
+    def _new_coder(self) -> W.Memory:
         head = self.head
         code = dict(zip(self.hashes.tolist(), range(head)))
 
