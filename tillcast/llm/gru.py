@@ -317,12 +317,10 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
             for c, a, b in zip(present.tolist(), bounds.tolist(), bounds[1:].tolist()):
                 own = p["w"][c]
                 push = _exponents(flat[a:b] @ own)
-                sums = push @ ones[:size]
-                push[places[: b - a], inside[a:b]] -= sums
-                # The narrow sides are scaled, not the chances of all units.
-                shares = (scale / sums)[:, None]
-                back[a:b] += (push @ own[:-1].T) * shares
-                step("w", (flat[a:b] * shares).T @ push, c)
+                push *= (scale / (push @ ones[:size]))[:, None]
+                push[places[: b - a], inside[a:b]] -= scale
+                back[a:b] += push @ own[:-1].T
+                step("w", flat[a:b].T @ push, c)
             from_out = np.zeros(states.shape, np.float32)
             from_out.reshape(-1, n)[order] = back
             # Back through the window.
