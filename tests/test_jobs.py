@@ -1,4 +1,6 @@
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from tillcast.plans import features as sets
 from tillcast.plans import jobs
 from tillcast.operators.metrics import auc
 from tillcast.plans.training import FOLDS_AT_ONCE, assemble, best_round, boosted_trees, few_tasks, fit, out_of_fold
-from tillcast.plans.training import random_forest, score
+from tillcast.plans.training import models_at_once, naive_bayes, random_forest, score
 from tillcast.session import materialise, shared_folder
 from tillcast.sources import log, sinks
 
@@ -193,3 +195,27 @@ def test_small_searches_run_in_few_tasks(spark, data, monkeypatch):
     monkeypatch.setattr("tillcast.plans.training.VALUES_OF_A_TASK", size)
     few, at_once = few_tasks(train, len(data.features))
     assert few.rdd.getNumPartitions() == 3 and at_once == FOLDS_AT_ONCE
+
+
+def test_large_models_are_not_all_fitted_at_once(spark, data, monkeypatch):
+    """As many tables of rows are kept in memory as there are fits at a time."""
+    train, test = data.folds(3), data.vectors(data.test)
+    assert models_at_once(train, len(data.features)) == FOLDS_AT_ONCE
+    monkeypatch.setattr("tillcast.plans.training.VALUES_OF_A_TASK", 1)
+    assert models_at_once(train, len(data.features)) == 2
+    running, most, lock = [0], [0], threading.Lock()
+
+    def slow(*args):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.5)
+        try:
+            return fit(*args)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr("tillcast.plans.training.fit", slow)
+    out_of_fold(train, test, data.features, naive_bayes(), 3)
+    assert most[0] == 2
