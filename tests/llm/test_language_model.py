@@ -187,3 +187,28 @@ def test_sums_by_row():
         found, sums = gru._sums(rows, values)
         assert found.tolist() == sorted(set(rows.tolist()))
         assert np.allclose(sums, [values[rows == r].sum(0) for r in found], atol=1e-4)
+
+
+def test_a_small_rest_makes_no_steps_of_its_own(monkeypatch):
+    """Units just beyond a packing are read beside it, in as many windows as their share is worth."""
+    monkeypatch.setattr(gru, "PACKED", 1 << 14)
+    monkeypatch.setattr(gru, "LANE", 1 << 10)
+    steps, forward = [], gru._forward
+    monkeypatch.setattr(gru, "_forward", lambda *x: (steps.append(x[1].size), forward(*x))[1])
+    texts = [np.arange(100, dtype=np.int32) % 20 for _ in range(170)]
+    seen, _ = gru.train(gru.Weights(np.ones((gru.CLASSES, 4))), iter(texts))
+    assert seen == 17_000 and len(steps) <= 1.1 * 17_000 / (16 * gru.STEPS)
+
+
+def test_words_are_looked_up_once(spark):
+    """Learners and scores read units; every text is encoded once, whoever reads it later."""
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(None, prose(99, 30)), (50, None), (51, "")]
+    docs = documents(spark, rows)
+    vocab = language_model.vocabulary(language_model.count_words(docs))
+    flagged = docs.select("doc_id", "text", language_model.held_out(docs.doc_id).alias("held_out"))
+    coded = language_model.encode(flagged, vocab).collect()
+    wanted = {
+        d: [*vocab.unit[[vocab.coder()[w.encode()] for w in words(low(t))]].tolist(), vocab.end] for d, t in rows
+    }
+    assert {r.doc_id: np.frombuffer(r.units, np.uint16).tolist() for r in coded} == wanted
+    assert sorted({r.place for r in coded if not r.held_out}) == sorted(r.place for r in coded if not r.held_out)

@@ -26,8 +26,11 @@ FLOOR = 1e-5
 #: Bounds of the parameters: exponents stay far from overflow.
 BOUND = {"x": 12, "u": 2, "b": 4, "c": 3, "w": 3}
 LEAST_CHANCE = 1e-30
-#: Units that one packing holds at most, if no single text is longer.
+#: Units of a packing of learning; the last one holds up to twice as many, so none is a small rest,
+#: whose few lanes would make as many steps, and as large ones, as those of a whole packing.
 PACKED = 1 << 20
+#: Units of a packing of scoring. In a large one the longest text leaves few steps with few lanes.
+SCORED_PACKED = 1 << 22
 
 
 class Weights:
@@ -102,26 +105,30 @@ class Packing:
             size = min(steps * max(1, lanes // live), int(self.loads[0]) - at)
             step = at + np.arange(size)[:, None]
             place = np.where(step < self.loads[:live], step + self.first[:live], len(self.units) - 1)
-            yield at, self.units[place], self.inputs[place], self.fresh[place], self.whose[place]
+            yield at, *(np.take(x, place) for x in (self.units, self.inputs, self.fresh, self.whose))
             at += size
 
 
-def packings(texts: Iterator[tuple], lanes: int, sort: bool, lane: int = 1) -> Iterator[Packing]:
-    """(units, inputs) of texts in packings of about PACKED units, if no single text is longer."""
-    part, size = [], 0
+def packings(texts: Iterator[tuple], lanes: int, sort: bool, most: int, lane: int = 1) -> Iterator[Packing]:
+    """(units, inputs) of texts in packings of about ``most`` units, if no single text is longer.
 
-    def pack() -> Packing:
+    The last one holds what is left beside it, too.
+    """
+    whole, part, size = [], [], 0
+
+    def pack(some: list[tuple]) -> Packing:
         # With the long ones first the lanes come out even; learning wants lengths mixed.
-        return Packing(sorted(part, key=lambda x: -len(x[1])) if sort else part, lanes, lane)
+        return Packing(sorted(some, key=lambda x: -len(x[1])) if sort else some, lanes, lane)
 
     for number, (units, inputs) in enumerate(texts):
         part.append((number, units, inputs))
         size += len(units)
-        if size >= PACKED:
-            yield pack()
-            part, size = [], 0
-    if part:
-        yield pack()
+        if size >= most:
+            if whole:
+                yield pack(whole)
+            whole, part, size = part, [], 0
+    if whole or part:
+        yield pack(whole + part)
 
 
 def _with_inputs(texts: Iterator[np.ndarray], start: int, piece: int | None = None) -> Iterator[tuple]:
@@ -141,30 +148,31 @@ def _forward(p: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep
     """
     n = STATE
     u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
-    x = np.take(p["x"], inputs, axis=0)
-    x += p["b"]
     # The inputs' parts become the gates and the new state in place.
-    x = np.ascontiguousarray(x.reshape(*inputs.shape, 3, n).transpose(0, 2, 1, 3))
-    starts = fresh.any(1)
+    x = np.take(p["x"].reshape(-1, n), 3 * inputs[:, None] + np.arange(3, dtype=inputs.dtype)[:, None], axis=0)
+    x += np.repeat(p["b"].reshape(3, 1, n), len(h), axis=1)
+    starts = fresh.any(1).tolist()
     shape = len(inputs), len(h)
     out = np.empty((*shape, n), np.float32)
     g = np.empty((3, len(h), n), np.float32)
+    of_gates, of_new, update = g[:2], g[2], x[:, :2]
     if keep is not None:
         keep += [np.empty((*shape, n), np.float32), x, np.empty((*shape, n), np.float32)]
     for t in range(len(inputs)):
         if starts[t]:
-            h = h * ~fresh[t][:, None]
+            h = h.copy()
+            h[fresh[t]] = 0
         np.matmul(h, u, out=g)
         # Both gates at once, as 1 / (1 + exp(-a)); BOUND keeps the exponents finite.
-        gates, new = x[t, :2], x[t, 2]
-        gates += g[:2]
+        gates, new = update[t], x[t, 2]
+        gates += of_gates
         np.exp(np.negative(gates, out=gates), out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         if keep is not None:
-            keep[0][t], keep[2][t] = h, g[2]
-        g[2] *= gates[1]
-        new += g[2]
+            keep[0][t], keep[2][t] = h, of_new
+        of_new *= gates[1]
+        new += of_new
         np.tanh(new, out=new)
         h = np.subtract(h, new, out=out[t])
         h *= gates[0]
@@ -177,19 +185,26 @@ def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray
     old, parts, g = kept
     n = STATE
     z, r, new = parts[:, 0], parts[:, 1], parts[:, 2]
-    by_new = (1 - z) * (1 - new * new)
-    by_z = (old - new) * z * (1 - z)
-    by_r = g * r * (1 - r)
     steps, live = fresh.shape
+    # By how much what comes back changes the three: update gate, reset gate by the new state, new state.
+    rest = 1 - z
+    by_z = old - new
+    by_z *= z
+    by_z *= rest
+    by_new = new * new
+    np.subtract(1, by_new, out=by_new)
+    by_new *= rest
+    by_r = g * r
+    by_r *= np.subtract(1, r, out=rest)
     grad_x = np.empty((steps, live, 3 * n), np.float32)
     grad_g = np.empty((steps, live, 3 * n), np.float32)
     later = np.zeros((live, n), np.float32)
     turned = np.ascontiguousarray(u.T)
-    starts = fresh.any(1)
+    starts = fresh.any(1).tolist()
     for t in range(steps - 1, -1, -1):
         later += from_out[t]
-        at_x, at_g = grad_x[t], grad_g[t]
-        at_new = np.multiply(later, by_new[t])
+        at_x, at_g, at_new = grad_x[t], grad_g[t], by_new[t]
+        at_new *= later
         at_x[:, 2 * n :] = at_new
         np.multiply(later, by_z[t], out=at_x[:, :n])
         np.multiply(at_new, by_r[t], out=at_x[:, n : 2 * n])
@@ -198,7 +213,7 @@ def _backward(kept: list, from_out: np.ndarray, fresh: np.ndarray, u: np.ndarray
         later *= z[t]
         later += at_g @ turned
         if starts[t]:
-            later *= ~fresh[t][:, None]
+            later[fresh[t]] = 0
     return grad_x, grad_g
 
 
@@ -207,10 +222,11 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     # Short integers are sorted by radix.
     order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
     ordered = rows[order]
-    new = np.empty(len(ordered), bool)
-    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(new)
-    often = np.diff(first, append=len(ordered))
+    new = np.empty(len(ordered) + 1, bool)
+    new[:1], new[-1:] = True, True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+    bounds = np.flatnonzero(new)
+    first, often = bounds[:-1], bounds[1:] - bounds[:-1]
     sums = np.take(values, order[first], axis=0)
     again = often > 1
     if again.any():
@@ -220,11 +236,6 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ordered[first], sums
 
 
-def _exponents(a: np.ndarray) -> np.ndarray:
-    """exp(a) in place. Bounded weights make it safe without taking off the maximum."""
-    return np.exp(a, out=a)
-
-
 def _with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The states in this order, each with a one for the bias."""
     out = np.ones((len(order), STATE + 1), np.float32)
@@ -233,32 +244,76 @@ def _with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _by_class(units: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Places of the units (without the fill) by class; the units; classes present; their bounds."""
+    """Places of the units (without the fill) by class; their classes and places in them; bounds of the classes."""
     kind = (units // size).astype(np.int16)
     order = np.argsort(kind, kind="stable")
-    order = order[np.searchsorted(kind[order], 0) :]
-    present, first = np.unique(kind[order], return_index=True)
-    return order, units[order], present, np.append(first, len(order))
+    kind = kind[order]
+    left = np.searchsorted(kind, 0)
+    order, kind = order[left:], kind[left:].astype(np.intp)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
+    return order, kind, units[order] - kind * size, bounds
+
+
+def _states(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The states of ``_forward``, from parts of the inputs that have the bias already.
+
+    The gates' parts in ``table`` and ``u`` are taken with the other sign.
+    """
+    n = STATE
+    starts = fresh.any(1).tolist()
+    out = np.empty((len(inputs), len(h), n), np.float32)
+    x, g = np.empty((2, 3, len(h), n), np.float32)
+    gates, new, of_gates, of_new = x[:2], x[2], g[:2], g[2]
+    places = 3 * inputs[:, None] + np.arange(3, dtype=inputs.dtype)[:, None]
+    for t in range(len(inputs)):
+        if starts[t]:
+            h = h.copy()
+            h[fresh[t]] = 0
+        np.take(table, places[t], axis=0, out=x, mode="clip")
+        np.matmul(h, u, out=g)
+        gates += of_gates
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        of_new *= gates[1]
+        new += of_new
+        np.tanh(new, out=new)
+        h = np.subtract(h, new, out=out[t])
+        h *= gates[0]
+        h += new
+    return out
 
 
 def score(weights: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of every text's units."""
-    p, size = weights.p, weights.size
+    p, size, n = weights.p, weights.size, STATE
     ones = np.ones(max(CLASSES, size), np.float32)
     total = np.zeros(len(texts))
-    for packing in packings(_with_inputs(iter(texts), weights.units), SCORED_LANES, True):
-        h = np.zeros((len(packing.loads), STATE), np.float32)
+    table = (p["x"] + p["b"]).reshape(-1, 3, n)
+    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
+    np.negative(table[:, :2], out=table[:, :2])
+    np.negative(u[:2], out=u[:2])
+    table = table.reshape(-1, n)
+    # Bounded weights make exponents safe without taking off the maximum.
+    most = SCORED_LANES * SCORED_STEPS
+    room = np.empty((most, size), np.float32)
+    first = np.arange(most) * size
+    for packing in packings(_with_inputs(iter(texts), weights.units), SCORED_LANES, True, SCORED_PACKED):
+        h = np.zeros((len(packing.loads), n), np.float32)
         for _, units, inputs, fresh, whose in packing.windows(SCORED_STEPS, SCORED_LANES):
-            states = _forward(p, inputs, fresh, h[: units.shape[1]], None)
+            states = _states(table, u, inputs, fresh, h[: units.shape[1]])
             h = states[-1]
             # In the order of the classes.
-            order, targets, present, bounds = _by_class(units.ravel(), size)
-            flat = _with_one(states.reshape(-1, STATE), order)
-            e = _exponents(flat @ p["c"])
-            chance = e[np.arange(len(e)), targets // size] / (e @ ones[:CLASSES])
-            for c, a, b in zip(present, bounds, bounds[1:]):
-                e = _exponents(flat[a:b] @ p["w"][c])
-                chance[a:b] *= e[np.arange(b - a), targets[a:b] % size] / (e @ ones[:size])
+            order, kind, inside, bounds = _by_class(units.ravel(), size)
+            flat = _with_one(states.reshape(-1, n), order)
+            e = flat @ p["c"]
+            np.exp(e, out=e)
+            chance = e[np.arange(len(e)), kind] / (e @ ones[:CLASSES])
+            for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+                a, b = bounds[c : c + 2].tolist()
+                e = np.matmul(flat[a:b], p["w"][c], out=room[: b - a])
+                np.exp(e, out=e)
+                chance[a:b] *= np.take(room, first[: b - a] + inside[a:b]) / (e @ ones[:size])
             logp = np.log(np.maximum(chance, LEAST_CHANCE))
             total += np.bincount(whose.ravel()[order], logp, len(texts))
     return total
@@ -271,22 +326,28 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
     seen and these sums, from which a later call goes on.
     """
     p, size, n, seen = weights.p, weights.size, STATE, 0
-    ones = np.ones(max(LANES * STEPS, size, CLASSES), np.float32)
+    ones = np.ones(max(size, CLASSES), np.float32)
     places = np.arange(LANES * STEPS)
+    # Room for the units of one class in a window, and for the gradients of all classes.
+    room = np.empty((LANES * STEPS, size), np.float32)
+    slots, first = room.reshape(-1), places * size
+    changes = np.empty((CLASSES, n + 1, size), np.float32)
     had = had or {k: np.full(v.shape, FLOOR, np.float32) for k, v in p.items()}
 
     rate = np.float32(RATE)
 
-    def step(name: str, gradient: np.ndarray, where=slice(None)) -> None:
-        sums, own = had[name][where], p[name][where]
-        sums += gradient * gradient
+    def step(name: str, gradient: np.ndarray, where: np.ndarray | None = None) -> None:
+        some = isinstance(where, np.ndarray)
+        sums, own = (np.take(x[name], where, axis=0) if some else x[name] for x in (had, p))
+        square = gradient * gradient
+        sums += square
         gradient *= rate
-        gradient /= np.sqrt(sums)
+        gradient /= np.sqrt(sums, out=square)
         own -= gradient
-        if isinstance(where, np.ndarray):
+        if some:
             had[name][where], p[name][where] = sums, own
 
-    for packing in packings(_with_inputs(texts, weights.units, PIECE), LANES, False, LANE):
+    for packing in packings(_with_inputs(texts, weights.units, PIECE), LANES, False, PACKED, LANE):
         # Short windows at the end of a packing count for less.
         scale = np.float32(1 / (len(packing.loads) * STEPS))
         h = np.zeros((len(packing.loads), n), np.float32)
@@ -296,7 +357,7 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
             keep: list = []
             states = _forward(p, inputs, fresh, h[:live], keep)
             h = states[-1]
-            order, targets, present, bounds = _by_class(units.ravel(), size)
+            order, kind, inside, bounds = _by_class(units.ravel(), size)
             flat = _with_one(states.reshape(-1, n), order)
             seen += len(order)
             # The step shrinks along a packing, and the parameters stay in bounds.
@@ -308,19 +369,23 @@ def train(weights: Weights, texts: Iterator[np.ndarray], had: dict | None = None
                 for bias in (p["c"][-1], p["w"][:, -1]):
                     np.clip(bias, -30, 8, out=bias)
             # Classes, then the units in each class.
-            push = _exponents(flat @ p["c"])
+            push = flat @ p["c"]
+            np.exp(push, out=push)
             push *= (scale / (push @ ones[:CLASSES]))[:, None]
-            push[places[: len(push)], targets // size] -= scale
+            push[places[: len(push)], kind] -= scale
             back = push @ p["c"][:-1].T
             step("c", flat.T @ push)
-            inside = targets % size
-            for c, a, b in zip(present.tolist(), bounds.tolist(), bounds[1:].tolist()):
-                own = p["w"][c]
-                push = _exponents(flat[a:b] @ own)
+            present = np.flatnonzero(bounds[1:] > bounds[:-1])
+            for k, c in enumerate(present.tolist()):
+                a, b = bounds[c : c + 2].tolist()
+                own, some = p["w"][c], flat[a:b]
+                push = np.matmul(some, own, out=room[: b - a])
+                np.exp(push, out=push)
                 push *= (scale / (push @ ones[:size]))[:, None]
-                push[places[: b - a], inside[a:b]] -= scale
+                slots[first[: b - a] + inside[a:b]] -= scale
                 back[a:b] += push @ own[:-1].T
-                step("w", flat[a:b].T @ push, c)
+                np.matmul(some.T, push, out=changes[k])
+            step("w", changes[: len(present)], present if len(present) < CLASSES else None)
             from_out = np.zeros(states.shape, np.float32)
             from_out.reshape(-1, n)[order] = back
             # Back through the window.

@@ -157,26 +157,88 @@ def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) ->
     return best[1:]
 
 
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Texts as the model reads them, written: the words are looked up here and nowhere else.
+
+    Needs doc_id, text and held_out. ``units`` are two bytes each; ``base`` and ``inside`` add up logarithms over
+    the end and the words of the head, of which ``n_known`` counts those seen, and ``tail`` are the other words.
+    ``place`` numbers the rows that are trained on, ``row`` all, ``tie`` is a hash of the text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        memory = known.coder()
+        end = np.log10(known.ends + 0.5)
+        place = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            units, n, base, inside, tails = [], [], [], [], []
+            for text in W.texts(batch.column(1)):
+                words = (text or b"").lower().split()
+                codes = W.ids(words, memory).astype(np.int64)
+                units.append(np.append(known.unit[codes], np.int32(known.end)).astype(np.uint16).tobytes())
+                n.append(len(words) + 1)
+                base.append(float(known.logs[codes].sum()))
+                inside.append(float(known.inside[codes].sum()))
+                rest = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(codes >= known.head)]
+                tails.append(np.array(rest, np.uint64).view(np.int64))
+            n = np.array(n)
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
+            heads = n - 1 - np.diff(starts) + (known.ends > 0)
+            trained = ~batch.column(2).to_numpy(zero_copy_only=False)
+            places = place + np.cumsum(trained) - trained
+            place += int(trained.sum())
+            values = [
+                pa.array(n.astype(np.int64)),
+                pa.array(heads.astype(np.int64)),
+                pa.array(np.array(base) + end - n * known.norm),
+                pa.array(np.array(inside)),
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(tails))),
+                pa.array(units, pa.binary()),
+                pa.array(places.astype(np.int64)),
+            ]
+            names = ["doc_id", "held_out", "row", "tie", "n_tokens", "n_known", "base", "inside", "tail", "units", "place"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *values], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc_id {kind}, held_out boolean, row long, tie long, n_tokens long, n_known long, base double, "
+        "inside double, tail array<bigint>, units binary, place long"
+    )
+    tie = F.xxhash64("text").alias("tie")
+    numbered = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"), tie)
+    # Row numbers hold from here on, since they are written.
+    return materialise(numbered.mapInArrow(run, schema))
+
+
+def _units(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint16).astype(np.int32) for b in column.to_pylist()]
+
+
 def fit(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
     """The average of models that learners fit to all texts, in ROUNDS."""
+    return _fit(encode(docs.select("doc_id", "text", F.lit(False).alias("held_out")), vocab), vocab)
+
+
+def _fit(coded: DataFrame, vocab: Vocabulary) -> gru.Weights:
     weights = gru.Weights(vocab.masses)
-    spark = docs.sparkSession
+    spark = coded.sparkSession
     learners = max(1, vocab.total // ROUNDS // LEARNER_UNITS)
     # The id decides who reads a text and when, so copies are spread, and files and partitions
     # make no difference. Rows without id are dealt by their place.
     own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
-    deal = F.xxhash64(F.lit(23), F.coalesce(own, F.xxhash64(F.monotonically_increasing_id())))
-    dealt = docs.select("text", deal.alias("deal"))
+    deal = F.xxhash64(F.lit(23), F.coalesce(own, F.xxhash64("place")))
+    dealt = coded.where(~F.col("held_out")).select("units", "tie", deal.alias("deal"))
     for turn in range(ROUNDS):
         read = (
             dealt.where(F.pmod("deal", F.lit(ROUNDS)) == turn)
             .repartition(learners, F.shiftright("deal", 8))
             # A session that shuffles into more partitions makes no more learners.
             .coalesce(learners)
-            .sortWithinPartitions("deal", F.xxhash64("text"))
+            .sortWithinPartitions("deal", "tie")
         )
         with scratch(spark):
-            _fit_round(read.select("text"), spark.sparkContext.broadcast((vocab, weights)), weights)
+            _fit_round(read.select("units"), spark.sparkContext.broadcast(weights), weights)
     return weights
 
 
@@ -187,16 +249,13 @@ def _fit_round(read: DataFrame, shared, weights: gru.Weights) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
-        memory = known.coder()
+        own = shared.value
         aside: list[np.ndarray] = []
 
         def texts() -> Iterator[np.ndarray]:
             n = 0
             for batch in batches:
-                for text in W.texts(batch.column(0)):
-                    codes = W.ids((text or b"").lower().split(), memory).astype(np.int64)
-                    units = np.append(known.unit[codes], np.int32(known.end))
+                for units in _units(batch.column(0)):
                     n += 1
                     if n % ASIDE_EVERY == 0 and sum(map(len, aside)) < ASIDE_UNITS:
                         aside.append(units)
@@ -260,49 +319,25 @@ def score_texts(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     """
     bounded(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = materialise(count_words(training))
+    counts = materialise(count_words(rows.where(~F.col("held_out"))))
     vocab = vocabulary(counts, head_words)
-    weights = fit(training, vocab)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+    coded = encode(rows, vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(_fit(coded, vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value
-        memory = known.coder()
+        own = shared.value
         for batch in batches:
-            units, n, base, inside, tails = [], [], [], [], []
-            for text in W.texts(batch.column(1)):
-                words = (text or b"").lower().split()
-                codes = W.ids(words, memory).astype(np.int64)
-                units.append(np.append(known.unit[codes], np.int32(known.end)))
-                n.append(len(words) + 1)
-                base.append(float(known.logs[codes].sum()))
-                inside.append(float(known.inside[codes].sum()))
-                rest = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(codes >= known.head)]
-                tails.append(np.array(rest, np.uint64).view(np.int64))
-            n = np.array(n)
-            end = np.log10(known.ends + 0.5)
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-            heads = n - 1 - np.diff(starts) + (known.ends > 0)
-            values = [
-                pa.array(n.astype(np.int64)),
-                pa.array(heads.astype(np.int64)),
-                pa.array(np.array(base) + end - n * known.norm),
-                pa.array(gru.score(own, units) / np.log(10) + np.array(inside)),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(tails))),
-            ]
-            names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "tail"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *values], names=names)
+            inside = batch.column("inside").to_numpy()
+            model = gru.score(own, _units(batch.column("units"))) / np.log(10) + inside
+            kept = [batch.column(name) for name in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(model)], names=names)
 
+    names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, "
-        "model double, tail array<bigint>"
-    )
-    numbered = rows.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"))
-    # Row numbers hold from here on, since they are written.
-    scored = materialise(numbered.mapInArrow(run, schema))
-    rare = scored.select("row", F.explode("tail").alias("h"))
+    schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, model double"
+    read = coded.select(*names[:-1], "inside", "units")
+    scored = materialise(read.mapInArrow(run, schema))
+    rare = coded.select("row", F.explode("tail").alias("h"))
     logs = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
     rest = (
         rare.join(counts.where(F.col("bucket") != _END).select("h", "n"), "h", "left")
