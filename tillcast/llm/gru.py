@@ -254,21 +254,20 @@ def _by_class(units: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     return order, kind, units[order] - kind * size, bounds
 
 
-def _states(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The states of ``_forward``, from parts of the inputs that have the bias already.
+def _states(table: np.ndarray, u: np.ndarray, places: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The states of ``_forward`` by step, model, lane, from parts of the inputs that have the bias already.
 
-    The gates' parts in ``table`` and ``u`` are taken with the other sign.
+    The gates' parts in ``table`` and ``u`` are taken with the other sign. ``places``: rows of the table by step,
+    part, model and lane.
     """
-    n = STATE
     starts = fresh.any(1).tolist()
-    out = np.empty((len(inputs), len(h), n), np.float32)
-    x, g = np.empty((2, 3, len(h), n), np.float32)
+    out = np.empty((len(places), *h.shape), np.float32)
+    x, g = np.empty((2, 3, *h.shape), np.float32)
     gates, new, of_gates, of_new = x[:2], x[2], g[:2], g[2]
-    places = 3 * inputs[:, None] + np.arange(3, dtype=inputs.dtype)[:, None]
-    for t in range(len(inputs)):
+    for t in range(len(places)):
         if starts[t]:
             h = h.copy()
-            h[fresh[t]] = 0
+            h[:, fresh[t]] = 0
         np.take(table, places[t], axis=0, out=x, mode="clip")
         np.matmul(h, u, out=g)
         gates += of_gates
@@ -286,36 +285,45 @@ def _states(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, fresh: np.ndar
 
 def score(weights: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of every text's units."""
-    p, size, n = weights.p, weights.size, STATE
+    return score_each([weights], texts)[0]
+
+
+def score_each(models: list[Weights], texts: list[np.ndarray]) -> np.ndarray:
+    """The same by model and text, for models of one size; their steps are made together."""
+    size, n, count = models[0].size, STATE, len(models)
     ones = np.ones(max(CLASSES, size), np.float32)
-    total = np.zeros(len(texts))
-    table = (p["x"] + p["b"]).reshape(-1, 3, n)
-    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
+    total = np.zeros((count, len(texts)))
+    table = np.concatenate([m.p["x"] + m.p["b"] for m in models]).reshape(-1, 3, n)
+    u = np.stack([m.p["u"].reshape(n, 3, n).transpose(1, 0, 2) for m in models], axis=1)
     np.negative(table[:, :2], out=table[:, :2])
     np.negative(u[:2], out=u[:2])
-    table = table.reshape(-1, n)
+    parts = np.arange(3)[:, None, None] + 3 * len(models[0].p["x"]) * np.arange(count)[:, None]
     # Bounded weights make exponents safe without taking off the maximum.
     most = SCORED_LANES * SCORED_STEPS
     room = np.empty((most, size), np.float32)
     first = np.arange(most) * size
-    for packing in packings(_with_inputs(iter(texts), weights.units), SCORED_LANES, True, SCORED_PACKED):
-        h = np.zeros((len(packing.loads), n), np.float32)
+    for packing in packings(_with_inputs(iter(texts), models[0].units), SCORED_LANES, True, SCORED_PACKED):
+        h = np.zeros((count, len(packing.loads), n), np.float32)
         for _, units, inputs, fresh, whose in packing.windows(SCORED_STEPS, SCORED_LANES):
-            states = _states(table, u, inputs, fresh, h[: units.shape[1]])
-            h = states[-1]
+            places = 3 * inputs[:, None, None].astype(np.intp) + parts
+            every = _states(table.reshape(-1, n), u, places, fresh, h[:, : units.shape[1]])
+            h = every[-1]
             # In the order of the classes.
             order, kind, inside, bounds = _by_class(units.ravel(), size)
-            flat = _with_one(states.reshape(-1, n), order)
-            e = flat @ p["c"]
-            np.exp(e, out=e)
-            chance = e[np.arange(len(e)), kind] / (e @ ones[:CLASSES])
-            for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-                a, b = bounds[c : c + 2].tolist()
-                e = np.matmul(flat[a:b], p["w"][c], out=room[: b - a])
+            present = np.flatnonzero(bounds[1:] > bounds[:-1]).tolist()
+            at, texts_at = np.arange(len(order)), whose.ravel()[order]
+            for model, states, sums in zip(models, every.swapaxes(0, 1), total):
+                p = model.p
+                flat = _with_one(states.reshape(-1, n), order)
+                e = flat @ p["c"]
                 np.exp(e, out=e)
-                chance[a:b] *= np.take(room, first[: b - a] + inside[a:b]) / (e @ ones[:size])
-            logp = np.log(np.maximum(chance, LEAST_CHANCE))
-            total += np.bincount(whose.ravel()[order], logp, len(texts))
+                chance = e[at, kind] / (e @ ones[:CLASSES])
+                for c in present:
+                    a, b = bounds[c : c + 2].tolist()
+                    e = np.matmul(flat[a:b], p["w"][c], out=room[: b - a])
+                    np.exp(e, out=e)
+                    chance[a:b] *= np.take(room, first[: b - a] + inside[a:b]) / (e @ ones[:size])
+                sums += np.bincount(texts_at, np.log(np.maximum(chance, LEAST_CHANCE)), len(texts))
     return total
 
 

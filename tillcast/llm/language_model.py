@@ -148,13 +148,14 @@ def _shrunk(weights: gru.Weights, start: np.ndarray, aside: list[np.ndarray]) ->
 
     The start is the unigram model, so what little text teaches wrongly does no harm.
     """
-    end, best = weights.flat(), (-np.inf, start, 0.0)
-    for share in SHARES if aside else (1.0,):
-        mixed = start + np.float32(share) * (end - start)
-        weights.load(mixed)
-        fits = gru.score(weights, aside).sum() if aside else 0.0
-        best = max(best, (fits, mixed, share), key=lambda x: x[0])
-    return best[1:]
+    end, shares = weights.flat(), SHARES if aside else (1.0,)
+    mixes = [start + np.float32(share) * (end - start) for share in shares]
+    models = [copy.deepcopy(weights) for _ in mixes]
+    for model, mixed in zip(models, mixes):
+        model.load(mixed)
+    fits = gru.score_each(models, aside).sum(1) if aside else [0.0]
+    best = int(np.argmax(fits))
+    return mixes[best], shares[best]
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
