@@ -4,11 +4,16 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from samples import awkward, documents, low, prose, words
 
 from tillcast.llm import gru, language_model
 
 
+def hashed(word):
+    return int(np.uint64(xxhash.xxh64_intdigest(word.encode())).astype(np.int64))
+
+
 def plain_base(rows):
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
     split = [[*words(low(t)), None] for _, t in rows]
@@ -202,13 +207,14 @@ def test_a_small_rest_makes_no_steps_of_its_own(monkeypatch):
 
 def test_words_are_looked_up_once(spark):
     """Learners and scores read units; every text is encoded once, whoever reads it later."""
-    rows = [(i, prose(i, 60)) for i in range(40)] + [(None, prose(99, 30)), (50, None), (51, "")]
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(None, prose(99, 30)), (50, None), (51, ""), (52, " \n a\x1cB  c\x0b"), (53, "\t")]
     docs = documents(spark, rows)
-    vocab = language_model.vocabulary(language_model.count_words(docs))
+    vocab = language_model.vocabulary(language_model.count_words(docs), 100)
     flagged = docs.select("doc_id", "text", language_model.held_out(docs.doc_id).alias("held_out"))
     coded = language_model.encode(flagged, vocab).collect()
-    wanted = {
-        d: [*vocab.unit[[vocab.coder()[w.encode()] for w in words(low(t))]].tolist(), vocab.end] for d, t in rows
-    }
+    rank = {h: i for i, h in enumerate(vocab.hashes.tolist())}
+    unit = {w: vocab.unit[rank[h]] for d, t in rows for w in words(low(t)) if (h := hashed(w)) in rank}
+    other = {w: vocab.unit[vocab.head + language_model._bucket(w.encode())] for d, t in rows for w in words(low(t))}
+    wanted = {d: [*[int((other | unit)[w]) for w in words(low(t))], vocab.end] for d, t in rows}
     assert {r.doc_id: np.frombuffer(r.units, np.uint16).tolist() for r in coded} == wanted
     assert sorted({r.place for r in coded if not r.held_out}) == sorted(r.place for r in coded if not r.held_out)

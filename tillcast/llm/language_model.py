@@ -14,7 +14,6 @@ round goes on from the average of the one before.
 from __future__ import annotations
 
 import copy
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,18 +55,20 @@ def _bucket(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[:3] + b"|" + word[-2:]) % BUCKETS
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``h, bucket, n``: occurrences of each word, by its 64-bit hash, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tally: Counter = Counter()
-            for text in W.texts(batch.column(0)):
-                tally.update((text or b"").lower().split())
-            h = [xxhash.xxh64_intdigest(w) for w in tally] + [0]
-            bucket = [_bucket(w) for w in tally] + [_END]
-            n = [*tally.values(), batch.num_rows]
-            columns = [np.array(h, np.uint64).view(np.int64), np.array(bucket, np.int32), np.array(n, np.int64)]
+            words, numbers, _ = W.distinct(batch.column(0))
+            h = np.append(_hashes(words), 0)
+            bucket = [_bucket(w) for w in words] + [_END]
+            n = np.append(np.bincount(numbers, minlength=len(words)), batch.num_rows)
+            columns = [h, np.array(bucket, np.int32), n.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "bucket", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, bucket int, n long")
@@ -81,6 +82,9 @@ class Vocabulary:
         """``head``: h, bucket and n by falling n; ``buckets``: (n, words) of each, _END the end."""
         self.hashes, bucket, often = head
         self.head = len(self.hashes)
+        # The hashes in order, to be searched, and the rank of each in the head.
+        self.ranks = np.argsort(self.hashes)
+        self.ordered = self.hashes[self.ranks]
         self.ends = buckets.get(_END, (0, 0))[0]
         self.total = sum(n for n, _ in buckets.values())
         kinds = sum(k for _, k in buckets.values())
@@ -113,24 +117,15 @@ class Vocabulary:
         self.inside[: len(top)] = 0
         self.masses = units.reshape(gru.CLASSES, size)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_coder"}
-
-    def coder(self) -> W.Memory:
-        """The code of a word; what one task of a worker has looked up, the next one knows."""
-        if not hasattr(self, "_coder"):
-            self._coder = self._new_coder()
-        return self._coder
-
-    def _new_coder(self) -> W.Memory:
-        head = self.head
-        code = dict(zip(self.hashes.tolist(), range(head)))
-
-        def value(word: bytes) -> int:
-            h = xxhash.xxh64_intdigest(word)
-            return code.get(h - (h >> 63 << 64), head + _bucket(word))
-
-        return W.Memory(value)
+    def codes(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """The codes of words, given with their hashes."""
+        if not self.head:
+            return self.head + np.array([_bucket(w) for w in words], np.int64)
+        place = np.minimum(np.searchsorted(self.ordered, hashes), self.head - 1)
+        codes = self.ranks[place]
+        others = np.flatnonzero(self.ordered[place] != hashes)
+        codes[others] = [self.head + _bucket(words[i]) for i in others.tolist()]
+        return codes
 
 
 def vocabulary(counts: DataFrame, head_words: int = HEAD) -> Vocabulary:
@@ -169,20 +164,20 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        memory = known.coder()
         end = np.log10(known.ends + 0.5)
         place = TaskContext.get().partitionId() << 33
         for batch in batches:
             units, n, base, inside, tails = [], [], [], [], []
-            for text in W.texts(batch.column(1)):
-                words = (text or b"").lower().split()
-                codes = W.ids(words, memory).astype(np.int64)
+            words, numbers, bounds = W.distinct(batch.column(1))
+            hashes = _hashes(words)
+            every = known.codes(words, hashes)[numbers]
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+                codes = every[a:b]
                 units.append(np.append(known.unit[codes], np.int32(known.end)).astype(np.uint16).tobytes())
-                n.append(len(words) + 1)
+                n.append(b - a + 1)
                 base.append(float(known.logs[codes].sum()))
                 inside.append(float(known.inside[codes].sum()))
-                rest = [xxhash.xxh64_intdigest(words[i]) for i in np.flatnonzero(codes >= known.head)]
-                tails.append(np.array(rest, np.uint64).view(np.int64))
+                tails.append(hashes[numbers[a:b][codes >= known.head]])
             n = np.array(n)
             starts = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
             heads = n - 1 - np.diff(starts) + (known.ends > 0)

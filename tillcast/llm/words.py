@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import SparkSession
 
@@ -67,6 +68,20 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(words, range(size), size)) if size else words
 
 
+def distinct(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct lower-case words of all texts of a batch; the number of each word in turn; each text's bounds."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    found = lists.flatten()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    # Space at either end of a text leaves an empty word.
+    kept = pc.greater(pc.binary_length(found), 0)
+    if not pc.all(kept).as_py():
+        before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+        found, bounds = found.filter(kept), before[bounds - bounds[0]]
+    coded = found.dictionary_encode()
+    return texts(coded.dictionary), coded.indices.to_numpy(), bounds - bounds[0]
+
+
 def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
