@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -415,8 +416,8 @@ def q_cumsum_split(spark, sf_dir):
 
 def q_running_blocks(spark, sf_dir):
     """All running columns in blocks of a year: sums by three keys, and differences."""
-    year = 365 * 24 * 3600
-    lines = sets.with_running_values(transactions(spark, sf_dir), ORDER, year)
+    year = replace(time_block(spark, sf_dir), seconds=365 * 24 * 3600, every=True)
+    lines = sets.with_running_values(transactions(spark, sf_dir), ORDER, year, written=True)
     numbers = [*sets.CUMSUM_COLUMNS, *sets.DIFFS]
     return doubles(lines.select(*LINE_KEYS, *numbers), *numbers)
 

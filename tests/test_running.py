@@ -7,6 +7,7 @@ from helpers import log_of, rows_of
 from tillcast.functions import months
 from tillcast.operators import running as R
 from tillcast.plans import features as sets
+from tillcast.session import materialise
 from tillcast.sources.starschema import ORDER, transactions
 
 ORD = ["order_date", "order_id", "product_id", "quantity", "price", "total"]
@@ -187,3 +188,43 @@ def test_no_differences_without_a_key(spark):
     rows = [(None, f"2011-{i % 12 + 1:02d}-{i % 28 + 1:02d}", i, f"o{i}", "p", 1, 1) for i in range(6000)]
     got = R.running(log_of(spark, rows), "customer_id", ORD, {"s": "total"}, {"d": "total"}, block=30 * 86400)
     assert got.where("s is not null or d is not null").count() == 0
+
+
+SUMS = {"s": "total", "q": "quantity"}
+
+
+@pytest.mark.parametrize("seconds", [3600, 5 * 86400, 365 * 86400])
+def test_blocks_of_all_keys_stay_side_by_side(spark, seconds):
+    """All keys are cut: those that are not frequent need one shuffle and no join; values stay."""
+    rows = [(1, f"20{10 + i % 3}-{i % 12 + 1:02d}-{i % 28 + 1:02d} {i % 5:02d}:30", i, "o", f"p{i % 9}", i % 4, 1) for i in range(200)]
+    rows += [(i % 3, "2011-01-01", None if i % 2 else 3, "o", None if i % 5 else "p1", i, 2) for i in range(60)]
+    lines = log_of(spark, rows + rows[:40])
+    timeless = lines.where("quantity = 2").limit(5).withColumn("order_date", F.lit(None).cast("timestamp_ntz"))
+    lines = materialise(lines.unionByName(timeless))
+    plain = R.running(lines, "product_id", ORD, SUMS, DIFFS, block=0)
+    split = R.running(lines, "product_id", ORD, SUMS, DIFFS, R.Blocks(seconds, every=True))
+    assert split.schema == plain.schema
+    assert rows_of(split) == rows_of(plain) == rows_of(R.running(lines, "product_id", ORD, SUMS, DIFFS, seconds))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    spread = R.running(lines, "product_id", ORD, SUMS, DIFFS, R.Blocks(seconds, {"product_id": ["p1", None]}, True))
+    assert rows_of(spread) == rows_of(plain)
+
+
+def test_what_was_shuffled_for_written_lines_goes(spark):
+    """Lines written on the way leave no shuffle files, and what follows begins from the files."""
+    spark._jvm.System.gc()
+    lines = materialise(log_of(spark, [(i % 7, f"2011-01-{i % 28 + 1:02d}", i, f"o{i % 60}", f"p{i % 9}") for i in range(300)]))
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName() for f in local.getAllFiles().toIterable().toSeq().mkString("\n").split("\n")} if False else {
+            name.rsplit("/", 1)[-1] for name in local.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name
+        }
+
+    before = shuffled()
+    out = sets.with_running_values(lines, ORD, 0, written=True)
+    assert shuffled() <= before
+    assert rows_of(out) == rows_of(sets.with_running_values(lines, ORD, 0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -20,6 +20,7 @@ from tillcast.operators import moments
 from tillcast.operators.labels import TOTAL_THRESHOLD, exceeds
 from tillcast.operators.running import Blocks, blocks, running
 from tillcast.schema import LOG_ORDER, MEASURES, with_customer
+from tillcast.session import handed_on
 
 KEYS = ["customer_id", "year_month", "label"]
 
@@ -132,13 +133,20 @@ def with_running_values(
     lines: DataFrame,
     order: Sequence[str] | None = None,
     block: int | Blocks | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add what ``with_running_sums`` and ``with_differences`` add; the customers' sums and
-    differences come from one shuffle."""
+    differences come from one shuffle.
+
+    ``written`` writes the lines down, now, before those of a customer come together, so that the
+    shuffles up to there are off the disk when the widest is made.
+    """
     if block is None:
         block = _blocks(lines)
     for key in ("order_id", "product_id"):
         lines = running(lines, key, _order(lines, order), sums=CUMSUMS[key], block=block)
+    if written:
+        lines = handed_on(lines)
     lines = lines.withColumn("order_ts", months.epoch_seconds("order_date"))
     return running(
         lines,

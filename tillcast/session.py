@@ -81,6 +81,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _remove(spark, _written.pop())
 
 
+def handed_on(df: DataFrame) -> DataFrame:
+    """As ``materialise``, but what was shuffled for ``df`` leaves the disk once it is written.
+
+    For long tables that are read once or twice: the files are as small as is cheap.
+    """
+    path = new_path(df.sparkSession)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session inside the block, ``__`` for a dot; what they were comes back after it."""
+    values = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     files = spark._jvm.org.apache.hadoop.fs.Path
     for path in paths:
