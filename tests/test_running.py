@@ -228,3 +228,18 @@ def test_what_was_shuffled_for_written_lines_goes(spark):
     assert rows_of(out) == rows_of(sets.with_running_values(lines, ORD, 0))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_all_columns_bring_customers_together_once(spark):
+    """The monthly spend comes from the customers' windows, unless a customer is frequent."""
+    rows = [(i % 7 or None, f"2011-{i % 9 + 1:02d}-{i % 28 + 1:02d}", i if i % 3 else None, f"o{i % 60}", f"p{i % 9}") for i in range(300)]
+    lines = materialise(log_of(spark, rows + [(50, "2011-02-01", None), (51, "2011-11-01", 4)]))
+    once = sets.with_all_columns(lines, "2011-12", ORD, R.Blocks(0))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    joined = sets.with_all_columns(lines, "2011-12", ORD, R.Blocks(86400, {"customer_id": [1]}))
+    names = sorted(once.columns)
+    assert names == sorted(joined.columns) and rows_of(once, *names) == rows_of(joined, *names)
+    found = rows_of(once.where("customer_id is not null").select("customer_id", "mean").distinct())
+    assert found == rows_of(sets.mean_monthly_spend(lines, "2011-12"))
+    assert once.where("customer_id is null and mean is not null").count() == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import months
@@ -173,10 +173,20 @@ def with_all_columns(
 ) -> DataFrame:
     """Lines with running sums, differences and the customer's mean monthly spend.
 
-    The ``full`` set does not need the last: it is constant per customer there.
+    The ``full`` set does not need the last: it is constant per customer there. The lines are
+    written down on the way, as ``with_running_values`` does with ``written``.
     """
-    spend = mean_monthly_spend(lines, year_month)
-    return with_running_values(lines, order, block).join(spend, "customer_id", "left")
+    if block is None:
+        block = _blocks(lines)
+    found = with_running_values(lines, order, block, written=True)
+    if block and (isinstance(block, int) or block.frequent.get("customer_id")):
+        return found.join(mean_monthly_spend(lines, year_month), "customer_id", "left")
+    # No customer has many lines: they are together already, for the running sums.
+    own = Window.partitionBy("customer_id")
+    total = F.coalesce(F.sum("total").over(own).cast("double"), F.lit(0.0))
+    found = found.withColumns({"_total": total, "_first": F.min("order_date").over(own)})
+    mean = F.when(F.col("customer_id").isNotNull(), _monthly("_total", "_first", year_month))
+    return found.withColumn("mean", mean).drop("_total", "_first")
 
 
 def cumsum(
