@@ -12,8 +12,9 @@ from tillcast.plans import jobs
 from tillcast.operators.metrics import auc
 from tillcast.plans.training import FOLDS_AT_ONCE, assemble, best_round, boosted_trees, few_tasks, fit, out_of_fold
 from tillcast.plans.training import models_at_once, naive_bayes, random_forest, score
-from tillcast.session import materialise, shared_folder
+from tillcast.session import materialise, settings, shared_folder
 from tillcast.sources import log, sinks
+from tillcast.sources.starschema import ORDER
 
 QUICK = {"forest": (random_forest(3, 3), 0.4), "trees": (boosted_trees(2, 2), 0.6)}
 
@@ -219,3 +220,19 @@ def test_large_models_are_not_all_fitted_at_once(spark, data, monkeypatch):
     monkeypatch.setattr("tillcast.plans.training.fit", slow)
     out_of_fold(train, test, data.features, naive_bayes(), 3)
     assert most[0] == 2
+
+
+def test_wide_features_run_as_compiled_code(spark, lines, monkeypatch):
+    """The hundreds of aggregates of the full set are compiled; the session's settings come back."""
+    limit, seen, write = spark.conf.get("spark.sql.codegen.maxFields"), [], jobs.materialise
+
+    def written(df):
+        with settings(spark, spark__sql__adaptive__enabled="false"):
+            seen.append(df.select("*")._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(jobs, "materialise", written)
+    jobs.prepare_month(lines, "2001-07", "full", threshold=200000, order=ORDER, block=0)
+    wide = [line for line in seen[0].splitlines() if "HashAggregate(keys=[customer_id" in line and "ObjectHash" not in line]
+    assert wide and all("*(" in line for line in wide)
+    assert spark.conf.get("spark.sql.codegen.maxFields") == limit

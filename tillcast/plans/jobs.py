@@ -29,11 +29,13 @@ from tillcast.plans.training import (
     random_forest,
     score,
 )
-from tillcast.session import materialise, scratch, small_table
+from tillcast.session import materialise, scratch, settings, small_table
 from tillcast.sources.log import read_labels, read_scores
 
 # Shares of the two members of the blend.
 BLEND_WEIGHTS = (0.4, 0.6)
+# Fields of a row up to which the code of the features is compiled; Spark's own limit is 100.
+COMPILED_FIELDS = "1000"
 
 
 @dataclass
@@ -58,7 +60,9 @@ def prepare_month(lines: DataFrame, year_month: str, feature_set: str, **options
     The features are written once: the medians, the folds and every model read them.
     """
     previous = sets.months.shift(year_month, -1)
-    both = materialise(sets.build(feature_set, lines, [previous, year_month], **options))
+    # Rows of hundreds of aggregates and features are worth compiled code too.
+    with settings(lines.sparkSession, spark__sql__codegen__maxFields=COMPILED_FIELDS):
+        both = materialise(sets.build(feature_set, lines, [previous, year_month], **options))
     train, test = sets.split(both, year_month)
     names = sets.feature_names(both)
     texts = text_columns(both, names)
